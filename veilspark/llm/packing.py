@@ -141,8 +141,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, mixtur
     if mixture:
         wanted = F.create_map(*[F.lit(x) for kv in mixture.items() for x in (kv[0], float(kv[1]))])
         share = share.withColumn("share", F.coalesce(F.try_element_at(wanted, F.coalesce("source", F.lit(""))), F.col("share")))
-        whole = share.agg(F.sum("share").alias("whole"))
-        share = share.crossJoin(F.broadcast(whole)).select("source", (F.col("share") / F.col("whole")).alias("share"))
+        share = share.withColumn("share", F.col("share") / (share.agg(F.sum("share")).first()[0] or 1.0))
     earlier = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     plan = cells.withColumn("had", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     plan = plan.alias("p").join(share.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).join(by_lane.alias("l"), F.col("p.lane") == F.col("l.lane"))
