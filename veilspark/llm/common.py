@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/veilspark-{uuid.uuid4().hex}"
 
 
+def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
+    """``df`` with a number that is the same for a row each time it is read, however its files are split.
+
+    It hashes file and place, so pair it with doc_id where two rows must not meet.
+    """
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
+    try:
+        return df.drop(name).select("*", place)
+    except AnalysisException:  # not read from files
+        return materialize(df.drop(name)).select("*", place)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

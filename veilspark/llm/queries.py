@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, packing, perplexity, ranking, sharding, simhash, token_counts
+from . import bpe, crf, packing, perplexity, ranking, sharding, simhash, suffixes, token_counts
 from .common import read
 
 
@@ -38,6 +38,10 @@ def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(read(spark, sf_dir, "documents")).drop("rid")
 
 
+def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.strip_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -55,7 +59,7 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_crf, op2_quality_ranking, op3_sharding_lookup, op5_quality_perplexity, op7_bpe_prefix_dp, op8_mixture_packing, op9_token_counts, op10_simhash_ball)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_crf, op2_quality_ranking, op3_sharding_lookup, op5_quality_perplexity, op6_suffix_merge, op7_bpe_prefix_dp, op8_mixture_packing, op9_token_counts, op10_simhash_ball)}
 #: The lookup table, claimed slot by slot: each step keeps the table, the places and the turn.
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding_lookup": f"""
