@@ -58,6 +58,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``rows`` (doc_id, rid of ``with_row_id``) names."""
+    gone = rows.select(F.col("rid").alias("__gone"), F.col("doc_id").alias("__doc"))
+    kept = with_row_id(docs, "__rid")
+    return kept.join(gone, (F.col("__rid") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").drop("__rid")
+
+
 def crc_bucket(column: str | Column, n: int) -> Column:
     """``crc32(text of the id) mod n``; null for a null id."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column) % n

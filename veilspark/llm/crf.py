@@ -257,7 +257,32 @@ def train(docs: DataFrame, per_label: int = 400, max_bytes: int = 20_000, max_la
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
-TAGGED = "rid long, doc_id long, held_out boolean, lang_pred string, score double, n_words long"
+TAGGED = "doc_id long, held_out boolean, lang_pred string, score double, n_words long"
+
+
+def predict(own: Tagger, raw: list[str | None]) -> tuple[list[list[str]], list[str], np.ndarray]:
+    """Words, language and score of each text."""
+    texts = [lower(t) if t else [] for t in raw]
+    blank = np.array([not any(c.isalpha() for w in t[:1] for c in w) and not any(c.isalpha() for w in t for c in w) for t in texts], bool)
+    if not own.labels:
+        return texts, [UNKNOWN] * len(texts), np.zeros(len(texts))
+    means = own.means(texts)
+    best = means.argmax(axis=1)
+    names = [UNKNOWN if b else own.labels[k] for b, k in zip(blank, best, strict=True)]
+    return texts, names, np.where(blank, 0.0, np.clip(means[np.arange(len(best)), best], 0, 1))
+
+
+def keep_languages(docs: DataFrame, wanted: set[str] | None = None, least: float = 0.5) -> DataFrame:
+    """``docs`` without texts that are in no language for sure: ``und``, a score under ``least``, or not ``wanted``."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2000, 4 << 20):
+            _, names, score = predict(sent.value, batch.column("text").to_pylist())
+            keep = [n != UNKNOWN and s >= least and (wanted is None or n in wanted) for n, s in zip(names, score, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, tagger: Tagger | None = None, folds: int = 5, fold: int = 0) -> DataFrame:
@@ -271,18 +296,9 @@ def identify(docs: DataFrame, tagger: Tagger | None = None, folds: int = 5, fold
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in slices(batches, "text", 2000, 4 << 20):
-            texts = [lower(t) if t else [] for t in batch.column("text").to_pylist()]
-            blank = np.array([not any(c.isalpha() for w in t[:1] for c in w) and not any(c.isalpha() for w in t for c in w) for t in texts])
-            if own.labels:
-                means = own.means(texts)
-                best = means.argmax(axis=1)
-                names = [UNKNOWN if b else own.labels[k] for b, k in zip(blank, best, strict=True)]
-                score = np.where(blank, 0.0, np.clip(means[np.arange(len(best)), best], 0, 1))
-            else:
-                names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.record_batch([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(list(map(len, texts)), pa.int64())], [c.split()[0] for c in TAGGED.split(", ")])
-
-    rows = only(docs, "doc_id", "text").select("doc_id", "text", F.coalesce(crc_bucket("doc_id", folds) == fold, F.lit(True)).alias("held_out"), F.monotonically_increasing_id().alias("rid"))
+            texts, names, score = predict(sent.value, batch.column("text").to_pylist())
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(list(map(len, texts)), pa.int64())], [c.split()[0] for c in TAGGED.split(", ")])
+
+    rows = only(docs, "doc_id", "text").select("doc_id", "text", F.coalesce(crc_bucket("doc_id", folds) == fold, F.lit(True)).alias("held_out"))
     return rows.mapInArrow(run, TAGGED)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialize, only, slices
+from .common import BoundedCache, materialize, only, slices, with_row_id
 from .tokens import byte_pretokens, chunks, library, parts, specials, unmapped
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -69,7 +69,7 @@ def encode_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             packed = pa.array([zlib.compress(i, 1) for i in ids], pa.binary())
             yield pa.record_batch([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array(n, pa.int64()), packed], ["rid", "doc_id", "source", "n", "ids"])
 
-    rows = only(docs, "doc_id", "source", "text").withColumn("rid", F.monotonically_increasing_id())
+    rows = with_row_id(only(docs, "doc_id", "source", "text"))
     return rows.mapInArrow(run, "rid long, doc_id long, source string, n long, ids binary")
 
 
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, mixtur
     rows = materialize(encode_rows(docs, path, end_id))
     total = rows.agg(F.sum("n")).first()[0] or 0
     lanes = max(1, -(-total // lane_tokens))
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("rid"), F.lit(lanes)))
+    rows = rows.withColumn("lane", F.pmod("rid", F.lit(lanes)))
 
     cells = rows.groupBy("lane", "source").agg(F.sum("n").alias("n"))
     cells = materialize(cells)
@@ -152,11 +152,11 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, mixtur
         if not left.num_rows:
             return pa.table([pa.array([], f) for f in _TYPES], names=_NAMES)
         plans = {p["source"]: p for p in right.to_pylist()}
-        order = np.argsort(left["rid"].to_numpy())
-        doc_ids, sources, n = (left[c].to_pylist() for c in ("doc_id", "source", "n"))
+        doc_ids, sources, n, rid = (left[c].to_pylist() for c in ("doc_id", "source", "n", "rid"))
+        order = sorted(range(len(n)), key=lambda i: (rid[i], doc_ids[i] or 0))
         names = sorted(plans, key=lambda s: (s is None, s or ""))
         queues: dict = {s: [] for s in names}
-        for i in order.tolist():
+        for i in order:
             queues[sources[i]].append((i, n[i]))
         packed, ids, out = left["ids"], {}, []
         first = right["first"][0].as_py()

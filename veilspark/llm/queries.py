@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, packing, perplexity, ranking, sharding, simhash, suffixes, token_counts
+import corpus_pipeline
+
+from . import bpe, crf, images, packing, perplexity, ranking, sharding, simhash, suffixes, token_counts
 from .common import read
 
 
@@ -18,7 +20,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crf.identify(read(spark, sf_dir, "documents")).drop("rid")
+    return crf.identify(read(spark, sf_dir, "documents"))
 
 
 def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,11 @@ def op3_sharding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, F.col("doc_id"), SHARDS, SLOTS).select("doc_id", "slot", "shard", "n_bytes")
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures, so each row of embeddings is drawn as one, and every tenth edited too."""
+    return images.find_copies(images.pictures(read(spark, sf_dir, "embeddings")))
+
+
 def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(read(spark, sf_dir, "documents")).drop("rid")
 
@@ -59,7 +66,9 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_crf, op2_quality_ranking, op3_sharding_lookup, op5_quality_perplexity, op6_suffix_merge, op7_bpe_prefix_dp, op8_mixture_packing, op9_token_counts, op10_simhash_ball)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_crf, op2_quality_ranking, op3_sharding_lookup, op4_image_copies, op5_quality_perplexity, op6_suffix_merge, op7_bpe_prefix_dp, op8_mixture_packing, op9_token_counts, op10_simhash_ball)}
+QUERIES["pipeline"] = corpus_pipeline.run
+
 #: The lookup table, claimed slot by slot: each step keeps the table, the places and the turn.
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding_lookup": f"""

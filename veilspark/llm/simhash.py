@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, only, slices
+from .common import materialize, only, slices, with_row_id, without
 
 
 def fingerprint(text: str | None, words: int = 3, step: int = 1 << 18) -> int:
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             marks = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.record_batch([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), pa.array(marks.view(np.int64))], ["rid", "doc_id", "fp"])
 
-    rows = only(docs, "doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    rows = with_row_id(only(docs, "doc_id", "text"))
     return rows.mapInArrow(run, "rid long, doc_id long, fp long")
 
 
@@ -115,10 +115,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without the rows that another row of their component stands for.
-
-    ``docs`` must give its rows in the same order each time it is read, as files do.
-    """
-    gone = near_duplicates(docs, words, radius).where("rid <> keeper").select(F.col("rid").alias("__rid"))
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return rows.join(gone, "__rid", "left_anti").drop("__rid")
+    """``docs`` without the rows that another row of their component stands for."""
+    found = near_duplicates(docs, words, radius)
+    return without(docs, found.where("rid <> keeper or not doc_id <=> component_id"))

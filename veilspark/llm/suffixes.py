@@ -515,7 +515,7 @@ def _splitters(contexts: DataFrame, parts: int, length: int, sample: int = 20_00
 def strip_repeats(docs: DataFrame, length: int = 100, k: int = 36, part_bytes: int = 24 << 20, keep_text: bool = False) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts earlier.
 
-    Returns the columns of ``docs`` but text, with n_bytes, n_removed, n_spans and
+    Returns the other columns of ``docs`` with n_bytes, n_removed, n_spans and
     kept_sha256; with ``keep_text`` also ``kept``, what is left (bytes of characters cut in two are left out).
     Earlier is: smaller doc_id, then the row read first among equal ids, then the place in
     the text; rows without a doc_id come last.  Null and empty texts have no bytes; a text
@@ -525,7 +525,8 @@ def strip_repeats(docs: DataFrame, length: int = 100, k: int = 36, part_bytes: i
     parts = max(1, -(-total // part_bytes))
     rows = with_row_id(docs, "__rid")
     found = repeats(rows.select("doc_id", "text", "__rid"), length, k, parts)
-    carried = [f for f in docs.schema if f.name != "text"]
+    made = {"text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}
+    carried = [f for f in docs.schema if f.name not in made]
     fields = [*carried, *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("kept", T.StringType()))
