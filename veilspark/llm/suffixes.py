@@ -287,8 +287,7 @@ def _run(doc, rid, start, rows: np.ndarray, splitters: np.ndarray, part: int) ->
     """A task's suffixes, sorted, front-coded and cut by ranges; its own repeats go along as settled."""
     length = rows.shape[1]
     order = np.lexsort((start, rid, doc))
-    text = np.ascontiguousarray(rows[order]).view(f"S{length}").ravel()
-    order = order[np.argsort(text, kind="stable")]
+    order = order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{length}").ravel(), kind="stable")]
     doc, rid, start, rows = doc[order], rid[order], start[order], rows[order]
     differs = rows[1:] != rows[:-1]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
@@ -440,7 +439,7 @@ def repeats(docs: DataFrame, length: int, k: int, parts: int) -> DataFrame:
     spark = docs.sparkSession
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 30, 32 << 20):
+        for batch in slices(batches, "text", 1 << 30, 16 << 20):
             doc = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             rid = batch.column("__rid").to_numpy(zero_copy_only=False)
             got, owner = [], []
@@ -484,8 +483,11 @@ def repeats(docs: DataFrame, length: int, k: int, parts: int) -> DataFrame:
         for number, blob in zip(right["number"].to_pylist(), right["blob"].to_pylist(), strict=True):
             alive.setdefault(number, []).append(unpacked(blob)[0])
         got = [_windows(blob, np.concatenate(alive[number]), length) for number, blob in zip(left["number"].to_pylist(), left["blob"].to_pylist(), strict=True) if number in alive]
-        rows = list(_run(*[np.concatenate(c) for c in zip(*got, strict=True)], splitters.value, left["part"][0].as_py())) if got else []
-        return blobs(rows, "range")
+        if not got:
+            return blobs([], "range")
+        columns = [np.concatenate(c) for c in zip(*got, strict=True)]
+        got.clear()
+        return blobs(list(_run(*columns, splitters.value, left["part"][0].as_py())), "range")
 
     runs = contexts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(sort, "range long, blob binary")
     merged = runs.groupBy("range").applyInArrow(_each(lambda t: _merged(t, parts, length), "part", "blob"), "part long, blob binary")
@@ -512,7 +514,7 @@ def _splitters(contexts: DataFrame, parts: int, length: int, sample: int = 20_00
     return np.array(sorted(set(cuts)), f"S{length}")
 
 
-def strip_repeats(docs: DataFrame, length: int = 100, k: int = 36, part_bytes: int = 24 << 20, keep_text: bool = False) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = 100, k: int = 36, part_bytes: int = 14 << 20, keep_text: bool = False) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts earlier.
 
     Returns the other columns of ``docs`` with n_bytes, n_removed, n_spans and
