@@ -1,0 +1,5 @@
+"""Names of entity types, and the letters that Hebrew glues in front of words."""
+
+EMAIL, PHONE, CASE, PARCEL, CARD = "מייל", "טלפון", "תיק", "גושחלקה", "אשראי"
+PERSON_ID, COMPANY_ID, NEUTRAL_ID, CLIENT = "תז", "חפ", "מזהה", "לקוח"
+PROCLITICS = "לבומהשכ"
