@@ -17,45 +17,53 @@ INSTRUCTION = (
 )
 
 
-def spans(texts: DataFrame, names: DataFrame | None = None, never: list[str] | None = None, secondary: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``(text, spans)`` for each distinct text of ``texts``: detected once, resolved, in order.
+def spans(messages: DataFrame, names: DataFrame | None = None, never: list[str] | None = None, secondary: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(vault_key, seq, spans)`` of each of ``messages (vault_key, seq, text)`` that has any; resolved, in order.
 
     names: a gazetteer.  never: texts that stay.  secondary: a recognizer of further spans,
-    which give way to all others.
+    which give way to all others.  Texts are read where they are; only names join.
     """
-    distinct = texts.select("text").where("text is not null").distinct()
-    found = distinct.withColumn("primary", detect.detect(F.col("text")))
+    rows = messages.select("vault_key", "seq", "text").where("text is not null")
+    if names is None and secondary is None:
+        rows = rows.where(detect.possible(F.col("text")))
+    rows = rows.withColumn("primary", detect.detect(F.col("text")))
     if names is not None:
-        hits = gazetteer.find_names(distinct, names, key="text", text="text").withColumnRenamed("spans", "named")
-        found = found.join(hits, "text", "left").withColumn("primary", F.concat("primary", F.coalesce("named", F.array().cast(SPANS))))
+        keyed = messages.select(F.struct("vault_key", "seq").alias("id"), "text")
+        hits = gazetteer.find_names(keyed, names, key="id").select("id.vault_key", "id.seq", F.col("spans").alias("named"))
+        rows = rows.join(hits, ["vault_key", "seq"], "left").withColumn("primary", F.concat("primary", F.coalesce("named", F.array().cast(SPANS))))
     kept = resolve.drop_never(F.col("primary"), never or [])
     if secondary is None:
-        return found.select("text", resolve.resolve(kept).alias("spans"))
-    return found.select("text", resolve.merge(kept, resolve.drop_never(secondary(F.col("text")), never or [])).alias("spans"))
+        kept = resolve.resolve(kept)
+    else:
+        kept = resolve.merge(kept, resolve.drop_never(secondary(F.col("text")), never or []))
+    return rows.select("vault_key", "seq", kept.alias("spans")).where(F.size("spans") > 0)
 
 
-def mentions(messages: DataFrame, found: DataFrame) -> DataFrame:
-    """``(vault_key, seq, start, entity_type, real)`` of ``messages (vault_key, seq, text)``."""
-    rows = messages.select("vault_key", "seq", "text").join(found.where(F.size("spans") > 0), "text")
-    rows = rows.select("vault_key", "seq", F.explode("spans").alias("s"))
+def mentions(found: DataFrame) -> DataFrame:
+    """``(vault_key, seq, start, entity_type, real)`` of ``spans()``."""
+    rows = found.select("vault_key", "seq", F.explode("spans").alias("s"))
     return rows.select("vault_key", "seq", F.col("s.start").alias("start"), F.col("s.entity_type").alias("entity_type"), F.col("s.text").alias("real"))
 
 
 def mask(messages: DataFrame, known: DataFrame | None = None, **finding) -> tuple[DataFrame, DataFrame]:
     """``messages (vault_key, seq, text, ...)`` with ``masked``, and the vault that undoes it.
 
-    Values meet their tokens in a join on (vault_key, real); a null text stays null.
+    Values meet their tokens in a join on (vault_key, real); texts that cannot hold a value
+    take no part in any join.  A null text stays null.  (vault_key, seq) identifies rows.
     """
     found = materialize(spans(messages, **finding))
-    seen = mentions(messages, found)
+    seen = mentions(found)
     book = materialize(vault.extend(seen, known) if known is not None else vault.assign(seen))
-    rows = messages.select("vault_key", "seq", "text").join(found.where(F.size("spans") > 0), "text").select("vault_key", "seq", "text", F.posexplode("spans").alias("i", "s"))
-    rows = rows.join(book.select("vault_key", F.col("real").alias("__real"), "token"), (F.col("s.text") == F.col("__real")) & (rows["vault_key"] == book["vault_key"])).select(rows["vault_key"], "seq", "i", "s", "token")
+    rows = found.select("vault_key", "seq", F.posexplode("spans").alias("i", "s")).withColumn("real", F.col("s.text"))
+    rows = rows.join(book.select("vault_key", "real", "token"), ["vault_key", "real"])
     per = rows.groupBy("vault_key", "seq").agg(F.array_sort(F.collect_list(F.struct("i", "s", "token"))).alias("r"))
     per = per.select("vault_key", "seq", F.col("r.s").alias("__spans"), F.col("r.token").alias("__tokens"))
-    out = messages.join(per, ["vault_key", "seq"], "left")
+    plain = not finding.get("secondary") and finding.get("names") is None
+    maybe = F.coalesce(detect.possible(F.col("text")), F.lit(False)) if plain else F.lit(True)
+    out = messages.where(maybe).join(per, ["vault_key", "seq"], "left")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(replace_spans(F.col("text"), F.col("__spans"), F.col("__tokens")))
-    return out.withColumn("masked", text).drop("__spans", "__tokens"), book
+    out = out.withColumn("masked", text).drop("__spans", "__tokens").select(*messages.columns, "masked")
+    return (out.unionByName(messages.where(~maybe).withColumn("masked", F.col("text"))) if plain else out), book
 
 
 def instruct(messages: DataFrame, book: DataFrame, instruction: str = INSTRUCTION) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import MARK, find_tokens, leftovers, substitute
-from . import vault as V
 
 MAP = "map<string,string>"
 #: A JSON string, with the colon that makes it a key.
@@ -23,22 +22,25 @@ def lookup(tokens: Column) -> Callable[[Column], Column]:
     return lambda t: F.try_element_at(tokens, t)
 
 
-def with_tokens(rows: DataFrame, book: DataFrame) -> DataFrame:
-    """``rows (vault_key, ...)`` with their vault's map as ``tokens``, empty where there is no vault."""
-    out = rows.join(V.token_maps(book), "vault_key", "left")
+def with_tokens(rows: DataFrame, book: DataFrame, *texts: str | Column) -> DataFrame:
+    """``rows (vault_key, seq, ...)`` with ``tokens``, a map of the placeholders that stand in ``texts``.
+
+    Placeholders meet the vault in a join on (vault_key, token), so a row never carries more
+    of a vault than it needs, however large the vault is.  (vault_key, seq) identifies rows.
+    """
+    every = F.concat_ws(" ", *texts)
+    tokens = rows.where(F.contains(every, F.lit(MARK))).select("vault_key", "seq", F.explode(F.array_distinct(find_tokens(every))).alias("token"))
+    known = tokens.join(book.select("vault_key", "token", "real"), ["vault_key", "token"])
+    maps = known.groupBy("vault_key", "seq").agg(F.map_from_entries(F.collect_set(F.struct("token", "real"))).alias("tokens"))
+    out = rows.join(maps, ["vault_key", "seq"], "left")
     return out.withColumn("tokens", F.coalesce("tokens", F.create_map().cast(MAP)))
 
 
 def restore_by_join(rows: DataFrame, book: DataFrame, text: str = "text") -> DataFrame:
-    """``rows (vault_key, seq, text)`` with ``restored``: for vaults too large for a map in a row.
-
-    Placeholders are exploded and joined on (vault_key, token).
-    """
-    tokens = rows.where(F.contains(text, F.lit(MARK))).select("vault_key", "seq", F.explode(F.array_distinct(find_tokens(F.col(text)))).alias("token"))
-    known = tokens.join(book.select("vault_key", "token", "real"), ["vault_key", "token"])
-    maps = known.groupBy("vault_key", "seq").agg(F.map_from_entries(F.collect_list(F.struct("token", "real"))).alias("__map"))
-    out = rows.join(maps, ["vault_key", "seq"], "left").withColumn("__map", F.coalesce("__map", F.create_map().cast(MAP)))
-    return out.withColumn("restored", substitute(F.col(text), lookup(F.col("__map")))).drop("__map")
+    """``rows (vault_key, seq, text)`` with ``restored``; rows without a mark take no part in any join."""
+    marked = F.coalesce(F.contains(text, F.lit(MARK)), F.lit(False))
+    done = with_tokens(rows.where(marked), book, text).withColumn("restored", substitute(F.col(text), lookup(F.col("tokens")))).drop("tokens")
+    return done.unionByName(rows.where(~marked).withColumn("restored", F.col(text)))
 
 
 def restore_values(node, real: dict):
@@ -74,19 +76,20 @@ def restore_json(text: Column, tokens: Column) -> Column:
 
 
 def report(rows: DataFrame, book: DataFrame) -> DataFrame:
-    """``rows (vault_key, content, arguments array<string>)`` restored, with what is left over.
+    """``rows (vault_key, seq, content, arguments array<string>)`` restored, with what is left over.
 
     leftover: placeholders that no value is known for, each once, as they come in content
     and then arguments.  restored_any: whether the vault holds anything at all.
     """
-    rows = with_tokens(rows, book)
+    names = rows.columns
+    rows = with_tokens(rows, book, "content", "arguments")
+    holds = book.select("vault_key").distinct().withColumn("__any", F.lit(True))
+    rows = rows.join(holds, "vault_key", "left")
     real = lookup(F.col("tokens"))
-    content = substitute(F.col("content"), real)
-    restored = rows.select("*", content.alias("__content"))
     arguments = F.transform(F.coalesce("arguments", F.array().cast("array<string>")), lambda a: substitute_json(a, F.col("tokens")))
-    out = restored.withColumn("content", F.col("__content")).withColumn("arguments", arguments).drop("__content")
+    out = rows.withColumn("content", substitute(F.col("content"), real)).withColumn("arguments", arguments)
     left = F.concat(leftovers(F.col("content"), real), F.flatten(F.transform("arguments", lambda a: leftovers(a, real))))
-    return out.select(*[c for c in rows.columns if c != "tokens"], F.array_distinct(left).alias("leftover"), (F.size("tokens") > 0).alias("restored_any"))
+    return out.select(*names, F.array_distinct(left).alias("leftover"), F.coalesce("__any", F.lit(False)).alias("restored_any"))
 
 
 def substitute_json(text: Column, tokens: Column) -> Column:

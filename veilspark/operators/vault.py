@@ -7,6 +7,10 @@ Occurrences are ordered by message, and within a message from right to left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from ..plans.storage import materialize
 
 #: Values per vault and type up to which one task numbers them.
 ONE_TASK = 2_000_000
+#: Leading bytes on which values are looked up in texts, and the size of the bitmap of them.
+ANCHOR, BITS = 7, 22
 
 
 def first_seen(mentions: DataFrame) -> DataFrame:
@@ -75,17 +81,48 @@ def merged(vaults: DataFrame) -> DataFrame:
     return vaults.groupBy("token").agg(F.min_by("real", F.struct("path", "real")).alias("real"))
 
 
-def token_maps(vault: DataFrame) -> DataFrame:
-    """Per vault key, its map from token to value.  A vault is as large as one session or agent makes it."""
-    return vault.groupBy("vault_key").agg(F.map_from_entries(F.collect_list(F.struct("token", "real"))).alias("tokens"))
+def _gram_codes(data: np.ndarray, k: int) -> np.ndarray:
+    """Codes of all runs of ``k`` bytes, hashed to ``BITS`` bits."""
+    code = np.zeros(max(0, len(data) - k + 1), np.uint64)
+    for i in range(k):
+        code = (code << np.uint64(8)) | data[i : i + len(code)]
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def present(texts: DataFrame, vault: DataFrame) -> DataFrame:
-    """Per vault key, how many of its non-empty values stand in its texts ``(vault_key, text)``: the leak count."""
+    """Per vault key, how many of its non-empty values stand in its texts ``(vault_key, text)``: the leak count.
+
+    Values and texts meet on the first ``ANCHOR`` bytes of the value, never all with all.  A
+    bitmap of fixed size keeps all other places of the texts out of the join.
+    """
     values = vault.where("real <> ''").select("vault_key", "real").distinct()
-    both = texts.join(values, "vault_key").where(F.contains("text", "real"))
-    found = both.groupBy("vault_key").agg(F.count_distinct("real").alias("n_present"))
-    return vault.select("vault_key").distinct().join(found, "vault_key", "left").select("vault_key", F.coalesce("n_present", F.lit(0)).cast("long").alias("n_present"))
+    values = values.withColumn("gram", F.substring(F.encode("real", "UTF-8"), F.lit(1), F.lit(ANCHOR))).withColumn("k", F.length("gram"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = set(batch.column("gram").to_pylist())
+            codes = {(len(g), int(_gram_codes(np.frombuffer(g, np.uint8), len(g))[0])) for g in grams}
+            yield pa.record_batch([pa.array([c[0] for c in codes], pa.int32()), pa.array([c[1] for c in codes], pa.int32())], ["k", "code"])
+
+    known: dict[int, np.ndarray] = {}
+    for r in values.select("gram").mapInArrow(code, "k int, code int").distinct().toLocalIterator():
+        known.setdefault(r.k, np.zeros(1 << BITS, bool))[r.code] = True
+    sent = vault.sparkSession.sparkContext.broadcast(known)
+
+    def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column("text").cast(pa.binary()).to_pylist():
+                data, grams = np.frombuffer(t, np.uint8), set()
+                for k, bits in sent.value.items():
+                    grams.update(t[i : i + k] for i in np.flatnonzero(bits[_gram_codes(data, k)]).tolist())
+                out.append(list(grams))
+            yield pa.record_batch([batch.column("vault_key"), batch.column("text"), pa.array(out, pa.list_(pa.binary()))], ["vault_key", "text", "grams"])
+
+    found = texts.select(F.col("vault_key").cast("string"), "text").where("text is not null").mapInArrow(spot, "vault_key string, text string, grams array<binary>")
+    found = found.select("vault_key", "text", F.explode("grams").alias("gram")).join(values, ["vault_key", "gram"])
+    counts = found.where(F.contains("text", "real")).groupBy("vault_key").agg(F.count_distinct("real").alias("n_present"))
+    return vault.select("vault_key").distinct().join(counts, "vault_key", "left").select("vault_key", F.coalesce("n_present", F.lit(0)).cast("long").alias("n_present"))
 
 
 def expired(vault_files: DataFrame, now: float, ttl: float) -> DataFrame:

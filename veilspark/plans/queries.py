@@ -367,7 +367,7 @@ def restore_known(spark, sf_dir):
 
 @query(f"SELECT seq, concat_ws(',', CASE WHEN x.real IS NULL THEN a END, CASE WHEN y.real IS NULL THEN b END, '⟦⟦x_1⟧') AS leftover {LOOKED_UP}")
 def leftover_tokens(spark, sf_dir):
-    rows = restore.with_tokens(made(spark, sf_dir, REPLIES), made(spark, sf_dir, KNOWN))
+    rows = restore.with_tokens(made(spark, sf_dir, REPLIES), made(spark, sf_dir, KNOWN), "text")
     left = X.leftovers(X.substitute(F.col("text"), restore.lookup(F.col("tokens"))), restore.lookup(F.col("tokens")))
     return rows.select("seq", F.array_join(left, ",").alias("leftover"))
 
@@ -410,7 +410,7 @@ def instruction_injection(spark, sf_dir):
 
 def bodies(spark, sf_dir, **columns):
     none = {"json": F.lit(None).cast("string"), "data": F.lit(None).cast("string"), "form": F.lit(None).cast("map<string,string>")}
-    rows = restore.with_tokens(made(spark, sf_dir, REPLIES), made(spark, sf_dir, QUOTED if "json" in columns else KNOWN))
+    rows = restore.with_tokens(made(spark, sf_dir, REPLIES), made(spark, sf_dir, QUOTED if "json" in columns else KNOWN), "text")
     rows = rows.select("seq", F.concat(F.lit("https://u@h"), "seq", F.lit(".example:88/x?q=1")).alias("url"), "tokens", *[columns.get(k, v).alias(k) for k, v in none.items()])
     return egress.restore_requests(rows)
 
@@ -487,8 +487,8 @@ def stream_deltas(spark, sf_dir):
 @query("SELECT doc_id, CAST(0 AS BIGINT) AS start_at, substr(text, 1, 3) AS value FROM documents WHERE length(text) >= 3 AND NOT regexp_matches(text, '^.{0,2}[0-9]') AND NOT regexp_matches(text, '^" + EMAIL_SQL + "')")
 def ner_secondary(spark, sf_dir):
     model = ner.recognizer(lambda: first_letters, "first-letters")
-    texts = read(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") >= 3)
-    found = texts.join(mask.spans(texts, secondary=model), "text").select("doc_id", F.explode("spans").alias("s"))
+    found = mask.spans(documents_as_messages(spark, sf_dir).where(F.length("text") >= 3), secondary=model)
+    found = found.select(F.col("seq").alias("doc_id"), F.explode("spans").alias("s"))
     found = found.where((F.col("s.entity_type") == L.CLIENT) & ~F.col("s.text").rlike("[0-9]"))
     return found.select("doc_id", F.col("s.start").cast("long").alias("start_at"), F.col("s.text").alias("value"))
 
