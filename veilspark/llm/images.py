@@ -154,68 +154,79 @@ def describe(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return places[keep], marks[keep]
 
 
-DESCRIBED = "media_id long, content string, n int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
+DESCRIBED = "media_id long, content long, spot long, d0 long, d1 long, d2 long, d3 long"
 WORDS = ("d0", "d1", "d2", "d3")
+ANGLES = 1024
+
+
+def spots(places: np.ndarray) -> np.ndarray:
+    """Place, scale and angle of corners in one number each: 16 bits of x, 16 of y, 4 of scale, 10 of angle."""
+    x, y, scale, angle = places.T
+    level = np.rint(2 * np.log2(scale)).astype(np.int64)
+    turn = np.rint(angle / (2 * np.pi) * ANGLES).astype(np.int64) % ANGLES
+    return (np.rint(x).astype(np.int64) << 30) | (np.rint(y).astype(np.int64) << 14) | (level << 10) | turn
 
 
 def descriptors(media: DataFrame, most: int) -> DataFrame:
-    """One row per corner, and one without a descriptor for an image that has none."""
+    """One row per corner, and one without a descriptor for an image that has none; content: a hash of the image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for key, blob in zip(batch.column("media_id").to_pylist(), batch.column("image").to_pylist(), strict=True):
-                content = hashlib.sha256(blob or b"").hexdigest()[:32]
+                content = int.from_bytes(hashlib.sha256(blob or b"").digest()[:8], "big", signed=True)
                 image = decode(blob) if blob else None
                 places, marks = describe(image, most) if image is not None else (np.zeros((0, 4)), np.zeros((0, TESTS // 8), np.uint8))
                 words = np.ascontiguousarray(marks).view("<i8").tolist()
-                out += [(key, content, n, *p, *w) for n, (p, w) in enumerate(zip(places.tolist(), words, strict=True))] or [(key, content, *[None] * 9)]
+                out += [(key, content, s, *w) for s, w in zip(spots(places).tolist(), words, strict=True)] or [(key, content, *[None] * 5)]
             if out:
-                kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.float32()] * 4, *[pa.int64()] * 4]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in DESCRIBED.split(", ")])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in DESCRIBED.split(", ")])
 
     return only(media, "media_id", "image").mapInArrow(run, DESCRIBED)
 
 
 def matches(points: DataFrame, reach: int) -> DataFrame:
-    """Matching corners ``(a, b, p, q)`` of images a > b: places in each, by tables of 32-bit pieces.
+    """Matching corners ``(a, b, p, q)`` of images a > b: spots in each, by tables of 32-bit pieces.
 
-    Within a bucket each corner meets the bucket's first and its own forerunner by image, so
-    a crowd of copies gives rows in proportion to its size, and the same pairs in each bucket.
+    Two of the other words go along with a piece and are compared in the bucket.  There each
+    corner meets the bucket's first and its own forerunner by image, so a crowd of copies
+    gives rows in proportion to its size, and the same pairs in each bucket.
     """
-    halves = F.array(*[F.xxhash64(F.lit(2 * i + j), F.shiftrightunsigned(w, 32 * j).bitwiseAND(0xFFFFFFFF)) for i, w in enumerate(WORDS) for j in (0, 1)])
-    meet = points.select("id", "n", F.explode(halves).alias("key"))
-    order = Window.partitionBy("key").orderBy("id", "n")
-    spot = F.struct("id", "n")
-    pairs = meet.select("id", "n", F.array(F.lag(spot).over(order), F.first(spot).over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("others"))
-    pairs = pairs.where("others[0] is not null").select("id", "n", F.explode("others").alias("o")).where("o.id < id")
-    pairs = pairs.select("id", "n", F.col("o.id").alias("oid"), F.col("o.n").alias("on")).distinct()
-    place = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in ("x", "y", "scale", "angle")])
-    near = sum((F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in WORDS[1:]), F.bit_count(F.col("l.d0").bitwiseXOR(F.col("r.d0"))))
-    both = pairs.alias("m").join(points.alias("l"), (F.col("m.id") == F.col("l.id")) & (F.col("m.n") == F.col("l.n")))
-    both = both.join(points.alias("r"), (F.col("m.oid") == F.col("r.id")) & (F.col("m.on") == F.col("r.n"))).where(near <= reach)
-    return both.select(F.col("m.id").alias("a"), F.col("m.oid").alias("b"), place("l").alias("p"), place("r").alias("q"))
+    piece = lambda i, j: F.xxhash64(F.lit(2 * i + j), F.shiftrightunsigned(WORDS[i], 32 * j).bitwiseAND(0xFFFFFFFF))
+    halves = F.array(*[F.struct(piece(i, j).alias("key"), F.col(WORDS[(i + 1) % 4]).alias("u"), F.col(WORDS[(i + 2) % 4]).alias("v")) for i in range(4) for j in (0, 1)])
+    meet = points.select("id", "spot", F.inline(halves))
+    order = Window.partitionBy("key").orderBy("id", "spot")
+    one = F.struct("id", "spot", "u", "v")
+    pairs = meet.select("id", "spot", "u", "v", F.lag(one).over(order).alias("l"), F.first(one).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
+    near = lambda o: (F.col(f"{o}.id") < F.col("id")) & (F.bit_count(F.col("u").bitwiseXOR(F.col(f"{o}.u"))) + F.bit_count(F.col("v").bitwiseXOR(F.col(f"{o}.v"))) <= reach)
+    found = F.filter(F.array(F.when(near("l"), F.col("l")), F.when(near("f") & ~F.col("f").eqNullSafe(F.col("l")), F.col("f"))), lambda o: o.isNotNull())
+    pairs = pairs.select("id", "spot", F.explode(found).alias("o"))
+    return pairs.select(F.col("id").alias("a"), F.col("o.id").alias("b"), F.col("spot").alias("p"), F.col("o.spot").alias("q"))
 
 
 def consistent(pairs: DataFrame, least: int) -> DataFrame:
     """Pairs of images of which ``least`` corners agree on a shift, turn and scale, in cells that overlap by half."""
-    turn = F.col("p.angle") - F.col("q.angle")
-    grow = F.col("p.scale") / F.col("q.scale")
-    shift_x = F.col("p.x") - grow * (F.cos(turn) * F.col("q.x") - F.sin(turn) * F.col("q.y"))
-    shift_y = F.col("p.y") - grow * (F.sin(turn) * F.col("q.x") + F.cos(turn) * F.col("q.y"))
-    votes = pairs.select("a", "b", "p", "q", turn.alias("turn"), F.round(F.log2(grow) * 2).alias("g"), shift_x.alias("sx"), shift_y.alias("sy"))
+    each = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m")).where(F.size("m") >= least)
+    each = each.select("a", "b", F.inline("m"))
+    part = lambda c, shift, bits: F.shiftright(c, shift).bitwiseAND((1 << bits) - 1).cast("double")
+    (px, py, pl, pt), (qx, qy, ql, qt) = ([part(c, shift, bits) for shift, bits in ((30, 16), (14, 16), (10, 4), (0, 10))] for c in ("p", "q"))
+    turn = (pt - qt) / ANGLES
+    grow = F.pow(F.lit(2.0), (pl - ql) / 2)
+    c, s = F.cos(2 * np.pi * turn), F.sin(2 * np.pi * turn)
+    votes = each.select("a", "b", "p", "q", turn.alias("turn"), (pl - ql).alias("g"), (px - grow * (c * qx - s * qy)).alias("sx"), (py - grow * (s * qx + c * qy)).alias("sy"))
     grid = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
-    cells = [F.struct(F.floor(F.col("sx") / 24 + i / 2).alias("cx"), F.floor(F.col("sy") / 24 + j / 2).alias("cy"), F.floor(F.pmod(F.col("turn") / (2 * np.pi) * 12 + k / 2, F.lit(12.0))).alias("ct"), F.lit(4 * i + 2 * j + k).alias("grid")) for i, j, k in grid]
+    cells = [F.struct(F.floor(F.col("sx") / 24 + i / 2).alias("cx"), F.floor(F.col("sy") / 24 + j / 2).alias("cy"), F.floor(F.pmod(F.col("turn") * 12 + k / 2, F.lit(12.0))).alias("ct"), F.lit(4 * i + 2 * j + k).alias("grid")) for i, j, k in grid]
     cast = votes.select("a", "b", "p", "q", "g", F.inline(F.array(*cells)))
     count = cast.groupBy("a", "b", "g", "cx", "cy", "ct", "grid").agg(F.size(F.collect_set("p")).alias("n"), F.size(F.collect_set("q")).alias("m"))
     return count.where((F.col("n") >= least) & (F.col("m") >= least)).select("a", "b").distinct()
 
 
-def find_copies(media: DataFrame, most: int = 24, reach: int = 24, consensus: int = 4) -> DataFrame:
+def find_copies(media: DataFrame, most: int = 20, reach: int = 12, consensus: int = 4) -> DataFrame:
     """One row per row of ``media (media_id, image)``: class_id, the smallest media_id of its copies, and links.
 
-    most: corners that describe an image, the strongest of all scales.  reach: bits in which
-    matching descriptors may differ.  consensus: corners that must agree on one transform.
+    most: corners that describe an image, the strongest of all scales.  reach: of the 128
+    bits that go along with a matching piece, those that may differ.  consensus: corners
+    that must agree on one transform.
 
     Identical images are one image from their content's hash on, however many there are.
     Null, empty or unreadable images are classes of their own content; rows without a
@@ -223,16 +234,16 @@ def find_copies(media: DataFrame, most: int = 24, reach: int = 24, consensus: in
     give one row; ties go to the smaller id.
     """
     found = materialize(descriptors(media, most))
-    images = materialize(found.groupBy("content", "media_id").agg(F.count("n").alias("n_corners")))
+    images = materialize(found.groupBy("content", "media_id").agg(F.count("spot").alias("n_corners")))
     classes = images.groupBy("content").agg(F.min("media_id").alias("id"))
-    points = found.where("n is not null").join(classes, "content").where("media_id = id")
-    points = materialize(points.dropDuplicates(["id", "n"]).select("id", "n", "x", "y", "scale", "angle", *WORDS))
+    points = found.where("spot is not null").join(classes.select("content", "id"), "content").where("media_id = id")
+    points = points.select("id", "spot", *WORDS).dropDuplicates(["id", "spot"])
     links = materialize(consistent(matches(points, reach), consensus))
     roots = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     classes = classes.join(roots, classes["id"] == roots["node"], "left").select("content", "id", F.coalesce("root", "id").alias("class_id"))
     classes = classes.join(degree, "id", "left").select("content", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return images.join(classes, "content").select("media_id", "class_id", "n_links", "n_corners", "content")
+    return images.join(classes, "content").select("media_id", "class_id", "n_links", "n_corners")
 
 
 def render(vector: list[float] | None, size: int = 112) -> np.ndarray:
