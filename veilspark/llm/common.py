@@ -58,11 +58,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``rows`` (doc_id, rid of ``with_row_id``) names."""
-    gone = rows.select(F.col("rid").alias("__gone"), F.col("doc_id").alias("__doc"))
-    kept = with_row_id(docs, "__rid")
-    return kept.join(gone, (F.col("__rid") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").drop("__rid")
+    mine, gone, key = (unused(docs, n) for n in ("__rid", "__gone", "__doc"))
+    named = rows.select(F.col("rid").alias(gone), F.col("doc_id").alias(key))
+    kept = with_row_id(docs, mine)
+    return kept.join(named, (F.col(mine) == F.col(gone)) & F.col("doc_id").eqNullSafe(F.col(key)), "left_anti").drop(mine)
 
 
 def crc_bucket(column: str | Column, n: int) -> Column:

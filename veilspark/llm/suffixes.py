@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, total_text_bytes, with_row_id
+from .common import materialize, slices, total_text_bytes, unused, with_row_id
 
 U = np.uint64
 SEGMENT = 1 << 20
@@ -517,18 +517,21 @@ def _splitters(contexts: DataFrame, parts: int, length: int, sample: int = 20_00
 def strip_repeats(docs: DataFrame, length: int = 100, k: int = 36, part_bytes: int = 14 << 20, keep_text: bool = False) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts earlier.
 
-    Returns the other columns of ``docs`` with n_bytes, n_removed, n_spans and
-    kept_sha256; with ``keep_text`` also ``kept``, what is left (bytes of characters cut in two are left out).
-    Earlier is: smaller doc_id, then the row read first among equal ids, then the place in
+    Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` also
+    ``kept``, what is left (bytes of characters cut in two are left out), and ``row``, a
+    struct of all columns of ``docs`` but text, so that no name can clash.
+    Earlier is: smaller doc_id, then a fixed order of rows with equal ids, then the place in
     the text; rows without a doc_id come last.  Null and empty texts have no bytes; a text
-    of fewer than ``length`` bytes keeps all.  Of repeated rows the first keeps its text.
+    of fewer than ``length`` bytes keeps all.  Of repeated rows one keeps its text.
     """
     total = total_text_bytes(docs)
     parts = max(1, -(-total // part_bytes))
-    rows = with_row_id(docs, "__rid")
+    mine = unused(docs, "__rid")
+    rows = with_row_id(docs, mine)
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if keep_text else []
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(mine).alias("__rid"), *others)
     found = repeats(rows.select("doc_id", "text", "__rid"), length, k, parts)
-    made = {"text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}
-    carried = [f for f in docs.schema if f.name not in made]
+    carried = [f for f in rows.schema if f.name in ("doc_id", "row")]
     fields = [*carried, *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("kept", T.StringType()))
