@@ -131,3 +131,15 @@ def test_pipeline(spark, docs, empty):
             out = stage(spark, out, "")
             assert out.columns == docs.columns, name
             out.count()
+
+
+def test_frames_that_are_no_files(spark, docs):
+    """Rows keep their numbers when a frame is computed anew, and when one file row has become several."""
+    from veilspark.llm.common import is_scan
+
+    made = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").repartition(3)
+    twice = docs.select("doc_id", "text", "lang", "source", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    assert is_scan(docs.where("doc_id > 1").select("doc_id")) and not is_scan(made) and not is_scan(twice) and not is_scan(docs.union(docs))
+    assert ids(simhash.keep_one(made)) == ids(simhash.keep_one(twice)) == ids(simhash.keep_one(docs))
+    assert ids(perplexity.keep_passing(made)) == ids(perplexity.keep_passing(docs))
+    assert sorted(r.n_removed for r in suffixes.strip_repeats(twice).where("doc_id = 3").collect())[1:] == [len(PLAIN)] * 3

@@ -2,60 +2,45 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..plans.storage import ensure_importable, materialize, read
 
+__all__ = ["BoundedCache", "as_files", "crc_bucket", "ensure_importable", "materialize", "only", "read", "slices", "total_text_bytes", "unused", "with_row_id", "without"]
 
-def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ensure_importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only filters and selects from files, so that a row's file and place are its own."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    nodes = [line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()]
+    if not nodes or set(nodes) - {"Project", "Filter", "SubqueryAlias", "Relation"}:
+        return False
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = Path(tempfile.gettempdir(), "veilspark-checkpoints").as_uri()
-    return f"{base}/veilspark-{uuid.uuid4().hex}"
+def as_files(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder unless it is read from files as it is: reading it again gives the same rows."""
+    return df if is_scan(df) else materialize(df)
 
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """``df`` with a number that is the same for a row each time it is read, however its files are split.
 
-    It hashes file and place, so pair it with doc_id where two rows must not meet.
+    It hashes file and place, so pair it with doc_id where two rows must not meet.  Where
+    numbers of two readings are compared, pass what ``as_files`` returns to both.
     """
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
-    try:
-        return df.drop(name).select("*", place)
-    except AnalysisException:  # not read from files
-        return materialize(df.drop(name)).select("*", place)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return as_files(df.drop(name)).select("*", place)
 
 
 def unused(df: DataFrame, name: str) -> str:

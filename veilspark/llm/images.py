@@ -221,7 +221,7 @@ def consistent(pairs: DataFrame, least: int) -> DataFrame:
     return count.where((F.col("n") >= least) & (F.col("m") >= least)).select("a", "b").distinct()
 
 
-def find_copies(media: DataFrame, most: int = 20, reach: int = 12, consensus: int = 4) -> DataFrame:
+def find_copies(media: DataFrame, most: int = 24, reach: int = 12, consensus: int = 4) -> DataFrame:
     """One row per row of ``media (media_id, image)``: class_id, the smallest media_id of its copies, and links.
 
     most: corners that describe an image, the strongest of all scales.  reach: of the 128

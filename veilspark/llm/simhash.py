@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, only, slices, with_row_id, without
+from .common import as_files, materialize, only, slices, with_row_id, without
 
 
 def fingerprint(text: str | None, words: int = 3, step: int = 1 << 18) -> int:
@@ -116,5 +116,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` without the rows that another row of their component stands for."""
+    docs = as_files(docs)
     found = near_duplicates(docs, words, radius)
     return without(docs, found.where("rid <> keeper or not doc_id <=> component_id"))
