@@ -146,7 +146,7 @@ def _local(doc: np.ndarray, rid: np.ndarray, owner: np.ndarray, first, count, an
     group = mix(gram ^ (stretch * U(BASE)))
     order = np.lexsort((anchor, rank[owner], group))
     new = np.empty(len(order), bool)
-    new[order] = firsts(group[order])
+    new[order] = firsts(group[order], gram[order], stretch[order])
     kind = np.zeros(len(order), np.uint8)
     lead = np.flatnonzero(new)
     lead = lead[np.argsort(gram[lead], kind="stable")]
@@ -193,7 +193,7 @@ def _settle(table: pa.Table, parts: int) -> Iterator[tuple[int, bytes]]:
         group = mix(gram ^ (stretch * U(BASE)))
         order = np.lexsort((at, group))
         new = np.empty(len(order), bool)
-        new[order] = firsts(group[order])
+        new[order] = firsts(group[order], gram[order], stretch[order])
         state[rows[~new]] = REPEAT
         lead = np.flatnonzero(new)
         lead = lead[np.argsort(gram[lead], kind="stable")]
