@@ -90,3 +90,24 @@ def test_streaming_form(spark, tmp_path):
     finally:
         query.stop()
     assert got == ["answer: ", "", "⟦לקוח_1⟧", " end ", "⟦" + "x" * 60, " tail "]
+
+
+def test_job_and_send(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from veilspark.plans import egress_job
+
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.json").write_text(json.dumps({"ts": 1.0, "real_to_token": {}, "token_to_real": {"⟦א_1⟧": "real"}, "counters": {}}), encoding="utf-8")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("⟦א_1⟧", encoding="utf-8")
+    args = [str(tmp_path / "t"), "--vaults", str(tmp_path / "v" / "*.json"), "--out", str(tmp_path / "o")]
+    assert egress_job.main(args, spark) == 0 and spark.read.parquet(str(tmp_path / "o")).first().text == "real"
+    (tmp_path / "t" / "b.txt").write_text("⟦z_1⟧", encoding="utf-8")
+    assert egress_job.main(args, spark) == 2
+    monkeypatch.setattr("sys.stdin", io.StringIO("to ⟦א_1⟧"))
+    capsys.readouterr()
+    assert egress_job.main(["--stdin", "--vaults", args[2]], spark) == 0 and capsys.readouterr().out == "to real"
+    rows = spark.createDataFrame([("⟦א_1⟧ ⟦z_1⟧", MAP)], "text string, tokens map<string,string>")
+    sent, lines = egress.restore_for_send(rows, "mail")
+    assert sent.first().sent == "real ⟦z_1⟧" and lines.first()["where"] == "mail"

@@ -144,7 +144,7 @@ def test_recognizers(spark):
 def test_profile():
     assert profile.Profile.of(None) == profile.Profile()
     p = profile.Profile.of({"profile": "x", "never_mask": ["a"], "alerts": {"on": ["z"]}, "other": 1})
-    assert (p.name, p.never_mask, p.alerts_on, p.token_instruction) == ("x", ["a"], ["z"], True)
+    assert (p.name, p.never_mask, p.alerts_on, p.token_instruction) == ("x", ("a",), ("z",), True)
 
 
 def test_qa(spark):
@@ -155,3 +155,17 @@ def test_qa(spark):
 def test_variants_and_tokens(spark):
     df = spark.createDataFrame([("לדוד ⟦⟦x_1⟧ ⟦a_b_1⟧ ⟦a_01⟧",)], "t string")
     assert df.select(X.find_tokens(F.col("t"))).first()[0] == ["⟦⟦x_1⟧", "⟦a_01⟧"]
+
+
+def test_inbound_and_hooks(spark):
+    book = spark.createDataFrame([("s", "⟦a_1⟧", "real", "a", 1)], "vault_key string, token string, real string, entity_type string, n int")
+    rows = spark.createDataFrame([("s", 1, "⟦a_1⟧ ⟦b_1⟧", ['{"k": "⟦a_1⟧"}'])], "vault_key string, seq long, content string, arguments array<string>")
+    assert guard.inbound(rows, book, "shadow") == (rows, None, None)
+    out, audit, events = guard.inbound(rows, book, "enforce")
+    assert out.first().content == "real ⟦b_1⟧" and out.first().arguments == ['{"k": "real"}'] and out.columns == rows.columns
+    assert (audit.first().restored, audit.first().leftover) == (True, 1) and events.first().detail == "⟦b_1⟧"
+    texts = rows.select("vault_key", "seq", F.col("content").alias("text"))
+    assert guard.outgoing_text(texts, book, "off").first().restored == "⟦a_1⟧ ⟦b_1⟧" and guard.outgoing_text(texts, book, "enforce").first().restored == "real ⟦b_1⟧"
+    messages = spark.createDataFrame([("s", 0, "a@b.co.il")], "vault_key string, seq long, text string")
+    assert messages.transform(guard.outbound_hook(lambda: "enforce")).first().sent == "⟦מייל_1⟧"
+    assert rows.transform(guard.inbound_hook(lambda: book, lambda: "enforce")).first().content == "real ⟦b_1⟧"

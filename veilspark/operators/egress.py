@@ -92,3 +92,10 @@ def restore_files(spark: SparkSession, paths: str, out: str, tokens: DataFrame)
     done = files.crossJoin(F.broadcast(tokens.limit(1))).withColumn("r", restore_content(F.col("value"), F.col("tokens")))
     done.select("path", F.col("r.text").alias("text")).write.mode("overwrite").parquet(out)
     return done.select("path", (F.col("r.text") != F.col("value")).alias("changed"), F.col("r.leftover").alias("leftover"))
+
+
+def restore_for_send(rows: DataFrame, where: str = "send") -> tuple[DataFrame, DataFrame]:
+    """``rows (text, tokens)`` with ``sent``, and audit lines for what could not be restored."""
+    done = rows.withColumn("__r", restore_content(F.col("text"), F.col("tokens")))
+    lines = leftover_audit(done.select(F.col("__r.leftover").alias("leftover")), F.lit(where))
+    return done.withColumn("sent", F.col("__r.text")).drop("__r"), lines

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import mask as M
+from . import restore as R
 from . import vault as V
 
 MODES = ("off", "shadow", "enforce")
@@ -73,3 +74,30 @@ def outbound(messages: DataFrame, mode: str, **finding) -> tuple[DataFrame, Data
     leaks = V.present(masked.select("vault_key", F.col("masked").alias("text")).where("text is not null"), book)
     audit = counts.join(leaks, "vault_key").select(F.lit("enforce_send").alias("kind"), "vault_key", "entities", F.col("n_present").alias("real_values_in_outbound"))
     return masked.withColumnRenamed("masked", "sent"), book, audit
+
+
+def inbound(rows: DataFrame, book: DataFrame, mode: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Replies ``(vault_key, seq, content, arguments)`` restored, an audit line for each, and alerts.
+
+    Only enforce restores: in the other modes nothing was masked on the way out.
+    """
+    if mode_of(mode) != "enforce":
+        return rows, None, None
+    told = R.report(rows, book)
+    audit = told.select(F.lit("enforce_restore").alias("kind"), "vault_key", "seq", F.col("restored_any").alias("restored"), F.size("leftover").alias("leftover"))
+    events = alerts(told.select(F.col("vault_key").alias("session_id"), F.lit(None).cast("string").alias("error"), "leftover"))
+    return told.drop("leftover", "restored_any"), audit, events
+
+
+def outgoing_text(rows: DataFrame, book: DataFrame, mode: str) -> DataFrame:
+    """``rows (vault_key, seq, text)`` with ``restored``, which is the text itself unless the mode is enforce."""
+    return R.restore_by_join(rows, book) if mode_of(mode) == "enforce" else rows.withColumn("restored", F.col("text"))
+
+
+def outbound_hook(mode: Callable[[], str], **finding) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform`` and ``foreachBatch``: reads the mode each time and masks accordingly."""
+    return lambda messages: outbound(messages, mode(), **finding)[0]
+
+
+def inbound_hook(book: Callable[[], DataFrame], mode: Callable[[], str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: inbound(rows, book(), mode())[0]

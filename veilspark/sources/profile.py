@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 ALERTS = ("unfiltered_sent", "leftover_token")
+LANGUAGES = ("he", "en")
 
 
 @dataclass(frozen=True)
 class Profile:
     name: str = "default"
-    languages: list[str] = field(default_factory=lambda: ["he", "en"])
-    fail_mode: str = "open"
-    never_mask: list[str] = field(default_factory=list)
     token_instruction: bool = True
-    alerts_on: list[str] = field(default_factory=lambda: list(ALERTS))
+    fail_mode: str = "open"
+    languages: tuple[str, ...] = LANGUAGES
+    never_mask: tuple[str, ...] = ()
+    alerts_on: tuple[str, ...] = ALERTS
 
     @staticmethod
     def of(data: dict | None) -> Profile:
         data = dict(data or {})
-        known = {k: data[k] for k in ("languages", "fail_mode", "never_mask", "token_instruction") if k in data}
-        on = (data.get("alerts") or {}).get("on", list(ALERTS))
-        return Profile(name=data.get("profile", "default"), alerts_on=on, **known)
+        lists = {k: tuple(data[k] or ()) for k in ("languages", "never_mask") if k in data}
+        plain = {k: data[k] for k in ("fail_mode", "token_instruction") if k in data}
+        alerts = data.get("alerts") or {}
+        return Profile(data.get("profile", "default"), alerts_on=tuple(alerts.get("on", ALERTS)), **lists, **plain)
 
     @staticmethod
     def load(path: str) -> Profile:
