@@ -54,7 +54,8 @@ def service(url: str, timeout: float = 5.0, enabled: bool = True) -> Callable[[]
         def ask(text: str) -> list[dict]:
             if not enabled:
                 return []
-            request = urllib.request.Request(url.rstrip("/") + "/recognize", json.dumps({"text": text}).encode(), {"Content-Type": "application/json"})
+            request = urllib.request.Request(url.rstrip("/") + "/recognize", json.dumps({"text": text}).encode())
+            request.add_header("Content-Type", "application/json")
             with urllib.request.urlopen(request, timeout=timeout) as answer:
                 return json.load(answer).get("spans", [])
 

@@ -21,7 +21,10 @@ def from_file(spark: SparkSession, path: str, default: str = CLIENT) -> DataFram
     return lines.select(strip(parts[0]).alias("surface"), F.coalesce(strip(F.get(parts, F.lit(1))), F.lit(default)).alias("entity_type"), "ord")
 
 
-def from_callable(spark: SparkSession, fn: Callable[[], Iterable[tuple[str, str]]]) -> DataFrame:
+Names = Iterable[tuple[str, str]]
+
+
+def from_callable(spark: SparkSession, fn: Callable[[], Names]) -> DataFrame:
     return spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(fn())], SCHEMA)
 
 
