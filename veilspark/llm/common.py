@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import ensure_importable, materialize, read
 
-__all__ = ["BoundedCache", "as_files", "crc_bucket", "ensure_importable", "materialize", "only", "read", "slices", "total_text_bytes", "unused", "with_row_id", "without"]
+__all__ = ["BoundedCache", "as_files", "crc_bucket", "ensure_importable", "materialize", "only", "read", "slices", "total_text_bytes", "trim", "unused", "with_row_id", "without"]
 
 
 def is_scan(df: DataFrame) -> bool:
@@ -91,6 +92,16 @@ class BoundedCache(dict):
         return value
 
 
+_give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker serves many stages, and what one has freed the next can't always use."""
+    pa.default_memory_pool().release_unused()
+    if _give_back:
+        _give_back(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece has at most ``rows`` rows and, if it has several, about ``size`` bytes of ``column``."""
     for batch in batches:
@@ -103,3 +114,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int)
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        trim()

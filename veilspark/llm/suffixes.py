@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, total_text_bytes, unused, with_row_id
+from .common import materialize, slices, total_text_bytes, trim, unused, with_row_id
 
 U = np.uint64
 SEGMENT = 1 << 20
@@ -408,6 +408,7 @@ def _merged(table: pa.Table, parts: int, length: int) -> Iterator[tuple[int, byt
 def _each(fn: Callable[[pa.Table], Iterator[tuple]], *names: str) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         rows = list(fn(table))
+        trim()
         kinds = [pa.binary() if n == "blob" else pa.int64() for n in names]
         return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=list(names))
 
