@@ -112,6 +112,42 @@ def test_op4_planted_copies(spark):
     assert all(c // 2 == m // 2 for m, c in out.items())  # unlike pictures stay apart
 
 
+def crowded(images_=90, copies=10, seed=5):
+    """Corners (id, spot, d0 to d3) of images of which a third hold one piece in every corner; some are shifted copies by that piece alone."""
+    rng = np.random.default_rng(seed)
+    corners = {}
+    for k in rng.permutation(images_).tolist():
+        words = rng.integers(-(2**63), 2**63 - 1, (6, 4))
+        if k % 3 == 0:
+            words[:, 0] = words[:, 0] >> 32 << 32 | 77
+        corners[k] = [((int(x) << 30) | (int(y) << 14), *map(int, w)) for x, y, w in zip(rng.integers(20, 90, 6), rng.integers(20, 90, 6), words, strict=True)]
+    hot = rng.permutation([k for k in corners if k % 3 == 0]).tolist()
+    for a, b in zip(hot[:copies], hot[copies : 2 * copies], strict=True):
+        flip = [1 << 40, *[1 << 5 | -1 << 63] * 3]  # one bit in each of the other seven pieces
+        near = [(s + (3 << 30), *[(w ^ f) for w, f in zip(d, flip, strict=True)]) for s, *d in corners[a][:4]]
+        corners[b][:4] = near
+    return [(k, *c) for k, v in corners.items() for c in v]
+
+
+def test_op4_compares_all_of_a_bucket(spark):
+    """Links against brute force, where one piece is in a third of the images."""
+    corners = crowded()
+    word = lambda x: x & ((1 << 64) - 1)
+    votes = Counter()
+    for a, s, *u in corners:
+        for b, t, *v in corners:
+            if a > b:
+                off = [(word(x) ^ word(y)) for x, y in zip(u, v, strict=True)]
+                if any((o >> h & 0xFFFFFFFF) == 0 for o in off for h in (0, 32)) and sum(o.bit_count() for o in off) <= 24:
+                    votes[a, b, (s >> 30) - (t >> 30), (s >> 14 & 0xFFFF) - (t >> 14 & 0xFFFF)] += 1
+    want = {(a, b) for (a, b, *_), n in votes.items() if n >= 4}
+    assert len(want) == 10
+    df = spark.createDataFrame(corners, "id long, spot long, d0 long, d1 long, d2 long, d3 long")
+    for crowd, block in ((64, 200_000), (8, 50), (1000, 200_000)):
+        got = images.linked(df, 12, 4, crowd=crowd, block=block).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want), (crowd, block)
+
+
 def test_op4_png():
     import struct
 

@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only
+from .common import materialize, only, trim
 from .simhash import components
 
 RADIUS, TESTS, TURNS = 13, 256, 36
@@ -185,40 +185,151 @@ def descriptors(media: DataFrame, most: int) -> DataFrame:
     return only(media, "media_id", "image").mapInArrow(run, DESCRIBED)
 
 
-def matches(points: DataFrame, reach: int) -> DataFrame:
-    """Matching corners ``(a, b, p, q)`` of images a > b: spots in each, by tables of 32-bit pieces.
+def piece(i: int, j: int) -> Column:
+    """The key of one 32-bit piece of a descriptor."""
+    return F.xxhash64(F.lit(2 * i + j), F.shiftrightunsigned(WORDS[i], 32 * j).bitwiseAND(0xFFFFFFFF))
 
-    Two of the other words go along with a piece and are compared in the bucket.  There each
-    corner meets the bucket's first and its own forerunner by image, so a crowd of copies
-    gives rows in proportion to its size, and the same pairs in each bucket.
+
+def close(keys: np.ndarray, words: list[np.ndarray], known: np.ndarray, theirs: list[np.ndarray], reach: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with equal keys (``known`` is sorted) of which at most ``reach`` bits of the words differ; about ``step`` are compared at a time."""
+    low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+    edge = np.concatenate(([0], np.cumsum(high - low)))
+    at = 0
+    while at < len(keys):
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + step, "right")) - 1)
+        n = (high - low)[at:to]
+        x = np.repeat(np.arange(at, to), n)
+        y = np.arange(len(x)) + np.repeat(low[at:to] - edge[at:to] + edge[at], n)
+        off = np.zeros(len(x), np.uint8)
+        for u, v in zip(words, theirs, strict=True):
+            off += np.bitwise_count(u[x] ^ v[y])
+            keep = np.flatnonzero(off <= reach)
+            x, y, off = x[keep], y[keep], off[keep]
+        if len(x):
+            yield x, y
+        at = to
+
+
+def compared(i: int) -> tuple[int, ...]:
+    """The words that are compared when piece ``i`` is equal."""
+    return (i // 2 + 1) % 4, (i // 2 + 2) % 4
+
+
+def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, same: bool, span: int = 8192) -> Iterator[np.ndarray]:
+    """Matches (image and spot of the left side, of the right side) between two sets of corners (ids, spots, words).
+
+    ``left`` is sorted by id; ``known``, sorted likewise, has matches found before.  All matches of
+    a pair of images come together; pairs with fewer than ``least`` may be left out.  Where both sides are
+    the ``same``, the left image is the one with the larger id.
+    """
+    (ids, spot, words), (other, there, theirs) = left, right
+    parts, near = words.view("<u4"), theirs.view("<u4")
+    images, place = np.unique(other, return_inverse=True)
+    tables = [(near[order, i], order, [theirs[order, w] for w in compared(i)]) for i in range(8) for order in [np.argsort(near[:, i], kind="stable")]]
+    at = done = 0
+    while at < len(ids):
+        last = ids[min(at + span, len(ids)) - 1]
+        to, upto = (int(np.searchsorted(x, last, "right")) for x in (ids, known[0]))
+        rows = []
+        for i, (keys, order, sorted_) in enumerate(tables):
+            turn = at + np.argsort(parts[at:to, i], kind="stable")
+            for x, y in close(parts[turn, i], [words[turn, w] for w in compared(i)], keys, sorted_, reach):
+                x, y = turn[x], order[y]
+                keep = ids[x] > other[y] if same else slice(None)
+                rows.append((x[keep], y[keep]))
+        x, y = (np.concatenate([r[k] for r in rows] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        run = np.cumsum(np.r_[0, ids[at + 1 : to] != ids[at : to - 1]])[x - at]
+        pair = run * len(images) + place[y]
+        before = known[:, done:upto]
+        enough = np.bincount(pair)[pair] >= least if len(pair) else np.zeros(0, bool)
+        if before.shape[1]:
+            enough |= np.isin(ids[x], before[0]) & np.isin(other[y], before[2])
+        x, y = x[enough], y[enough]
+        yield np.concatenate((np.stack((ids[x], spot[x], other[y], there[y])), before), axis=1)
+        at, done = to, upto
+    yield known[:, done:]
+
+
+def agreeing(m: np.ndarray, least: int) -> np.ndarray:
+    """Pairs of images, from matches as of ``meet``, of which ``least`` corners agree on a shift, turn and scale, in cells that overlap by half."""
+
+    def groups(*columns: np.ndarray) -> np.ndarray:
+        """The number of each row's group of equal rows."""
+        order = np.lexsort(columns)
+        new = np.zeros(len(order), np.int64)
+        for c in columns:
+            new[1:] |= c[order][1:] != c[order][:-1]
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
+    def several(group: np.ndarray) -> np.ndarray:
+        return np.bincount(group)[group] >= least if len(group) else np.zeros(0, bool)
+
+    m = m[:, several(groups(m[0], m[2]))]
+    if not m.shape[1]:
+        return m[[0, 2]]
+    pair = groups(m[0], m[2])
+    (px, py, pl, pt), (qx, qy, ql, qt) = ([((c >> shift) & ((1 << bits) - 1)).astype(np.float64) for shift, bits in ((30, 16), (14, 16), (10, 4), (0, 10))] for c in m[[1, 3]])
+    turn, grow = (pt - qt) / ANGLES, 2.0 ** ((pl - ql) / 2)
+    c, s = np.cos(2 * np.pi * turn), np.sin(2 * np.pi * turn)
+    sx, sy = px - grow * (c * qx - s * qy), py - grow * (s * qx + c * qy)
+    good = np.zeros(m.shape[1], bool)
+    for i, j, k in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]:
+        cell = groups(pair, pl - ql, np.floor(sx / 24 + i / 2), np.floor(sy / 24 + j / 2), np.floor((turn * 12 + k / 2) % 12.0))
+        sizes = []
+        for spot in m[[1, 3]]:
+            order = np.lexsort((spot, cell))
+            first = np.ones(len(order), bool)
+            first[1:] = (cell[order][1:] != cell[order][:-1]) | (spot[order][1:] != spot[order][:-1])
+            sizes.append(np.bincount(cell[order][first], minlength=cell.max() + 1))
+        good |= (np.minimum(*sizes) >= least)[cell]
+    return np.unique(m[[0, 2]][:, good], axis=1)
+
+
+def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: int = 200_000) -> DataFrame:
+    """Pairs of images (a, b), a > b, of which ``least`` corners match and agree on a transform.
+
+    Every two corners with an equal 32-bit piece are compared.  In buckets of up to ``crowd``
+    corners they meet in a join on the piece.  Corners of larger buckets are dealt into blocks
+    of images, and each pair of blocks meets in a task of its own that compares and votes
+    there: only links leave it, however many corners look alike.
     """
-    piece = lambda i, j: F.xxhash64(F.lit(2 * i + j), F.shiftrightunsigned(WORDS[i], 32 * j).bitwiseAND(0xFFFFFFFF))
-    halves = F.array(*[F.struct(piece(i, j).alias("key"), F.col(WORDS[(i + 1) % 4]).alias("u"), F.col(WORDS[(i + 2) % 4]).alias("v")) for i in range(4) for j in (0, 1)])
-    meet = points.select("id", "spot", F.inline(halves))
-    order = Window.partitionBy("key").orderBy("id", "spot")
-    one = F.struct("id", "spot", "u", "v")
-    pairs = meet.select("id", "spot", "u", "v", F.lag(one).over(order).alias("l"), F.first(one).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
-    near = lambda o: (F.col(f"{o}.id") < F.col("id")) & (F.bit_count(F.col("u").bitwiseXOR(F.col(f"{o}.u"))) + F.bit_count(F.col("v").bitwiseXOR(F.col(f"{o}.v"))) <= reach)
-    found = F.filter(F.array(F.when(near("l"), F.col("l")), F.when(near("f") & ~F.col("f").eqNullSafe(F.col("l")), F.col("f"))), lambda o: o.isNotNull())
-    pairs = pairs.select("id", "spot", F.explode(found).alias("o"))
-    return pairs.select(F.col("id").alias("a"), F.col("o.id").alias("b"), F.col("spot").alias("p"), F.col("o.spot").alias("q"))
-
-
-def consistent(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs of images of which ``least`` corners agree on a shift, turn and scale, in cells that overlap by half."""
-    each = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m")).where(F.size("m") >= least)
-    each = each.select("a", "b", F.inline("m"))
-    part = lambda c, shift, bits: F.shiftright(c, shift).bitwiseAND((1 << bits) - 1).cast("double")
-    (px, py, pl, pt), (qx, qy, ql, qt) = ([part(c, shift, bits) for shift, bits in ((30, 16), (14, 16), (10, 4), (0, 10))] for c in ("p", "q"))
-    turn = (pt - qt) / ANGLES
-    grow = F.pow(F.lit(2.0), (pl - ql) / 2)
-    c, s = F.cos(2 * np.pi * turn), F.sin(2 * np.pi * turn)
-    votes = each.select("a", "b", "p", "q", turn.alias("turn"), (pl - ql).alias("g"), (px - grow * (c * qx - s * qy)).alias("sx"), (py - grow * (s * qx + c * qy)).alias("sy"))
-    grid = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
-    cells = [F.struct(F.floor(F.col("sx") / 24 + i / 2).alias("cx"), F.floor(F.col("sy") / 24 + j / 2).alias("cy"), F.floor(F.pmod(F.col("turn") * 12 + k / 2, F.lit(12.0))).alias("ct"), F.lit(4 * i + 2 * j + k).alias("grid")) for i, j, k in grid]
-    cast = votes.select("a", "b", "p", "q", "g", F.inline(F.array(*cells)))
-    count = cast.groupBy("a", "b", "g", "cx", "cy", "ct", "grid").agg(F.size(F.collect_set("p")).alias("n"), F.size(F.collect_set("q")).alias("m"))
-    return count.where((F.col("n") >= least) & (F.col("m") >= least)).select("a", "b").distinct()
+    entries = points.select("id", "spot", *WORDS, F.explode(F.array(*[F.struct(F.lit(2 * i + j).alias("i"), piece(i, j).alias("key")) for i in range(4) for j in (0, 1)])).alias("e")).select("id", "spot", *WORDS, "e.*")
+    sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    few = entries.join(sizes.where(F.col("n") <= crowd).select("key"), "key")
+    other = few.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "spot", *WORDS)])
+    bits = lambda w: F.bit_count(F.col(WORDS[w]).bitwiseXOR(F.col(f"o_{WORDS[w]}")))
+    apart = F.coalesce(*[F.when(F.col("i") == i, sum((bits(w) for w in compared(i)), F.lit(0))) for i in range(8)])
+    pairs = few.join(other, "key").where((F.col("id") > F.col("o_id")) & (apart <= reach))
+    pairs = materialize(pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b"), F.col("spot").alias("p"), F.col("o_spot").alias("q")))
+    many = entries.select("id", "spot", "key").join(sizes.where(F.col("n") > crowd).select("key"), "key", "left_semi").select("id", "spot").distinct()
+    many = materialize(points.join(many, ["id", "spot"], "left_semi"))
+    n = max(1, -(-many.count() // block), -(-pairs.count() // (20 * block)))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    cell = lambda x, y: F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"))
+    corners = many.withColumn("mine", part("id")).select("*", F.explode(F.array(*[F.lit(x) for x in range(n)])).alias("x"))
+    corners = corners.select(*points.columns, "mine", cell(F.col("mine"), F.col("x")).alias("c")).select(*points.columns, "mine", "c.i", "c.j")
+    pairs = pairs.withColumns({"mine": part("a"), "c": cell(part("a"), part("b"))}).select("a", "p", "b", "q", "mine", "c.i", "c.j")
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        get = lambda table, *names: [table.column(c).to_numpy() for c in names]
+        ids, mine, spot = get(left, "id", "mine", "spot")
+        words = np.stack(get(left, *WORDS), axis=1).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+        sides = []
+        for k in (i, j):
+            at = np.flatnonzero(mine == k)
+            at = at[np.argsort(ids[at], kind="stable")]
+            sides.append((ids[at], spot[at], words[at]))
+        known, owner = np.stack(get(right, "a", "p", "b", "q")), right.column("mine").to_numpy()
+        known[:, owner != i] = known[:, owner != i][[2, 3, 0, 1]]
+        known = known[:, np.argsort(known[0], kind="stable")]
+        found = np.concatenate([agreeing(m, least) for m in meet(*sides, known, reach, least, i == j)], axis=1)
+        trim()
+        return pa.table({"a": found.max(axis=0), "b": found.min(axis=0)})
+
+    return corners.groupBy("i", "j").cogroup(pairs.groupBy("i", "j")).applyInArrow(run, "a long, b long").distinct()
 
 
 def find_copies(media: DataFrame, most: int = 24, reach: int = 12, consensus: int = 4) -> DataFrame:
@@ -237,8 +348,8 @@ def find_copies(media: DataFrame, most: int = 24, reach: int = 12, consensus: in
     images = materialize(found.groupBy("content", "media_id").agg(F.count("spot").alias("n_corners")))
     classes = images.groupBy("content").agg(F.min("media_id").alias("id"))
     points = found.where("spot is not null").join(classes.select("content", "id"), "content").where("media_id = id")
-    points = points.select("id", "spot", *WORDS).dropDuplicates(["id", "spot"])
-    links = materialize(consistent(matches(points, reach), consensus))
+    points = materialize(points.select("id", "spot", *WORDS).dropDuplicates(["id", "spot"]))
+    links = materialize(linked(points, reach, consensus))
     roots = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     classes = classes.join(roots, classes["id"] == roots["node"], "left").select("content", "id", F.coalesce("root", "id").alias("class_id"))
