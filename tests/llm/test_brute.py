@@ -1,6 +1,7 @@
 """Whole tables against plain implementations of the same contracts."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -148,6 +149,21 @@ def test_op4_compares_all_of_a_bucket(spark):
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want), (crowd, block)
 
 
+def test_op4_compares_all_bits(spark):
+    """Up to 24 of 256 bits may differ, wherever they are."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(-(2**63), 2**63 - 1, (4, 4)).tolist()
+
+    def links(*flips):
+        rows = [(k, (20 + 9 * n << 30) | (20 + 7 * n << 14), *[w ^ f for w, f in zip(d, flip, strict=True)]) for k, flip in ((1, [0] * 4), (2, flips)) for n, d in enumerate(words)]
+        df = spark.createDataFrame(rows, "id long, spot long, d0 long, d1 long, d2 long, d3 long")
+        return [images.linked(df, inspect.signature(images.find_copies).parameters["reach"].default, 4, crowd=crowd).count() for crowd in (64, 1)]
+
+    low = [(1 << n) - 1 for n in range(33)]
+    assert links(low[3] << 32, low[9] << 32 | 1, low[7] << 32 | 1, low[3] << 32) == [1, 1]  # 24 bits; each low or high piece but one differs
+    assert links(low[16] << 32, 1 << 32, 1 << 32, low[16] << 32 | 1) == [0, 0]
+
+
 def test_op4_png():
     import struct
 

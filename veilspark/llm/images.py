@@ -210,11 +210,6 @@ def close(keys: np.ndarray, words: list[np.ndarray], known: np.ndarray, theirs:
         at = to
 
 
-def compared(i: int) -> tuple[int, ...]:
-    """The words that are compared when piece ``i`` is equal."""
-    return (i // 2 + 1) % 4, (i // 2 + 2) % 4
-
-
 def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, same: bool, span: int = 8192) -> Iterator[np.ndarray]:
     """Matches (image and spot of the left side, of the right side) between two sets of corners (ids, spots, words).
 
@@ -225,7 +220,7 @@ def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, s
     (ids, spot, words), (other, there, theirs) = left, right
     parts, near = words.view("<u4"), theirs.view("<u4")
     images, place = np.unique(other, return_inverse=True)
-    tables = [(near[order, i], order, [theirs[order, w] for w in compared(i)]) for i in range(8) for order in [np.argsort(near[:, i], kind="stable")]]
+    tables = [(near[order, i], order, [theirs[order, w] for w in range(4)]) for i in range(8) for order in [np.argsort(near[:, i], kind="stable")]]
     at = done = 0
     while at < len(ids):
         last = ids[min(at + span, len(ids)) - 1]
@@ -233,7 +228,7 @@ def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, s
         rows = []
         for i, (keys, order, sorted_) in enumerate(tables):
             turn = at + np.argsort(parts[at:to, i], kind="stable")
-            for x, y in close(parts[turn, i], [words[turn, w] for w in compared(i)], keys, sorted_, reach):
+            for x, y in close(parts[turn, i], [words[turn, w] for w in range(4)], keys, sorted_, reach):
                 x, y = turn[x], order[y]
                 keep = ids[x] > other[y] if same else slice(None)
                 rows.append((x[keep], y[keep]))
@@ -276,14 +271,21 @@ def agreeing(m: np.ndarray, least: int) -> np.ndarray:
     sx, sy = px - grow * (c * qx - s * qy), py - grow * (s * qx + c * qy)
     good = np.zeros(m.shape[1], bool)
     for i, j, k in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]:
-        cell = groups(pair, pl - ql, np.floor(sx / 24 + i / 2), np.floor(sy / 24 + j / 2), np.floor((turn * 12 + k / 2) % 12.0))
-        sizes = []
+        key = pair.astype(np.uint64)  # 26 bits, then 4, 15, 15 and 4: no two cells share a number
+        for value, bits in ((pl - ql + 8, 4), (np.floor(sx / 24 + i / 2) + (1 << 14), 15), (np.floor(sy / 24 + j / 2) + (1 << 14), 15), (np.floor((turn * 12 + k / 2) % 12.0), 4)):
+            key = key << np.uint64(bits) | value.astype(np.uint64)
+        order = np.argsort(key)
+        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+        sizes = np.diff(np.append(np.flatnonzero(new), len(key)))
+        rows = order[np.repeat(sizes >= least, sizes)]
+        if not len(rows):
+            continue
+        cell = groups(key[rows])
+        ends = []
         for spot in m[[1, 3]]:
-            order = np.lexsort((spot, cell))
-            first = np.ones(len(order), bool)
-            first[1:] = (cell[order][1:] != cell[order][:-1]) | (spot[order][1:] != spot[order][:-1])
-            sizes.append(np.bincount(cell[order][first], minlength=cell.max() + 1))
-        good |= (np.minimum(*sizes) >= least)[cell]
+            once = np.unique(groups(cell, spot[rows]), return_index=True)[1]
+            ends.append(np.bincount(cell[once], minlength=cell.max() + 1))
+        good[rows] |= (np.minimum(*ends) >= least)[cell]
     return np.unique(m[[0, 2]][:, good], axis=1)
 
 
@@ -295,12 +297,11 @@ def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: in
     of images, and each pair of blocks meets in a task of its own that compares and votes
     there: only links leave it, however many corners look alike.
     """
-    entries = points.select("id", "spot", *WORDS, F.explode(F.array(*[F.struct(F.lit(2 * i + j).alias("i"), piece(i, j).alias("key")) for i in range(4) for j in (0, 1)])).alias("e")).select("id", "spot", *WORDS, "e.*")
+    entries = points.select("id", "spot", *WORDS, F.explode(F.array(*[piece(i, j) for i in range(4) for j in (0, 1)])).alias("key"))
     sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     few = entries.join(sizes.where(F.col("n") <= crowd).select("key"), "key")
     other = few.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "spot", *WORDS)])
-    bits = lambda w: F.bit_count(F.col(WORDS[w]).bitwiseXOR(F.col(f"o_{WORDS[w]}")))
-    apart = F.coalesce(*[F.when(F.col("i") == i, sum((bits(w) for w in compared(i)), F.lit(0))) for i in range(8)])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o_{w}"))) for w in WORDS), F.lit(0))
     pairs = few.join(other, "key").where((F.col("id") > F.col("o_id")) & (apart <= reach))
     pairs = materialize(pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b"), F.col("spot").alias("p"), F.col("o_spot").alias("q")))
     many = entries.select("id", "spot", "key").join(sizes.where(F.col("n") > crowd).select("key"), "key", "left_semi").select("id", "spot").distinct()
@@ -332,12 +333,12 @@ def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: in
     return corners.groupBy("i", "j").cogroup(pairs.groupBy("i", "j")).applyInArrow(run, "a long, b long").distinct()
 
 
-def find_copies(media: DataFrame, most: int = 24, reach: int = 12, consensus: int = 4) -> DataFrame:
+def find_copies(media: DataFrame, most: int = 24, reach: int = 24, consensus: int = 4) -> DataFrame:
     """One row per row of ``media (media_id, image)``: class_id, the smallest media_id of its copies, and links.
 
-    most: corners that describe an image, the strongest of all scales.  reach: of the 128
-    bits that go along with a matching piece, those that may differ.  consensus: corners
-    that must agree on one transform.
+    most: corners that describe an image, the strongest of all scales.  reach: of the 256
+    bits of a descriptor, those that may differ between matching corners, which also have a
+    32-bit piece in common.  consensus: corners that must agree on one transform.
 
     Identical images are one image from their content's hash on, however many there are.
     Null, empty or unreadable images are classes of their own content; rows without a
