@@ -201,6 +201,21 @@ def test_op5_counts(spark, texts):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_op5_rare_language(spark):
+    """Clean documents of a language with few of them stay, and junk among them still goes."""
+    rng = random.Random(4)
+
+    def prose(letters, size, words=200):
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(words)]
+        return lambda: " ".join(rng.choice(vocabulary) for _ in range(size))
+
+    main, rare = prose("etaoin", 400), prose("bcdfghjklmpqrsuvwxyz", 400, 3000)
+    docs = [(i, main(), "en") for i in range(200)] + [(1000 + i, rare(), "xx") for i in range(20)]
+    docs.append((2000, " ".join("".join(rng.choice("#~^{}=+@") for _ in range(6)) for _ in range(400)), "xx"))
+    kept = {r.doc_id for r in perplexity.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect() if r.kept}
+    assert set(range(1000, 1020)) <= kept and 2000 not in kept and len(kept & set(range(200))) >= 198
+
+
 def test_op5_model(texts):
     """Probabilities sum to one, and equal a plain recursive Kneser-Ney over the same counts."""
     code, starts = perplexity.codes([t.encode() for t in texts.values()])
