@@ -274,6 +274,42 @@ def test_op6(spark, texts):
     assert got == strip(texts)
 
 
+def test_op6_whole_larger_table(spark):
+    sf = "/root/testdata/sf0.01"
+    whole = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows(spark, "op6_suffix_merge", sf)}
+    assert got == strip(whole)
+
+
+def test_op6_many_ranges(spark, texts, monkeypatch):
+    """Ranges that are divided further by a hash, with thousands of parts."""
+    monkeypatch.setattr(suffixes, "RANGES", 7)
+    monkeypatch.setattr(suffixes, "RUN", 300)
+    few = dict(sorted(texts.items())[:40])
+    df = spark.createDataFrame(list(few.items()), "doc_id long, text string").repartition(3)
+    out = suffixes.strip_repeats(df, part_bytes=100).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == strip(few)
+
+
+def test_op6_ranges_keep_equal_strings_together():
+    rng = np.random.default_rng(4)
+    strings = np.sort(rng.integers(97, 100, (400, 6), dtype=np.uint8).view("S6").ravel()).view(np.uint8).reshape(-1, 6)
+    cuts = suffixes.strings_of(strings[::40])
+    where = suffixes.spread(strings, cuts, 5000)
+    assert len(set(where.tolist())) > 100
+    assert all(len(set(where[at].tolist())) == 1 for at in suffixes.groups_of(suffixes.strings_of(strings)))
+
+
+def test_op6_tells_meeting_hashes():
+    """A string that is flagged as a later copy, but has no equal in the merge, is never passed over."""
+    import pyarrow as pa
+
+    one = (0, np.array([1]), np.array([1]), np.array([0]), np.array([0]), np.array([1]), np.array([True]), np.array([0]), b"abcdef")
+    table = pa.table({"range": [0], "blob": pa.array([suffixes.packed(*one)], pa.binary())})
+    with pytest.raises(RuntimeError):
+        list(suffixes._merged(table, 6))
+
+
 def test_op6_many_parts_and_hard_texts(spark):
     rng = random.Random(6)
     line = "".join(rng.choice("abcd ") for _ in range(140))

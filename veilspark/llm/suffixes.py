@@ -1,20 +1,23 @@
 """Operator 6: removal of repeated strings by a distributed merge sort of suffixes.
 
-Only suffixes that can start a repeat are sorted.  Every window of ``length`` bytes has an
-anchor, its k-gram of least hash, and equal windows have equal anchors at equal places, so
-anchors are compared first:
-
-1. Windows in a row with the same anchor form a stretch.  Of equal stretches all but the
-   earliest are repeats; stretches whose anchor stands in different surroundings are open.
-2. Open stretches are cut into parts that share a core of ``length - 7`` bytes; a part
-   whose core is nowhere else is closed.
-3. The windows of the other parts are the suffixes to sort: each task sorts its own into
-   front-coded runs, runs are exchanged by ranges of strings, and a loser tree merges them.
-   It knows how many bytes each head shares with the last string that came out, and
-   compares only what follows.  Of equal strings all but the earliest are repeats.
-
-Tasks drop their own repeats before each exchange, so what one hot string, anchor or core
-sends is bounded by the number of tasks.
+A suffix is sorted by its first bytes, as far as it may repeat; hashes only say which may:
+
+1. Every window of ``length`` bytes has an anchor, its k-gram of least hash, and equal
+   windows have equal anchors at equal places.  Windows in a row with the same anchor form
+   a stretch.  A stretch whose anchor is nowhere else cannot repeat and is left out; one
+   that has a likeness is sorted whole, as one suffix.
+2. Where one anchor stands in different surroundings, its stretches are cut into pieces of
+   up to eight windows that share a core of ``length - 7`` bytes.  Again pieces whose core is
+   nowhere else are left out, pieces with a likeness are sorted whole, and of pieces with
+   different surroundings every window is sorted.
+3. Tasks sort their suffixes into front-coded runs, runs are exchanged by ranges of strings,
+   and a loser tree merges them.  It knows how many bytes each head shares with the last
+   string that came out, and compares only what follows.  Of equal strings all but the
+   earliest are repeats; nothing else decides what is removed.
+
+Tasks send every string once, and each run holds it once, so what one hot string, anchor or
+core sends is bounded by the number of tasks.  Two different strings with one 64-bit hash
+would show in the merge, which then fails; another ``seed`` mends that.
 """
 
 from __future__ import annotations
@@ -31,15 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, total_text_bytes, trim, unused, with_row_id
+from .common import materialize, row_filter, slices, trim, unused, with_row_id
 
 U = np.uint64
 SEGMENT = 1 << 20
 #: Where a row without a doc_id stands in the order of documents.
 NO_ID = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
-BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=U)
 CORE = 8
+#: Ranges that splitters tell apart; further ones divide a range by a hash of the string.
+RANGES = 4096
+#: Suffixes of one run, and bytes of text that a worker holds at a time.
+RUN, SLICE = 1 << 17, 8 << 20
+MEETING = "two different strings have the same hash; pass another seed"
 
 
 def packed(*arrays) -> bytes:
@@ -70,9 +77,14 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+@lru_cache(maxsize=4)
+def byte_values(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=U)
+
+
+def prefix_hashes(data: np.ndarray, seed: int) -> np.ndarray:
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTES[data] * powers()[0][: len(data)], out=sums[1:])
+    np.cumsum(byte_values(seed)[data] * powers()[0][: len(data)], out=sums[1:])
     return sums
 
 
@@ -81,10 +93,10 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[start]) * powers()[1][start]
 
 
-def stretches(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of a text of at most a segment: first window, windows, anchor, hash of the anchor, hash of the stretch."""
+def stretches(data: np.ndarray, length: int, k: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Of a text of at most a segment: first window, windows, bytes up to the anchor, hash of the anchor, hash of the stretch."""
     n = len(data) - length + 1
-    sums, width = prefix_hashes(data), length - k + 1
+    sums, width = prefix_hashes(data, seed), length - k + 1
     grams = mix((sums[k:] - sums[:-k]) * powers()[1][: len(data) - k + 1])
     least = (grams & U(((1 << 64) - 1) ^ (SEGMENT - 1))) | np.arange(len(grams), dtype=U)
     step = 1
@@ -98,7 +110,7 @@ def stretches(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     count = np.diff(first, append=n)
     anchor = anchor[first]
     shape = (anchor - first).astype(U) * U(0xD6E8FEB86659FD93) + count.astype(U) * U(0xA0761D6478BD642F)
-    return first, count, anchor, grams[anchor], mix(between(sums, first, first + count - 1 + length) + shape)
+    return first, count, anchor - first, grams[anchor], mix(between(sums, first, first + count - 1 + length) + shape)
 
 
 def segments(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -117,212 +129,278 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def groups_of(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each value of ``keys``."""
+    order = np.argsort(keys, kind="stable")
+    yield from np.split(order, np.flatnonzero(firsts(keys[order]))[1:]) if len(order) else []
+
+
 def part_of(rid: np.ndarray, parts: int) -> np.ndarray:
     return (mix(rid.astype(np.int64).view(U) + U(0x632BE59BD9B4E019)) % U(parts)).astype(np.int64)
 
 
-def replies(part: np.ndarray, doc: np.ndarray, rid: np.ndarray, owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def ranks(doc: np.ndarray, rid: np.ndarray) -> np.ndarray:
+    """Each document's place in the order of documents; the same for a document that comes twice."""
+    order = np.lexsort((rid, doc))
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.cumsum(firsts(doc[order], rid[order]))
+    return out
+
+
+def replies(parts: int, doc: np.ndarray, rid: np.ndarray, owner: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Rows for the parts that hold the documents: ``owner`` points into doc and rid."""
-    where = part[owner]
-    order = np.argsort(where, kind="stable")
-    cuts = np.flatnonzero(firsts(where[order]))
-    for rows in np.split(order, cuts[1:]) if len(order) else []:
+    where = part_of(rid, parts)[owner]
+    for rows in groups_of(where):
         known, at = np.unique(owner[rows], return_inverse=True)
         yield int(where[rows[0]]), packed(doc[known], rid[known], at.astype(np.int32), *[c[rows] for c in columns])
 
 
+def joined(rows: list[bytes], *extra: int) -> tuple[np.ndarray, ...]:
+    """Blobs of ``replies`` as one: doc, rid, owner and the columns."""
+    got = [unpacked(b) for b in rows]
+    base = np.cumsum([0, *[len(g[0]) for g in got]])
+    doc, rid = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+    owner = np.concatenate([g[2].astype(np.int64) + b for g, b in zip(got, base, strict=False)])
+    return doc, rid, owner, *[np.concatenate([g[i] for g in got]) for i in range(3, len(got[0]))]
+
+
 def blobs(rows: list[tuple[int, bytes]], name: str) -> pa.Table:
     return pa.table({name: pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
-REPEAT, OPEN = 1, 2
-SINGLE, MANY, WITNESS = 0, 1, 2
+#: What is known of a string: it has a likeness, an earlier one, others with its anchor or core.
+SAME, EXPECT, OPEN = 1, 2, 4
+#: How a task sends a string: alone with its anchor, with others, as one of two witnesses of others, as its own repeat.
+SINGLE, MANY, WITNESS, AGAIN = 0, 1, 2, 3
 
 
-def _local(doc: np.ndarray, rid: np.ndarray, owner: np.ndarray, first, count, anchor, gram, stretch, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """What one task sends of its stretches; its own repeats are settled and sent as such."""
-    rank = np.empty(len(doc), np.int64)
-    rank[np.lexsort((rid, doc))] = np.arange(len(doc))
-    group = mix(gram ^ (stretch * U(BASE)))
-    order = np.lexsort((anchor, rank[owner], group))
+def _local(doc, rid, owner, first, count, ahead, coarse, fine, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """What one task sends of its strings: each once, by the hash ``coarse`` of its anchor or core.
+
+    Where the task has several strings with one anchor, they go by their own hash ``fine``
+    instead, and two witnesses stand for them.
+    """
+    group = mix(coarse ^ (fine * U(BASE)))
+    order = np.lexsort((first, ranks(doc, rid)[owner], group))
     new = np.empty(len(order), bool)
-    new[order] = firsts(group[order], gram[order], stretch[order])
-    kind = np.zeros(len(order), np.uint8)
+    new[order] = firsts(group[order], coarse[order], fine[order])
+    twice = np.zeros(len(order), bool)
+    twice[order[:-1]] = new[order[:-1]] & ~new[order[1:]]
+    kind = np.where(new, SINGLE, AGAIN).astype(np.uint8)
     lead = np.flatnonzero(new)
-    lead = lead[np.argsort(gram[lead], kind="stable")]
-    start = firsts(gram[lead])
+    lead = lead[np.argsort(coarse[lead], kind="stable")]
+    start = firsts(coarse[lead])
     number = np.cumsum(start) - 1
-    size = np.bincount(number) if len(lead) else np.zeros(0, np.int64)
-    many = size[number] > 1
+    many = np.bincount(number)[number] > 1 if len(lead) else np.zeros(0, bool)
     place = np.arange(len(lead)) - np.flatnonzero(start)[number]
     kind[lead[many]] = MANY
     witness = lead[many & (place < 2)]
-    rows = np.concatenate((np.flatnonzero(new), witness))
-    kinds = np.concatenate((kind[new], np.full(len(witness), WITNESS, np.uint8)))
-    where = np.where(kinds == MANY, mix(stretch[rows]), gram[rows] >> U(8)) % U(buckets)
-    settled = np.flatnonzero(~new)  # repeats go along to any bucket, which only passes them on
-    where = np.concatenate((where.astype(np.int64), owner[settled] % buckets))
-    rows, kinds = np.concatenate((rows, settled)), np.concatenate((kinds, np.full(len(settled), 3, np.uint8)))
-    order = np.argsort(where, kind="stable")
-    for part in np.split(order, np.flatnonzero(firsts(where[order]))[1:]) if len(order) else []:
-        r, kd = rows[part], kinds[part]
+    rows = np.concatenate((np.arange(len(kind)), witness))
+    kind = np.concatenate((kind, np.full(len(witness), WITNESS, np.uint8)))
+    where = np.where(kind == MANY, mix(fine[rows]), coarse[rows] >> U(8)) % U(buckets)
+    for part in groups_of(where):
+        r, kd = rows[part], kind[part]
         known, at = np.unique(owner[r], return_inverse=True)
-        keyed = kd != 3
-        short = gram[r[keyed]].view(np.uint8).reshape(-1, 8)[:, 1:7]  # six bytes: a chance meeting only opens a stretch
-        yield int(where[part[0]]), packed(doc[known], rid[known], at.astype(np.int32), first[r].astype(np.int32), count[r].astype(np.uint8), (anchor[r] - first[r]).astype(np.uint8), kd, short.copy(), stretch[r[keyed]])
+        keyed = r[kd != AGAIN]
+        short = coarse[keyed].view(np.uint8).reshape(-1, 8)[:, 1:7]  # six bytes: a chance meeting only opens a string
+        yield int(where[part[0]]), packed(doc[known], rid[known], at.astype(np.int32), first[r].astype(np.int32), count[r].astype(np.uint8), ahead[r].astype(np.uint8), kd, twice[keyed], short.copy(), fine[keyed])
 
 
 def _settle(table: pa.Table, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Step 1 in a bucket: which stretches are repeats, and which stay open."""
-    got = [unpacked(b) for b in table["blob"].to_pylist()]
-    doc, rid = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-    base = np.cumsum([0, *[len(g[0]) for g in got]])
-    owner = np.concatenate([g[2] + b for g, b in zip(got, base, strict=False)])
-    first, count, ahead, kind = (np.concatenate([g[i] for g in got]) for i in (3, 4, 5, 6))
-    state = np.where(kind == 3, REPEAT, 0).astype(np.uint8)
-    rows = np.flatnonzero(kind != 3)
+    """In a bucket: which strings have a likeness, and which anchors or cores stand in different ones."""
+    got = joined(table["blob"].to_pylist())
+    doc, rid, owner, first, count, ahead, kind, twice, short, fine = got
+    state = np.where(kind == AGAIN, SAME | EXPECT, 0).astype(np.uint8)
+    rows = np.flatnonzero(kind != AGAIN)
     if len(rows):
         raw = np.zeros((len(rows), 8), np.uint8)
-        raw[:, :6] = np.concatenate([g[7] for g in got])
-        gram, stretch = raw.view(U).ravel(), np.concatenate([g[8] for g in got])
-        rank = np.empty(len(doc), np.int64)
-        rank[np.lexsort((rid, doc))] = np.arange(len(doc))
-        at = (rank[owner[rows]].astype(U) << U(32)) | (first[rows].astype(U) + ahead[rows].astype(U))
-        # Those of kind MANY were sent here by their stretch: they meet only each other.
-        gram = np.where(kind[rows] == MANY, ~gram, gram)
-        group = mix(gram ^ (stretch * U(BASE)))
+        raw[:, :6] = short
+        coarse, how = raw.view(U).ravel(), kind[rows]
+        # Those that were sent here by their own hash meet only each other; a witness is like none.
+        coarse = np.where(how == MANY, ~coarse, coarse)
+        fine = np.where(how == WITNESS, ~fine, fine)
+        at = (ranks(doc, rid)[owner[rows]].astype(U) << U(32)) | first[rows].astype(U)
+        group = mix(coarse ^ (fine * U(BASE)))
         order = np.lexsort((at, group))
         new = np.empty(len(order), bool)
-        new[order] = firsts(group[order], gram[order], stretch[order])
-        state[rows[~new]] = REPEAT
+        new[order] = firsts(group[order], coarse[order], fine[order])
+        more = np.zeros(len(order), bool)
+        more[order[:-1]] = ~new[order[1:]]
+        state[rows[~new]] = SAME | EXPECT
+        state[rows[new & (more | twice)]] |= SAME
         lead = np.flatnonzero(new)
-        lead = lead[np.argsort(gram[lead], kind="stable")]
-        number = np.cumsum(firsts(gram[lead])) - 1
+        lead = lead[np.argsort(coarse[lead], kind="stable")]
+        number = np.cumsum(firsts(coarse[lead])) - 1
         several = np.bincount(number)[number] > 1
-        state[rows[lead[several]]] = OPEN
-        state[rows[new & (kind[rows] == MANY)]] = OPEN
+        state[rows[lead[several]]] |= OPEN
+        state[rows[new & (how == MANY)]] |= OPEN
         state[kind == WITNESS] = 0
     told = np.flatnonzero(state)
-    yield from replies(part_of(rid, parts), doc, rid, owner[told], first[told], count[told], ahead[told], state[told])
-
-
-def _contexts(texts: dict, got: list[tuple], length: int) -> Iterator[bytes]:
-    """The bytes of the open stretches of one part's documents, in blobs of at most a segment."""
-    rows, held = [], 0
-    for doc, rid, at, first, count, ahead, state in got:
-        for i in np.flatnonzero(state == OPEN).tolist():
-            d, r, f, c = int(doc[at[i]]), int(rid[at[i]]), int(first[i]), int(count[i])
-            if held + c + length > SEGMENT:
-                yield _context_blob(rows)
-                rows, held = [], 0
-            rows.append((d, r, f, c, int(ahead[i]), texts[d, r][f : f + c + length - 1]))
-            held += c + length
-    if rows:
-        yield _context_blob(rows)
+    yield from replies(parts, doc, rid, owner[told], first[told], count[told], ahead[told], state[told])
 
 
-def _context_blob(rows: list[tuple]) -> bytes:
-    *numbers, text = zip(*rows, strict=True)
-    return packed(*[np.array(n, np.int64) for n in numbers], b"".join(text))
+def _contexts(texts: dict, told: tuple, length: int) -> Iterator[bytes]:
+    """The bytes of the told stretches of one part's documents, each byte once, in blobs of at most a segment.
 
+    A blob: doc, rid, owner of each stretch, first, count, ahead, state, its place in the text, the text.
+    """
+    doc, rid, owner, first, count, ahead, state = told
+    first, count = first.astype(np.int64), count.astype(np.int64)
+    rows, pieces, held = [], [], 0
+
+    def blob() -> bytes:
+        who, *numbers = (np.concatenate(c) for c in zip(*rows, strict=True))
+        used, at = np.unique(who, return_inverse=True)
+        return packed(doc[used], rid[used], at.astype(np.int32), *numbers, b"".join(pieces))
+
+    half = SEGMENT // 2
+    rank = ranks(doc, rid)
+    order = np.lexsort((first, rank[owner]))
+    new = firsts(rank[owner[order]], first[order] // half)
+    for chunk in np.split(order, np.flatnonzero(new)[1:]) if len(order) else []:
+        i = int(owner[chunk[0]])
+        text = texts[int(doc[i]), int(rid[i])]
+        start, end = first[chunk], first[chunk] + count[chunk] - 1 + length
+        upto = np.maximum.accumulate(end)
+        lead = np.flatnonzero(np.concatenate(([True], start[1:] > upto[:-1])))
+        low, high = start[lead], np.append(upto[lead[1:] - 1], upto[-1])
+        size = int((high - low).sum())
+        if rows and held + size > SEGMENT:
+            yield blob()
+            rows, pieces, held = [], [], 0
+        which = np.cumsum(np.isin(np.arange(len(chunk)), lead)) - 1
+        begin = held + (np.cumsum(high - low) - (high - low))[which] + start - low[which]
+        rows.append((owner[chunk], first[chunk], count[chunk], ahead[chunk].astype(np.int64), state[chunk], begin))
+        pieces += [text[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        held += size
+    if rows:
+        yield blob()
 
-def _cores(blob: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Parts of a blob's stretches: stretch, first window within it, windows, hash of the core.
 
-    A part has the windows that start 8q to 8q + 7 bytes before the anchor; its core is what they all hold.
+def _pieces(blob: bytes, length: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Of a blob's open stretches: doc, rid, owner, first, count, ahead (zero), hash of the core, hash of the piece.
+
+    A piece has the windows that start 8q to 8q + 7 bytes before the anchor; its core is what they all hold.
     """
-    _, _, _, count, ahead, text = unpacked(blob)
-    begin = np.concatenate(([0], np.cumsum(count + length - 1)))[:-1]
+    doc, rid, owner, first, count, ahead, state, begin, text = unpacked(blob)
+    open_ = np.flatnonzero((state & OPEN) > 0)
+    owner, first, count, ahead, begin = (c[open_] for c in (owner, first, count, ahead, begin))
     low, high = (ahead - count + 1) // CORE, ahead // CORE
     many = high - low + 1
-    owner = np.repeat(np.arange(len(count)), many)
-    q = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    last = ahead[owner] - CORE * q
-    lo, hi = np.maximum(0, last - CORE + 1), np.minimum(count[owner] - 1, last)
-    start = begin[owner] + last
-    sums = prefix_hashes(np.frombuffer(text, np.uint8))
-    core = mix(between(sums, start, start - CORE + 1 + length) + q.astype(U) * U(BASE))
-    return owner, lo, hi - lo + 1, core
-
-
-def _send_cores(part: int, number: int, blob: bytes, length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Each core of a blob once, with whether the blob has it more often."""
-    core, back = np.unique(_cores(blob, length)[3], return_inverse=True)
-    more = np.bincount(back, minlength=len(core)) > 1
-    where = (core % U(buckets)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    for rows in np.split(order, np.flatnonzero(firsts(where[order]))[1:]) if len(order) else []:
-        yield int(where[rows[0]]), packed(part, number, rows.astype(np.int32), core[rows], more[rows])
-
-
-def _shared_cores(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """Step 2 in a bucket: the cores that other places have too."""
-    got = [unpacked(b) for b in table["blob"].to_pylist()]
-    core = np.concatenate([g[3] for g in got])
-    _, back, times = np.unique(core, return_inverse=True, return_counts=True)
-    alive = (times[back] > 1) | np.concatenate([g[4] for g in got])
-    at = 0
-    for part, number, rows, _, _ in got:
-        if len(kept := rows[alive[at : at + len(rows)]]):
-            yield part, number, packed(kept)
-        at += len(rows)
-
-
-def _windows(blob: bytes, alive: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The windows of a blob's living parts: doc, rid, start in the document, bytes."""
-    doc, rid, first, count, _, text = unpacked(blob)
-    owner, lo, n, core = _cores(blob, length)
-    _, back = np.unique(core, return_inverse=True)
-    keep = np.zeros(len(core), bool)
-    keep[np.isin(back, alive)] = True
-    owner, lo, n = owner[keep], lo[keep], n[keep]
-    begin = np.concatenate(([0], np.cumsum(count + length - 1)))[:-1]
-    which = np.repeat(owner, n)
-    at = np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    data = np.frombuffer(text, np.uint8)
-    return doc[which], rid[which], first[which] + at, np.lib.stride_tricks.sliding_window_view(data, length)[begin[which] + at]
-
-
-def _run(doc, rid, start, rows: np.ndarray, splitters: np.ndarray, part: int) -> Iterator[tuple[int, bytes]]:
-    """A task's suffixes, sorted, front-coded and cut by ranges; its own repeats go along as settled."""
-    length = rows.shape[1]
-    order = np.lexsort((start, rid, doc))
-    order = order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{length}").ravel(), kind="stable")]
-    doc, rid, start, rows = doc[order], rid[order], start[order], rows[order]
+    which = np.repeat(np.arange(len(count)), many)
+    q = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+    last = ahead[which] - CORE * q
+    lo, hi = np.maximum(0, last - CORE + 1), np.minimum(count[which] - 1, last)
+    place = begin[which]
+    sums = prefix_hashes(np.frombuffer(text, np.uint8), seed)
+    core = mix(between(sums, place + last, place + last - CORE + 1 + length) + q.astype(U) * U(BASE))
+    piece = mix(between(sums, place + lo, place + hi + length) + (q * 64 + (last - hi) * 8 + hi - lo).astype(U) * U(0xD6E8FEB86659FD93))
+    return doc, rid, owner[which].astype(np.int64), first[which] + lo, hi - lo + 1, np.zeros(len(which), np.int64), core, piece
+
+
+def _items(contexts: list[bytes], told: list[bytes], length: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The suffixes of one part to sort, blob by blob: doc, rid, first window, windows, whether an earlier one is expected, strings.
+
+    A string is as many bytes as its windows have, zeros up to a fixed width, and the number of windows.
+    """
+    pieces: dict[tuple[int, int], list[tuple[np.ndarray, ...]]] = {}
+    if told:
+        doc, rid, owner, first, count, _, state = joined(told)
+        key = ranks(doc, rid)[owner]
+        for rows in groups_of(key):
+            i = owner[rows[0]]
+            order = rows[np.argsort(first[rows], kind="stable")]
+            pieces.setdefault((int(doc[i]), int(rid[i])), []).append((first[order].astype(np.int64), count[order].astype(np.int64), state[order]))
+    for blob in contexts:
+        doc, rid, owner, first, count, _, state, begin, text = unpacked(blob)
+        data = np.concatenate((np.frombuffer(text, np.uint8), np.zeros(width, np.uint8)))
+        same = (state & SAME) > 0
+        found = [(owner[same], first[same], count[same], begin[same], (state[same] & EXPECT) > 0)]
+        if pieces:
+            for rows in groups_of(np.where((state & OPEN) > 0, owner, -1)):
+                if not state[rows[0]] & OPEN:
+                    continue
+                rows = rows[np.argsort(first[rows], kind="stable")]
+                i = int(owner[rows[0]])
+                for f, n, st in pieces.get((int(doc[i]), int(rid[i])), ()):
+                    at = np.searchsorted(first[rows], f, "right") - 1
+                    inside = (at >= 0) & (f < first[rows][at] + count[rows][at])
+                    f, n, st = f[inside], n[inside], st[inside]
+                    place = begin[rows][at[inside]] + f - first[rows][at[inside]]
+                    alike = (st & SAME) > 0
+                    found.append((np.full(alike.sum(), i), f[alike], n[alike], place[alike], (st[alike] & EXPECT) > 0))
+                    wide = (st & OPEN) > 0
+                    step = np.repeat(np.cumsum(n[wide]) - n[wide], n[wide])
+                    step = np.arange(len(step)) - step
+                    found.append((np.full(len(step), i), np.repeat(f[wide], n[wide]) + step, np.ones(len(step), np.int64), np.repeat(place[wide], n[wide]) + step, np.zeros(len(step), bool)))
+        who, first, count, begin, expected = (np.concatenate(c) for c in zip(*found, strict=True))
+        for at in range(0, len(who), RUN):
+            cut = slice(at, at + RUN)
+            strings = np.lib.stride_tricks.sliding_window_view(data, width)[begin[cut]]
+            strings[np.arange(width) >= (count[cut] + length - 1)[:, None]] = 0
+            strings[:, -1] = count[cut]
+            yield doc[who[cut]], rid[who[cut]], first[cut], count[cut], expected[cut], strings
+
+
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """How many bytes each string shares with the one before; none for the first."""
     differs = rows[1:] != rows[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
-    new = np.concatenate(([True], common < length))
-    settled = ~new
-    ids, owner = np.unique(np.stack((doc, rid), axis=1), axis=0, return_inverse=True)
-    owner = owner.ravel()
-    if settled.any():
-        used, at = np.unique(owner[settled], return_inverse=True)
-        yield part, packed(part, ids[used, 0], ids[used, 1], at.astype(np.int32), start[settled], None, None)
-    rows, owner, start = rows[new], owner[new], start[new]
-    common = np.concatenate(([0], common))[new]
-    text = np.ascontiguousarray(rows).view(f"S{length}").ravel()
-    cuts = np.concatenate(([0], np.searchsorted(text, splitters), [len(text)]))
-    for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        if a < b:
-            shared = common[a:b].copy()
-            shared[0] = 0
-            tails = rows[a:b][np.arange(length) >= shared[:, None]]
-            used, at = np.unique(owner[a:b], return_inverse=True)
-            yield r, packed(part, ids[used, 0], ids[used, 1], at.astype(np.int32), start[a:b], shared.astype(np.int32), tails.tobytes())
-
-
-def decoded(shared: list[int], tails: bytes, length: int) -> list[bytes]:
+    return np.concatenate(([0], np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1]))).astype(np.int64)
+
+
+def strings_of(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+
+
+def spread(rows: np.ndarray, splitters: np.ndarray, subs: int) -> np.ndarray:
+    """The range of each sorted string: between which splitters it lies, and a hash where ranges are divided further."""
+    where = np.searchsorted(splitters, strings_of(rows)).astype(np.int64)
+    if subs > 1:
+        padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+        padded[:, : rows.shape[1]] = rows
+        h = np.zeros(len(rows), U)
+        for column in padded.view(U).T:
+            h = mix(h ^ column)
+        where = where * subs + (h % U(subs)).astype(np.int64)
+    return where
+
+
+def _run(doc, rid, first, count, expected, rows: np.ndarray, splitters: np.ndarray, subs: int, part: int) -> Iterator[tuple[int, bytes]]:
+    """A task's suffixes, sorted, front-coded and cut by ranges; its own repeats go along as found, under a range below zero."""
+    order = np.lexsort((first, rid, doc))
+    order = order[np.argsort(strings_of(rows[order]), kind="stable")]
+    doc, rid, first, count, expected, rows = (c[order] for c in (doc, rid, first, count, expected, rows))
+    new = common_prefixes(rows) < rows.shape[1]
+    once = new | firsts(doc, rid, first)  # one place may be sent as a stretch and as a piece or window of it
+    if len(again := np.flatnonzero(~new & once)):
+        yield -1 - part, packed(part, *_found(doc[again], rid[again], first[again], count[again]))
+    doc, rid, first, count, expected, rows = (c[new] for c in (doc, rid, first, count, expected, rows))
+    where = spread(rows, splitters, subs)
+    for at in groups_of(where):
+        shared = common_prefixes(rows[at])
+        tails = rows[at][np.arange(rows.shape[1]) >= shared[:, None]]
+        ids, owner = np.unique(np.stack((doc[at], rid[at])), axis=1, return_inverse=True)
+        yield int(where[at[0]]), packed(part, ids[0], ids[1], owner.ravel().astype(np.int32), first[at], count[at].astype(np.uint8), expected[at], shared.astype(np.int16), tails.tobytes())
+
+
+def _found(doc, rid, first, count) -> tuple[np.ndarray, ...]:
+    """Repeats as rows for their part: doc, rid, owner, first window, windows."""
+    ids, owner = np.unique(np.stack((doc, rid)), axis=1, return_inverse=True)
+    return ids[0], ids[1], owner.ravel().astype(np.int32), first.astype(np.int32), count.astype(np.uint8)
+
+
+def decoded(shared: list[int], tails: bytes, width: int) -> list[bytes]:
     """The strings of a front-coded run."""
     out, last, at = [], b"", 0
     for n in shared:
-        end = at + length - n
+        end = at + width - n
         last = last[:n] + tails[at:end]
         out.append(last)
         at = end
     return out
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]], length: int) -> Iterator[tuple[int, int, bool]]:
+def merge(runs: list[tuple[list[bytes], list[int]]], width: int) -> Iterator[tuple[int, int, bool]]:
     """Merge sorted runs of (strings, bytes shared with the one before): ``(run, place, same as the last)``.
 
     A loser tree.  Every head is known to share so many bytes with the string that came out
@@ -345,7 +423,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]], length: int) -> Iterator[tu
             return i, j
         a, b = heads[i], heads[j]
         x = int.from_bytes(a[h:], "big") ^ int.from_bytes(b[h:], "big")
-        n = length - (x.bit_length() + 7) // 8
+        n = width - (x.bit_length() + 7) // 8
         if x and a[n] > b[n]:
             i, j = j, i
         common[j] = n
@@ -357,7 +435,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]], length: int) -> Iterator[tu
     w = winners[1] if k else -1
     while k and common[w] >= 0:
         at = place[w]
-        yield w, at, common[w] == length
+        yield w, at, common[w] == width
         at += 1
         place[w] = at
         strings, shared = runs[w]
@@ -376,33 +454,34 @@ def merge(runs: list[tuple[list[bytes], list[int]]], length: int) -> Iterator[tu
             node >>= 1
 
 
-def _merged(table: pa.Table, parts: int, length: int) -> Iterator[tuple[int, bytes]]:
-    """Step 3 in a range: repeats among the suffixes of all tasks."""
+def _merged(table: pa.Table, width: int) -> Iterator[tuple[int, bytes]]:
+    """In a range: the repeats among the suffixes of all tasks."""
     got = [unpacked(b) for b in table["blob"].to_pylist()]
-    runs, found = [], [[] for _ in got]
-    keys: list[list[tuple[int, int, int]]] = []
-    for _, doc, rid, at, start, shared, tails in got:
-        if shared is None:
-            runs.append(([], []))
-            keys.append([])
-        else:
-            shared = shared.tolist()
-            runs.append((decoded(shared, tails, length), shared))
-            keys.append(list(zip(doc[at].tolist(), rid[at].tolist(), start.tolist(), strict=True)))
-    best = (-1, -1)
-    for w, at, same in merge(runs, length):
-        if same and keys[best[0]][best[1]] < keys[w][at]:
-            found[w].append(at)
-        else:
-            if same:
-                found[best[0]].append(best[1])
-            best = (w, at)
-    for (part, doc, rid, at, start, shared, _), rows in zip(got, found, strict=True):
-        rows = np.arange(len(at)) if shared is None else np.sort(np.array(rows, np.int64))
-        if len(rows):
-            used, who = np.unique(at[rows], return_inverse=True)
-            n = len(rows)
-            yield part, packed(doc[used], rid[used], who.astype(np.int32), start[rows], np.ones(n, np.uint8), np.zeros(n, np.uint8), np.full(n, REPEAT, np.uint8))
+    if table["range"][0].as_py() < 0:  # what tasks have found among their own
+        yield from ((g[0], packed(*g[1:])) for g in got)
+        return
+    runs = [(decoded(g[7].tolist(), g[8], width), g[7].tolist()) for g in got]
+    keys = [list(zip(g[1][g[3]].tolist(), g[2][g[3]].tolist(), g[4].tolist(), strict=True)) for g in got]
+    found: list[list[int]] = [[] for _ in got]
+    run, at = -1, -1
+    for w, i, same in merge(runs, width):
+        if same:
+            if keys[w][i] > keys[run][at]:
+                found[w].append(i)
+                continue
+            if keys[w][i] == keys[run][at]:
+                continue
+            found[run].append(at)
+        elif run >= 0 and got[run][6][at]:
+            raise RuntimeError(MEETING)
+        run, at = w, i
+    if run >= 0 and got[run][6][at]:
+        raise RuntimeError(MEETING)
+    for (part, doc, rid, owner, first, count, *_), rows in zip(got, found, strict=True):
+        if rows:
+            rows = np.array(rows, np.int64)
+            who = owner[rows]
+            yield part, packed(*_found(doc[who], rid[who], first[rows], count[rows]))
 
 
 def _each(fn: Callable[[pa.Table], Iterator[tuple]], *names: str) -> Callable[[pa.Table], pa.Table]:
@@ -415,15 +494,16 @@ def _each(fn: Callable[[pa.Table], Iterator[tuple]], *names: str) -> Callable[[p
     return run
 
 
-def _compressed(docs: DataFrame, parts: int) -> DataFrame:
-    """``docs`` with compressed texts, and the part that each row belongs to."""
+def _compressed(docs: DataFrame, parts: int, wanted) -> DataFrame:
+    """The rows of ``docs`` that ``wanted`` (a row filter) may hold, with compressed texts and the part that each belongs to."""
     fields = [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema]
     schema = T.StructType([*fields, T.StructField("__part", T.LongType())])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
-        for batch in slices(batches, "text", 2000, 8 << 20):
+        for batch in slices(batches, "text", 2000, SLICE):
+            batch = batch.filter(pa.array(wanted.value.has(batch.column("__rid").to_numpy(zero_copy_only=False))))
             texts = pa.array([None if t is None else press.compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
             columns = [texts if n == "text" else batch.column(n) for n in names[:-1]]
             yield pa.record_batch([*columns, pa.array(part_of(batch.column("__rid").to_numpy(zero_copy_only=False), parts))], names)
@@ -435,137 +515,175 @@ def _keys(table: pa.Table) -> list[tuple[int, int]]:
     return list(zip(table["doc_id"].cast(pa.int64()).fill_null(NO_ID).to_pylist(), table["__rid"].to_pylist(), strict=True))
 
 
-def repeats(docs: DataFrame, length: int, k: int, parts: int) -> DataFrame:
+def _named(blob: bytes) -> np.ndarray:
+    return unpacked(blob)[1]
+
+
+def repeats(docs: DataFrame, length: int, k: int, parts: int, rows: int, seed: int) -> DataFrame:
     """``(part, blob)``: the windows of ``docs`` (doc_id, text, __rid) that are repeats, by part."""
-    spark = docs.sparkSession
+    by_bucket, by_part = "bucket long, blob binary", "part long, blob binary"
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 30, 16 << 20):
+        for batch in slices(batches, "text", 1 << 30, SLICE):
             doc = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             rid = batch.column("__rid").to_numpy(zero_copy_only=False)
             got, owner = [], []
             for i, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 if t and len(t) >= length:
                     for at, piece in segments(np.frombuffer(t, np.uint8), length):
-                        first, count, anchor, gram, stretch = stretches(piece, length, k)
-                        got.append((first + at, count, anchor + at, gram, stretch))
+                        first, *rest = stretches(piece, length, k, seed)
+                        got.append((first + at, *rest))
                         owner.append(np.full(len(first), i))
             if got:
-                rows = list(_local(doc, rid, np.concatenate(owner), *[np.concatenate(c) for c in zip(*got, strict=True)], parts))
-                yield from blobs(rows, "bucket").to_batches()
+                columns = [np.concatenate(c) for c in zip(*got, strict=True)]
+                got.clear()
+                yield from blobs(list(_local(doc, rid, np.concatenate(owner), *columns, parts)), "bucket").to_batches()
 
-    settled = docs.mapInArrow(start, "bucket long, blob binary").groupBy("bucket").applyInArrow(_each(lambda t: _settle(t, parts), "part", "blob"), "part long, blob binary")
-    settled = materialize(settled)
+    settle = _each(lambda t: _settle(t, parts), "part", "blob")
+    told = materialize(docs.mapInArrow(start, by_bucket).groupBy("bucket").applyInArrow(settle, by_part))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = [unpacked(b) for b in right["blob"].to_pylist()]
-        open_ = {(int(g[0][i]), int(g[1][i])) for g in got for i in np.unique(g[2][g[6] == OPEN]).tolist()}
+        if not right.num_rows:
+            return blobs([], "part")
+        known = joined(right["blob"].to_pylist())
         plain = zstandard.ZstdDecompressor()
-        texts = {key: plain.decompress(z.as_py()) for key, z in zip(_keys(left), left["text"], strict=True) if key in open_}
-        rows = list(_contexts(texts, got, length)) if open_ else []
-        part = left["__part"][0].as_py() if left.num_rows else 0
-        return pa.table({"part": pa.array([part] * len(rows), pa.int64()), "number": pa.array(range(len(rows)), pa.int64()), "blob": pa.array(rows, pa.binary())})
+        named = set(zip(known[0].tolist(), known[1].tolist(), strict=True))
+        texts = {key: plain.decompress(z.as_py()) for key, z in zip(_keys(left), left["text"], strict=True) if key in named}
+        part = right["part"][0].as_py()
+        out = blobs([(part, b) for b in _contexts(texts, known, length)], "part")
+        trim()
+        return out
 
-    texts = _compressed(docs, parts)
-    contexts = texts.groupBy("__part").cogroup(settled.groupBy("part")).applyInArrow(cut, "part long, number long, blob binary")
-    contexts = materialize(contexts)
+    texts = _compressed(docs, parts, row_filter(told, _named, rows))
+    contexts = materialize(texts.groupBy("__part").cogroup(told.groupBy("part")).applyInArrow(cut, by_part))
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, blob in zip(*[c.to_pylist() for c in batch.select(["part", "number", "blob"]).columns], strict=True):
-                yield from blobs(list(_send_cores(part, number, blob, length, parts)), "bucket").to_batches()
-
-    shared = contexts.mapInArrow(cores, "bucket long, blob binary").groupBy("bucket")
-    shared = shared.applyInArrow(_each(_shared_cores, "part", "number", "blob"), "part long, number long, blob binary")
-    splitters = spark.sparkContext.broadcast(_splitters(contexts, parts, length))
+            got, size = [], 0
+            for i, blob in enumerate(every := batch.column("blob").to_pylist()):
+                got.append(_pieces(blob, length, seed))
+                size += len(got[-1][2])
+                if size and (size > RUN or i + 1 == len(every)):
+                    base = np.cumsum([0, *[len(g[0]) for g in got]])
+                    doc, rid = (np.concatenate([g[j] for g in got]) for j in (0, 1))
+                    owner = np.concatenate([g[2] + b for g, b in zip(got, base, strict=False)])
+                    columns = [np.concatenate([g[j] for g in got]) for j in range(3, 8)]
+                    got, size = [], 0
+                    yield from blobs(list(_local(doc, rid, owner, *columns, parts)), "bucket").to_batches()
+            trim()
+
+    shared = contexts.mapInArrow(pieces, by_bucket).groupBy("bucket").applyInArrow(settle, by_part)
+    ranges, width = min(parts, RANGES), 2 * length - k + 1
+    subs = -(-parts // ranges)
+    splitters = docs.sparkSession.sparkContext.broadcast(_splitters(contexts, ranges, length))
 
     def sort(left: pa.Table, right: pa.Table) -> pa.Table:
-        alive: dict[int, list[np.ndarray]] = {}
-        for number, blob in zip(right["number"].to_pylist(), right["blob"].to_pylist(), strict=True):
-            alive.setdefault(number, []).append(unpacked(blob)[0])
-        got = [_windows(blob, np.concatenate(alive[number]), length) for number, blob in zip(left["number"].to_pylist(), left["blob"].to_pylist(), strict=True) if number in alive]
-        if not got:
+        if not left.num_rows:
             return blobs([], "range")
-        columns = [np.concatenate(c) for c in zip(*got, strict=True)]
-        got.clear()
-        return blobs(list(_run(*columns, splitters.value, left["part"][0].as_py())), "range")
+        part, rows, held, size = left["part"][0].as_py(), [], [], 0
+        for item in _items(left["blob"].to_pylist(), right["blob"].to_pylist(), length, width):
+            if held and size + len(item[0]) > RUN:
+                rows += _run(*[np.concatenate(c) for c in zip(*held, strict=True)], splitters.value, subs, part)
+                held, size = [], 0
+            held.append(item)
+            size += len(item[0])
+        if size:
+            rows += _run(*[np.concatenate(c) for c in zip(*held, strict=True)], splitters.value, subs, part)
+        held.clear()
+        trim()
+        return blobs(rows, "range")
 
     runs = contexts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(sort, "range long, blob binary")
-    merged = runs.groupBy("range").applyInArrow(_each(lambda t: _merged(t, parts, length), "part", "blob"), "part long, blob binary")
-    return settled.unionByName(merged)
+    return runs.groupBy("range").applyInArrow(_each(lambda t: _merged(t, width), "part", "blob"), by_part)
 
 
-def _splitters(contexts: DataFrame, parts: int, length: int, sample: int = 20_000) -> np.ndarray:
-    """``parts - 1`` strings that cut a bounded sample of the open windows into even ranges."""
-    each = 64
-    share = min(1.0, sample / (each * max(1, contexts.count())))
+def _splitters(contexts: DataFrame, ranges: int, length: int, each: int = 64) -> np.ndarray:
+    """At most ``ranges - 1`` strings that cut a sample, 16 for each range, into even ranges."""
+    share = min(1.0, 16 * ranges / (each * max(1, contexts.count())))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for blob in batch.column("blob").to_pylist():
-                text = unpacked(blob)[5]
-                at = np.linspace(0, len(text) - length, each).astype(int).tolist()
-                out += [text[i : i + length] for i in at]
+                *_, begin, text = unpacked(blob)
+                chosen = begin[np.linspace(0, len(begin) - 1, each).astype(int)].tolist()
+                out += [text[i : i + length] for i in chosen]
             yield pa.record_batch([pa.array(out, pa.binary())], ["s"])
 
-    chosen = contexts.where(F.pmod(F.xxhash64("part", "number"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    found = sorted(bytes(r.s) for r in chosen.select("blob").mapInArrow(pick, "s binary").limit(4 * sample).collect())
-    cuts = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+    chosen = contexts.where(F.pmod(F.xxhash64("part", F.crc32("blob")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    found = sorted(bytes(r.s) for r in chosen.select("blob").mapInArrow(pick, "s binary").limit(64 * ranges + each).collect())
+    cuts = [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
     return np.array(sorted(set(cuts)), f"S{length}")
 
 
-def strip_repeats(docs: DataFrame, length: int = 100, k: int = 36, part_bytes: int = 14 << 20, keep_text: bool = False) -> DataFrame:
+def _kept(text: bytes, found: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[int, int, bytes]:
+    """Bytes removed, runs of them, and what is left, where windows (first, count) are repeats."""
+    edge = np.zeros(len(text) + 1, np.int32)
+    for first, count in found:
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + count + length - 1, -1)
+    cover = np.cumsum(edge[:-1]) > 0
+    spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
+    return int(cover.sum()), spans, np.frombuffer(text, np.uint8)[~cover].tobytes()
+
+
+def strip_repeats(docs: DataFrame, length: int = 100, k: int = 36, part_bytes: int = 8 << 20, keep_text: bool = False, seed: int = 7) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts earlier.
 
     Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` also
     ``kept``, what is left (bytes of characters cut in two are left out), and ``row``, a
-    struct of all columns of ``docs`` but text, so that no name can clash.
-    Earlier is: smaller doc_id, then a fixed order of rows with equal ids, then the place in
-    the text; rows without a doc_id come last.  Null and empty texts have no bytes; a text
-    of fewer than ``length`` bytes keeps all.  Of repeated rows one keeps its text.
+    struct of all columns of ``docs`` but text, so that no name can clash.  Earlier is:
+    smaller doc_id, then a fixed order of rows with equal ids, then the place in the text;
+    rows without a doc_id come last.
+
+    Null and empty texts have no bytes; a text of fewer than ``length`` bytes keeps all; very
+    long texts are hashed in segments that overlap, so no window is lost.  Of repeated rows
+    one keeps its text.  An empty table gives an empty one.  Extra columns take no part.
     """
-    total = total_text_bytes(docs)
-    parts = max(1, -(-total // part_bytes))
+    if not 0 < length - k + 1 <= 255:
+        raise ValueError("an anchor of k bytes must fit into a window in 1 to 255 places")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    parts = max(1, -(-(size["bytes"] or 0) // part_bytes))
     mine = unused(docs, "__rid")
     rows = with_row_id(docs, mine)
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if keep_text else []
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(mine).alias("__rid"), *others)
-    found = repeats(rows.select("doc_id", "text", "__rid"), length, k, parts)
+    found = materialize(repeats(rows.select("doc_id", "text", "__rid"), length, k, parts, size["rows"], seed))
+    touched = row_filter(found, _named, size["rows"])
     carried = [f for f in rows.schema if f.name in ("doc_id", "row")]
     fields = [*carried, *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("kept", T.StringType()))
 
+    def made(columns: list, texts: Iterator[tuple[bytes | None, list]]) -> dict[str, pa.Array]:
+        out = []
+        for text, marks in texts:
+            gone, spans, kept = _kept(text, marks, length) if marks else (0, 0, text or b"")
+            row = (len(text or b""), gone, spans, hashlib.sha256(kept).hexdigest())
+            out.append((*row, None if text is None else kept.decode("utf-8", "ignore")) if keep_text else row)
+        kinds = [pa.int64()] * 3 + [pa.string()] * (2 if keep_text else 1)
+        new = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)]
+        return dict(zip([f.name for f in fields], [*columns, *new], strict=True))
+
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         marks: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for blob in right["blob"].to_pylist():
-            doc, rid, at, first, count, _, state = unpacked(blob)
-            hit = np.flatnonzero(state == REPEAT)
-            hit = hit[np.argsort(at[hit], kind="stable")]
-            for rows in np.split(hit, np.flatnonzero(firsts(at[hit]))[1:]) if len(hit) else []:
-                i = at[rows[0]]
-                marks.setdefault((int(doc[i]), int(rid[i])), []).append((first[rows].astype(np.int64), count[rows].astype(np.int64)))
+            doc, rid, owner, first, count = unpacked(blob)
+            for at in groups_of(owner):
+                i = owner[at[0]]
+                marks.setdefault((int(doc[i]), int(rid[i])), []).append((first[at].astype(np.int64), count[at].astype(np.int64)))
         plain = zstandard.ZstdDecompressor()
-        out = []
-        for key, z in zip(_keys(left), left["text"], strict=True):
-            text = plain.decompress(z.as_py()) if z.is_valid else b""
-            size, gone, spans = len(text), 0, 0
-            if key in marks:
-                edge = np.zeros(size + 1, np.int32)
-                for first, count in marks[key]:
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + count + length - 1, -1)
-                cover = np.cumsum(edge[:-1]) > 0
-                gone = int(cover.sum())
-                spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
-                text = np.frombuffer(text, np.uint8)[~cover].tobytes()
-            row = (size, gone, spans, hashlib.sha256(text).hexdigest())
-            out.append((*row, text.decode("utf-8", "ignore") if z.is_valid else None) if keep_text else row)
-        columns = list(zip(*out, strict=True)) if out else [()] * (5 if keep_text else 4)
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2
-        made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=False)]
-        return pa.table([*[left[f.name] for f in carried], *made], names=[f.name for f in fields])
-
-    texts = _compressed(rows, parts)
-    return texts.groupBy("__part").cogroup(found.groupBy("part")).applyInArrow(finish, T.StructType(fields))
+        texts = ((plain.decompress(z.as_py()) if z.is_valid else None, marks.get(key)) for key, z in zip(_keys(left), left["text"], strict=True))
+        out = pa.table(made([left[f.name] for f in carried], texts))
+        trim()
+        return out
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2000, SLICE):
+            batch = batch.filter(pa.array(~touched.value.has(batch.column("__rid").to_numpy(zero_copy_only=False))))
+            texts = ((t, None) for t in batch.column("text").cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_pydict(made([batch.column(f.name) for f in carried], texts))
+
+    schema = T.StructType(fields)
+    cut = _compressed(rows, parts, touched).groupBy("__part").cogroup(found.groupBy("part")).applyInArrow(finish, schema)
+    return cut.unionByName(rows.mapInArrow(untouched, schema))
