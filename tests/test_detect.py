@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks
-from veilspark.functions import labels as L
+from veilspark.functions import fixed as L
 from veilspark.operators import detect
 from veilspark.plans.qa import valid_ids
 
