@@ -1,5 +1,6 @@
 import base64
 import json
+import os
 import time
 
 from pyspark.sql import functions as F
@@ -46,10 +47,19 @@ def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("to ⟦א_1⟧\n⟦z_1⟧", encoding="utf-8")
     (tmp_path / "in" / "b.txt").write_text("nothing", encoding="utf-8")
-    tokens = spark.createDataFrame([(MAP,)], "tokens map<string,string>")
-    rows = {r.path.rsplit("/", 1)[1]: r for r in egress.restore_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), tokens).collect()}
-    assert rows["a.txt"].changed and rows["a.txt"].leftover == ["⟦z_1⟧"] and not rows["b.txt"].changed
-    assert "to real\n⟦z_1⟧" in {r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    (tmp_path / "in" / "c.bin").write_bytes(b"\xff\xfe \xe2\x9f")
+    before = os.stat(tmp_path / "in" / "b.txt").st_mtime_ns
+    known = spark.createDataFrame(list(MAP.items()), "token string, real string")
+    out = egress.restore_files(spark, str(tmp_path / "in"), known, str(tmp_path / "out"))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in out.collect()}
+    assert rows["a.txt"].changed and rows["a.txt"].leftover == ["⟦z_1⟧"] and not rows["b.txt"].changed and "c.bin" not in rows
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.txt", "b.txt"]
+    assert (tmp_path / "out" / "a.txt").read_text(encoding="utf-8") == "to real\n⟦z_1⟧"
+    egress.restore_files(spark, str(tmp_path / "in"), known, audit=str(tmp_path / "log"))
+    assert (tmp_path / "in" / "a.txt").read_text(encoding="utf-8") == "to real\n⟦z_1⟧"
+    assert os.stat(tmp_path / "in" / "b.txt").st_mtime_ns == before  # only what changes is written
+    line = spark.read.json(str(tmp_path / "log")).first()
+    assert (line.kind, line["where"], line.tokens) == ("egress_leftover", "file:a.txt", ["⟦z_1⟧"])
 
 
 PARTS = ["answer: ", "⟦לק", "וח_1⟧", " end ⟦", "x" * 60, " tail ⟦a"]
@@ -92,6 +102,51 @@ def test_streaming_form(spark, tmp_path):
     assert got == ["answer: ", "", "⟦לקוח_1⟧", " end ", "⟦" + "x" * 60, " tail "]
 
 
+def test_streamed_restore(spark, tmp_path):
+    """From deltas to restored text, with the vault and the mode read for each batch."""
+    schema = "session_id string, turn long, delta_idx int, text string"
+    source = tmp_path / "deltas"
+    source.mkdir()
+    book = [("s", "⟦לקוח_1⟧", "Ada")]
+    got: dict[int, list] = {}
+    query = S.restore_stream(
+        spark.readStream.schema(schema).parquet(str(source)),
+        lambda: spark.createDataFrame(book, "vault_key string, token string, real string"),
+        lambda batch, number: got.__setitem__(number, [(r.delta_idx, r.text) for r in batch.collect()]),
+        str(tmp_path / "cp"),
+    )
+    try:
+        for i, p in enumerate(["hello ⟦לק", "וח_1⟧ and ⟦ל", "קוח_2⟧"]):
+            spark.createDataFrame([("s", 1, i, p)], schema).write.mode("append").parquet(str(source))
+            end = time.time() + 60
+            while sum(map(len, got.values())) <= i and time.time() < end:
+                time.sleep(0.2)
+            if i == 1:
+                book.append(("s", "⟦לקוח_2⟧", "Bob"))
+    finally:
+        query.stop()
+    sent = sorted(row for rows in got.values() for row in rows)
+    assert sent == [(0, "hello "), (1, "Ada and "), (2, "Bob")]
+
+
+def test_held_text_is_flushed(spark, tmp_path):
+    schema = "session_id string, turn long, delta_idx int, text string"
+    source = tmp_path / "deltas"
+    source.mkdir()
+    stream = S.hold_back_stream(spark.readStream.schema(schema).parquet(str(source)), ttl_ms=1, flush=True)
+    query = stream.writeStream.format("memory").queryName("flushed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    got = []
+    try:
+        spark.createDataFrame([("a", 1, 0, "x ⟦open")], schema).write.mode("append").parquet(str(source))
+        end = time.time() + 60
+        while len(got) < 2 and time.time() < end:
+            time.sleep(0.2)
+            got = [(r.delta_idx, r.text) for r in spark.table("flushed").orderBy("delta_idx").collect()]
+    finally:
+        query.stop()
+    assert got == [(0, "x "), (1, "⟦open")]
+
+
 def test_job_and_send(spark, tmp_path, capsys, monkeypatch):
     import io
 
@@ -101,13 +156,18 @@ def test_job_and_send(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "v" / "a.json").write_text(json.dumps({"ts": 1.0, "real_to_token": {}, "token_to_real": {"⟦א_1⟧": "real"}, "counters": {}}), encoding="utf-8")
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.txt").write_text("⟦א_1⟧", encoding="utf-8")
-    args = [str(tmp_path / "t"), "--vaults", str(tmp_path / "v" / "*.json"), "--out", str(tmp_path / "o")]
-    assert egress_job.main(args, spark) == 0 and spark.read.parquet(str(tmp_path / "o")).first().text == "real"
+    vaults = ["--vaults", str(tmp_path / "v" / "*.json")]
+    args = [str(tmp_path / "t"), *vaults, "--out", str(tmp_path / "o"), "--audit", str(tmp_path / "log")]
+    assert egress_job.main(args, spark) == 0 and (tmp_path / "o" / "a.txt").read_text(encoding="utf-8") == "real"
     (tmp_path / "t" / "b.txt").write_text("⟦z_1⟧", encoding="utf-8")
-    assert egress_job.main(args, spark) == 2
-    monkeypatch.setattr("sys.stdin", io.StringIO("to ⟦א_1⟧"))
+    assert egress_job.main(args, spark) == 2 and "b.txt" in capsys.readouterr().err
+    assert egress_job.main([str(tmp_path / "t"), *vaults], spark) == 2 and (tmp_path / "t" / "a.txt").read_text(encoding="utf-8") == "real"
+    monkeypatch.setattr("sys.stdin", io.StringIO("to ⟦א_1⟧ ⟦z_2⟧"))
     capsys.readouterr()
-    assert egress_job.main(["--stdin", "--vaults", args[2]], spark) == 0 and capsys.readouterr().out == "to real"
+    assert egress_job.main(["-", *vaults, "--audit", str(tmp_path / "log")], spark) == 0
+    said = capsys.readouterr()
+    assert said.out == "to real ⟦z_2⟧" and "⟦z_2⟧" in said.err
+    assert sorted((r["where"], *r.tokens) for r in spark.read.json(str(tmp_path / "log")).collect()) == [("file:b.txt", "⟦z_1⟧"), ("stdin", "⟦z_2⟧")]
     rows = spark.createDataFrame([("⟦א_1⟧ ⟦z_1⟧", MAP)], "text string, tokens map<string,string>")
     sent, lines = egress.restore_for_send(rows, "mail")
     assert sent.first().sent == "real ⟦z_1⟧" and lines.first()["where"] == "mail"

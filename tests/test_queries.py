@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from veilspark.plans import live_queries  # noqa: F401
 from veilspark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -1,12 +1,13 @@
 import json
 import os
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as X
-from veilspark.operators import guard, mask, ner, restore, vault
-from veilspark.plans import qa
+from veilspark.operators import detect, engine, guard, mask, ner, restore, vault
+from veilspark.plans import qa, storage
 from veilspark.sources import entities, profile, vaults
 
 MENTION = "vault_key string, seq long, start int, entity_type string, real string"
@@ -45,13 +46,13 @@ def test_assignment_equals_loop(spark):
 def test_mask_round_trip_and_leaks(spark):
     rng = random.Random(4)
     ids = qa.valid_ids(30)
-    items = [*ids, "052-7654321", "a@b.co.il", "4111111111111111", "שירה לוי", "תיק 7654"]
+    items = [*ids, "052-7654321", "a@b.co.il", "4111111111111111", "אילת ארז", "תיק 7654"]
     rows = [("s", i, " ".join(rng.choice([*items, "מילה", "ועוד", "7", "\n"]) for _ in range(rng.randint(0, 25)))) for i in range(80)] + [("s", 80, None), ("t", 0, "")]
     messages = spark.createDataFrame(rows, "vault_key string, seq long, text string")
-    names = entities.from_callable(spark, lambda: [("שירה לוי", "לקוח")])
+    names = entities.from_callable(spark, lambda: [("אילת ארז", "לקוח")])
     masked, book = mask.mask(messages, names=names)
     out = {(r.vault_key, r.seq): r.masked for r in masked.collect()}
-    secrets = [*ids, "052-7654321", "a@b.co.il", "4111111111111111", "שירה לוי"]
+    secrets = [*ids, "052-7654321", "a@b.co.il", "4111111111111111", "אילת ארז"]
     assert not any(s in (t or "") for t in out.values() for s in secrets)
     back = restore.restore_by_join(masked.select("vault_key", "seq", F.col("masked").alias("text")), book)
     assert {(r.vault_key, r.seq): r.restored for r in back.collect()} == {(k, s): t for k, s, t in rows}
@@ -104,10 +105,21 @@ def test_vault_files(spark, tmp_path):
     book = spark.createDataFrame([("s", "r", "⟦a_1⟧", "a", 1)], "vault_key string, real string, token string, entity_type string, n int")
     name, value = vaults.as_documents(book).first()
     assert len(name) == 21 and json.loads(value)["token_to_real"] == {"⟦a_1⟧": "r"}
-    vaults.save(book, str(tmp_path / "table"))
-    assert vaults.load(spark, str(tmp_path / "table")).count() == 1
-    assert vaults.load(spark, str(tmp_path / "table"), now=4e9).count() == 0
+    table = tmp_path / "table"
+    assert vaults.load(spark, str(table)) is None and vaults.save(book, str(table))
+    assert vaults.load(spark, str(table)).count() == 1
+    assert not vaults.save(book, str(table), vaults.load(spark, str(table)))  # nothing new
+    more = book.unionByName(book.withColumns({"real": F.lit("q"), "token": F.lit("⟦a_2⟧"), "n": F.lit(2)}))
+    assert vaults.save(more, str(table), vaults.load(spark, str(table))) and vaults.load(spark, str(table)).count() == 2
+    assert sorted(p.name for p in table.iterdir()) == ["version=000000000", "version=000000001"]
+    buckets = {p.name for p in (table / "version=000000001").iterdir() if p.is_dir()}
+    assert buckets == {"bucket=04"}  # of the hash of the key, not the key
+    assert table.stat().st_mode & 0o077 == 0
+    assert vaults.load(spark, str(table), now=4e9).count() == 0
     assert vaults.clear(book, ["s"]).count() == 0 and vaults.clear(book, []).count() == 1
+    vaults.write_files(book, str(tmp_path / "files"))
+    assert [(r.token, r.real) for r in vaults.read_files(spark, str(tmp_path / "files") + "/*").collect()] == [("⟦a_1⟧", "r")]
+    assert (tmp_path / "files").stat().st_mode & 0o077 == 0
 
 
 def test_modes_and_alerts(spark, tmp_path):
@@ -128,17 +140,131 @@ def test_modes_and_alerts(spark, tmp_path):
 
 def test_recognizers(spark):
     def broken():
-        def run(text):
-            raise OSError("down")
-
-        return run
-
-    messages = spark.createDataFrame([("s", 0, "abc a@b.co.il")], "vault_key string, seq long, text string")
-    first = ner.recognizer(lambda: lambda t: [{"start": 0, "end": 3, "entity_type": "לקוח", "text": t[:3]}], "first")
-    assert mask.mask(messages, secondary=first)[0].first().masked == "⟦לקוח_1⟧ ⟦מייל_1⟧"
-    assert mask.mask(messages, secondary=ner.recognizer(broken, "broken"))[0].first().masked == "abc ⟦מייל_1⟧"
-    off = ner.recognizer(ner.service("http://127.0.0.1:1", enabled=False), "off")
-    assert mask.mask(messages, secondary=off)[0].first().masked == "abc ⟦מייל_1⟧"
+        raise OSError("down")
+
+    def odd(text):
+        if "odd" in text:
+            raise ValueError(text)
+        return [{"start": 0, "end": 3, "entity_type": "לקוח", "text": text[:3]}]
+
+    messages = spark.createDataFrame([("s", 0, "abc a@b.co.il"), ("s", 1, "odd a@b.co.il"), ("s", 2, None)], "vault_key string, seq long, text string")
+
+    def run(load, key):
+        masked, book = mask.mask(messages, secondary=ner.recognizer(load, key))
+        events = guard.outbound_alerts(masked.withColumnRenamed("masked", "sent"))
+        return [r.masked for r in masked.orderBy("seq").collect()], sorted((e.kind, e.detail) for e in events.collect())
+
+    mail = "⟦מייל_1⟧"
+    assert run(lambda: ner.one_by_one(odd), "odd") == ([f"⟦לקוח_1⟧ {mail}", f"odd {mail}", None], [("recognizer_error", "ValueError('odd a@b.co.il')")])
+    texts, events = run(broken, "broken")
+    assert texts == [f"abc {mail}", f"odd {mail}", None] and [k for k, _ in events] == ["recognizer_error"] * 2
+    assert run(ner.service("http://127.0.0.1:1", enabled=False), "off") == ([f"abc {mail}", f"odd {mail}", None], [])
+    assert len(run(ner.service("http://127.0.0.1:1"), "nobody there")[1]) == 2
+
+
+def test_service(spark):
+    """Requests to a service that counts them: each distinct text of a batch is asked about once."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["text"]
+            asked.append((self.path, text))
+            body = json.dumps({"spans": [{"start": 0, "end": 3, "entity_type": "לקוח", "text": text[:3]}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    rows = [("s", i, t) for i, t in enumerate(["Ada went", "Bob stays", "Ada went"])]
+    messages = spark.createDataFrame(rows, "vault_key string, seq long, text string").coalesce(1)
+    masked, _ = mask.mask(messages, secondary=ner.recognizer(ner.service(url), url), once=True)
+    assert [r.masked for r in masked.orderBy("seq").collect()] == ["⟦לקוח_1⟧ went", "⟦לקוח_2⟧ stays", "⟦לקוח_1⟧ went"]
+    assert sorted(set(asked)) == [("/recognize", "Ada went"), ("/recognize", "Bob stays")]
+    server.shutdown()
+
+
+def test_failing_rows(spark):
+    def touchy(text):
+        if "bad" in text:
+            raise ValueError("bad")
+        return detect.spans_of(text)
+
+    messages = spark.createDataFrame([("s", 0, "a@b.co.il"), (None, 1, "bad a@b.co.il")], "vault_key string, seq long, text string")
+    for closed, kind, text in ((False, "unfiltered_sent", "bad a@b.co.il"), (True, "withheld", None)):
+        sent, _, _ = guard.outbound(messages, "enforce", primary=detect.attempted(touchy), closed=closed)
+        assert {r.seq: r.sent for r in sent.collect()} == {0: "⟦מייל_1⟧", 1: text}
+        assert [tuple(e) for e in guard.outbound_alerts(sent).collect()] == [(kind, "default", "ValueError('bad')")]
+
+
+def test_keyless_and_repeated_rows(spark):
+    text = "mail a@b.co.il now"
+    rows = [(None, None, text), (None, 1, text), ("", 1, text), ("s", 1, text), ("s", 1, text), ("s", None, "c@d.co.il a@b.co.il")]
+    messages = spark.createDataFrame(rows, "vault_key string, seq long, text string")
+    masked, book = mask.mask(messages)
+    out = [r.masked for r in masked.collect()]
+    assert sorted(out) == sorted(["mail ⟦מייל_1⟧ now"] * 3 + ["mail ⟦מייל_1⟧ now"] * 2 + ["⟦מייל_2⟧ ⟦מייל_1⟧"])
+    assert {(r.vault_key, r.real) for r in book.collect()} == {("default", "a@b.co.il"), ("s", "a@b.co.il"), ("s", "c@d.co.il")}
+    back = restore.restore_by_join(masked.drop("text"), book, "masked")
+    assert sorted(r.restored for r in back.collect()) == sorted(r[2] for r in rows)
+    assert {r.vault_key: r.n_present for r in vault.present(masked.select("vault_key", F.col("masked").alias("text")), book).collect()} == {"default": 0, "s": 0}
+    assert {r.vault_key: r.n_present for r in vault.present(messages, book).collect()} == {"default": 1, "s": 2}
+
+
+def test_leaks_of_long_and_short_values(spark):
+    long = "v" * 300_000
+    values = ["é", "ab", "needle in a", "xyz" * 50, long + "w", "never there"]
+    text = "q" * (vault.PIECE - 5) + "needle in a" + "é" * 3 + "xyz" * 60 + long + "w"
+    book = spark.createDataFrame([("s", v) for v in values], "vault_key string, real string")
+    texts = spark.createDataFrame([("s", text), ("s", "cab"), ("t", "never there"), ("s", None), ("s", "")], "vault_key string, text string")
+    assert {r.vault_key: r.n_present for r in vault.present(texts, book).collect()} == {"s": 5}
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    messages = spark.createDataFrame([("s", 0, "a@b.co.il")], "vault_key string, seq long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(folder))
+    with storage.scratch(spark):
+        masked, _ = mask.mask(messages)
+        assert masked.first().masked == "⟦מייל_1⟧"
+        new = set(os.listdir(folder)) - before
+        assert new and all(Path(folder, n).stat().st_mode & 0o077 == 0 for n in new)
+    assert set(os.listdir(folder)) == before
+
+
+def test_engine_from_control_files(spark, tmp_path):
+    (tmp_path / "MODE").write_text(" Enforce\n")
+    (tmp_path / "gazetteer.txt").write_text("אילת ארז\tלקוח\nרשות הרישוי\tמוסד\n", encoding="utf-8")
+    (tmp_path / "profile.yaml").write_text(json.dumps({"profile": "x", "never_mask": ["רשות הרישוי"], "token_instruction": False}))
+    (tmp_path / "ner_url").write_text("http://127.0.0.1:1")
+    (tmp_path / "ner.ctl").write_text("off")
+    folder = str(tmp_path)
+    messages = spark.createDataFrame([("s", 0, "user", "אילת ארז מול רשות הרישוי"), ("t", 0, "user", "אילת ארז")], "vault_key string, seq long, role string, text string")
+    send = engine.live(spark, folder, agent="me")
+    assert sorted(r.sent for r in messages.transform(send).collect()) == ["⟦לקוח_1⟧", "⟦לקוח_1⟧ מול רשות הרישוי"]
+    (tmp_path / "MODE").write_text("off")
+    assert sorted(r.sent for r in messages.transform(send).collect()) == ["אילת ארז", "אילת ארז מול רשות הרישוי"]
+    again = engine.Engine.of(spark, folder, agent="me")
+    replies = spark.createDataFrame([("u", "⟦לקוח_1⟧ ⟦לקוח_7⟧", None)], "vault_key string, content string, arguments array<string>")
+    out, audit, events = again.restore(replies)
+    assert out.first().content == "אילת ארז ⟦לקוח_7⟧" and audit.first().leftover == 1
+    assert [tuple(e) for e in events.collect()] == [("leftover_token", "me", "⟦לקוח_7⟧")]
+    (tmp_path / "vault_mode").write_text("memory")
+    memory = engine.Engine.of(spark, folder, agent="me")
+    assert memory.known() is None
+    memory.sanitize(messages)
+    assert memory.known().count() == 1 and memory.vaults is None
+    (tmp_path / "profile.yaml").write_text("")
+    explained = engine.Engine.of(spark, folder).sanitize(messages)[0]
+    assert sorted(r.sent for r in explained.where("seq = -1").collect()) == [mask.INSTRUCTION] * 2
 
 
 def test_profile():

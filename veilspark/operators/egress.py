@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MARK, leftovers, substitute
+from ..plans.storage import materialize
+from . import restore
 from .restore import lookup
 
 BASE64 = "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
@@ -78,20 +85,56 @@ def restored_audit(requests: DataFrame) -> DataFrame:
 
 
 def leftover_audit(rows: DataFrame, where: Column) -> DataFrame:
-    """One line per row of ``(leftover)`` with any."""
+    """One line per row of ``(leftover, ...)`` with any."""
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     return rows.where(F.size("leftover") > 0).select(F.lit("egress_leftover").alias("kind"), stamp.alias("ts"), where.alias("where"), F.col("leftover").alias("tokens"))
 
 
-def restore_files(spark: SparkSession, paths: str, out: str, tokens: DataFrame) -> DataFrame:
-    """Restore whole text files into the folder ``out``; returns ``(path, changed, leftover)``.
+ALL = "all"
+
+
+def with_map(rows: DataFrame, known: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``tokens`` for the placeholders of ``text``, from one map ``known (token, real)`` of all vaults."""
+    book = known.select(F.lit(ALL).alias("vault_key"), "token", "real")
+    return restore.with_tokens(rows.withColumn("vault_key", F.lit(ALL)), book, text).drop("vault_key")
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write files whole: beside the target first, then moved over it, so that readers never see half."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for target, text in zip(batch.column("target").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", target))
+            store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+            beside = f"{place}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(beside) as f:
+                f.write(text.encode())
+            store.move(beside, place)
+            sums = "{}/.{}.crc".format(*place.rsplit("/", 1))  # Hadoop's local files keep sums beside them, which hold no longer
+            if store.get_file_info(sums).type == fs.FileType.File:
+                store.delete_file(sums)
+        yield pa.record_batch([batch.column("path")], ["path"])
+
+
+def restore_files(spark: SparkSession, paths: str, known: DataFrame, out: str | None = None, audit: str | None = None) -> DataFrame:
+    """Restore text files: those that change are written, in place or under the folder ``out``; returns ``(path, changed, leftover)``.
 
-    tokens: one row with a map ``tokens``.  Spark never rewrites its own input; the caller swaps the folders.
+    known: ``(token, real)`` of all vaults.  Placeholders meet it in a join, however large it
+    is.  audit: a folder that gets a line for every file with placeholders left over.  With
+    ``out``, files that don't change are copied as well.  Files that are no UTF-8 stay.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
-    done = files.crossJoin(F.broadcast(tokens.limit(1))).withColumn("r", restore_content(F.col("value"), F.col("tokens")))
-    done.select("path", F.col("r.text").alias("text")).write.mode("overwrite").parquet(out)
-    return done.select("path", (F.col("r.text") != F.col("value")).alias("changed"), F.col("r.leftover").alias("leftover"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
+    files = with_map(files.where("value is not null"), known, "value")
+    done = files.withColumn("r", restore_content(F.col("value"), F.col("tokens")))
+    name = F.element_at(F.split("path", "/"), -1)
+    target = F.col("path") if out is None else F.concat(F.lit(out.rstrip("/") + "/"), name)
+    done = materialize(done.select("path", target.alias("target"), F.col("r.text").alias("text"), (F.col("r.text") != F.col("value")).alias("changed"), F.col("r.leftover").alias("leftover")))
+    (done if out else done.where("changed")).select("path", "target", "text").mapInArrow(_written, "path string").count()
+    told = done.select("path", "changed", "leftover")
+    if audit:
+        leftover_audit(done, F.concat(F.lit("file:"), name)).write.mode("append").json(audit)
+    return told
 
 
 def restore_for_send(rows: DataFrame, where: str = "send") -> tuple[DataFrame, DataFrame]:

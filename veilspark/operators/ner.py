@@ -1,21 +1,24 @@
-"""Model-based recognizers as plug-ins: a function from text to spans, loaded once a worker."""
+"""Model-based recognizers as plug-ins: functions from texts to spans, loaded once a worker and called by batches."""
 
 from __future__ import annotations
 
 import json
 import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.labels import CLIENT
-from ..functions.text import SPANS_TYPE
+from ..functions.fixed import CLIENT
+from .detect import FOUND_TYPE
 
-Recognizer = Callable[[str], list[dict]]
+#: Answers each text with its spans, or with the exception that it ended in.
+Recognizer = Callable[[list[str]], list[list[dict] | Exception]]
 _LOADED: dict[object, Recognizer] = {}
 PEOPLE = {"PER", "PERS", "PERSON"}
+FIELDS = ("start", "end", "entity_type", "text")
 
 
 def loaded(key: object, load: Callable[[], Recognizer]) -> Recognizer:
@@ -29,48 +32,76 @@ def unload(key: object) -> bool:
     return _LOADED.pop(key, None) is not None
 
 
-def recognizer(load: Callable[[], Recognizer], key: str) -> Callable[[Column], Column]:
-    """A column function over texts; a text on which the recognizer fails has no spans."""
+def one_by_one(fn: Callable[[str], list[dict]]) -> Recognizer:
+    """A recognizer from a function of a single text."""
 
-    @F.pandas_udf(SPANS_TYPE)
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return []
+    def run(texts: list[str]) -> list[list[dict] | Exception]:
+        out: list[list[dict] | Exception] = []
+        for text in texts:
             try:
-                return [{k: s[k] for k in ("start", "end", "entity_type", "text")} for s in loaded(key, load)(text)]
-            except Exception:  # a model or service that is down never stops the rest
-                return []
+                out.append(fn(text))
+            except Exception as e:  # that text alone
+                out.append(e)
+        return out
+
+    return run
 
-        return texts.map(one)
+
+def recognizer(load: Callable[[], Recognizer], key: str) -> Callable[[Column], Column]:
+    """A column function over texts, ``struct<spans, error>``.
+
+    Each distinct text of a batch is asked about once.  A text on which the recognizer fails,
+    and every text where it can't be loaded, has no spans and tells the error: the rest of
+    masking goes on, and the caller hears of it.
+    """
+
+    @F.pandas_udf(FOUND_TYPE)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        asked = list(dict.fromkeys(t for t in texts if t is not None))
+        try:
+            answers = dict(zip(asked, loaded(key, load)(asked), strict=True)) if asked else {}
+        except Exception as e:  # a model or service that is down never stops the rest
+            answers = dict.fromkeys(asked, e)
+        found = [answers.get(t, []) for t in texts]
+        bad = [isinstance(f, Exception) for f in found]
+        spans = [[] if b else [{k: s[k] for k in FIELDS} for s in f] for f, b in zip(found, bad, strict=True)]
+        return pd.DataFrame({"spans": spans, "error": pd.Series([repr(f) if b else None for f, b in zip(found, bad, strict=True)], dtype=object)})
 
     return run
 
 
-def service(url: str, timeout: float = 5.0, enabled: bool = True) -> Callable[[], Recognizer]:
-    """A recognizer behind HTTP: ``POST url/recognize {"text": ...}`` answers ``{"spans": [...]}``."""
+def service(url: str, timeout: float = 5.0, enabled: bool = True, at_once: int = 8) -> Callable[[], Recognizer]:
+    """A recognizer behind HTTP: ``POST url/recognize {"text": ...}`` answers ``{"spans": [...]}``; ``at_once`` requests run side by side."""
 
-    def load() -> Recognizer:
-        def ask(text: str) -> list[dict]:
-            if not enabled:
-                return []
-            request = urllib.request.Request(url.rstrip("/") + "/recognize", json.dumps({"text": text}).encode())
-            request.add_header("Content-Type", "application/json")
+    def ask(text: str) -> list[dict] | Exception:
+        body = json.dumps({"text": text}).encode()
+        try:
+            request = urllib.request.Request(url.rstrip("/") + "/recognize", body, {"Content-Type": "application/json"})
             with urllib.request.urlopen(request, timeout=timeout) as answer:
                 return json.load(answer).get("spans", [])
+        except Exception as e:
+            return e
+
+    def load() -> Recognizer:
+        def run(texts: list[str]) -> list[list[dict] | Exception]:
+            if not enabled:
+                return [[] for _ in texts]
+            with ThreadPoolExecutor(at_once) as pool:
+                return list(pool.map(ask, texts))
 
-        return ask
+        return run
 
     return load
 
 
-def transformers_model(name: str) -> Callable[[], Recognizer]:
+def transformers_model(name: str, batch: int = 16) -> Callable[[], Recognizer]:
     """A token-classification model; people become clients.  Needs the transformers library."""
 
     def load() -> Recognizer:
         from transformers import pipeline
 
-        run = pipeline("token-classification", model=name, aggregation_strategy="simple")
-        return lambda text: [{"start": int(e["start"]), "end": int(e["end"]), "entity_type": CLIENT, "text": text[e["start"] : e["end"]]} for e in run(text) if e["entity_group"].upper() in PEOPLE]
+        model = pipeline("token-classification", model=name, aggregation_strategy="simple")
+        of = lambda text, found: [{"start": int(e["start"]), "end": int(e["end"]), "entity_type": CLIENT, "text": text[e["start"] : e["end"]]} for e in found if e["entity_group"].upper() in PEOPLE]
+        return lambda texts: [of(t, f) for t, f in zip(texts, model(texts, batch_size=batch), strict=True)]
 
     return load

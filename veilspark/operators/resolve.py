@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.labels import PROCLITICS
+from ..functions.fixed import PROCLITICS
 from ..functions.text import SPANS, variants
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import MARK, find_tokens, leftovers, substitute
+from ..functions.text import MARK, find_tokens, leftovers, session, substitute
+from ..plans.storage import materialize
 
 MAP = "map<string,string>"
 #: A JSON string, with the colon that makes it a key.
@@ -23,24 +24,29 @@ def lookup(tokens: Column) -> Callable[[Column], Column]:
 
 
 def with_tokens(rows: DataFrame, book: DataFrame, *texts: str | Column) -> DataFrame:
-    """``rows (vault_key, seq, ...)`` with ``tokens``, a map of the placeholders that stand in ``texts``.
+    """``rows (vault_key, ...)`` with ``tokens``, a map of the known placeholders that stand in ``texts``.
 
-    Placeholders meet the vault in a join on (vault_key, token), so a row never carries more
-    of a vault than it needs, however large the vault is.  (vault_key, seq) identifies rows.
+    Rows with the same placeholders need the same map, so it is the distinct lists of
+    placeholders that meet the vault, in a join on (vault_key, token); a row never carries
+    more of a vault than it needs, and equal rows or null keys are rows like any other.  Rows
+    without a mark take no part in any join.  The maps are written first: few go to all
+    executors, many are joined.
     """
     every = F.concat_ws(" ", *texts)
-    tokens = rows.where(F.contains(every, F.lit(MARK))).select("vault_key", "seq", F.explode(F.array_distinct(find_tokens(every))).alias("token"))
-    known = tokens.join(book.select("vault_key", "token", "real"), ["vault_key", "token"])
-    maps = known.groupBy("vault_key", "seq").agg(F.map_from_entries(F.collect_set(F.struct("token", "real"))).alias("tokens"))
-    out = rows.join(maps, ["vault_key", "seq"], "left")
-    return out.withColumn("tokens", F.coalesce("tokens", F.create_map().cast(MAP)))
+    rows = rows.withColumn("__key", session(F.col("vault_key"))).withColumn("__list", F.array_distinct(find_tokens(every)))
+    marked = F.size("__list") > 0
+    lists = rows.where(marked).select("__key", "__list").distinct()
+    known = book.select(session(F.col("vault_key")).alias("__key"), "token", "real").groupBy("__key", "token").agg(F.min("real").alias("real"))
+    found = lists.select("__key", "__list", F.explode("__list").alias("token")).join(known, ["__key", "token"])
+    maps = materialize(found.groupBy("__key", "__list").agg(F.map_from_entries(F.collect_list(F.struct("token", "real"))).alias("tokens")))
+    none = F.create_map().cast(MAP)
+    done = rows.where(marked).join(maps, ["__key", "__list"], "left").withColumn("tokens", F.coalesce("tokens", none))
+    return done.unionByName(rows.where(~marked).withColumn("tokens", none)).drop("__key", "__list")
 
 
 def restore_by_join(rows: DataFrame, book: DataFrame, text: str = "text") -> DataFrame:
-    """``rows (vault_key, seq, text)`` with ``restored``; rows without a mark take no part in any join."""
-    marked = F.coalesce(F.contains(text, F.lit(MARK)), F.lit(False))
-    done = with_tokens(rows.where(marked), book, text).withColumn("restored", substitute(F.col(text), lookup(F.col("tokens")))).drop("tokens")
-    return done.unionByName(rows.where(~marked).withColumn("restored", F.col(text)))
+    """``rows (vault_key, text, ...)`` with ``restored``."""
+    return with_tokens(rows, book, text).withColumn("restored", substitute(F.col(text), lookup(F.col("tokens")))).drop("tokens")
 
 
 def restore_values(node, real: dict):
@@ -56,40 +62,70 @@ def restore_values(node, real: dict):
     return node
 
 
-@F.pandas_udf(T.StringType())
-def _restore_json(texts: pd.Series, maps: pd.Series) -> pd.Series:
-    def one(text, real):
-        if text is None or MARK not in text and "\\u27e6" not in text.lower():
-            return text
-        real = dict(real or {})
-        try:
-            return json.dumps(restore_values(json.loads(text), real), ensure_ascii=False)
-        except ValueError:
-            return restore_values(text, real)
+def json_restored(text: str | None, real: dict[str, str]) -> str | None:
+    """JSON text with values restored, written anew; text that is no JSON is restored as it is."""
+    if text is None or MARK not in text and "\\u27e6" not in text.lower():
+        return text
+    try:
+        node = json.loads(text)
+    except ValueError:
+        return restore_values(text, real)
+    return json.dumps(restore_values(node, real), ensure_ascii=False)
+
+
+TRIED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def attempted(fn: Callable[[str | None, dict[str, str]], str | None]) -> Callable[[Column, Column], Column]:
+    """A function of a text and its map as a column function: ``struct<text, error>``; where it fails the text is what came in."""
 
-    return pd.Series([one(t, m) for t, m in zip(texts, maps, strict=True)])
+    @F.pandas_udf(TRIED)
+    def run(texts: pd.Series, maps: pd.Series) -> pd.DataFrame:
+        def one(text, real):
+            try:
+                return fn(text, dict(real if real is not None else {})), None
+            except Exception as e:  # told to the caller; the other rows go on
+                return text, repr(e)
+
+        found = [one(t, m) for t, m in zip(texts, maps, strict=True)]
+        return pd.DataFrame({"text": pd.Series([f[0] for f in found], dtype=object), "error": pd.Series([f[1] for f in found], dtype=object)})
+
+    return run
+
+
+_json = attempted(json_restored)
 
 
 def restore_json(text: Column, tokens: Column) -> Column:
-    """JSON text with values restored, written anew; text that is no JSON is restored as it is."""
-    return _restore_json(text, tokens)
+    """``json_restored`` by column; a text that can't be handled (nested too deeply) stays as it is."""
+    return _json(text, tokens)["text"]
 
 
-def report(rows: DataFrame, book: DataFrame) -> DataFrame:
-    """``rows (vault_key, seq, content, arguments array<string>)`` restored, with what is left over.
+def report(rows: DataFrame, book: DataFrame, restorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``rows (vault_key, content, arguments array<string>, ...)`` restored, with what is left over.
 
     leftover: placeholders that no value is known for, each once, as they come in content
-    and then arguments.  restored_any: whether the vault holds anything at all.
+    and then arguments.  restored_any: whether the vault holds anything at all.  restorer: for
+    content that column functions don't fit, ``attempted`` of any function; where it
+    fails, ``error`` tells so and the row goes on as it came.
     """
-    names = rows.columns
-    rows = with_tokens(rows, book, "content", "arguments")
-    holds = book.select("vault_key").distinct().withColumn("__any", F.lit(True))
-    rows = rows.join(holds, "vault_key", "left")
+    names = [c for c in rows.columns if c not in ("leftover", "restored_any", "error")]
+    rows = with_tokens(rows.select(*names), book, "content", "arguments").withColumn("__key", session(F.col("vault_key")))
+    holds = book.select(session(F.col("vault_key")).alias("__key")).distinct().withColumn("__any", F.lit(True))
+    rows = rows.join(holds, "__key", "left")
     real = lookup(F.col("tokens"))
+    content, error = substitute(F.col("content"), real), F.lit(None).cast("string")
+    if restorer is not None:
+        rows = rows.withColumn("__tried", restorer(F.col("content"), F.col("tokens")))
+        content, error = F.col("__tried.text"), F.col("__tried.error")
     arguments = F.transform(F.coalesce("arguments", F.array().cast("array<string>")), lambda a: substitute_json(a, F.col("tokens")))
-    out = rows.withColumn("content", substitute(F.col("content"), real)).withColumn("arguments", arguments)
-    left = F.concat(leftovers(F.col("content"), real), F.flatten(F.transform("arguments", lambda a: leftovers(a, real))))
-    return out.select(*names, F.array_distinct(left).alias("leftover"), F.coalesce("__any", F.lit(False)).alias("restored_any"))
+    out = rows.withColumns({"error": error, "__content": content, "__arguments": arguments})
+    failed = F.col("error").isNotNull()
+    out = out.withColumn("content", F.when(failed, F.col("content")).otherwise(F.col("__content")))
+    out = out.withColumn("arguments", F.when(failed, F.col("arguments")).otherwise(F.col("__arguments")))
+    left = F.concat(leftovers(F.col("content"), real), F.flatten(F.transform(F.coalesce("arguments", F.array().cast("array<string>")), lambda a: leftovers(a, real))))
+    left = F.when(failed, F.array().cast("array<string>")).otherwise(F.array_distinct(left))
+    return out.select(*names, left.alias("leftover"), F.coalesce("__any", F.lit(False)).alias("restored_any"), "error")
 
 
 def substitute_json(text: Column, tokens: Column) -> Column:

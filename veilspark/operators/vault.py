@@ -1,32 +1,40 @@
 """The vault: stable, reversible numbering of values, per vault key.
 
-A vault is a table ``(vault_key, real, token, entity_type, n)``, unique in (vault_key, real).
+A vault is a table ``(vault_key, real, token, entity_type, n)``, unique in (vault_key, real);
+rows without a key, or with an empty one, belong to the vault of no session.
 A value's type is that of its first occurrence; its number counts the values of that type.
 Occurrences are ordered by message, and within a message from right to left.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import make_token, safe_type, vault_file_key
+from ..functions.bitmap import gathered
+from ..functions.text import make_token, safe_type, session, vault_file_key
 from ..plans.storage import materialize
 
 #: Values per vault and type up to which one task numbers them.
 ONE_TASK = 2_000_000
-#: Leading bytes on which values are looked up in texts, and the size of the bitmap of them.
-ANCHOR, BITS = 7, 22
+#: Leading bytes on which texts are searched first.
+ANCHOR = 7
 
 
 def first_seen(mentions: DataFrame) -> DataFrame:
-    """One row per value of ``(vault_key, seq, start, entity_type, real)``: where it came first, and its type then."""
-    place = F.struct("seq", (-F.col("start")).alias("back"))
-    return mentions.groupBy("vault_key", "real").agg(F.min(place).alias("at"), F.min_by("entity_type", place).alias("entity_type"))
+    """One row per value of ``(vault_key, seq, start, entity_type, real)``: where it came first, and its type then.
+
+    A null seq comes before all; of several types at one place the least counts.
+    """
+    place = F.struct("seq", (-F.col("start")).alias("back"), "entity_type")
+    firsts = mentions.groupBy(session(F.col("vault_key")).alias("vault_key"), "real").agg(F.min(place).alias("at"))
+    return firsts.withColumn("entity_type", F.col("at.entity_type"))
 
 
 def ranked(firsts: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
@@ -54,6 +62,7 @@ def assign(mentions: DataFrame, vault: DataFrame | None = None, one_task: int =
     """Vault rows for the values of ``mentions`` that ``vault`` does not have; numbers go on from it."""
     fresh = first_seen(mentions)
     if vault is not None:
+        vault = vault.withColumn("vault_key", session(F.col("vault_key")))
         fresh = fresh.join(vault.select("vault_key", "real"), ["vault_key", "real"], "left_anti")
     new = ranked(fresh, one_task)
     if vault is not None:
@@ -64,7 +73,16 @@ def assign(mentions: DataFrame, vault: DataFrame | None = None, one_task: int =
 
 def extend(mentions: DataFrame, vault: DataFrame) -> DataFrame:
     """The vault with the new values of ``mentions``."""
-    return vault.unionByName(assign(mentions, vault))
+    return vault.withColumn("vault_key", session(F.col("vault_key"))).unionByName(assign(mentions, vault))
+
+
+def registered(messages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``(vault_key, fresh)``: every session of ``messages`` once, and whether ``known`` has no vault of it yet."""
+    every = messages.select(session(F.col("vault_key")).alias("vault_key")).distinct()
+    if known is None:
+        return every.withColumn("fresh", F.lit(True))
+    have = sessions(known).withColumn("__have", F.lit(True))
+    return every.join(have, "vault_key", "left").select("vault_key", F.col("__have").isNull().alias("fresh"))
 
 
 def summary(vault: DataFrame) -> DataFrame:
@@ -73,7 +91,7 @@ def summary(vault: DataFrame) -> DataFrame:
 
 
 def sessions(vault: DataFrame) -> DataFrame:
-    return vault.select("vault_key").distinct()
+    return vault.select(session(F.col("vault_key")).alias("vault_key")).distinct()
 
 
 def merged(vaults: DataFrame) -> DataFrame:
@@ -81,48 +99,88 @@ def merged(vaults: DataFrame) -> DataFrame:
     return vaults.groupBy("token").agg(F.min_by("real", F.struct("path", "real")).alias("real"))
 
 
-def _gram_codes(data: np.ndarray, k: int) -> np.ndarray:
-    """Codes of all runs of ``k`` bytes, hashed to ``BITS`` bits."""
-    code = np.zeros(max(0, len(data) - k + 1), np.uint64)
-    for i in range(k):
-        code = (code << np.uint64(8)) | data[i : i + len(code)]
-    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(13).integers(0, 1 << 64, 256, dtype=U)
+#: Bytes of a text that are searched at a time.
+PIECE = 1 << 18
+
+
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(size + 1, b, U)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return tuple(out)
+
+
+def _hashes(data: np.ndarray, at: np.ndarray, length: int, size: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` bytes at some places of at most ``size`` bytes, from running sums ``data``."""
+    return (data[at + length] - data[at]) * _powers(size)[1][at] + U(length)
+
+
+def _sums(data: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTES[data] * _powers(size)[0][: len(data)], out=out[1:])
+    return out
+
+
+def _of_key(key: str) -> np.ndarray:
+    return U(zlib.crc32(key.encode("utf-8", "surrogatepass")) * 0xD6E8FEB8 % (1 << 64))
 
 
 def present(texts: DataFrame, vault: DataFrame) -> DataFrame:
     """Per vault key, how many of its non-empty values stand in its texts ``(vault_key, text)``: the leak count.
 
-    Values and texts meet on the first ``ANCHOR`` bytes of the value, never all with all.  A
-    bitmap of fixed size keeps all other places of the texts out of the join.
+    Texts are read where they are.  Two bitmaps, of leading bytes of values and of whole
+    values by key, leave few places; the strings there, each once a batch, meet the values in
+    a join on (key, string), so no text is shuffled and nothing rests on a hash.
     """
-    values = vault.where("real <> ''").select("vault_key", "real").distinct()
-    values = values.withColumn("gram", F.substring(F.encode("real", "UTF-8"), F.lit(1), F.lit(ANCHOR))).withColumn("k", F.length("gram"))
+    values = vault.where("real <> ''").select(session(F.col("vault_key")).alias("vault_key"), F.encode("real", "UTF-8").alias("value")).distinct()
+    values = materialize(values)
+    count = values.count()
+    lengths = sorted(r[0] for r in values.select(F.length("value")).distinct().collect())
+    longest = max(lengths, default=0)
+    size = PIECE + longest
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = set(batch.column("gram").to_pylist())
-            codes = {(len(g), int(_gram_codes(np.frombuffer(g, np.uint8), len(g))[0])) for g in grams}
-            yield pa.record_batch([pa.array([c[0] for c in codes], pa.int32()), pa.array([c[1] for c in codes], pa.int32())], ["k", "code"])
+    def leading(batch: pa.RecordBatch) -> np.ndarray:
+        found = [_hashes(_sums(np.frombuffer(v[:ANCHOR], np.uint8), size), np.zeros(1, np.int64), min(ANCHOR, len(v)), size)[0] for v in batch.column("value").to_pylist()]
+        return np.array(found, U)
+
+    def whole(batch: pa.RecordBatch) -> np.ndarray:
+        found = [_hashes(_sums(np.frombuffer(v, np.uint8), size), np.zeros(1, np.int64), len(v), size)[0] ^ _of_key(k) for k, v in zip(batch.column("vault_key").to_pylist(), batch.column("value").to_pylist(), strict=True)]
+        return np.array(found, U)
 
-    known: dict[int, np.ndarray] = {}
-    for r in values.select("gram").mapInArrow(code, "k int, code int").distinct().toLocalIterator():
-        known.setdefault(r.k, np.zeros(1 << BITS, bool))[r.code] = True
-    sent = vault.sparkSession.sparkContext.broadcast(known)
+    spark = vault.sparkSession
+    heads = spark.sparkContext.broadcast(gathered(values, leading, count))
+    bodies = spark.sparkContext.broadcast(gathered(values, whole, count))
 
     def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                data, grams = np.frombuffer(t, np.uint8), set()
-                for k, bits in sent.value.items():
-                    grams.update(t[i : i + k] for i in np.flatnonzero(bits[_gram_codes(data, k)]).tolist())
-                out.append(list(grams))
-            yield pa.record_batch([batch.column("vault_key"), batch.column("text"), pa.array(out, pa.list_(pa.binary()))], ["vault_key", "text", "grams"])
-
-    found = texts.select(F.col("vault_key").cast("string"), "text").where("text is not null").mapInArrow(spot, "vault_key string, text string, grams array<binary>")
-    found = found.select("vault_key", "text", F.explode("grams").alias("gram")).join(values, ["vault_key", "gram"])
-    counts = found.where(F.contains("text", "real")).groupBy("vault_key").agg(F.count_distinct("real").alias("n_present"))
-    return vault.select("vault_key").distinct().join(counts, "vault_key", "left").select("vault_key", F.coalesce("n_present", F.lit(0)).cast("long").alias("n_present"))
+            out: set[tuple[str, bytes]] = set()
+            for key, text in zip(batch.column("vault_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                own = _of_key(key)
+                for start in range(0, len(text), PIECE):
+                    data = text[start : start + PIECE + longest - 1]
+                    sums, lead = _sums(np.frombuffer(data, np.uint8), size), {}
+                    for n in lengths:
+                        k = min(ANCHOR, n)
+                        if k not in lead:
+                            every = np.arange(max(0, len(data) - k + 1))
+                            lead[k] = every[heads.value.has(_hashes(sums, every, k, size))] if len(every) else every
+                        at = lead[k][lead[k] + n <= len(data)]
+                        if len(at):
+                            at = at[bodies.value.has(_hashes(sums, at, n, size) ^ own)]
+                            out.update((key, data[i : i + n]) for i in at.tolist())
+            keys, found = zip(*out, strict=True) if out else ((), ())
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(found, pa.binary())], ["vault_key", "value"])
+
+    rows = texts.select(session(F.col("vault_key")).alias("vault_key"), "text").where("text is not null")
+    found = rows.mapInArrow(spot, "vault_key string, value binary").distinct().join(values, ["vault_key", "value"])
+    counts = found.groupBy("vault_key").agg(F.count("*").alias("n_present"))
+    return sessions(vault).join(counts, "vault_key", "left").select("vault_key", F.coalesce("n_present", F.lit(0)).cast("long").alias("n_present"))
 
 
 def expired(vault_files: DataFrame, now: float, ttl: float) -> DataFrame:

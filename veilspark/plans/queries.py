@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions import labels as L
+from ..functions import fixed as L
 from ..functions import text as X
 from ..operators import detect, egress, gazetteer, guard, mask, ner, resolve, restore, vault
 from ..sources import entities, vaults
@@ -83,11 +83,11 @@ def detect_card_luhn(spark, sf_dir):
 
 
 NINE = "lpad(CAST(c_custkey * 99773 % 1000000000 AS STRING), 9, '0')"
-BARE = f"SELECT c_custkey AS doc_id, concat('מספר ', {NINE}, ' ברשומה') AS text, {NINE} AS d FROM {{customer}}"
+BARE = f"SELECT c_custkey AS doc_id, concat('סכום ', {NINE}, ' נקלט') AS text, {NINE} AS d FROM {{customer}}"
 SEP = f"concat(substr({NINE}, 1, 2), '-', substr({NINE}, 3, 6), '-', substr({NINE}, 9, 1))"
-SEPARATED = f"SELECT c_custkey AS doc_id, concat('הרשומה מכילה ', {SEP}, ' כמזהה') AS text, {NINE} AS d, {SEP} AS v FROM {{customer}}"
+SEPARATED = f"SELECT c_custkey AS doc_id, concat('בתיקייה נמצא ', {SEP}, ' מאתמול') AS text, {NINE} AS d, {SEP} AS v FROM {{customer}}"
 LABEL = "CASE c_custkey % 4 WHEN 0 THEN 'ת\"ז ' WHEN 1 THEN 'ח.פ ' WHEN 2 THEN 'עוסק מורשה: ' ELSE 'ח.ל.צ ' END"
-LABELED = f"SELECT c_custkey AS doc_id, concat({LABEL}, {SEP}, ' של') AS text, {NINE} AS d, {SEP} AS v, {LABEL} AS l FROM {{customer}}"
+LABELED = f"SELECT c_custkey AS doc_id, concat({LABEL}, {SEP}, ' עודכן') AS text, {NINE} AS d, {SEP} AS v, {LABEL} AS l FROM {{customer}}"
 
 
 @query(f"WITH t AS ({duck(BARE)}) SELECT doc_id, CAST(5 AS BIGINT) AS start_at, '{L.NEUTRAL_ID}' AS entity_type, d AS value FROM t WHERE {ID_OK('d')}")
@@ -106,28 +106,28 @@ def detect_labeled_id(spark, sf_dir):
 
 
 LINE = "CASE WHEN c_custkey % 5 = 0 THEN concat('01-', lpad(CAST(c_custkey AS STRING), 7, '0')) WHEN c_custkey % 2 = 0 THEN concat('0', CAST(c_custkey % 8 + 2 AS STRING), lpad(CAST(c_custkey * 977 % 10000000 AS STRING), 7, '0')) ELSE concat('+972-5', CAST(c_custkey % 10 AS STRING), '-', lpad(CAST(c_custkey AS STRING), 7, '0')) END"
-PHONES = f"SELECT c_custkey AS doc_id, concat('טלפון ', {LINE}, ' לקשר') AS text, {LINE} AS v FROM {{customer}}"
+PHONES = f"SELECT c_custkey AS doc_id, concat('לחזור אל ', {LINE}, ' בערב') AS text, {LINE} AS v FROM {{customer}}"
 
 
-@query(f"WITH t AS ({duck(PHONES)}) SELECT doc_id, CAST(6 AS BIGINT) AS start_at, '{L.PHONE}' AS entity_type, v AS value FROM t WHERE doc_id % 5 <> 0 AND NOT (CASE WHEN length(v) = 9 THEN {ID_OK('v')} ELSE false END)")
+@query(f"WITH t AS ({duck(PHONES)}) SELECT doc_id, CAST(9 AS BIGINT) AS start_at, '{L.PHONE}' AS entity_type, v AS value FROM t WHERE doc_id % 5 <> 0 AND NOT (CASE WHEN length(v) = 9 THEN {ID_OK('v')} ELSE false END)")
 def detect_phone(spark, sf_dir):
     return spans_query(spark, sf_dir, PHONES, "phone")
 
 
 COURT = "CASE o_orderkey % 4 WHEN 0 THEN 'פש\"ר' WHEN 1 THEN 'ת\"א' WHEN 2 THEN 'תיק' ELSE 'נושא' END"
-CASES = f"SELECT o_orderkey AS doc_id, concat('בעניין ', {COURT}, ' ', CAST(o_orderkey AS STRING), ' שהוגש') AS text, {COURT} AS c, CAST(o_orderkey AS STRING) AS v FROM {{orders}}"
+CASES = f"SELECT o_orderkey AS doc_id, concat('עיינו במסמכי ', {COURT}, ' ', CAST(o_orderkey AS STRING), ' אתמול') AS text, {COURT} AS c, CAST(o_orderkey AS STRING) AS v FROM {{orders}}"
 
 
-@query(f"WITH t AS ({duck(CASES)}) SELECT doc_id, CAST(8 + length(c) AS BIGINT) AS start_at, '{L.CASE}' AS entity_type, v AS value FROM t WHERE doc_id % 4 <> 3 AND length(v) BETWEEN 4 AND 9")
+@query(f"WITH t AS ({duck(CASES)}) SELECT doc_id, CAST(14 + length(c) AS BIGINT) AS start_at, '{L.CASE}' AS entity_type, v AS value FROM t WHERE doc_id % 4 <> 3 AND length(v) BETWEEN 4 AND 9")
 def detect_case(spark, sf_dir):
     return spans_query(spark, sf_dir, CASES, "case")
 
 
 PARCEL = "concat('גוש ', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 2 = 0 THEN ' חלקה ' ELSE ' מגרש ' END, CAST(s_nationkey AS STRING))"
-PARCELS = f"SELECT s_suppkey AS doc_id, concat('הנכס ב', {PARCEL}) AS text, {PARCEL} AS v FROM {{supplier}}"
+PARCELS = f"SELECT s_suppkey AS doc_id, concat('המגרש על ', {PARCEL}) AS text, {PARCEL} AS v FROM {{supplier}}"
 
 
-@query(f"WITH t AS ({duck(PARCELS)}) SELECT doc_id, CAST(6 AS BIGINT) AS start_at, '{L.PARCEL}' AS entity_type, v AS value FROM t WHERE doc_id % 2 = 0")
+@query(f"WITH t AS ({duck(PARCELS)}) SELECT doc_id, CAST(9 AS BIGINT) AS start_at, '{L.PARCEL}' AS entity_type, v AS value FROM t WHERE doc_id % 2 = 0")
 def detect_parcel(spark, sf_dir):
     return spans_query(spark, sf_dir, PARCELS, "parcel")
 
@@ -162,7 +162,7 @@ def entity_counts_by_source(spark, sf_dir):
 
 # --- names
 
-FIRST, LAST = ["שירה", "דוד", "דנה", "יוסי", "רונית"], ["לוי", "מזרחי", "כהן", "אברהם", "פרץ"]
+FIRST, LAST = ["אילת", "גיל", "מיכל", "עומר", "תמר"], ["ארז", "נבון", "שגיא", "תבור", "חרמון"]
 PICK = lambda names, k: "CASE " + " ".join(f"WHEN {k} = {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
 GIVEN, FAMILY = PICK(FIRST, "c_custkey % 5"), PICK(LAST, "c_custkey % 7 % 5")
 
@@ -185,9 +185,9 @@ def names_query(spark, sf_dir, sql):
     return rows.select("doc_id", F.col("s.start").cast("long").alias("start_at"), F.col("s.entity_type").alias("entity_type"), F.col("s.text").alias("value"))
 
 
-EXACT = named(f"concat('פגשתי את ', {GIVEN}, ' ', {FAMILY}, '.')")
-TURNED = named(f"concat('אל ', {FAMILY}, ', ', {GIVEN}, ' שלום')")
-GLUED = named(f"concat('נמסר ל', {GIVEN}, ' ', {FAMILY})")
+EXACT = named(f"concat('ישבנו עם ', {GIVEN}, ' ', {FAMILY}, '.')")
+TURNED = named(f"concat('אל ', {FAMILY}, ', ', {GIVEN}, ' רצוף')")
+GLUED = named(f"concat('הועבר ל', {GIVEN}, ' ', {FAMILY})")
 
 
 @query(f"WITH t AS ({duck(EXACT)}) SELECT doc_id, CAST(9 AS BIGINT) AS start_at, '{L.CLIENT}' AS entity_type, concat(g, ' ', f) AS value FROM t WHERE {IN_LIST}")
@@ -200,7 +200,7 @@ def gazetteer_reordered(spark, sf_dir):
     return names_query(spark, sf_dir, TURNED)
 
 
-@query(f"WITH t AS ({duck(GLUED)}) SELECT doc_id, CAST(6 AS BIGINT) AS start_at, '{L.CLIENT}' AS entity_type, concat(g, ' ', f) AS value FROM t WHERE {IN_LIST}")
+@query(f"WITH t AS ({duck(GLUED)}) SELECT doc_id, CAST(7 AS BIGINT) AS start_at, '{L.CLIENT}' AS entity_type, concat(g, ' ', f) AS value FROM t WHERE {IN_LIST}")
 def gazetteer_proclitic(spark, sf_dir):
     return names_query(spark, sf_dir, GLUED)
 
@@ -254,8 +254,8 @@ def merge_secondary(spark, sf_dir):
     return rows.select("doc_id", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
 
 
-NEVER = ["בית המשפט", "שירה לוי"]
-OFFICES = "SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'בית המשפט' WHEN 1 THEN 'לבית המשפט' WHEN 2 THEN 'הבית המשפט הגדול' ELSE 'דוד כהן' END AS value FROM {customer}"
+NEVER = ["רשות הרישוי", "אילת ארז"]
+OFFICES = "SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'רשות הרישוי' WHEN 1 THEN 'לרשות הרישוי' WHEN 2 THEN 'הרשות הרישוי הראשית' ELSE 'גיל תבור' END AS value FROM {customer}"
 
 
 @query(f"SELECT doc_id, value FROM ({duck(OFFICES)}) WHERE doc_id % 4 > 1")
@@ -327,10 +327,13 @@ def vault_sweep(spark, sf_dir):
     return vaults.sweep(rows, now=now)[1]
 
 
-@query("SELECT count(DISTINCT conv_id) AS sessions, count(*) AS messages, count(DISTINCT text) AS contents FROM conversations")
+TALKS = "SELECT CAST(conv_id AS STRING) AS vault_key, text FROM {conversations}"
+
+
+@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS vault_key, conv_id % 2 <> 0 AS fresh FROM conversations")
 def session_registry(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations")
-    return rows.agg(F.count_distinct("conv_id").alias("sessions"), F.count("*").alias("messages"), F.count_distinct("text").alias("contents"))
+    known = made(spark, sf_dir, TALKS).where("CAST(vault_key AS BIGINT) % 2 = 0").select("vault_key").distinct()
+    return vault.registered(made(spark, sf_dir, TALKS), known)
 
 
 # --- masking and restoring
@@ -340,11 +343,48 @@ def documents_as_messages(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("source").alias("vault_key"), F.col("doc_id").alias("seq"), "text")
 
 
-@query(f"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL_SQL}')) + len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda v: CASE WHEN length(v) BETWEEN 13 AND 19 THEN {LUHN_OK('v')} ELSE false END)) AS BIGINT) AS n_tokens FROM documents""")
+VALUES_IN = f"len(regexp_extract_all(text, '{EMAIL_SQL}')) + len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda v: CASE WHEN length(v) BETWEEN 13 AND 19 THEN {LUHN_OK('v')} ELSE false END))"
+SHAPE_SQL = f"regexp_replace(regexp_replace(text, '{EMAIL_SQL}', '#', 'g'), '[0-9]+', '#', 'g')"
+
+
+def shape(text):
+    """A masked text with a sign for each mark and each run of digits, as SQL can make it of the original."""
+    return F.regexp_replace(F.regexp_replace(text, "⟦[^⟧]*⟧", "#"), "[0-9]+", "#")
+
+
+def shaped(masked, *keys):
+    return masked.select(*keys, F.size(X.find_tokens(F.col("masked"))).cast("long").alias("n_tokens"), shape(F.col("masked")).alias("shape"))
+
+
+@query(f"SELECT doc_id, CAST({VALUES_IN} AS BIGINT) AS n_tokens, {SHAPE_SQL} AS shape FROM documents")
 def mask_documents(spark, sf_dir):
     masked, _ = mask.mask(documents_as_messages(spark, sf_dir))
-    return masked.select(F.col("seq").alias("doc_id"), F.size(X.find_tokens(F.col("masked"))).cast("long").alias("n_tokens"))
+    return shaped(masked, F.col("seq").alias("doc_id"))
+
+
+KEYLESS = "SELECT CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE source END AS vault_key, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id END AS seq, text, doc_id FROM {documents}"
+
+
+@query(f"SELECT doc_id, CAST({VALUES_IN} AS BIGINT) AS n_tokens, {SHAPE_SQL} AS shape FROM documents")
+def mask_null_keys(spark, sf_dir):
+    return shaped(mask.mask(made(spark, sf_dir, KEYLESS))[0], "doc_id")
+
+
+@query("SELECT doc_id, text FROM documents")
+def roundtrip_null_keys(spark, sf_dir):
+    masked, book = mask.mask(made(spark, sf_dir, KEYLESS))
+    return restore.restore_by_join(masked.drop("text"), book, "masked").select("doc_id", F.col("restored").alias("text"))
+
+
+@query(f"SELECT doc_id, CAST({VALUES_IN} AS BIGINT) AS n_tokens, {SHAPE_SQL} AS shape FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents)")
+def mask_repeated_rows(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("vault_key"), F.lit(7).alias("seq"), "doc_id", "text")
+    return shaped(mask.mask(docs.unionAll(docs))[0], "doc_id")
+
+
+@query(f"SELECT doc_id, CAST({VALUES_IN} AS BIGINT) AS n_tokens, {SHAPE_SQL} AS shape FROM documents")
+def mask_each_content_once(spark, sf_dir):
+    return shaped(mask.mask(documents_as_messages(spark, sf_dir), once=True)[0], F.col("seq").alias("doc_id"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -356,11 +396,11 @@ def roundtrip_documents(spark, sf_dir):
 
 KNOWN = "SELECT concat('s', CAST(c_custkey % 10 AS STRING)) AS vault_key, c_name AS real, concat('⟦לקוח_', CAST(c_custkey AS STRING), '⟧') AS token, 'לקוח' AS entity_type, CAST(c_custkey AS INT) AS n FROM {customer} WHERE c_custkey % 3 > 0"
 A, B = "concat('⟦לקוח_', CAST(o_custkey AS STRING), '⟧')", "concat('⟦לקוח_', CAST(o_custkey + 10 AS STRING), '⟧')"
-REPLIES = f"SELECT concat('s', CAST(o_custkey % 10 AS STRING)) AS vault_key, o_orderkey AS seq, concat('שלום ', {A}, ' וגם ', {B}, ' ⟦⟦x_1⟧ סוף') AS text, {A} AS a, {B} AS b FROM {{orders}}"
+REPLIES = f"SELECT concat('s', CAST(o_custkey % 10 AS STRING)) AS vault_key, o_orderkey AS seq, concat('אישור: ', {A}, ' עם ', {B}, ' ⟦⟦x_1⟧ תם') AS text, {A} AS a, {B} AS b FROM {{orders}}"
 LOOKED_UP = f"FROM ({duck(REPLIES)}) r LEFT JOIN ({duck(KNOWN)}) x ON x.vault_key = r.vault_key AND x.token = r.a LEFT JOIN ({duck(KNOWN)}) y ON y.vault_key = r.vault_key AND y.token = r.b"
 
 
-@query(f"SELECT seq, concat('שלום ', coalesce(x.real, a), ' וגם ', coalesce(y.real, b), ' ⟦⟦x_1⟧ סוף') AS restored {LOOKED_UP}")
+@query(f"SELECT seq, concat('אישור: ', coalesce(x.real, a), ' עם ', coalesce(y.real, b), ' ⟦⟦x_1⟧ תם') AS restored {LOOKED_UP}")
 def restore_known(spark, sf_dir):
     return restore.restore_by_join(made(spark, sf_dir, REPLIES), made(spark, sf_dir, KNOWN)).select("seq", "restored")
 
@@ -393,6 +433,15 @@ def leak_count(spark, sf_dir):
     return vault.present(made(spark, sf_dir, LEAKY), made(spark, sf_dir, KNOWN))
 
 
+KEYLESS_LEAK = "SELECT CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE '' END AS vault_key, concat('about ', c_name, ' and more') AS text FROM {customer} WHERE c_custkey % 4 < 2"
+KEYLESS_BOOK = "SELECT CASE WHEN c_custkey % 3 = 0 THEN '' END AS vault_key, c_name AS real FROM {customer}"
+
+
+@query("SELECT 'default' AS vault_key, count(DISTINCT c_name) AS n_present FROM customer WHERE c_custkey % 4 < 2")
+def leak_count_null_key(spark, sf_dir):
+    return vault.present(made(spark, sf_dir, KEYLESS_LEAK), made(spark, sf_dir, KEYLESS_BOOK))
+
+
 CHAT = "SELECT CAST(conv_id AS STRING) AS vault_key, CAST(turn AS BIGINT) AS seq, role, text AS masked FROM {conversations}"
 ON = "SELECT DISTINCT CAST(conv_id AS STRING) AS vault_key FROM {conversations} WHERE conv_id % 2 = 0"
 
@@ -432,69 +481,119 @@ def egress_form(spark, sf_dir):
     return bodies(spark, sf_dir, form=form).select("seq", F.col("form")["phone"].alias("phone"), F.col("form")["plain"].alias("plain"))
 
 
-@query("SELECT 'egress_http_restored' AS kind, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages WHERE page_id % 2 = 0")
+@query(f"SELECT 'egress_http_restored' AS kind, concat('u@h', CAST(seq AS VARCHAR), '.example:88') AS host FROM ({duck(REPLIES)}) r LEFT JOIN ({duck(QUOTED)}) x ON x.vault_key = r.vault_key AND x.token = r.a WHERE x.real IS NULL")
 def egress_audit(spark, sf_dir):
-    return egress.restored_audit(read(spark, sf_dir, "pages").select("url", (F.col("page_id") % 2 == 0).alias("changed")))
+    return egress.restored_audit(bodies(spark, sf_dir, json=F.concat(F.lit('{"to":"'), "a", F.lit('"}'))))
+
+
+@query("SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id FROM pages")
+def url_hosts(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", egress.host(F.col("url")).alias("host"))
 
 
 # --- guard
 
-RESULTS = "SELECT o_orderkey AS seq, CAST(o_custkey AS STRING) AS session_id, CASE WHEN o_orderkey % 11 = 0 THEN 'ValueError()' END AS error, o_orderkey % 5 AS k FROM {orders}"
+FAILING = f"SELECT o_orderkey AS seq, o_orderpriority AS vault_key, concat('for a', CAST(o_custkey AS STRING), '@example.org') AS text FROM {{orders}}"
+
+
+def touchy(text):
+    """Finds like the engine's own detectors, and breaks on customers whose number ends in 7."""
+    if "7@" in text:
+        raise ValueError("7")
+    return detect.spans_of(text)
+
+
+def guarded(spark, sf_dir):
+    return guard.outbound(made(spark, sf_dir, FAILING), "enforce", primary=detect.attempted(touchy))[0]
+
+
+@query(f"SELECT seq, CASE WHEN text LIKE '%7@%' THEN text ELSE 'for #' END AS sent FROM ({duck(FAILING)})")
+def fail_open(spark, sf_dir):
+    sent = guarded(spark, sf_dir)
+    return sent.select("seq", F.when(F.col("error").isNull(), shape(F.col("sent"))).otherwise(F.col("sent")).alias("sent"))
+
+
+@query(f"SELECT 'unfiltered_sent' AS kind, vault_key AS session_id, 'ValueError(''7'')' AS detail FROM ({duck(FAILING)}) WHERE text LIKE '%7@%'")
+def unfiltered_alerts(spark, sf_dir):
+    return guard.outbound_alerts(guarded(spark, sf_dir))
+
 
+def broken(text, real):
+    """Restores, and breaks on replies about customers whose number ends in 1."""
+    if "1⟧ עם" in text:
+        raise ValueError("1")
+    return S.restore_text(text, real)
 
-@query(f"SELECT CASE WHEN error IS NOT NULL THEN 'restore_error' ELSE 'leftover_token' END AS kind, session_id, coalesce(error, '⟦a_1⟧,⟦b_2⟧') AS detail FROM ({duck(RESULTS)}) WHERE error IS NOT NULL OR k = 0")
+
+def replies(spark, sf_dir):
+    rows = made(spark, sf_dir, REPLIES).select("vault_key", "seq", F.col("text").alias("content"), F.array().cast("array<string>").alias("arguments"))
+    return guard.inbound(rows, made(spark, sf_dir, KNOWN), "enforce", restorer=restore.attempted(broken))
+
+
+@query(f"SELECT seq, CASE WHEN a LIKE '%1⟧' THEN concat('אישור: ', a, ' עם ', b, ' ⟦⟦x_1⟧ תם') ELSE concat('אישור: ', coalesce(x.real, a), ' עם ', coalesce(y.real, b), ' ⟦⟦x_1⟧ תם') END AS content {LOOKED_UP}")
+def inbound_replies(spark, sf_dir):
+    return replies(spark, sf_dir)[0].select("seq", "content")
+
+
+@query(f"SELECT 'enforce_restore' AS kind, r.vault_key, seq, true AS restored, CAST(1 + CASE WHEN x.real IS NULL THEN 1 ELSE 0 END + CASE WHEN y.real IS NULL THEN 1 ELSE 0 END AS INTEGER) AS leftover {LOOKED_UP} WHERE a NOT LIKE '%1⟧'")
+def inbound_audit(spark, sf_dir):
+    return replies(spark, sf_dir)[1]
+
+
+@query(f"SELECT CASE WHEN a LIKE '%1⟧' THEN 'restore_error' ELSE 'leftover_token' END AS kind, r.vault_key AS session_id, CASE WHEN a LIKE '%1⟧' THEN 'ValueError(''1'')' ELSE concat_ws(',', CASE WHEN x.real IS NULL THEN a END, CASE WHEN y.real IS NULL THEN b END, '⟦⟦x_1⟧') END AS detail {LOOKED_UP}")
 def guard_alerts(spark, sf_dir):
-    left = F.when(F.col("k") == 0, F.array(F.lit("⟦a_1⟧"), F.lit("⟦b_2⟧"))).otherwise(F.array().cast("array<string>"))
-    return guard.alerts(made(spark, sf_dir, RESULTS).withColumn("leftover", left))
+    return replies(spark, sf_dir)[2]
 
 
-@query(f"SELECT concat('[veilspark] restore_error (session ', session_id, '): ', error) AS line FROM ({duck(RESULTS)}) WHERE error IS NOT NULL")
+@query(f"SELECT concat('[veilspark] restore_error (session ', r.vault_key, '): ValueError(''1'')') AS line {LOOKED_UP} WHERE a LIKE '%1⟧'")
 def alert_lines(spark, sf_dir):
-    rows = made(spark, sf_dir, RESULTS).withColumn("leftover", F.array().cast("array<string>"))
-    return guard.alerts(rows).select(guard.message().alias("line"))
+    return replies(spark, sf_dir)[2].where("kind = 'restore_error'").select(guard.message().alias("line"))
 
 
-@query(f"SELECT seq, CASE WHEN error IS NULL THEN 'masked' ELSE 'original' END AS sent FROM ({duck(RESULTS)})")
-def fail_open(spark, sf_dir):
-    return made(spark, sf_dir, RESULTS).select("seq", guard.fail_open(F.lit("masked"), F.col("error"), F.lit("original")).alias("sent"))
+FOUND_VALUES = f"""
+SELECT source AS vault_key, '{L.EMAIL}' AS entity_type, unnest(regexp_extract_all(text, '{EMAIL_SQL}')) AS v FROM documents
+UNION ALL SELECT source, '{L.CARD}', unnest(list_filter(regexp_extract_all(text, '[0-9]+'), lambda v: CASE WHEN length(v) BETWEEN 13 AND 19 THEN {LUHN_OK('v')} ELSE false END)) FROM documents"""
 
 
-@query("SELECT doc_id, text AS sent FROM documents")
+@query(f"SELECT 'shadow_detect' AS kind, vault_key, entity_type, CAST(count(DISTINCT v) AS BIGINT) AS n FROM ({FOUND_VALUES}) GROUP BY ALL")
 def mode_shadow(spark, sf_dir):
+    _, _, audit = guard.outbound(documents_as_messages(spark, sf_dir), "shadow")
+    return audit.select("kind", "vault_key", F.explode("entities").alias("entity_type", "n"))
+
+
+@query("SELECT doc_id, text AS sent FROM documents")
+def mode_shadow_sends_all(spark, sf_dir):
     sent, _, _ = guard.outbound(documents_as_messages(spark, sf_dir), "shadow")
     return sent.select(F.col("seq").alias("doc_id"), "sent")
 
 
-@query("SELECT source AS vault_key, 'enforce_send' AS kind, CAST(0 AS BIGINT) AS real_values_in_outbound FROM documents WHERE regexp_matches(text, '" + EMAIL_SQL + "') GROUP BY source")
+@query(f"SELECT DISTINCT 'enforce_send' AS kind, vault_key, CAST(0 AS BIGINT) AS real_values_in_outbound FROM ({FOUND_VALUES})")
 def mode_enforce(spark, sf_dir):
     _, _, audit = guard.outbound(documents_as_messages(spark, sf_dir), "enforce")
-    return audit.where(F.map_contains_key("entities", F.lit(L.EMAIL))).select("vault_key", "kind", "real_values_in_outbound")
+    return audit.select("vault_key", "kind", "real_values_in_outbound")
 
 
 # --- streams, models, checks
 
 
-@query(f"SELECT seq AS turn, concat('שלום ', coalesce(x.real, a), ' וגם ', coalesce(y.real, b), ' ⟦⟦x_1⟧ סוף') AS text {LOOKED_UP}")
+@query(f"SELECT seq AS turn, concat('אישור: ', coalesce(x.real, a), ' עם ', coalesce(y.real, b), ' ⟦⟦x_1⟧ תם') AS text {LOOKED_UP}")
 def stream_deltas(spark, sf_dir):
     pieces = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,5}"), F.lit(0))
     parts = made(spark, sf_dir, REPLIES).select(F.col("vault_key").alias("session_id"), F.col("seq").alias("turn"), F.posexplode(pieces).alias("delta_idx", "text"))
-    sent = S.hold_back(parts).select(F.col("session_id").alias("vault_key"), F.struct("turn", "delta_idx").alias("seq"), "text")
-    back = restore.restore_by_join(sent, made(spark, sf_dir, KNOWN))
-    rows = back.select(F.col("vault_key").alias("session_id"), "seq.turn", "seq.delta_idx", F.col("restored").alias("text"))
-    return S.joined_replies(rows).select("turn", "text")
+    return S.joined_replies(S.restored_deltas(S.hold_back(parts), made(spark, sf_dir, KNOWN))).select("turn", "text")
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS start_at, substr(text, 1, 3) AS value FROM documents WHERE length(text) >= 3 AND NOT regexp_matches(text, '^.{0,2}[0-9]') AND NOT regexp_matches(text, '^" + EMAIL_SQL + "')")
+@query("SELECT doc_id, CAST(0 AS BIGINT) AS start_at, substr(text, 1, 3) AS value FROM documents WHERE text <> '' AND NOT regexp_matches(text, '^.{0,2}[0-9]') AND NOT regexp_matches(text, '^" + EMAIL_SQL + "')")
 def ner_secondary(spark, sf_dir):
-    model = ner.recognizer(lambda: first_letters, "first-letters")
-    found = mask.spans(documents_as_messages(spark, sf_dir).where(F.length("text") >= 3), secondary=model)
+    model = ner.recognizer(lambda: ner.one_by_one(first_letters), "first-letters")
+    found = mask.spans(documents_as_messages(spark, sf_dir), secondary=model)
     found = found.select(F.col("seq").alias("doc_id"), F.explode("spans").alias("s"))
     found = found.where((F.col("s.entity_type") == L.CLIENT) & ~F.col("s.text").rlike("[0-9]"))
     return found.select("doc_id", F.col("s.start").cast("long").alias("start_at"), F.col("s.text").alias("value"))
 
 
 def first_letters(text: str) -> list[dict]:
-    return [{"start": 0, "end": 3, "entity_type": L.CLIENT, "text": text[:3]}]
+    return [{"start": 0, "end": len(text[:3]), "entity_type": L.CLIENT, "text": text[:3]}] if text else []
 
 
 @query()

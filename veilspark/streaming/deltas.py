@@ -1,24 +1,23 @@
 """Placeholders in streamed replies: a token may be split over deltas, so an open one is held back.
 
 Holding back is the only stateful part; what is sent is whole tokens and plain text, which
-``operators.restore`` restores like any other text.
+``operators.restore`` restores like any other text, batch by batch in the streaming form.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import CLOSE, HOLD, OPEN
 from ..functions.text import PLACEHOLDER
-
-OPEN, CLOSE = "⟦", "⟧"
-#: An open token is held back up to this length; a longer one is no token.
-HOLD = 48
+from ..operators.restore import restore_by_join
+from ..plans.storage import scratch
 _TOKEN = re.compile(PLACEHOLDER)
 OUT = "session_id string, turn long, delta_idx int, text string"
 KEYS = ("session_id", "turn")
@@ -29,10 +28,10 @@ def restore_text(text: str, real: dict[str, str]) -> str:
 
 
 def advance(held: str, text: str | None, hold: int = HOLD) -> tuple[str, str]:
-    """What to send now, and what to hold until the next delta."""
+    """What to send now, and what to hold until the next delta: a mark that is open for at most ``hold`` characters."""
     whole = held + (text or "")
     head, mark, tail = whole.rpartition(OPEN)
-    if mark and CLOSE not in tail and len(tail) < hold:
+    if mark and CLOSE not in tail and 1 + len(tail) <= hold:
         return head, mark + tail
     return whole, ""
 
@@ -69,25 +68,52 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*KEYS, "delta_idx", "text"])
 
 
-def hold_back_stream(deltas: DataFrame, hold: int = HOLD, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Streaming form: the held text is keyed state, which is dropped a day after its last change."""
+def hold_back_stream(deltas: DataFrame, hold: int = HOLD, ttl_ms: int = 24 * 3600 * 1000, flush: bool = False) -> DataFrame:
+    """Streaming form: the held text is keyed state, which goes ``ttl_ms`` after its last change.
+
+    flush: what is still held then is sent as a last delta; else it is dropped.  Sessions and
+    turns that are null are keys like any other.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            held, last = state.get
             state.remove()
+            if flush and held:
+                yield pd.DataFrame([(*key, last + 1, held)], columns=[*KEYS, "delta_idx", "text"])
             return
-        held = state.get[0] if state.exists else ""
+        held, last = state.get if state.exists else ("", -1)
         rows = pd.concat(list(frames)).sort_values("delta_idx", kind="stable")
         out = []
         for text in rows["text"]:
             sent, held = advance(held, text, hold)
             out.append(sent)
-        state.update((held,))
+        state.update((held, max(last, int(rows["delta_idx"].max()))))
         state.setTimeoutDuration(ttl_ms)
         yield rows.assign(text=out)[[*KEYS, "delta_idx", "text"]]
 
-    return deltas.groupBy(*KEYS).applyInPandasWithState(run, OUT, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return deltas.groupBy(*KEYS).applyInPandasWithState(run, OUT, "held string, last int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def restored_deltas(rows: DataFrame, book: DataFrame) -> DataFrame:
+    """``(session_id, turn, delta_idx, text)`` of whole tokens with values put back."""
+    back = restore_by_join(rows.withColumn("vault_key", F.col("session_id")), book)
+    return back.select(*KEYS, "delta_idx", F.col("restored").alias("text"))
+
+
+def restore_stream(deltas: DataFrame, book: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, mode: Callable[[], str] = lambda: "enforce", **holding):
+    """Start a query from deltas to restored deltas: state holds open tokens back, and each micro-batch meets the vault as it is then.
+
+    sink: gets each restored batch and its number, which tells a batch that comes again after
+    a failure.  mode: read anew for each batch; in any mode but enforce deltas pass unrestored.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        with scratch(batch.sparkSession):
+            sink(restored_deltas(batch, book()) if mode() == "enforce" else batch, number)
+
+    return hold_back_stream(deltas, **holding).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
 def joined_replies(deltas: DataFrame) -> DataFrame:
