@@ -9,31 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import ensure_importable, materialize, read
+from ..functions.bitmap import gathered
+from ..plans.storage import as_files, ensure_importable, materialize, read
 
-__all__ = ["BoundedCache", "RowFilter", "as_files", "crc_bucket", "ensure_importable", "materialize", "only", "read", "row_filter", "slices", "trim", "unused", "with_row_id", "without"]
-
-
-def is_scan(df: DataFrame) -> bool:
-    """Whether ``df`` only filters and selects from files, so that a row's file and place are its own."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    nodes = [line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()]
-    if not nodes or set(nodes) - {"Project", "Filter", "SubqueryAlias", "Relation"}:
-        return False
-    try:
-        df.select("_metadata.row_index")
-    except AnalysisException:
-        return False
-    return True
-
-
-def as_files(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder unless it is read from files as it is: reading it again gives the same rows."""
-    return df if is_scan(df) else materialize(df)
+__all__ = ["BoundedCache", "as_files", "crc_bucket", "ensure_importable", "materialize", "only", "read", "row_filter", "slices", "trim", "unused", "with_row_id", "without"]
 
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
@@ -72,48 +54,17 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-class RowFilter:
-    """A bitmap that surely has the row numbers it was made from, and few others; it decides which rows travel, never a result."""
-
-    CHUNK, MOST = 1 << 15, 1 << 27
-
-    def __init__(self, rows: int, per_row: int = 16):
-        self.bits = min(self.MOST, max(self.CHUNK * 8, 1 << (per_row * max(1, rows) - 1).bit_length()))
-        self.data = np.zeros(self.bits // 8, np.uint8)
-
-    def places(self, rid: np.ndarray) -> np.ndarray:
-        h = rid.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h ^ (h >> np.uint64(32))) & np.uint64(self.bits - 1)).astype(np.int64)
+def row_filter(df: DataFrame, named: Callable[[bytes], np.ndarray], rows: int) -> Broadcast:
+    """A broadcast bitmap of the row numbers that ``named`` reads from the blobs of ``df``: 16 bits a row, 16 MB at most.
 
-    def has(self, rid: np.ndarray) -> np.ndarray:
-        at = self.places(rid)
-        return (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    It surely has them and few others, so it decides which rows travel, never a result.
+    """
 
+    def numbers(batch: pa.RecordBatch) -> np.ndarray:
+        found = [named(b).astype(np.int64) for b in batch.column("blob").to_pylist()]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-def row_filter(df: DataFrame, named: Callable[[bytes], np.ndarray], rows: int) -> Broadcast:
-    """A broadcast ``RowFilter`` of the row numbers that ``named`` reads from the blobs of ``df``: 16 bits a row, 16 MB at most."""
-    shape = RowFilter(rows)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros_like(shape.data)
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                at = shape.places(named(blob))
-                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        chunks = own.reshape(-1, shape.CHUNK)
-        used = np.flatnonzero(chunks.any(axis=1)).tolist()
-        yield pa.record_batch([pa.array(used, pa.int64()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], ["chunk", "bits"])
-
-    def unite(table: pa.Table) -> pa.Table:
-        whole = np.zeros(shape.CHUNK, np.uint8)
-        for bits in table["bits"].to_pylist():
-            whole |= np.frombuffer(bits, np.uint8)
-        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([whole.tobytes()], pa.binary())})
-
-    parts = df.select("blob").mapInArrow(mark, "chunk long, bits binary").groupBy("chunk").applyInArrow(unite, "chunk long, bits binary")
-    for row in parts.toLocalIterator():
-        shape.data[row.chunk * shape.CHUNK : (row.chunk + 1) * shape.CHUNK] = np.frombuffer(bytes(row.bits), np.uint8)
-    return df.sparkSession.sparkContext.broadcast(shape)
+    return df.sparkSession.sparkContext.broadcast(gathered(df.select("blob"), numbers, rows, most=1 << 27))
 
 
 class BoundedCache(dict):

@@ -299,7 +299,7 @@ def _pieces(blob: bytes, length: int, seed: int) -> tuple[np.ndarray, ...]:
 
 
 def _items(contexts: list[bytes], told: list[bytes], length: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The suffixes of one part to sort, blob by blob: doc, rid, first window, windows, whether an earlier one is expected, strings.
+    """The suffixes of one part to sort, blob by blob: doc, rid, owner, first window, windows, whether an earlier one is expected, strings.
 
     A string is as many bytes as its windows have, zeros up to a fixed width, and the number of windows.
     """
@@ -339,7 +339,7 @@ def _items(contexts: list[bytes], told: list[bytes], length: int, width: int) ->
             strings = np.lib.stride_tricks.sliding_window_view(data, width)[begin[cut]]
             strings[np.arange(width) >= (count[cut] + length - 1)[:, None]] = 0
             strings[:, -1] = count[cut]
-            yield doc[who[cut]], rid[who[cut]], first[cut], count[cut], expected[cut], strings
+            yield doc, rid, who[cut], first[cut], count[cut], expected[cut], strings
 
 
 def common_prefixes(rows: np.ndarray) -> np.ndarray:
@@ -365,28 +365,34 @@ def spread(rows: np.ndarray, splitters: np.ndarray, subs: int) -> np.ndarray:
     return where
 
 
-def _run(doc, rid, first, count, expected, rows: np.ndarray, splitters: np.ndarray, subs: int, part: int) -> Iterator[tuple[int, bytes]]:
+def _run(items: list[tuple[np.ndarray, ...]], splitters: np.ndarray, subs: int, part: int) -> Iterator[tuple[int, bytes]]:
     """A task's suffixes, sorted, front-coded and cut by ranges; its own repeats go along as found, under a range below zero."""
-    order = np.lexsort((first, rid, doc))
+    base = np.cumsum([0, *[len(i[0]) for i in items]])
+    doc, rid = (np.concatenate([i[j] for i in items]) for j in (0, 1))
+    owner = np.concatenate([i[2].astype(np.int64) + b for i, b in zip(items, base, strict=False)])
+    first, count, expected, rows = (np.concatenate([i[j] for i in items]) for j in (3, 4, 5, 6))
+    items.clear()
+    key = (ranks(doc, rid)[owner] << 32) | first
+    order = np.argsort(key, kind="stable")
     order = order[np.argsort(strings_of(rows[order]), kind="stable")]
-    doc, rid, first, count, expected, rows = (c[order] for c in (doc, rid, first, count, expected, rows))
+    owner, key, first, count, expected, rows = (c[order] for c in (owner, key, first, count, expected, rows))
     new = common_prefixes(rows) < rows.shape[1]
-    once = new | firsts(doc, rid, first)  # one place may be sent as a stretch and as a piece or window of it
+    once = new | firsts(key)  # one place may be sent as a stretch and as a piece or window of it
     if len(again := np.flatnonzero(~new & once)):
-        yield -1 - part, packed(part, *_found(doc[again], rid[again], first[again], count[again]))
-    doc, rid, first, count, expected, rows = (c[new] for c in (doc, rid, first, count, expected, rows))
+        yield -1 - part, packed(part, *_found(doc, rid, owner[again], first[again], count[again]))
+    owner, first, count, expected, rows = (c[new] for c in (owner, first, count, expected, rows))
     where = spread(rows, splitters, subs)
     for at in groups_of(where):
         shared = common_prefixes(rows[at])
         tails = rows[at][np.arange(rows.shape[1]) >= shared[:, None]]
-        ids, owner = np.unique(np.stack((doc[at], rid[at])), axis=1, return_inverse=True)
-        yield int(where[at[0]]), packed(part, ids[0], ids[1], owner.ravel().astype(np.int32), first[at], count[at].astype(np.uint8), expected[at], shared.astype(np.int16), tails.tobytes())
+        used, who = np.unique(owner[at], return_inverse=True)
+        yield int(where[at[0]]), packed(part, doc[used], rid[used], who.astype(np.int32), first[at], count[at].astype(np.uint8), expected[at], shared.astype(np.int16), tails.tobytes())
 
 
-def _found(doc, rid, first, count) -> tuple[np.ndarray, ...]:
+def _found(doc, rid, owner, first, count) -> tuple[np.ndarray, ...]:
     """Repeats as rows for their part: doc, rid, owner, first window, windows."""
-    ids, owner = np.unique(np.stack((doc, rid)), axis=1, return_inverse=True)
-    return ids[0], ids[1], owner.ravel().astype(np.int32), first.astype(np.int32), count.astype(np.uint8)
+    used, who = np.unique(owner, return_inverse=True)
+    return doc[used], rid[used], who.astype(np.int32), first.astype(np.int32), count.astype(np.uint8)
 
 
 def decoded(shared: list[int], tails: bytes, width: int) -> list[bytes]:
@@ -461,7 +467,8 @@ def _merged(table: pa.Table, width: int) -> Iterator[tuple[int, bytes]]:
         yield from ((g[0], packed(*g[1:])) for g in got)
         return
     runs = [(decoded(g[7].tolist(), g[8], width), g[7].tolist()) for g in got]
-    keys = [list(zip(g[1][g[3]].tolist(), g[2][g[3]].tolist(), g[4].tolist(), strict=True)) for g in got]
+    rank = np.split(ranks(*[np.concatenate([g[i] for g in got]) for i in (1, 2)]), np.cumsum([len(g[1]) for g in got])[:-1])
+    keys = [((r[g[3]] << 32) | g[4]).tolist() for r, g in zip(rank, got, strict=True)]
     found: list[list[int]] = [[] for _ in got]
     run, at = -1, -1
     for w, i, same in merge(runs, width):
@@ -480,8 +487,7 @@ def _merged(table: pa.Table, width: int) -> Iterator[tuple[int, bytes]]:
     for (part, doc, rid, owner, first, count, *_), rows in zip(got, found, strict=True):
         if rows:
             rows = np.array(rows, np.int64)
-            who = owner[rows]
-            yield part, packed(*_found(doc[who], rid[who], first[rows], count[rows]))
+            yield part, packed(*_found(doc, rid, owner[rows], first[rows], count[rows]))
 
 
 def _each(fn: Callable[[pa.Table], Iterator[tuple]], *names: str) -> Callable[[pa.Table], pa.Table]:
@@ -582,14 +588,13 @@ def repeats(docs: DataFrame, length: int, k: int, parts: int, rows: int, seed: i
             return blobs([], "range")
         part, rows, held, size = left["part"][0].as_py(), [], [], 0
         for item in _items(left["blob"].to_pylist(), right["blob"].to_pylist(), length, width):
-            if held and size + len(item[0]) > RUN:
-                rows += _run(*[np.concatenate(c) for c in zip(*held, strict=True)], splitters.value, subs, part)
+            if held and size + len(item[2]) > RUN:
+                rows += _run(held, splitters.value, subs, part)
                 held, size = [], 0
             held.append(item)
-            size += len(item[0])
+            size += len(item[2])
         if size:
-            rows += _run(*[np.concatenate(c) for c in zip(*held, strict=True)], splitters.value, subs, part)
-        held.clear()
+            rows += _run(held, splitters.value, subs, part)
         trim()
         return blobs(rows, "range")
 
