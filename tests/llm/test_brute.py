@@ -375,20 +375,6 @@ def test_op8(spark, texts):
     assert sum(sum(n for _, n in s) < 2048 for s in sequences.values()) <= 1 and sorted(sequences) == list(range(len(sequences)))
 
 
-def test_op8_mixture():
-    rng = random.Random(4)
-    sizes = [[(s * 1000 + i, rng.randint(1, 3000)) for i in range(200)] for s in range(3)]
-    tokens = [sum(n for _, n in q) for q in sizes]
-    share = [t / sum(tokens) for t in tokens]
-    served, whole, worst = [0, 0, 0], 0, 0.0
-    for row, _, n, _, _ in packing.fill(sizes, share, [0.0] * 3, 2048, 256):
-        served[row // 1000] += n
-        whole += n
-        if whole < 0.95 * sum(tokens):
-            worst = max(worst, *[abs(s - f * whole) for s, f in zip(served, share)])
-    assert served == tokens and worst < 2048 + 256
-
-
 def test_op9(spark, texts):
     for r in rows(spark, "op9_token_counts"):
         n = len(library(WORD).encode(texts[r.doc_id], add_special_tokens=False).ids)
@@ -438,7 +424,7 @@ def test_op10_links_lose_nothing(spark):
 
 def test_pipeline_rows(spark, texts):
     """Each stage's decisions, from the operators' own results on that stage's input."""
-    import corpus_pipeline as P
+    from veilspark.llm import stages as P
     from veilspark.llm.common import materialize, read
 
     docs = read(spark, SF, "documents")

@@ -7,8 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from veilspark.llm import bpe, crf, images, packing, perplexity, ranking, sharding, simhash, suffixes, token_counts
+from veilspark.llm import bpe, crf, images, packing, perplexity, ranking, sharding, simhash, stages, suffixes, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LONG = "".join(chr(97 + (i * i) % 26) + (" " if i % 7 == 0 else "") for i in range(400_000))
@@ -127,7 +126,7 @@ def test_simhash(docs, empty):
 def test_pipeline(spark, docs, empty):
     for frame in (docs, empty):
         out = frame
-        for name, stage in corpus_pipeline.STAGES[:-1]:
+        for name, stage in stages.STAGES[:-1]:
             out = stage(spark, out, "")
             assert out.columns == docs.columns, name
             out.count()

@@ -1,9 +1,10 @@
 """Operator 7: exact byte-pair encoding by dynamic programming over prefixes.
 
 A merge list gives every byte string one encoding, and the last token of each of its
-prefixes is unique.  An automaton over the vocabulary reports the tokens that end at
-each byte; the one that a pair test accepts behind the prefix in front of it is stored.
-Back-pointers from the end then spell the ids, without any merging of the text.
+prefixes is unique.  An automaton whose states are the suffixes that may grow into a token
+(Aho and Corasick's) reports the tokens that end at each byte; the one that a pair test
+accepts behind the prefix in front of it is stored.  Back-pointers from the end then spell
+the ids, without any merging of the text.  Decoding reads the ids alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -52,6 +54,7 @@ class PrefixEncoder:
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
         self.by_id = {vocab[t]: unmapped(t) for t in names}
+        self.table = ByteTable(self.by_id | {i: name.encode() for name, i in specials(path)[1].items()})
         self.tested: dict[tuple[int, int], bool] = BoundedCache(self._compatible, 400_000)
 
     def _compatible(self, pair: tuple[int, int]) -> bool:
@@ -107,6 +110,23 @@ class PrefixEncoder:
         return b"".join(map(self.by_id.__getitem__, ids))
 
 
+class ByteTable:
+    """The bytes of every id, end to end."""
+
+    def __init__(self, by_id: dict[int, bytes]):
+        top = max(by_id, default=0) + 1
+        self.size = np.fromiter((len(by_id.get(i, b"")) for i in range(top)), np.int64, top)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(top)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that a run of ids stands for."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[ids] - (ends - size), size)
+        return self.flat[at].tobytes()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
@@ -117,45 +137,38 @@ class Codec:
 
     def __init__(self, path: str, cached: int = 400_000):
         self.path, self.encoder = path, encoder(path)
-        self.odd: dict[str, str] = {}
-        self.cache = BoundedCache(self._piece, cached)
-
-    def _piece(self, piece: str) -> str:
-        ids = self.encoder.encode(piece)
-        back = self.encoder.decode(ids).decode("utf-8", "replace")
-        if back != piece:
-            self.odd[piece] = back
-        return ",".join(map(str, ids))
-
-    def pieces(self, text: str) -> Iterator[tuple[list[str], list[str]]]:
-        """Runs of pre-tokens with their ids as decimal text."""
+        self.cache = BoundedCache(lambda piece: self._both(self.encoder.encode(piece)), cached)
+
+    @staticmethod
+    def _both(ids: list[int]) -> tuple[str, bytes]:
+        """Ids as decimal text and as bytes."""
+        return ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+
+    def pieces(self, text: str) -> Iterator[list[tuple[str, bytes]]]:
+        """Runs of pre-tokens as their ids, in both forms."""
         _, added = specials(self.path)
         for i, part in enumerate(parts(text, self.path)):
             if i % 2:
-                yield [part], [str(added[part])]
+                yield [self._both([added[part]])]
             elif part:
                 for chunk in chunks(part):
-                    pre = byte_pretokens(chunk, self.path)
-                    yield pre, list(map(self.cache.__getitem__, pre))
+                    yield list(map(self.cache.__getitem__, byte_pretokens(chunk, self.path)))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids in self.pieces(text) for j in ids for i in j.split(",")]
+        return [i for run in self.pieces(text) for _, raw in run for i in np.frombuffer(raw, "<u4").tolist()]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes with special tokens kept."""
-        names = {i: s.encode() for s, i in specials(self.path)[1].items()}
-        table = self.encoder.by_id
-        return b"".join(names.get(i) or table[i] for i in ids).decode("utf-8", "replace")
+        return self.encoder.table.decode(np.array(ids, np.int64)).decode("utf-8", "replace")
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
+        """Tokens, SHA-256 of the ids joined by commas, SHA-256 of what the ids decode to."""
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-        for pre, ids in self.pieces(text):
-            joined = ",".join(ids)
-            ids_hash.update((b"," if n else b"") + joined.encode())
-            n += joined.count(",") + 1
-            back = map(self.odd.get, pre, pre) if self.odd else pre
-            text_hash.update("".join(back).encode("utf-8", "replace"))
+        for run in self.pieces(text):
+            ids_hash.update((b"," if n else b"") + ",".join([r[0] for r in run]).encode())
+            ids = np.frombuffer(b"".join([r[1] for r in run]), "<u4")
+            n += len(ids)
+            text_hash.update(self.encoder.table.decode(ids).decode("utf-8", "replace").encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
@@ -167,8 +180,9 @@ def codec(path: str) -> Codec:
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode every text; no shuffle.
 
-    Null and empty texts have no tokens and the digests of empty strings.  Repeated rows
-    and rows without a doc_id give a row each; other columns are ignored.
+    Null and empty texts have no tokens and the digests of empty strings; very long texts are
+    cut where pre-tokens always end, so their ids are the same.  Repeated rows and rows without
+    a doc_id give a row each; an empty table gives an empty one; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

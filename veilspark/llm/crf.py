@@ -243,16 +243,23 @@ def fit(texts: list[str], langs: list[str], bits: int = 16, rounds: int = 60, se
     return tagger
 
 
-def train(docs: DataFrame, per_label: int = 400, max_bytes: int = 20_000, max_labels: int = 64, folds: int = 5, fold: int = 0) -> Tagger:
-    """Fit on a bounded sample of labelled texts: about ``per_label`` for each of the commonest
-    ``max_labels`` languages, of at most ``max_bytes``, never from the held-out fold."""
-    usable = docs.where((crc_bucket("doc_id", folds) != fold) & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect()}
+def train(docs: DataFrame, per_label: int = 400, sample_rows: int = 20_000, least: int = 20, max_chars: int = 20_000, folds: int = 5, fold: int = 0) -> Tagger:
+    """Fit on a bounded sample of labelled texts, never from the held-out fold.
+
+    Every language takes part, with about ``per_label`` texts, or so many that all together
+    are about ``sample_rows``, but ``least`` at any rate; of a longer text it is a stretch of
+    ``max_chars`` from a place that its id chooses.
+    """
+    usable = docs.where((crc_bucket("doc_id", folds) != fold) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_label / n))])
+    each = max(least, min(per_label, sample_rows // len(sizes)))
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))])
     chance = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 24)) / (1 << 24)
-    sample = usable.where(chance < F.try_element_at(share, "lang")).select("doc_id", "text", "lang").limit(2 * per_label * len(sizes))
+    room = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
+    stretch = F.substring("text", 1 + F.pmod(F.xxhash64(F.lit("stretch"), "doc_id"), room).cast("int"), F.lit(max_chars))
+    sample = usable.where(chance < F.try_element_at(share, "lang")).select("doc_id", stretch.alias("text"), "lang").limit(2 * each * len(sizes))
     rows = sorted((r.doc_id, r.text, r.lang) for r in sample.collect())
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
@@ -273,7 +280,11 @@ def predict(own: Tagger, raw: list[str | None]) -> tuple[list[list[str]], list[s
 
 
 def keep_languages(docs: DataFrame, wanted: set[str] | None = None, least: float = 0.5) -> DataFrame:
-    """``docs`` without texts that are in no language for sure: ``und``, a score under ``least``, or not ``wanted``."""
+    """``docs`` without texts that are in no language for sure: ``und``, a score under ``least``, or not ``wanted``.
+
+    Null, empty and letterless texts go, and everything where no labelled text can be learned
+    from; all columns and equal rows that stay are as they came.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +299,10 @@ def keep_languages(docs: DataFrame, wanted: set[str] | None = None, least: float
 def identify(docs: DataFrame, tagger: Tagger | None = None, folds: int = 5, fold: int = 0) -> DataFrame:
     """One row per row: the language of each whole text, and its mean probability over the words.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is everything
-    where no labelled text could be learned from; ties go to the first label in order.  A
-    row without a doc_id counts as held out.  Repeated rows give a row each.
+    Null, empty and other texts without a letter are ``und`` with score 0, and so is
+    everything where no labelled text could be learned from; ties go to the first label in
+    order; very long texts are read whole.  A row without a doc_id counts as held out.
+    Repeated rows give a row each, an empty table an empty one; other columns are ignored.
     """
     tagger = tagger or train(docs, folds=folds, fold=fold)
     sent = docs.sparkSession.sparkContext.broadcast(tagger)

@@ -1,10 +1,14 @@
 """Operator 8: mixture-controlled packing by deficit round-robin.
 
-Documents are encoded once and dealt by row to lanes of about equal size.  Within a lane
-every source is a queue; round after round each queue earns its share of a window in
-tokens and spends what it has saved on its next documents, which fills window after
-window to the target proportions.  What a queue is owed is carried from window to window,
-and from all earlier lanes into the next by a prefix sum, so lanes run in parallel.
+Every source is a queue of tokens that earns its share of each window.  What a queue has
+earned less what it was served is its deficit; the token (or, of a small share, the turn of
+a few tokens) whose queue has waited longest is served next.  A window is what is served
+before 2048 tokens are full, so deficits go over from window to window as they are.
+
+What has been served of each queue before any window follows from the shares alone, so a
+partition needs nothing from the ones before but how many tokens of each queue they hold:
+every partition goes on exactly where the others have left the deficits, all run in
+parallel, and only the last sequence of all is not full.
 """
 
 from __future__ import annotations
@@ -16,30 +20,27 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialize, only, slices, with_row_id
-from .tokens import byte_pretokens, chunks, library, parts, specials, unmapped
+from . import bpe
+from .common import BoundedCache, materialize, only, slices, trim, with_row_id
+from .tokens import byte_pretokens, chunks, library, parts, specials
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 class IdEncoder:
-    """Ids of whole texts as little-endian unsigned integers of ``width`` bytes."""
+    """Ids of whole texts as little-endian unsigned integers of one width, by the encoder of operator 7."""
 
     def __init__(self, path: str, cached: int = 400_000):
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.path, self.ids = path, specials(path)[1]
-        top = max(*vocab.values(), *self.ids.values(), 1)
-        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        ranks = {unmapped(t): i for t, i in vocab.items() if t not in self.ids}
-        core = tiktoken.Encoding("own", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
-        dtype = self.dtype
-        self.cache = BoundedCache(lambda piece: np.array(core._encode_single_piece(piece.encode()), dtype).tobytes(), cached)
+        self.dtype = np.dtype("<u2" if max(*vocab.values(), *self.ids.values(), 1) < 1 << 16 else "<u4")
+        encode, dtype = bpe.encoder(path).encode, self.dtype
+        self.cache = BoundedCache(lambda piece: np.array(encode(piece), dtype).tobytes(), cached)
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -57,123 +58,192 @@ def id_encoder(path: str) -> IdEncoder:
     return IdEncoder(path)
 
 
+def id_dtype(path: str) -> np.dtype:
+    return np.dtype("<u2" if library(path).get_vocab_size() <= 1 << 16 else "<u4")
+
+
 def encode_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Per row: a row number, its source, its tokens and its compressed ids, ``end_id`` last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = id_encoder(path)
+        own, press = id_encoder(path), zstandard.ZstdCompressor(1)
         end = np.array([end_id], own.dtype).tobytes()
         for batch in slices(batches, "text", 4000, 8 << 20):
             ids = [(own.encode(t) if t else b"") + end for t in batch.column("text").to_pylist()]
             n = [len(i) // own.dtype.itemsize for i in ids]
-            packed = pa.array([zlib.compress(i, 1) for i in ids], pa.binary())
+            packed = pa.array(list(map(press.compress, ids)), pa.binary())
             yield pa.record_batch([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array(n, pa.int64()), packed], ["rid", "doc_id", "source", "n", "ids"])
 
     rows = with_row_id(only(docs, "doc_id", "source", "text"))
     return rows.mapInArrow(run, "rid long, doc_id long, source string, n long, ids binary")
 
 
-def fill(queues: list[list[tuple[int, int]]], share: list[float], owed: list[float], window: int, turn: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Deficit round-robin: ``(row, start, length, window number, offset)`` of each piece.
+class Mixture:
+    """The order in which queues are served, from their shares and their tokens.
 
-    queues: per source its ``(row, tokens)``.  share: of each source in a window.  owed:
-    tokens that it starts with, and may be negative.  A queue takes its turn once it has
-    saved ``turn`` tokens, or as many as its document still has.
+    Turn c of queue q is served when the queue has earned c + 1/2 turns; of two that are due
+    at once the lower queue goes first.  A queue that is empty earns nothing, so the others
+    keep their proportions to each other.
     """
-    head, done = [0] * len(queues), [0] * len(queues)
-    ring = [q for q in range(len(queues)) if queues[q]]
-    number = offset = 0
-    while ring:
-        served = False
-        for q in ring:
-            owed[q] += share[q] * window
-            docs = queues[q]
-            while head[q] < len(docs):
-                row, n = docs[head[q]]
-                left = n - done[q]
-                if owed[q] < min(left, turn):
-                    break
-                take = min(left, int(owed[q]), window - offset)
-                yield row, done[q], take, number, offset
-                served = True
-                owed[q] -= take
-                offset += take
-                if offset == window:
-                    number, offset = number + 1, 0
-                if take == left:
-                    head[q], done[q] = head[q] + 1, 0
-                else:
-                    done[q] += take
-        ring = [q for q in ring if head[q] < len(queues[q])]
-        if ring and not served:  # pass over rounds in which no queue could take a turn
-            need = lambda q: (min(queues[q][head[q]][1] - done[q], turn) - owed[q]) / (share[q] * window)
-            rounds = max(0, int(min(map(need, ring))) - 1)
-            for q in ring:
-                owed[q] += rounds * share[q] * window
-
-
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, mixture: dict[str, float] | None = None, turn: int = 256, lane_tokens: int = 1 << 21) -> DataFrame:
-    """Pack every token of ``docs`` into sequences of ``window`` tokens.
 
-    mixture: target proportions by source, relative to each other; by default those of the
-    corpus in tokens, and sources that it doesn't name get their corpus proportion.  Each
-    lane of about ``lane_tokens`` leaves at most one sequence partly filled.
+    def __init__(self, share: np.ndarray, tokens: np.ndarray, window: int, turn: int):
+        self.share = np.maximum(np.asarray(share, np.float64), 1e-12)
+        self.tokens = np.asarray(tokens, np.int64)
+        self.window, self.total = window, int(self.tokens.sum())
+        #: Tokens a turn: one where a window holds many turns of the queue anyway.
+        self.turn = np.where(self.share * window >= turn, 1, turn).astype(np.int64)
+        end = self.tokens / self.share
+        order = np.argsort(end, kind="stable")
+        left = self.share.sum() - np.cumsum(self.share[order])
+        self.times = np.concatenate(([0.0], end[order]))
+        self.served = np.concatenate(([0.0], np.cumsum(self.tokens[order]) + end[order] * np.maximum(left, 0.0)))
+
+    def time(self, turns: np.ndarray, queue=slice(None)) -> np.ndarray:
+        """When these turns of the queues are due."""
+        return (turns + 0.5) * self.turn[queue] / self.share[queue]
+
+    def size(self, turns: np.ndarray, queue=slice(None)) -> np.ndarray:
+        """Tokens of so many turns."""
+        return np.minimum(self.tokens[queue], turns * self.turn[queue])
+
+    def before(self, place: np.ndarray) -> np.ndarray:
+        """For each place of the packed stream, the tokens of each queue that stand before it."""
+        place = np.minimum(np.asarray(place, np.int64), self.total)
+        at = np.interp(place, self.served, self.times)[:, None]
+        most = -(-self.tokens // self.turn)
+        x = np.minimum(most, np.floor(self.share * at / self.turn + 0.5).astype(np.int64))
+        rows = np.arange(len(place))
+        while True:  # take back the last turns, or add the next, until the turns that fit as a whole are a head of the order
+            last = np.where(x > 0, self.time(x - 1), -np.inf)
+            following = np.where(x < most, self.time(x), np.inf)
+            drop = x.shape[1] - 1 - last[:, ::-1].argmax(axis=1)
+            add = following.argmin(axis=1)
+            gap = place - self.size(x).sum(axis=1)
+            late, soon = last[rows, drop], following[rows, add]
+            wrong = (late > soon) | (late == soon) & (drop > add)
+            room = np.take_along_axis(self.size(x + 1) - self.size(x), add[:, None], axis=1)[:, 0]
+            back = (gap < 0) | wrong
+            more = ~back & np.isfinite(soon) & (gap >= room)
+            if not (back | more).any():
+                break
+            x[rows[back], drop[back]] -= 1
+            x[rows[more], add[more]] += 1
+        out = self.size(x)
+        part = np.isfinite(soon) & (gap > 0)
+        out[rows[part], add[part]] += gap[part]
+        return out
+
+    def place(self, queue: int, turns: np.ndarray) -> np.ndarray:
+        """Where turns of a queue stand in the packed stream."""
+        due = self.time(turns, queue)[:, None]
+        first = np.arange(len(self.share)) < queue  # those go first at the same time
+        x = np.maximum(0, np.floor(due * self.share / self.turn - 0.5).astype(np.int64))
+        while (low := (self.time(x) < due) | (self.time(x) == due) & first).any():
+            x = x + low
+        while (high := (x > 0) & ((self.time(x - 1) > due) | (self.time(x - 1) == due) & ~first)).any():
+            x = x - high
+        x[:, queue] = turns
+        return self.size(x).sum(axis=1)
+
+    def windows(self, queue: int, start: int, end: int) -> np.ndarray:
+        """The windows that may hold tokens ``start`` to ``end`` of a queue."""
+        turns = np.arange(start // self.turn[queue], (end - 1) // self.turn[queue] + 1)
+        edge = self.place(queue, turns[[0, -1]]) // self.window
+        wide = -(-int(self.turn[queue]) // self.window) + 1  # windows that one turn may reach into
+        if edge[1] - edge[0] <= 4 * len(turns):
+            return np.arange(edge[0], edge[1] + wide)
+        first = self.place(queue, turns) // self.window
+        return np.unique(np.concatenate([first + i for i in range(wide)]))
+
+    def spans(self, queue: int, start: int, end: int) -> tuple[np.ndarray, ...]:
+        """Tokens ``start`` to ``end`` of a queue as they fall into windows: first token, tokens, window, offset there."""
+        w = self.windows(queue, start, end)
+        known = np.unique(np.concatenate((w, w + 1)))
+        every = self.before(known * self.window)
+        x, y = every[np.searchsorted(known, w)], every[np.searchsorted(known, w + 1)]
+        low, high = np.maximum(x[:, queue], start), np.minimum(y[:, queue], end)
+        held = np.flatnonzero(low < high)
+        x, y, w, low, high = x[held], y[held], w[held], low[held], high[held]
+        return low, high - low, w, (y - x)[:, :queue].sum(axis=1) + low - x[:, queue]
+
+
+def pieces(mixture: Mixture, queue: int, base: int, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Documents of ``sizes`` tokens, which stand in the queue from token ``base`` on, cut by windows: document, start, length, window, offset."""
+    ends = base + np.cumsum(sizes)
+    low, length, window, offset = mixture.spans(queue, base, int(ends[-1]))
+    cuts = np.unique(np.concatenate((low, ends - sizes, ends)))
+    start, size = cuts[:-1], np.diff(cuts)
+    doc, span = np.searchsorted(ends, start, "right"), np.searchsorted(low, start, "right") - 1
+    return doc, start - (ends - sizes)[doc], size, window[span], offset[span] + start - low[span]
+
+
+def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, mixture: dict[str, float] | None = None, turn: int = 32, lane_tokens: int = 1 << 21, queues: int = 256) -> DataFrame:
+    """Pack every token of ``docs`` into sequences of ``window`` tokens; all but the last are full.
 
-    Null and empty texts pack as ``end_id`` alone; a null source is a queue of its own;
-    repeated rows and rows without a doc_id are packed as documents of their own.
+    mixture: target proportions by source, relative to each other; by default those of the
+    corpus in tokens, and sources that it doesn't name get their corpus proportion.  While
+    all queues have tokens, each window holds of each queue its share to within a token, or
+    to within ``turn`` tokens where its share of a window is less than that.  queues: the
+    largest sources, half of so many, and those of ``mixture`` have queues of their own; all others share the
+    rest by a hash.  lane_tokens: about so many tokens are one task's.
+
+    Null and empty texts pack as ``end_id`` alone, very long ones like any other; a null source
+    is a source of its own; repeated rows and rows without a doc_id are packed as documents of
+    their own; documents of a queue stand in a fixed order that their rows give, so there are
+    no ties.  An empty table gives no piece.  Other columns are ignored.
     """
     rows = materialize(encode_rows(docs, path, end_id))
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    by_source = materialize(rows.groupBy("source").agg(F.sum("n").alias("n")))
+    total = by_source.agg(F.sum("n")).first()[0] or 0
+    half = max(1, queues // 2)
+    own = {r.source for r in by_source.orderBy(F.desc("n"), "source").limit(half).collect()} | set(mixture or {})
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    spark = docs.sparkSession
+    listed = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(names)], "named string, own int"))
+
+    def queued(df: DataFrame) -> DataFrame:
+        found = df.join(listed, F.col("source").eqNullSafe(F.col("named")), "left")
+        return found.withColumn("queue", F.coalesce("own", F.lit(len(names)) + F.pmod(F.xxhash64("source"), F.lit(half)).cast("int"))).drop("named", "own")
+
     lanes = max(1, -(-total // lane_tokens))
-    rows = rows.withColumn("lane", F.pmod("rid", F.lit(lanes)))
-
-    cells = rows.groupBy("lane", "source").agg(F.sum("n").alias("n"))
-    cells = materialize(cells)
-    # Sequences and tokens before each lane: within blocks of lanes first, so that no task sorts all of them.
-    by_lane = cells.groupBy("lane").agg(F.sum("n").alias("lane_n")).withColumn("block", F.expr("lane div 4096")).withColumn("seqs", F.ceil(F.col("lane_n") / window))
-    blocks = by_lane.groupBy("block").agg(F.sum("lane_n").alias("bn"), F.sum("seqs").alias("bs"))
-    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("block", F.coalesce(F.sum("bn").over(upto), F.lit(0)).alias("bn"), F.coalesce(F.sum("bs").over(upto), F.lit(0)).alias("bs"))
-    inside = Window.partitionBy("block").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    by_lane = by_lane.select("lane", "block", F.coalesce(F.sum("lane_n").over(inside), F.lit(0)).alias("before"), F.coalesce(F.sum("seqs").over(inside), F.lit(0)).alias("first"))
-    by_lane = by_lane.join(blocks, "block").select("lane", (F.col("before") + F.col("bn")).alias("before"), (F.col("first") + F.col("bs")).cast("long").alias("first"))
-    share = cells.groupBy("source").agg((F.sum("n") / max(1, total)).alias("share"))
-    if mixture:
-        wanted = F.create_map(*[F.lit(x) for kv in mixture.items() for x in (kv[0], float(kv[1]))])
-        share = share.withColumn("share", F.coalesce(F.try_element_at(wanted, F.coalesce("source", F.lit(""))), F.col("share")))
-        share = share.withColumn("share", F.col("share") / (share.agg(F.sum("share")).first()[0] or 1.0))
-    earlier = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    plan = cells.withColumn("had", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    plan = plan.alias("p").join(share.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).join(by_lane.alias("l"), F.col("p.lane") == F.col("l.lane"))
-    plan = plan.select("p.lane", "p.source", "share", "first", (F.col("share") * F.col("before") - F.col("had")).alias("owed"))
+    rows = queued(rows).withColumn("lane", F.pmod("rid", F.lit(lanes)))
+    tokens = np.zeros(len(names) + half, np.int64)
+    for r in queued(by_source).groupBy("queue").agg(F.sum("n").alias("n")).collect():
+        tokens[r.queue] = r.n
+    share = tokens / max(1, total)
+    for source, wanted in (mixture or {}).items():
+        share[names.index(source)] = wanted
+    plan = Mixture(share / max(share.sum(), 1e-12), tokens, window, turn)
+    # Tokens of each queue before each lane: within blocks of lanes first, so that no task sorts all of them.
+    cells = materialize(rows.groupBy("lane", "queue").agg(F.sum("n").alias("n")).withColumn("block", F.expr("lane div 4096")))
+    earlier = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cells.groupBy("block", "queue").agg(F.sum("n").alias("n")).select("block", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("had"))
+    inside = Window.partitionBy("block", "queue").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cells.withColumn("in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["block", "queue"])
+    bases = bases.select("lane", "queue", (F.col("in") + F.col("had")).alias("base"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        dtype = id_dtype(path)
         if not left.num_rows:
             return pa.table([pa.array([], f) for f in _TYPES], names=_NAMES)
-        plans = {p["source"]: p for p in right.to_pylist()}
-        doc_ids, sources, n, rid = (left[c].to_pylist() for c in ("doc_id", "source", "n", "rid"))
-        order = sorted(range(len(n)), key=lambda i: (rid[i], doc_ids[i] or 0))
-        names = sorted(plans, key=lambda s: (s is None, s or ""))
-        queues: dict = {s: [] for s in names}
-        for i in order:
-            queues[sources[i]].append((i, n[i]))
-        packed, ids, out = left["ids"], {}, []
-        first = right["first"][0].as_py()
-        for i, start, take, number, offset in fill([queues[s] for s in names], [plans[s]["share"] for s in names], [float(plans[s]["owed"]) for s in names], window, turn):
-            if start == 0:
-                ids[i] = np.frombuffer(zlib.decompress(packed[i].as_py()), dtype).astype("<u4")
-            out.append((doc_ids[i], start, take, zlib.crc32(ids[i][start : start + take]), n[i], first + number, offset, sources[i]))
-            if start + take == n[i]:
-                del ids[i]
-        return pa.table([pa.array(c, f) for c, f in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-    return rows.groupBy("lane").cogroup(plan.groupBy("lane")).applyInArrow(run, PIECES)
+        base = dict(zip(right["queue"].to_pylist(), right["base"].to_pylist(), strict=True))
+        doc, source, packed = left["doc_id"].to_pylist(), left["source"].to_pylist(), left["ids"]
+        n, rid, queue = (left[c].to_numpy() for c in ("n", "rid", "queue"))
+        order = np.lexsort((n, left["doc_id"].fill_null(0).to_numpy(), rid, queue))
+        dtype, plain, out = id_dtype(path), zstandard.ZstdDecompressor(), []
+        for mine in np.split(order, np.flatnonzero(np.diff(queue[order])) + 1):
+            q, last = int(queue[mine[0]]), -1
+            for i, start, size, w, offset in zip(*[c.tolist() for c in pieces(plan, q, base[q], n[mine])], strict=True):
+                if i != last:
+                    at, last = int(mine[i]), i
+                    ids = np.frombuffer(plain.decompress(packed[at].as_py()), dtype).astype("<u4")
+                out.append((doc[at], start, size, zlib.crc32(ids[start : start + size]), len(ids), w, offset, source[at]))
+        table = pa.table([pa.array(c, f) for c, f in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
+        out.clear()
+        trim()
+        return table
+
+    return rows.groupBy("lane").cogroup(bases.groupBy("lane")).applyInArrow(run, PIECES)
 
 
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]
 _TYPES = [pa.string() if c.endswith("string") else pa.int64() for c in PIECES.split(", ")]
-
-
-def id_dtype(path: str) -> np.dtype:
-    return np.dtype("<u2" if library(path).get_vocab_size() <= 1 << 16 else "<u4")

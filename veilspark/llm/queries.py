@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import bpe, crf, images, packing, perplexity, ranking, sharding, simhash, suffixes, token_counts
+from . import bpe, crf, images, packing, perplexity, ranking, sharding, simhash, stages, suffixes, token_counts
 from .common import read
 
 
@@ -67,7 +65,7 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_crf, op2_quality_ranking, op3_sharding_lookup, op4_image_copies, op5_quality_perplexity, op6_suffix_merge, op7_bpe_prefix_dp, op8_mixture_packing, op9_token_counts, op10_simhash_ball)}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = stages.run
 
 #: The lookup table, claimed slot by slot: each step keeps the table, the places and the turn.
 ORACLE_SQL: dict[str, str] = {
