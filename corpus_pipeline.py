@@ -1,60 +1,5 @@
-"""A training-data pipeline of five corpus operators, each stage written and read again.
+"""The corpus pipeline as a script finds it; its stages are in ``veilspark.llm.stages``."""
 
-Quality rules, language identification and near-duplicate removal take documents away,
-suffix-array removal shortens texts, and packing turns what is left into sequences.
-"""
+from veilspark.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from veilspark.llm import crf, packing, perplexity, simhash, suffixes
-from veilspark.llm.common import ensure_importable, materialize, read
-
-#: Some stages are learned or counted models, which SQL can't express.
-ORACLE_SQL = None
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules on counts and lie within the perplexity band of their language."""
-    ensure_importable(spark)
-    return perplexity.keep_passing(docs)
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are for the larger part in one language."""
-    ensure_importable(spark)
-    return crf.keep_languages(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    ensure_importable(spark)
-    return simhash.keep_one(docs)
-
-
-def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings that an earlier document has; n_chars follows."""
-    ensure_importable(spark)
-    left = suffixes.strip_repeats(docs, keep_text=True)
-    new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens, at the corpus's own mixture of sources."""
-    import public_tokenizers
-
-    ensure_importable(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
