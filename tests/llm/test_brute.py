@@ -216,17 +216,56 @@ def test_op5_rare_language(spark):
     assert set(range(1000, 1020)) <= kept and 2000 not in kept and len(kept & set(range(200))) >= 198
 
 
-def test_op5_model(texts):
+def test_op5_other_scripts(spark):
+    """Random letters among prose of a script that is not Latin, with the same word lengths, are told apart."""
+    rng = random.Random(8)
+    for script in ("אבגדהוזחטיכלמנסעפצקרשת", "абвгдежзиклмнопрстуфхцчшщыьэюя", "あいうえおかきくけこさしすせそたちつてとなにぬねの"):
+        vocabulary = ["".join(rng.choices(script, [1 / (i + 1) for i in range(len(script))], k=rng.randint(2, 7))) for _ in range(300)]
+        prose = [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(150)]
+        junk = [" ".join("".join(rng.choice(script) for _ in w) for w in rng.choice(prose).split()) for _ in range(5)]
+        docs = [(i, t, "xx") for i, t in enumerate(prose + junk)]
+        kept = {r.doc_id for r in perplexity.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect() if r.kept}
+        assert len(kept & set(range(150))) >= 148 and not kept & set(range(150, 155))
+
+
+def test_op5_bands_and_groups(spark, texts):
+    """Bands against plain medians, and the same results however few n-grams are sent at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {r.doc_id: r for r in perplexity.judge(docs).collect()}
+    assert {d: (r.kept, r.entropy) for d, r in out.items()} == {r.doc_id: (r.kept, r.entropy) for r in perplexity.judge(docs, grams=1000).collect()}
+    near = {}
+    for lang in {r.lang for r in out.values()}:
+        e = np.sort([round(r.entropy, 3) for r in out.values() if r.lang == lang and not r.base_failed])
+        near[lang] = (np.median(e), 1.4826 * np.median(np.abs(e - np.median(e))), len(e))
+    every = np.array([round(r.entropy, 3) - near[r.lang][0] for r in out.values() if not r.base_failed])
+    usual = max(0.01, 1.4826 * np.median(np.abs(every - np.median(every))))
+    for r in out.values():
+        mid, dev, n = near[r.lang]
+        dev = max(np.sqrt((n * dev**2 + 30 * usual**2) / (n + 30)), 0.005) * np.sqrt(1 + np.pi / 2 / n)
+        off = abs(r.entropy - mid) / dev / np.sqrt(1 + 1500 / len(texts[r.doc_id])) if texts[r.doc_id] else 0
+        if abs(off - 4) > 0.02:
+            assert r.kept == (not r.base_failed and off <= 4)
+    assert abs(out[min(out)].perplexity - np.exp(out[min(out)].entropy)) < 1e-9
+
+
+def test_op5_model(spark, texts):
     """Probabilities sum to one, and equal a plain recursive Kneser-Ney over the same counts."""
-    code, starts = perplexity.codes([t.encode() for t in texts.values()])
-    keep = np.ones(len(code), bool)
-    for i in range(perplexity.ORDER - 1):
-        keep[starts[1:] - 1 - i] = False
-    count = Counter(code[keep].tolist())
-    model = perplexity.Model(np.array(sorted(count)), np.array([count[c] for c in sorted(count)]))
-    table = np.exp(model.dense().astype(float))
-    assert np.allclose(table.reshape(-1, perplexity.CLASSES).sum(axis=1), 1, atol=1e-5)
-    levels, grams = {}, {(c >> 15, c >> 10 & 31, c >> 5 & 31, c & 31): n for c, n in count.items()}
+    docs = spark.createDataFrame([(t, "x") for t in texts.values()], "text string, lang string")
+    signs = perplexity.alphabets(docs)
+    count = {r.code: r.n for r in perplexity.count_ngrams(docs, signs).collect()}
+    bits, size = perplexity.BITS, perplexity.SIGNS
+    plain = Counter()
+    for t in texts.values():
+        data = [0] * 3 + signs["x"][perplexity.points([t])].tolist()
+        plain.update(sum(data[i + j] << bits * (3 - j) for j in range(4)) for i in range(len(data) - 3))
+    assert count == dict(plain)
+    model = perplexity.Model(np.array(list(count)), np.array(list(count.values())))
+    score = lambda c: np.exp(model.score(np.array(c, np.uint32)).astype(float))
+    rng = random.Random(2)
+    for context in [c >> bits for c in rng.sample(sorted(count), 40)] + [rng.randrange(1 << 18) for _ in range(40)]:
+        assert abs(score([context << bits | i for i in range(size)]).sum() - 1) < 1e-5
+    part = lambda c: tuple(c >> bits * (3 - j) & size - 1 for j in range(4))
+    levels, grams = {}, {part(c): n for c, n in count.items()}
     for k in range(4, 0, -1):
         levels[k] = grams
         grams = Counter(g[1:] for g in grams)
@@ -241,15 +280,14 @@ def test_op5_model(texts):
 
     def probability(g):
         k = len(g)
-        below = probability(g[1:]) if k > 1 else 1 / 32
+        below = probability(g[1:]) if k > 1 else 1 / size
         if not whole.get((k, g[:-1])):
             return below
         n = levels[k].get(g, 0)
         return (max(n - cuts[k][min(n, 3)], 0) + spread[k, g[:-1]] * below) / whole[k, g[:-1]]
 
-    rng = random.Random(2)
-    for c in [*rng.sample(sorted(count), 200), *[rng.randrange(1 << 20) for _ in range(200)]]:
-        assert abs(table[c] - probability((c >> 15, c >> 10 & 31, c >> 5 & 31, c & 31))) < 1e-5
+    for c in [*rng.sample(sorted(count), 200), *[rng.randrange(1 << 24) for _ in range(200)]]:
+        assert abs(score([c])[0] - probability(part(c))) < 1e-5
 
 
 def strip(texts, length=100):
@@ -422,6 +460,71 @@ def test_op10_links_lose_nothing(spark):
     assert {m: roots.get(m, m) for m in signed} == group
 
 
+def edit(rng, words, share):
+    """A copy of which about that share of words is changed, each apart from the others."""
+    out = list(words)
+    for i in rng.sample(range(0, len(out), 6), int(share * len(out))):
+        out[i] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Every reported group hangs together by pairs of 0.8 or more; nearly all such pairs are reported."""
+    rng = random.Random(12)
+    texts, d = {}, 0
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 400, 900]))]
+        for share in (0, 0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.08):
+            texts[d] = edit(rng, words, share)
+            d += 1
+    texts |= {d: [], d + 1: [], d + 2: ["one"], d + 3: ["one"], d + 4: ["one", "two"]}
+    docs = spark.createDataFrame([(i, " ".join(w).upper() if i % 2 else " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    root = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert (root[d], root[d + 1], root[d + 2], root[d + 3], root[d + 4]) == (d, d, d + 2, d + 2, d + 4)
+    near, exact = [], {i: i for i in texts}
+
+    def find(i):
+        while exact[i] != i:
+            i = exact[i]
+        return i
+
+    for start in range(0, 600, 10):
+        for i in range(start, start + 10):
+            for j in range(start, i):
+                if jaccard(texts[i], texts[j]) >= 0.8:
+                    near.append((i, j))
+                    x, y = find(i), find(j)
+                    exact[max(x, y)] = min(x, y)
+    assert len(near) > 500 and np.mean([root[i] == root[j] for i, j in near]) > 0.97
+    assert all(find(i) == find(root[i]) for i in range(600))  # nothing is joined that does not hang together
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == set(root.values())
+
+
+def test_a_large_group_of_near_copies(spark):
+    """A third of all rows are near copies of one text: they make one group."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edit(rng, words, 0.01))) for i in range(300)] + [(1000 + i, " ".join(f"x{rng.randrange(9000)}" for _ in range(100))) for i in range(600)]
+    root = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {root[i] for i in range(300)} == {0} and all(root[1000 + i] == 1000 + i for i in range(600))
+
+
+def test_wide_fingerprint_follows_the_angle():
+    rng = np.random.default_rng(1)
+    for similar in (0.6, 0.8, 0.95):
+        every = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+        same = int(2000 * 2 * similar / (1 + similar))
+        a, b = every[:2000], np.concatenate((every[:same], every[2000 : 4000 - same]))
+        off = np.unpackbits((simhash.spread_bits(a, 64) ^ simhash.spread_bits(b, 64)).view(np.uint8)).mean()
+        assert abs(off - simhash.differing(similar)) < 0.02
+
+
 def test_pipeline_rows(spark, texts):
     """Each stage's decisions, from the operators' own results on that stage's input."""
     from veilspark.llm import stages as P
@@ -434,7 +537,7 @@ def test_pipeline_rows(spark, texts):
     two = materialize(P.language_id(spark, one, SF))
     assert {r.doc_id for r in two.select("doc_id").collect()} <= kept
     three = materialize(P.near_dedup(spark, two, SF))
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(two).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.near_copies(two).collect()}
     assert {r.doc_id for r in three.select("doc_id").collect()} == set(groups.values())
     four = materialize(P.suffix_dedup(spark, three, SF))
     want = strip({r.doc_id: r.text for r in three.collect()})

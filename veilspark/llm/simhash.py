@@ -4,19 +4,27 @@ Two fingerprints within the radius have a common variant within half of it, so e
 distinct fingerprint emits its whole ball of half the radius and equal variants meet in a
 shuffle.  A ball holds a fixed number of fingerprints, which bounds every group whatever
 the corpus; copies collapse to one fingerprint before any variant is made.
+
+``near_duplicates`` links fingerprints of 64 bits.  ``near_copies`` finds texts of a given
+similarity, which differ in more bits than one ball can reach: it makes balls around blocks
+of a wide fingerprint, and verifies the pairs that collide on their shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_files, materialize, only, slices, with_row_id, without
+from ..functions.bitmap import gathered
+from .common import as_files, materialize, only, slices, trim, with_row_id, without
 
 
 def fingerprint(text: str | None, words: int = 3, step: int = 1 << 18) -> int:
@@ -114,8 +122,185 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return rows.join(marks, "fp").select("rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "keeper")
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without the rows that another row of their component stands for."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct word shingles of a text as sorted 64-bit hashes; a shorter text is one shingle, one without words has none."""
+    import xxhash
+
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    size = min(words, len(found))
+    shingles = map(b" ".join, zip(*[found[i:] for i in range(size)], strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(found) - size + 1))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles; two texts without words are equal."""
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    every = len(a) + len(b) - same
+    return same / every if every else 1.0
+
+
+def spread_bits(hashes: np.ndarray, longs: int, step: int = 255 * 16) -> np.ndarray:
+    """Majority vote of ``longs`` independent 64-bit hashes of each shingle, as signed longs."""
+    ones = np.zeros(longs * 64, np.int64)
+    salts = np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), step):
+        h = hashes[at : at + step, None] ^ salts
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        for low in range(0, len(bits), 255):  # sums of bytes that fit into a byte
+            ones += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+
+
+def differing(similar: float) -> float:
+    """The share of bits in which two texts of some Jaccard similarity differ: the angle between their sets of shingles."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def plan(rows: int, similar: float, recall: float = 0.97) -> tuple[int, int]:
+    """Bits of a block and number of blocks: unlike texts seldom meet among ``rows``, and like ones meet with probability ``recall``."""
+    bits = max(28, rows.bit_length() + 10)
+    p = differing(similar)
+    near = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(3))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - near))
+
+
+def blocks_of(longs: list[Column], bits: int, blocks: int) -> Column:
+    """``array<struct<t, v>>``: the blocks of a wide fingerprint, which stand end to end in its longs."""
+    out = []
+    for t in range(blocks):
+        at, off = divmod(t * bits, 64)
+        value = F.shiftrightunsigned(longs[at], off)
+        if off + bits > 64:
+            value = value.bitwiseOR(F.shiftleft(longs[at + 1], 64 - off))
+        out.append(F.struct(F.lit(t).alias("t"), value.bitwiseAND(F.lit((1 << bits) - 1)).alias("v")))
+    return F.array(*out)
+
+
+def candidates(marks: DataFrame, longs: list[str], bits: int, blocks: int) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a > b, of ``marks (id, longs...)`` that are within two bits in some block.
+
+    Those with an equal block meet the least id of it, and the least id of those that are
+    equal in the next block as well.  Each distinct value of a block then emits its ball, all
+    values within one bit, so two that are within two bits share one; a ball meets at most
+    ``bits + 1`` values, whatever the corpus, and neighbours in it are paired.
+    """
+    each = marks.select("id", F.posexplode(blocks_of([F.col(c) for c in longs], bits, blocks)).alias("i", "e"))
+    each = each.select("id", "e.t", "e.v")
+    nexts = each.select("id", F.pmod(F.col("t") - 1, F.lit(blocks)).cast("int").alias("t"), F.col("v").alias("w"))
+    each = materialize(each.join(nexts, ["id", "t"]))
+    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    found = []
+    for keys in (["t", "v"], ["t", "v", "w"]):
+        heads = each.groupBy(*keys).agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+        found.append(each.join(heads, keys).where("id <> head").select(*pair("id", "head")))
+    values = each.groupBy("t", "v").agg(F.min("id").alias("id"))
+    masks = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)]))
+    balls = values.select("t", "v", "id", masks.alias("m")).select("t", "v", "id", F.col("v").bitwiseXOR(F.col("m")).alias("ball"))
+    near = Window.partitionBy("t", "ball").orderBy("v")
+    balls = balls.select("id", F.lag("id").over(near).alias("one"), F.first("id").over(near).alias("head"))
+    for other in ("one", "head"):
+        found.append(balls.where(F.col(other).isNotNull() & (F.col(other) != F.col("id"))).select(*pair("id", other)))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """The ``pairs (a, b)`` whose ``texts (id, text)`` are as similar as that, shingle by shingle."""
+    left = pairs.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "x"), "a")
+    both = left.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "y"), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor()
+        sets = lru_cache(maxsize=64)(lambda z: shingle_hashes(plain.decompress(z).decode(), words))  # the next pairs often share a text
+        for batch in batches:
+            keep = [similarity(sets(x), sets(y)) >= similar for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            trim()
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: float = 0.97) -> DataFrame:
+    """One row per row of ``docs``: rid, doc_id, component_id and the rid of its keeper, for texts of a Jaccard similarity of ``similar`` or more.
+
+    A wide fingerprint of independent blocks stands for each distinct sequence of words.
+    Blocks within two bits of each other meet by their balls; of the pairs that collide,
+    those whose whole fingerprints are too far apart for the similarity go, and the others are
+    verified on their shingles: first each text with its nearest, then all pairs that still
+    lie in different components.  Two texts of just that similarity meet with probability
+    ``recall`` or more, of a higher one almost surely; a pair that is reported is one.
+
+    Null, empty and white-space texts have no shingles and are equal to each other; a text
+    of fewer words is one shingle; very long texts are read whole.  Ties and repeated rows: the
+    smallest doc_id keeps the component, then the first row; rows without a doc_id come
+    last, and a component of such rows alone has a null id.  An empty table gives an empty one.
+    """
+    docs = as_files(only(docs, "doc_id", "text"))
+    rows = with_row_id(docs)
+    bits, blocks = plan(docs.count(), similar, recall)
+    longs = [f"f{i}" for i in range(-(-bits * blocks // 64))]
+    fields = ["rid", "doc_id", "k0", "k1", *longs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in slices(batches, "text", 2000, 4 << 20):
+            keys, marks = [], []
+            for text in batch.column("text").to_pylist():
+                whole = xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split()))
+                keys.append(np.frombuffer(whole, "<i8"))
+                marks.append(spread_bits(shingle_hashes(text, words), len(longs)))
+            columns = np.concatenate((np.array(keys), np.array(marks)), axis=1).T
+            yield pa.record_batch([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), *map(pa.array, map(np.ascontiguousarray, columns))], fields)
+
+    marks = materialize(rows.mapInArrow(run, ", ".join(f"{f} long" for f in fields)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    classes = marks.groupBy("k0", "k1").agg(first, *[F.min(f).alias(f) for f in longs])
+    classes = materialize(classes.withColumn("id", F.col("first.rid")))
+    pairs = candidates(classes.select("id", *longs), longs, bits, blocks)
+    p = differing(similar)
+    far = 64 * len(longs) * p + 5 * math.sqrt(64 * len(longs) * p * (1 - p))
+    mine, theirs = (classes.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in longs]) for x in "ab")
+    off = reduce(Column.__add__, [F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in longs])
+    pairs = materialize(pairs.join(mine, "a").join(theirs, "b").select("a", "b", off.cast("int").alias("off")).where(F.col("off") <= far))
+
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(gathered(ends, lambda b: b.column("id").to_numpy(), classes.count(), most=1 << 27))
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = zstandard.ZstdCompressor(3)
+        for batch in slices(batches, "text", 2000, 8 << 20):
+            batch = batch.filter(pa.array(wanted.value.has(batch.column("rid").to_numpy())))
+            texts = [own.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("rid"), pa.array(texts, pa.binary())], ["id", "text"])
+
+    texts = materialize(rows.select("rid", "text").mapInArrow(press, "id long, text binary").join(ends, "id", "left_semi"))
+    both = pairs.select("a", "b", "off").union(pairs.select("b", "a", "off")).toDF("x", "y", "off")
+    nearest = both.groupBy("x").agg(F.min(F.struct("off", "y")).alias("m")).select(F.greatest("x", "m.y").alias("a"), F.least("x", "m.y").alias("b")).distinct()
+    sure = materialize(verified(nearest, texts, words, similar))
+    roots = materialize(components(sure))
+    open_ = pairs.select("a", "b").join(sure, ["a", "b"], "left_anti")
+    for x in "ab":
+        named = roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        open_ = open_.join(named, x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    open_ = open_.where("ra <> rb").select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    links = materialize(sure.unionByName(verified(open_, texts, words, similar)))
+    roots = components(links)
+    classes = classes.join(roots, classes["id"] == roots["node"], "left").select("k0", "k1", "first", F.coalesce("root", "id").alias("root"))
+    classes = materialize(classes)
+    heads = classes.groupBy("root").agg(F.min("first").alias("head"))
+    classes = classes.join(heads, "root").select("k0", "k1", F.col("head.doc_id").alias("component_id"), F.col("head.rid").alias("keeper"))
+    return marks.select("rid", "doc_id", "k0", "k1").join(classes, ["k0", "k1"]).select("rid", "doc_id", "component_id", "keeper")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
+    """``docs`` without the rows that another row of their component stands for; see ``near_copies``."""
     docs = as_files(docs)
-    found = near_duplicates(docs, words, radius)
+    found = near_copies(docs, words, similar)
     return without(docs, found.where("rid <> keeper or not doc_id <=> component_id"))
