@@ -24,25 +24,31 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bpe
 from .common import BoundedCache, materialize, only, slices, trim, with_row_id
-from .tokens import byte_pretokens, chunks, library, parts, specials
+from .tokens import byte_pretokens, chunks, library, parts, specials, unmapped
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 class IdEncoder:
-    """Ids of whole texts as little-endian unsigned integers of one width, by the encoder of operator 7."""
+    """Ids of whole texts as little-endian unsigned integers of one width; keeps pre-tokens, and short texts that come again, seen lately."""
+
+    def __init__(self, path: str, cached: int = 400_000, texts: int = 4096, short: int = 1 << 13):
+        import tiktoken
 
-    def __init__(self, path: str, cached: int = 400_000):
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.path, self.ids = path, specials(path)[1]
-        self.dtype = np.dtype("<u2" if max(*vocab.values(), *self.ids.values(), 1) < 1 << 16 else "<u4")
-        encode, dtype = bpe.encoder(path).encode, self.dtype
+        self.dtype = dtype = np.dtype("<u2" if max(*vocab.values(), *self.ids.values(), 1) < 1 << 16 else "<u4")
+        ranks = {unmapped(t): i for t, i in vocab.items() if t not in self.ids}
+        encode = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary  # a pre-token is one piece
         self.cache = BoundedCache(lambda piece: np.array(encode(piece), dtype).tobytes(), cached)
+        self.again, self.short = lru_cache(maxsize=texts)(self._encode), short
 
     def encode(self, text: str) -> bytes:
+        return self.again(text) if len(text) < self.short else self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
         out = []
         for i, part in enumerate(parts(text, self.path)):
             if i % 2:
@@ -226,21 +232,22 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, mixtur
         if not left.num_rows:
             return pa.table([pa.array([], f) for f in _TYPES], names=_NAMES)
         base = dict(zip(right["queue"].to_pylist(), right["base"].to_pylist(), strict=True))
-        doc, source, packed = left["doc_id"].to_pylist(), left["source"].to_pylist(), left["ids"]
         n, rid, queue = (left[c].to_numpy() for c in ("n", "rid", "queue"))
         order = np.lexsort((n, left["doc_id"].fill_null(0).to_numpy(), rid, queue))
-        dtype, plain, out = id_dtype(path), zstandard.ZstdDecompressor(), []
+        cut = []
         for mine in np.split(order, np.flatnonzero(np.diff(queue[order])) + 1):
-            q, last = int(queue[mine[0]]), -1
-            for i, start, size, w, offset in zip(*[c.tolist() for c in pieces(plan, q, base[q], n[mine])], strict=True):
-                if i != last:
-                    at, last = int(mine[i]), i
-                    ids = np.frombuffer(plain.decompress(packed[at].as_py()), dtype).astype("<u4")
-                out.append((doc[at], start, size, zlib.crc32(ids[start : start + size]), len(ids), w, offset, source[at]))
-        table = pa.table([pa.array(c, f) for c, f in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
-        out.clear()
+            doc, *rest = pieces(plan, int(queue[mine[0]]), base[queue[mine[0]]], n[mine])
+            cut.append((mine[doc], *rest))
+        doc, start, size, number, offset = (np.concatenate(c) for c in zip(*cut, strict=True))
+        dtype, plain, packed, sums, last = id_dtype(path), zstandard.ZstdDecompressor(), left["ids"], [], -1
+        for i, low, high in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + size)).tolist(), strict=True):
+            if i != last:
+                ids, last = memoryview(np.frombuffer(plain.decompress(packed[i].as_py()), dtype).astype("<u4").tobytes()), i
+            sums.append(zlib.crc32(ids[low:high]))
+        at = pa.array(doc)
+        columns = [left["doc_id"].combine_chunks().take(at), start, size, sums, n[doc], number, offset, left["source"].combine_chunks().take(at)]
         trim()
-        return table
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, f) for c, f in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
     return rows.groupBy("lane").cogroup(bases.groupBy("lane")).applyInArrow(run, PIECES)
 
