@@ -71,7 +71,10 @@ def test_images(spark):
     picture = images.pgm(images.render([1.0, 2.0]))
     rows = [(1, picture), (2, picture), (2, picture), (None, picture), (3, None), (4, b""), (5, b"junk"), (6, b"P5 0 0 255\n"), (None, None), (7, images.pgm(images.edited(images.render([1.0, 2.0]), 0, 1)))]
     media = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in rows], "media_id long, image binary").withColumn("spot", F.lit("mine"))
-    out = {r.media_id: r.class_id for r in images.find_copies(media).collect()}
+    found = images.find_copies(media).collect()
+    out = {r.media_id: r.class_id for r in found}
+    assert {r.media_id: r.decoded for r in found if r.media_id} == {k: k in (1, 2, 7) for k in range(1, 8)}
+    assert len({r.n_corners for r in found if r.media_id in (1, 2)}) == 1
     assert out[1] == out[2] == out[7] == 1 and out[3] == out[4] == 3 and out[5] == 5 and out[6] == 6
     assert images.find_copies(media.where("media_id > 100")).count() == 0
 

@@ -1,14 +1,17 @@
 """Operator 4: cropped and edited copies of images by local descriptors.
 
-Corners on several scales are described by binary intensity tests, turned by the
-orientation of their patch.  Descriptors meet in Hamming tables (by pigeonhole, two that
-differ in fewer bits than there are tables agree in one of them); pairs of images whose
-matches agree on one similarity transform are linked, and links make groups.
+Corners on all scales that an image has room for are described by binary intensity tests,
+turned by the orientation of their patch.  There is no number of corners: every local
+maximum whose tests tell enough apart is one, so a crop keeps those of its part, and a large
+image has more.  Descriptors meet in Hamming tables (by pigeonhole, two that differ in fewer
+bits than there are tables agree in one of them); pairs of images whose matches agree on one
+similarity transform, first by vote and then by fit, are linked, and links make groups.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,19 +25,26 @@ from pyspark.sql import functions as F
 from .common import materialize, only, trim
 from .simhash import components
 
-RADIUS, TESTS, TURNS = 13, 256, 36
-LEVELS = (1.0, 2**0.5, 2.0)
+RADIUS, TESTS, TURNS = 16, 256, 36
+#: Parts of a cell: how far apart points must lie to count twice, and how near to the transform they must lie.
+APART, TIGHT = 3, 12
+#: Of the corners of the image with fewer of them, those that must agree.
+SHARE = 0.08
+LEVELS = tuple(2 ** (i / 2) for i in range(16))
+#: Grey values by which a test must differ to tell something, and the share of tests of a corner that must.
+TOLD, TELLING = 10.0, 0.75
+HEADER = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
 
 def decode(blob: bytes) -> np.ndarray | None:
     """Grey values of a binary PGM or an 8-bit PNG that is not interlaced; null for anything else."""
     try:
-        if blob[:2] == b"P5":
-            _, width, height, top, rest = blob.split(None, 4)
-            if int(top) > 255:
+        if m := HEADER.match(blob):
+            width, height, top = map(int, m.groups())
+            size = width * height
+            if top > 255 or not size:
                 return None
-            size = int(width) * int(height)
-            return np.frombuffer(blob[-size:], np.uint8).reshape(int(height), int(width)).astype(np.float32) if size else None
+            return np.frombuffer(blob[m.end() : m.end() + size], np.uint8).reshape(height, width).astype(np.float32)
         if blob[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(blob)
     except (ValueError, IndexError, struct.error, zlib.error):
@@ -99,7 +109,8 @@ def resized(image: np.ndarray, by: float) -> np.ndarray:
 def patterns() -> np.ndarray:
     """Test points for every turn: turn, test, end, (dy, dx)."""
     rng = np.random.default_rng(11)
-    points = np.clip(rng.normal(0, RADIUS / 2.2, (TESTS, 2, 2)), -RADIUS + 4, RADIUS - 4)
+    turned, far = rng.uniform(0, 2 * np.pi, (TESTS, 2)), (RADIUS - 2) * np.sqrt(rng.uniform(0, 1, (TESTS, 2)))
+    points = np.stack((far * np.sin(turned), far * np.cos(turned)), axis=-1)
     turns = 2 * np.pi * np.arange(TURNS) / TURNS
     c, s = np.cos(turns)[:, None, None], np.sin(turns)[:, None, None]
     y, x = points[..., 0][None], points[..., 1][None]
@@ -113,9 +124,9 @@ def disc() -> tuple[np.ndarray, np.ndarray]:
     return y[inside], x[inside]
 
 
-def describe(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` strongest corners: (x, y, scale, angle) in pixels of the image, and packed descriptors."""
-    places, marks, power = [], [], []
+def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All corners: (x, y, scale, angle) in pixels of the image, and packed descriptors."""
+    places, marks = [], []
     for scale in LEVELS:
         level = resized(image, scale)
         if min(level.shape) < 2 * RADIUS + 6:
@@ -129,58 +140,57 @@ def describe(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
             for dx in range(3):
                 if (dy, dx) != (1, 1):
                     peak = np.maximum(peak, harris[dy : dy + peak.shape[0], dx : dx + peak.shape[1]])
-        inner = (slice(m, harris.shape[0] - m), slice(m, harris.shape[1] - m))
-        core = harris[inner]
+        core = harris[m : harris.shape[0] - m, m : harris.shape[1] - m]
         y, x = np.nonzero((core >= peak[m - 1 : m - 1 + core.shape[0], m - 1 : m - 1 + core.shape[1]]) & (core > 1.0))
         if not len(y):
             continue
-        force = core[y, x]
-        keep = np.lexsort((x, y, -force))[:most]
-        y, x, force = y[keep] + m, x[keep] + m, force[keep]
+        y, x, smooth = y + m, x + m, box(level, 2)
         dy, dx = disc()
-        patch = level[y[:, None] + dy, x[:, None] + dx]
-        angle = np.arctan2(patch @ dy, patch @ dx)
-        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-        smooth = box(level, 2)
-        at = patterns()[turn]
-        ends = smooth[y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
-        marks.append(np.packbits(ends[..., 0] < ends[..., 1], axis=1))
-        places.append(np.stack((x * scale, y * scale, np.full(len(x), scale), angle), axis=1))
-        power.append(force)
+        for at in range(0, len(y), 2000):  # bounds the patches held at a time
+            v, u = y[at : at + 2000], x[at : at + 2000]
+            patch = level[v[:, None] + dy, u[:, None] + dx]
+            angle = np.arctan2(patch @ dy, patch @ dx)
+            ends = patterns()[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
+            ends = smooth[v[:, None, None] + ends[..., 0], u[:, None, None] + ends[..., 1]]
+            rise = ends[..., 1] - ends[..., 0]
+            telling = (np.abs(rise) > TOLD).mean(axis=1) >= TELLING
+            marks.append(np.packbits(rise[telling] > 0, axis=1))
+            places.append(np.stack((u * scale, v * scale, np.full(len(u), scale), angle), axis=1)[telling])
     if not places:
         return np.zeros((0, 4)), np.zeros((0, TESTS // 8), np.uint8)
-    places, marks = np.concatenate(places), np.concatenate(marks)
-    keep = np.argsort(-np.concatenate(power), kind="stable")[:most]
-    return places[keep], marks[keep]
+    return np.concatenate(places), np.concatenate(marks)
 
 
-DESCRIBED = "media_id long, content long, spot long, d0 long, d1 long, d2 long, d3 long"
+DESCRIBED = "media_id long, content long, spot long, d0 long, d1 long, d2 long, d3 long, decoded boolean"
 WORDS = ("d0", "d1", "d2", "d3")
 ANGLES = 1024
 
 
 def spots(places: np.ndarray) -> np.ndarray:
-    """Place, scale and angle of corners in one number each: 16 bits of x, 16 of y, 4 of scale, 10 of angle."""
+    """Place, scale and angle of an image's corners in one number each: 16 bits of their number, 16 of x, 16 of y, 4 of scale, 10 of angle."""
     x, y, scale, angle = places.T
     level = np.rint(2 * np.log2(scale)).astype(np.int64)
     turn = np.rint(angle / (2 * np.pi) * ANGLES).astype(np.int64) % ANGLES
-    return (np.rint(x).astype(np.int64) << 30) | (np.rint(y).astype(np.int64) << 14) | (level << 10) | turn
+    return (min(len(places), (1 << 16) - 1) << 46) | (np.rint(x).astype(np.int64) << 30) | (np.rint(y).astype(np.int64) << 14) | (level << 10) | turn
 
 
-def descriptors(media: DataFrame, most: int) -> DataFrame:
-    """One row per corner, and one without a descriptor for an image that has none; content: a hash of the image."""
+def descriptors(media: DataFrame) -> DataFrame:
+    """One row per corner, and one without a descriptor for each image; content: a hash of the image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in DESCRIBED.split(", ")]
         for batch in batches:
-            out: list[tuple] = []
-            for key, blob in zip(batch.column("media_id").to_pylist(), batch.column("image").to_pylist(), strict=True):
-                content = int.from_bytes(hashlib.sha256(blob or b"").digest()[:8], "big", signed=True)
-                image = decode(blob) if blob else None
-                places, marks = describe(image, most) if image is not None else (np.zeros((0, 4)), np.zeros((0, TESTS // 8), np.uint8))
-                words = np.ascontiguousarray(marks).view("<i8").tolist()
-                out += [(key, content, s, *w) for s, w in zip(spots(places).tolist(), words, strict=True)] or [(key, content, *[None] * 5)]
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in DESCRIBED.split(", ")])
+            for at in range(0, batch.num_rows, 200):
+                part, out = batch.slice(at, 200), []
+                for key, blob in zip(part.column("media_id").to_pylist(), part.column("image").to_pylist(), strict=True):
+                    content = int.from_bytes(hashlib.sha256(blob or b"").digest()[:8], "big", signed=True)
+                    image = decode(blob) if blob else None
+                    places, marks = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, TESTS // 8), np.uint8))
+                    words = np.ascontiguousarray(marks).view("<i8").tolist()
+                    out.append((key, content, None, *[None] * 4, image is not None))
+                    out += [(key, content, s, *w, True) for s, w in zip(spots(places).tolist(), words, strict=True)]
+                kinds = [pa.int64()] * 7 + [pa.bool_()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return only(media, "media_id", "image").mapInArrow(run, DESCRIBED)
 
@@ -190,8 +200,11 @@ def piece(i: int, j: int) -> Column:
     return F.xxhash64(F.lit(2 * i + j), F.shiftrightunsigned(WORDS[i], 32 * j).bitwiseAND(0xFFFFFFFF))
 
 
-def close(keys: np.ndarray, words: list[np.ndarray], known: np.ndarray, theirs: list[np.ndarray], reach: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows with equal keys (``known`` is sorted) of which at most ``reach`` bits of the words differ; about ``step`` are compared at a time."""
+def close(keys: np.ndarray, words: np.ndarray, known: np.ndarray, order: np.ndarray, theirs: np.ndarray, reach: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of ``words``, row of ``theirs``) with equal keys of which at most ``reach`` bits differ; about ``step`` are compared at a time.
+
+    ``known`` has the keys of ``theirs`` in order, ``order`` the rows that they belong to.
+    """
     low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
     edge = np.concatenate(([0], np.cumsum(high - low)))
     at = 0
@@ -199,10 +212,10 @@ def close(keys: np.ndarray, words: list[np.ndarray], known: np.ndarray, theirs:
         to = max(at + 1, int(np.searchsorted(edge, edge[at] + step, "right")) - 1)
         n = (high - low)[at:to]
         x = np.repeat(np.arange(at, to), n)
-        y = np.arange(len(x)) + np.repeat(low[at:to] - edge[at:to] + edge[at], n)
+        y = order[np.arange(len(x)) + np.repeat(low[at:to] - edge[at:to] + edge[at], n)]
         off = np.zeros(len(x), np.uint8)
-        for u, v in zip(words, theirs, strict=True):
-            off += np.bitwise_count(u[x] ^ v[y])
+        for half in (slice(0, 2), slice(2, 4)):
+            off += np.bitwise_count(words[x, half] ^ theirs[y, half]).sum(axis=1, dtype=np.uint8)
             keep = np.flatnonzero(off <= reach)
             x, y, off = x[keep], y[keep], off[keep]
         if len(x):
@@ -220,16 +233,15 @@ def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, s
     (ids, spot, words), (other, there, theirs) = left, right
     parts, near = words.view("<u4"), theirs.view("<u4")
     images, place = np.unique(other, return_inverse=True)
-    tables = [(near[order, i], order, [theirs[order, w] for w in range(4)]) for i in range(8) for order in [np.argsort(near[:, i], kind="stable")]]
+    tables = [(near[order, i], order) for i in range(8) for order in [np.argsort(near[:, i], kind="stable").astype(np.uint32)]]
     at = done = 0
     while at < len(ids):
         last = ids[min(at + span, len(ids)) - 1]
         to, upto = (int(np.searchsorted(x, last, "right")) for x in (ids, known[0]))
         rows = []
-        for i, (keys, order, sorted_) in enumerate(tables):
-            turn = at + np.argsort(parts[at:to, i], kind="stable")
-            for x, y in close(parts[turn, i], [words[turn, w] for w in range(4)], keys, sorted_, reach):
-                x, y = turn[x], order[y]
+        for i, (keys, order) in enumerate(tables):
+            for x, y in close(parts[at:to, i], words[at:to], keys, order, theirs, reach):
+                x = x + at
                 keep = ids[x] > other[y] if same else slice(None)
                 rows.append((x[keep], y[keep]))
         x, y = (np.concatenate([r[k] for r in rows] or [np.zeros(0, np.int64)]) for k in (0, 1))
@@ -245,117 +257,163 @@ def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, s
     yield known[:, done:]
 
 
+def numbers(*columns: np.ndarray) -> np.ndarray:
+    """The number of each row's group of equal rows."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), np.int64)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def read_spots(spot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place, level and angle of ``spots``."""
+    return tuple(((spot >> shift) & ((1 << bits) - 1)).astype(np.float64) for shift, bits in ((30, 16), (14, 16), (10, 4), (0, 10)))
+
+
 def agreeing(m: np.ndarray, least: int) -> np.ndarray:
-    """Pairs of images, from matches as of ``meet``, of which ``least`` corners agree on a shift, turn and scale, in cells that overlap by half."""
-
-    def groups(*columns: np.ndarray) -> np.ndarray:
-        """The number of each row's group of equal rows."""
-        order = np.lexsort(columns)
-        new = np.zeros(len(order), np.int64)
-        for c in columns:
-            new[1:] |= c[order][1:] != c[order][:-1]
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(new)
-        return out
+    """Pairs of images, from matches as of ``meet``, of which ``least`` corners, and a share of all, agree on a shift, turn and scale.
+
+    They vote in cells that overlap by half and are as wide as a fifth of the images; where
+    enough agree, a similarity is fitted to them, and so many must lie on it.
+    """
 
     def several(group: np.ndarray) -> np.ndarray:
         return np.bincount(group)[group] >= least if len(group) else np.zeros(0, bool)
 
-    m = m[:, several(groups(m[0], m[2]))]
+    m = m[:, several(numbers(m[0], m[2]))]
     if not m.shape[1]:
         return m[[0, 2]]
-    pair = groups(m[0], m[2])
-    (px, py, pl, pt), (qx, qy, ql, qt) = ([((c >> shift) & ((1 << bits) - 1)).astype(np.float64) for shift, bits in ((30, 16), (14, 16), (10, 4), (0, 10))] for c in m[[1, 3]])
+    pair = numbers(m[0], m[2])
+    (px, py, pl, pt), (qx, qy, ql, qt) = (read_spots(c) for c in m[[1, 3]])
     turn, grow = (pt - qt) / ANGLES, 2.0 ** ((pl - ql) / 2)
     c, s = np.cos(2 * np.pi * turn), np.sin(2 * np.pi * turn)
     sx, sy = px - grow * (c * qx - s * qy), py - grow * (s * qx + c * qy)
-    good = np.zeros(m.shape[1], bool)
+    extent = np.zeros(pair.max() + 1)
+    np.maximum.at(extent, pair, np.maximum.reduce([px, py, grow * qx, grow * qy]))
+    wide = np.maximum(24.0, extent / 5)[pair]
+    need = np.maximum(least, np.ceil(SHARE * np.minimum(m[1] >> 46, m[3] >> 46))).astype(np.int64)  # the more corners, the more agree by chance
+    good = np.zeros(len(extent), bool)  # pairs that are linked
     for i, j, k in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]:
         key = pair.astype(np.uint64)  # 26 bits, then 4, 15, 15 and 4: no two cells share a number
-        for value, bits in ((pl - ql + 8, 4), (np.floor(sx / 24 + i / 2) + (1 << 14), 15), (np.floor(sy / 24 + j / 2) + (1 << 14), 15), (np.floor((turn * 12 + k / 2) % 12.0), 4)):
+        for value, bits in ((pl - ql + 8, 4), (np.floor(sx / wide + i / 2) + (1 << 14), 15), (np.floor(sy / wide + j / 2) + (1 << 14), 15), (np.floor((turn * 12 + k / 2) % 12.0), 4)):
             key = key << np.uint64(bits) | value.astype(np.uint64)
         order = np.argsort(key)
-        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        sizes = np.diff(np.append(np.flatnonzero(new), len(key)))
-        rows = order[np.repeat(sizes >= least, sizes)]
-        if not len(rows):
-            continue
-        cell = groups(key[rows])
-        ends = []
-        for spot in m[[1, 3]]:
-            once = np.unique(groups(cell, spot[rows]), return_index=True)[1]
-            ends.append(np.bincount(cell[once], minlength=cell.max() + 1))
-        good[rows] |= (np.minimum(*ends) >= least)[cell]
-    return np.unique(m[[0, 2]][:, good], axis=1)
-
-
-def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: int = 200_000) -> DataFrame:
+        edge = np.append(np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))), len(key))
+        sizes = np.diff(edge)
+        enough = sizes >= need[order[edge[:-1]]]
+        for cell in np.argsort(np.where(enough, -sizes, 0), kind="stable")[: np.count_nonzero(enough)].tolist():
+            rows = order[edge[cell] : edge[cell + 1]]
+            if not good[pair[rows[0]]] and fits(px[rows] + 1j * py[rows], qx[rows] + 1j * qy[rows], wide[rows[0]], int(need[rows[0]])):
+                good[pair[rows[0]]] = True
+    return np.unique(m[[0, 2]][:, good[pair]], axis=1)
+
+
+def fits(p: np.ndarray, q: np.ndarray, wide: float, least: int, rounds: int = 4) -> bool:
+    """Whether ``least`` points on either side, each a third of a cell or so from the next, lie on one similarity p = a q + b."""
+    keep, apart = np.ones(len(p), bool), wide / APART
+    places = lambda z: len(np.unique(np.round(z.real / apart) + 1j * np.round(z.imag / apart)))
+    for turn in range(rounds):
+        x, y = p[keep], q[keep]
+        spread = y - y.mean()
+        if not (norm := (np.abs(spread) ** 2).sum()):
+            return False
+        a = (spread.conj() * x).sum() / norm
+        off = np.abs(p - a * q - (x.mean() - a * y.mean()))
+        near = off <= max(wide / TIGHT, 1.2 * np.median(off[keep]) if turn + 1 < rounds else 0)
+        if min(places(p[near]), places(a * q[near])) < least:
+            return False
+        keep = near
+    return 0.3 < abs(a) < 3.5
+
+
+def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: int = 1_400_000, few: int = 8) -> DataFrame:
     """Pairs of images (a, b), a > b, of which ``least`` corners match and agree on a transform.
 
-    Every two corners with an equal 32-bit piece are compared.  In buckets of up to ``crowd``
-    corners they meet in a join on the piece.  Corners of larger buckets are dealt into blocks
+    Every two corners with an equal 32-bit piece are compared.  Corners are dealt into blocks
     of images, and each pair of blocks meets in a task of its own that compares and votes
-    there: only links leave it, however many corners look alike.
+    there: only links leave it, however many corners look alike.  With up to ``few`` blocks that
+    moves less than a table for each piece would.  With more, only corners of buckets with over
+    ``crowd`` go that way; in smaller buckets they meet in a join on the piece.  The links are the same.
     """
-    entries = points.select("id", "spot", *WORDS, F.explode(F.array(*[piece(i, j) for i in range(4) for j in (0, 1)])).alias("key"))
-    sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    few = entries.join(sizes.where(F.col("n") <= crowd).select("key"), "key")
-    other = few.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "spot", *WORDS)])
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o_{w}"))) for w in WORDS), F.lit(0))
-    pairs = few.join(other, "key").where((F.col("id") > F.col("o_id")) & (apart <= reach))
-    pairs = materialize(pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b"), F.col("spot").alias("p"), F.col("o_spot").alias("q")))
-    many = entries.select("id", "spot", "key").join(sizes.where(F.col("n") > crowd).select("key"), "key", "left_semi").select("id", "spot").distinct()
-    many = materialize(points.join(many, ["id", "spot"], "left_semi"))
-    n = max(1, -(-many.count() // block), -(-pairs.count() // (20 * block)))
+    spark = points.sparkSession
+    total = points.count()
+    none = spark.createDataFrame([], "a long, p long, b long, q long")
+    many, pairs = points, none
+    if total > few * block:
+        entries = points.select("id", "spot", *WORDS, F.explode(F.array(*[piece(i, j) for i in range(4) for j in (0, 1)])).alias("key"))
+        sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        small = entries.join(sizes.where(F.col("n") <= crowd).select("key"), "key")
+        other = small.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "spot", *WORDS)])
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o_{w}"))) for w in WORDS), F.lit(0))
+        pairs = small.join(other, "key").where((F.col("id") > F.col("o_id")) & (apart <= reach))
+        pairs = materialize(pairs.select(F.col("id").alias("a"), F.col("spot").alias("p"), F.col("o_id").alias("b"), F.col("o_spot").alias("q")))
+        many = entries.select("id", "spot", "key").join(sizes.where(F.col("n") > crowd).select("key"), "key", "left_semi").select("id", "spot").distinct()
+        many = materialize(points.join(many, ["id", "spot"], "left_semi"))
+        total = many.count()
+    n = max(1, -(-total // block))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     cell = lambda x, y: F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"))
-    corners = many.withColumn("mine", part("id")).select("*", F.explode(F.array(*[F.lit(x) for x in range(n)])).alias("x"))
-    corners = corners.select(*points.columns, "mine", cell(F.col("mine"), F.col("x")).alias("c")).select(*points.columns, "mine", "c.i", "c.j")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column("mine").to_numpy()
+            rows = np.stack([batch.column(c).to_numpy() for c in ("id", "spot", *WORDS)], axis=1)
+            for k in np.unique(mine).tolist():
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([rows[mine == k].tobytes()], pa.binary())], ["mine", "blob"])
+
+    corners = many.select("id", "spot", *WORDS, part("id").alias("mine")).mapInArrow(pack, "mine int, blob binary")
+    corners = corners.select("*", F.explode(F.array(*[F.lit(x) for x in range(n)])).alias("x"))
+    corners = corners.select("mine", "blob", cell(F.col("mine"), F.col("x")).alias("c")).select("mine", "blob", "c.i", "c.j")
     pairs = pairs.withColumns({"mine": part("a"), "c": cell(part("a"), part("b"))}).select("a", "p", "b", "q", "mine", "c.i", "c.j")
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         i, j = (k.as_py() for k in key)
-        get = lambda table, *names: [table.column(c).to_numpy() for c in names]
-        ids, mine, spot = get(left, "id", "mine", "spot")
-        words = np.stack(get(left, *WORDS), axis=1).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
         sides = []
         for k in (i, j):
-            at = np.flatnonzero(mine == k)
-            at = at[np.argsort(ids[at], kind="stable")]
-            sides.append((ids[at], spot[at], words[at]))
-        known, owner = np.stack(get(right, "a", "p", "b", "q")), right.column("mine").to_numpy()
+            mine = [np.frombuffer(b, np.int64).reshape(-1, 6) for m, b in zip(left["mine"].to_pylist(), left["blob"].to_pylist(), strict=True) if m == k]
+            rows = np.concatenate(mine or [np.zeros((0, 6), np.int64)])
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            sides.append((rows[:, 0].copy(), rows[:, 1].copy(), np.ascontiguousarray(rows[:, 2:]).view(np.uint64)))
+            del mine, rows
+        known, owner = np.stack([right.column(c).to_numpy() for c in ("a", "p", "b", "q")]), right.column("mine").to_numpy()
         known[:, owner != i] = known[:, owner != i][[2, 3, 0, 1]]
         known = known[:, np.argsort(known[0], kind="stable")]
         found = np.concatenate([agreeing(m, least) for m in meet(*sides, known, reach, least, i == j)], axis=1)
+        del sides
         trim()
         return pa.table({"a": found.max(axis=0), "b": found.min(axis=0)})
 
     return corners.groupBy("i", "j").cogroup(pairs.groupBy("i", "j")).applyInArrow(run, "a long, b long").distinct()
 
 
-def find_copies(media: DataFrame, most: int = 24, reach: int = 24, consensus: int = 4) -> DataFrame:
-    """One row per row of ``media (media_id, image)``: class_id, the smallest media_id of its copies, and links.
+def find_copies(media: DataFrame, reach: int = 32, consensus: int = 5, **blocks) -> DataFrame:
+    """One row per row of ``media (media_id, image)``: class_id, the smallest media_id of its copies, links, corners, and whether it could be read.
 
-    most: corners that describe an image, the strongest of all scales.  reach: of the 256
-    bits of a descriptor, those that may differ between matching corners, which also have a
-    32-bit piece in common.  consensus: corners that must agree on one transform.
+    reach: of the 256 bits of a descriptor, those that may differ between matching corners,
+    which also have a 32-bit piece in common.  consensus: corners that must lie on one
+    similarity transform.  blocks: see ``linked``.
 
     Identical images are one image from their content's hash on, however many there are.
-    Null, empty or unreadable images are classes of their own content; rows without a
-    media_id get the class of their content's smallest id, null if none.  Repeated rows
-    give one row; ties go to the smaller id.
+    Null, empty or unreadable images (other formats than binary PGM and plain 8-bit PNG) are
+    classes of their own content with ``decoded`` false; images without a telling corner are too.
+    Very large images have more corners and more scales.  Rows without a media_id get the class
+    of their content's smallest id, null if none.  Repeated rows give one row; ties go to the
+    smaller id; an empty table gives an empty one; other columns are ignored.
     """
-    found = materialize(descriptors(media, most))
-    images = materialize(found.groupBy("content", "media_id").agg(F.count("spot").alias("n_corners")))
+    found = materialize(descriptors(media))
+    images = materialize(found.groupBy("content", "media_id").agg((F.count("spot") / F.count_if(F.col("spot").isNull())).cast("long").alias("n_corners"), F.bool_and("decoded").alias("decoded")))
     classes = images.groupBy("content").agg(F.min("media_id").alias("id"))
     points = found.where("spot is not null").join(classes.select("content", "id"), "content").where("media_id = id")
     points = materialize(points.select("id", "spot", *WORDS).dropDuplicates(["id", "spot"]))
-    links = materialize(linked(points, reach, consensus))
+    links = materialize(linked(points, reach, consensus, **blocks))
     roots = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     classes = classes.join(roots, classes["id"] == roots["node"], "left").select("content", "id", F.coalesce("root", "id").alias("class_id"))
     classes = classes.join(degree, "id", "left").select("content", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return images.join(classes, "content").select("media_id", "class_id", "n_links", "n_corners")
+    return images.join(classes, "content").select("media_id", "class_id", "n_links", "n_corners", "decoded")
 
 
 def render(vector: list[float] | None, size: int = 112) -> np.ndarray:
