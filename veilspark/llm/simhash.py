@@ -172,15 +172,15 @@ def plan(rows: int, similar: float, recall: float = 0.97) -> tuple[int, int]:
 
 
 def blocks_of(longs: list[Column], bits: int, blocks: int) -> Column:
-    """``array<struct<t, v>>``: the blocks of a wide fingerprint, which stand end to end in its longs."""
-    out = []
+    """``array<struct<t, v, w>>``: the blocks of a wide fingerprint, which stand end to end in its longs, each with the next one."""
+    values = []
     for t in range(blocks):
         at, off = divmod(t * bits, 64)
         value = F.shiftrightunsigned(longs[at], off)
         if off + bits > 64:
             value = value.bitwiseOR(F.shiftleft(longs[at + 1], 64 - off))
-        out.append(F.struct(F.lit(t).alias("t"), value.bitwiseAND(F.lit((1 << bits) - 1)).alias("v")))
-    return F.array(*out)
+        values.append(value.bitwiseAND(F.lit((1 << bits) - 1)))
+    return F.array(*[F.struct(F.lit(t).alias("t"), v.alias("v"), values[(t + 1) % blocks].alias("w")) for t, v in enumerate(values)])
 
 
 def candidates(marks: DataFrame, longs: list[str], bits: int, blocks: int) -> DataFrame:
@@ -191,22 +191,18 @@ def candidates(marks: DataFrame, longs: list[str], bits: int, blocks: int) -> Da
     values within one bit, so two that are within two bits share one; a ball meets at most
     ``bits + 1`` values, whatever the corpus, and neighbours in it are paired.
     """
-    each = marks.select("id", F.posexplode(blocks_of([F.col(c) for c in longs], bits, blocks)).alias("i", "e"))
-    each = each.select("id", "e.t", "e.v")
-    nexts = each.select("id", F.pmod(F.col("t") - 1, F.lit(blocks)).cast("int").alias("t"), F.col("v").alias("w"))
-    each = materialize(each.join(nexts, ["id", "t"]))
+    each = marks.select("id", F.inline(blocks_of([F.col(c) for c in longs], bits, blocks)))
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    found = []
-    for keys in (["t", "v"], ["t", "v", "w"]):
-        heads = each.groupBy(*keys).agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-        found.append(each.join(heads, keys).where("id <> head").select(*pair("id", "head")))
-    values = each.groupBy("t", "v").agg(F.min("id").alias("id"))
+    heads = materialize(each.groupBy("t", "v").agg(F.min("id").alias("head"), F.count("*").alias("n")))
+    crowd = materialize(each.join(heads.where("n > 1").drop("n"), ["t", "v"]).select("t", "v", "w", "id", "head"))
+    nearer = crowd.groupBy("t", "v", "w").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = [crowd.where("id <> head").select(*pair("id", "head")), crowd.drop("head").join(nearer, ["t", "v", "w"]).where("id <> head").select(*pair("id", "head"))]
     masks = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)]))
-    balls = values.select("t", "v", "id", masks.alias("m")).select("t", "v", "id", F.col("v").bitwiseXOR(F.col("m")).alias("ball"))
-    near = Window.partitionBy("t", "ball").orderBy("v")
-    balls = balls.select("id", F.lag("id").over(near).alias("one"), F.first("id").over(near).alias("head"))
-    for other in ("one", "head"):
-        found.append(balls.where(F.col(other).isNotNull() & (F.col(other) != F.col("id"))).select(*pair("id", other)))
+    balls = heads.select("t", "v", F.col("head").alias("id"), masks.alias("m"))
+    balls = balls.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v").bitwiseXOR(F.col("m"))).alias("ball"), "id")
+    near = Window.partitionBy("ball").orderBy("id")
+    met = balls.select("id", F.lag("id").over(near).alias("one"), F.first("id").over(near).alias("head")).where("one is not null")
+    found += [met.where(F.col("one") != F.col("id")).select(*pair("id", "one")), met.where((F.col("head") != F.col("id")) & (F.col("head") != F.col("one"))).select(*pair("id", "head"))]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -262,7 +258,7 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: f
     marks = materialize(rows.mapInArrow(run, ", ".join(f"{f} long" for f in fields)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = marks.groupBy("k0", "k1").agg(first, *[F.min(f).alias(f) for f in longs])
-    classes = materialize(classes.withColumn("id", F.col("first.rid")))
+    classes = materialize(classes.withColumn("id", F.col("k0")))  # from the words alone, so another place of the files changes nothing
     pairs = candidates(classes.select("id", *longs), longs, bits, blocks)
     p = differing(similar)
     far = 64 * len(longs) * p + 5 * math.sqrt(64 * len(longs) * p * (1 - p))
@@ -271,16 +267,17 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: f
     pairs = materialize(pairs.join(mine, "a").join(theirs, "b").select("a", "b", off.cast("int").alias("off")).where(F.col("off") <= far))
 
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(gathered(ends, lambda b: b.column("id").to_numpy(), classes.count(), most=1 << 27))
+    ends = materialize(classes.select("id", F.col("first.rid").alias("rid")).join(ends, "id", "left_semi"))
+    wanted = docs.sparkSession.sparkContext.broadcast(gathered(ends, lambda b: b.column("rid").to_numpy(), classes.count(), most=1 << 27))
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = zstandard.ZstdCompressor(3)
         for batch in slices(batches, "text", 2000, 8 << 20):
             batch = batch.filter(pa.array(wanted.value.has(batch.column("rid").to_numpy())))
             texts = [own.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("rid"), pa.array(texts, pa.binary())], ["id", "text"])
+            yield pa.record_batch([batch.column("rid"), pa.array(texts, pa.binary())], ["rid", "text"])
 
-    texts = materialize(rows.select("rid", "text").mapInArrow(press, "id long, text binary").join(ends, "id", "left_semi"))
+    texts = materialize(rows.select("rid", "text").mapInArrow(press, "rid long, text binary").join(ends, "rid").select("id", "text"))
     both = pairs.select("a", "b", "off").union(pairs.select("b", "a", "off")).toDF("x", "y", "off")
     nearest = both.groupBy("x").agg(F.min(F.struct("off", "y")).alias("m")).select(F.greatest("x", "m.y").alias("a"), F.least("x", "m.y").alias("b")).distinct()
     sure = materialize(verified(nearest, texts, words, similar))
