@@ -213,13 +213,11 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, mixtur
 
     lanes = max(1, -(-total // lane_tokens))
     rows = queued(rows).withColumn("lane", F.pmod("rid", F.lit(lanes)))
-    tokens = np.zeros(len(names) + half, np.int64)
-    for r in queued(by_source).groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        tokens[r.queue] = r.n
-    share = tokens / max(1, total)
-    for source, wanted in (mixture or {}).items():
-        share[names.index(source)] = wanted
-    plan = Mixture(share / max(share.sum(), 1e-12), tokens, window, turn)
+    tokens = {r.queue: r.n for r in queued(by_source).groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    wished = {names.index(source): share for source, share in (mixture or {}).items()}
+    used = sorted(tokens)  # queues that hold anything
+    share = np.array([wished.get(q, tokens[q] / max(1, total)) for q in used])
+    plan = Mixture(share / max(share.sum(), 1e-12), np.array([tokens[q] for q in used], np.int64), window, turn)
     # Tokens of each queue before each lane: within blocks of lanes first, so that no task sorts all of them.
     cells = materialize(rows.groupBy("lane", "queue").agg(F.sum("n").alias("n")).withColumn("block", F.expr("lane div 4096")))
     earlier = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -236,7 +234,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, mixtur
         order = np.lexsort((n, left["doc_id"].fill_null(0).to_numpy(), rid, queue))
         cut = []
         for mine in np.split(order, np.flatnonzero(np.diff(queue[order])) + 1):
-            doc, *rest = pieces(plan, int(queue[mine[0]]), base[queue[mine[0]]], n[mine])
+            q = int(queue[mine[0]])
+            doc, *rest = pieces(plan, used.index(q), base[q], n[mine])
             cut.append((mine[doc], *rest))
         doc, start, size, number, offset = (np.concatenate(c) for c in zip(*cut, strict=True))
         dtype, plain, packed, sums, last = id_dtype(path), zstandard.ZstdDecompressor(), left["ids"], [], -1
