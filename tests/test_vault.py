@@ -3,6 +3,7 @@ import os
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as X
@@ -240,6 +241,17 @@ def test_scratch_is_removed(spark, tmp_path):
     assert set(os.listdir(folder)) == before
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        session = Fake(conf=Fake(get=lambda key, default=None: None), sparkContext=Fake(master=master))
+        with pytest.raises(ValueError):
+            storage.shared_dir(session)
+    alone = Fake(conf=Fake(get=lambda key, default=None: "file:/w" if "warehouse" in key else None), sparkContext=Fake(master="local[4]"))
+    assert storage.shared_dir(alone).startswith("file:/w/_shared/")
+
+
 def test_engine_from_control_files(spark, tmp_path):
     (tmp_path / "MODE").write_text(" Enforce\n")
     (tmp_path / "gazetteer.txt").write_text("אילת ארז\tלקוח\nרשות הרישוי\tמוסד\n", encoding="utf-8")
