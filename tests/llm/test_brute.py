@@ -16,7 +16,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veilspark.llm import bpe, crf, images, packing, perplexity, queries, sharding, simhash, suffixes
+from veilspark.llm import bpe, crf, images, packing, perplexity, queries, ranking, sharding, simhash, suffixes
 from veilspark.llm.tokens import library
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +89,22 @@ def test_op2_held_out(spark):
     assert np.mean([r.predicted == quality[r.doc_id] for r in out]) > 0.9
 
 
+def test_op2_learns_like_a_plain_loop():
+    """The loss over pairs, its slope and the quantile threshold, against loops over every pair."""
+    rng = np.random.default_rng(3)
+    good = np.arange(40) % 3 > 0
+    matrix = rng.normal(size=(40, ranking.WIDTH)) * 0.1
+    matrix[good, 0] += 1.0
+    own = ranking.fit(matrix, good)
+    s = own.raw(matrix)
+    loss = lambda w: np.mean([np.log1p(np.exp(-((matrix[i] - matrix[j]) / own.spread) @ w)) for i in np.flatnonzero(good) for j in np.flatnonzero(~good)])
+    assert loss(own.weights) < 0.1 < loss(0 * own.weights)
+    assert np.mean([s[i] > s[j] for i in np.flatnonzero(good) for j in np.flatnonzero(~good)]) > 0.99
+    assert own.threshold == np.quantile(s, np.mean(~good))
+    score = own.score(matrix)
+    assert ((score >= 0.7) == (s >= own.threshold)).all() and (np.argsort(score, kind="stable") == np.argsort(s, kind="stable")).all()
+
+
 def test_op3_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
@@ -594,3 +610,5 @@ def test_pipeline_rows(spark, texts):
     assert sum(len(r.text.encode()) == want[r.doc_id][0] - want[r.doc_id][1] for r in got) >= 0.95 * len(got)
     packed = P.pack(spark, four, SF).collect()
     assert {r.doc_id for r in packed} == set(want)
+    whole = rows(spark, "pipeline")
+    assert sorted(whole) == sorted(packed)

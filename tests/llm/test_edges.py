@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.llm import bpe, crf, images, packing, perplexity, ranking, sharding, simhash, stages, suffixes, token_counts
+from veilspark.llm.common import materialize
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LONG = "".join(chr(97 + (i * i) % 26) + (" " if i % 7 == 0 else "") for i in range(400_000))
@@ -130,14 +131,15 @@ def test_pipeline(spark, docs, empty):
     for frame in (docs, empty):
         out = frame
         for name, stage in stages.STAGES[:-1]:
-            out = stage(spark, out, "")
+            out = materialize(stage(spark, out, ""))
             assert out.columns == docs.columns, name
-            out.count()
+        packed = stages.pack(spark, out, "").collect()
+        assert bool(packed) == (frame is docs) and {r.doc_id for r in packed} == {r.doc_id for r in out.collect()}
 
 
 def test_frames_that_are_no_files(spark, docs):
     """Rows keep their numbers when a frame is computed anew, and when one file row has become several."""
-    from veilspark.llm.common import is_scan
+    from veilspark.plans.storage import is_scan
 
     made = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").repartition(3)
     twice = docs.select("doc_id", "text", "lang", "source", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
