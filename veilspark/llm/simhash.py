@@ -107,9 +107,10 @@ def components(pairs: DataFrame, most: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, fingerprint, component_id and the rid of its keeper.
 
-    Null, empty and white-space texts have fingerprint zero and link like any other.  Ties
-    and repeated rows: the smallest doc_id keeps the component, then the first row; rows
-    without a doc_id come last, and a component of such rows alone has a null id.
+    Null, empty and white-space texts have fingerprint zero and link like any other; very
+    long texts are read whole.  Ties and repeated rows: the smallest doc_id keeps the
+    component, then the first row; rows without a doc_id come last, and a component of such
+    rows alone has a null id.  An empty table gives an empty one; other columns are ignored.
     """
     rows = materialize(fingerprints(docs, words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))

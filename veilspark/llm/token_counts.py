@@ -84,8 +84,9 @@ def counter(path: str, table: tuple[bytes, bytes]) -> Counter9:
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, **sample) -> DataFrame:
     """Tokens of every whole text, and whether they exceed ``limit``.
 
-    A null text counts as empty: no bytes, no tokens.  Each row gives a row, also repeated
-    rows and rows without a doc_id; other columns are ignored.
+    A null text counts as empty: no bytes, no tokens.  Very long texts are cut where
+    pre-tokens always end, so their counts are the same.  Each row gives a row, also repeated
+    rows and rows without a doc_id; an empty table gives an empty one; other columns are ignored.
     """
     docs = only(docs, "doc_id", "text")
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, **sample))
