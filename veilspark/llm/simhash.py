@@ -184,26 +184,29 @@ def blocks_of(longs: list[Column], bits: int, blocks: int) -> Column:
     return F.array(*[F.struct(F.lit(t).alias("t"), v.alias("v"), values[(t + 1) % blocks].alias("w")) for t, v in enumerate(values)])
 
 
-def candidates(marks: DataFrame, longs: list[str], bits: int, blocks: int) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a > b, of ``marks (id, longs...)`` that are within two bits in some block.
+def candidates(marks: DataFrame, longs: list[str], bits: int, blocks: int, some: range) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a > b, of ``marks (id, root, longs...)`` of different roots that are within two bits in one of ``some`` blocks.
 
     Those with an equal block meet the least id of it, and the least id of those that are
     equal in the next block as well.  Each distinct value of a block then emits its ball, all
     values within one bit, so two that are within two bits share one; a ball meets at most
-    ``bits + 1`` values, whatever the corpus, and neighbours in it are paired.
+    ``bits + 1`` values, whatever the corpus, and neighbours in it are paired.  Where all have one
+    root already, nothing is paired.
     """
-    each = marks.select("id", F.inline(blocks_of([F.col(c) for c in longs], bits, blocks)))
+    each = marks.select("id", "root", F.inline(F.slice(blocks_of([F.col(c) for c in longs], bits, blocks), some.start + 1, len(some))))
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    heads = materialize(each.groupBy("t", "v").agg(F.min("id").alias("head"), F.count("*").alias("n")))
-    crowd = materialize(each.join(heads.where("n > 1").drop("n"), ["t", "v"]).select("t", "v", "w", "id", "head"))
-    nearer = crowd.groupBy("t", "v", "w").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = [crowd.where("id <> head").select(*pair("id", "head")), crowd.drop("head").join(nearer, ["t", "v", "w"]).where("id <> head").select(*pair("id", "head"))]
+    first, mixed = F.min(F.struct("id", "root")).alias("head"), (F.min("root") < F.max("root")).alias("mixed")
+    heads = materialize(each.groupBy("t", "v").agg(first, mixed))
+    crowd = materialize(each.join(heads.where("mixed").drop("mixed"), ["t", "v"]))
+    nearer = crowd.groupBy("t", "v", "w").agg(first, mixed).where("mixed").drop("mixed")
+    found = [df.where("root <> head.root").select(*pair("id", "head.id")) for df in (crowd, crowd.drop("head").join(nearer, ["t", "v", "w"]))]
     masks = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)]))
-    balls = heads.select("t", "v", F.col("head").alias("id"), masks.alias("m"))
-    balls = balls.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v").bitwiseXOR(F.col("m"))).alias("ball"), "id")
+    balls = heads.select("t", "v", "head.id", "head.root", masks.alias("m"))
+    balls = balls.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v").bitwiseXOR(F.col("m"))).alias("ball"), "id", "root")
     near = Window.partitionBy("ball").orderBy("id")
-    met = balls.select("id", F.lag("id").over(near).alias("one"), F.first("id").over(near).alias("head")).where("one is not null")
-    found += [met.where(F.col("one") != F.col("id")).select(*pair("id", "one")), met.where((F.col("head") != F.col("id")) & (F.col("head") != F.col("one"))).select(*pair("id", "head"))]
+    both = F.struct("id", "root")
+    met = balls.select("id", "root", F.lag(both).over(near).alias("one"), F.first(both).over(near).alias("head")).where("one is not null")
+    found += [met.where("root <> one.root").select(*pair("id", "one.id")), met.where("root <> head.root and head.id <> one.id").select(*pair("id", "head.id"))]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -223,14 +226,15 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: float = 0.97) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: float = 0.97, rounds: int = 3) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, component_id and the rid of its keeper, for texts of a Jaccard similarity of ``similar`` or more.
 
     A wide fingerprint of independent blocks stands for each distinct sequence of words.
     Blocks within two bits of each other meet by their balls; of the pairs that collide,
     those whose whole fingerprints are too far apart for the similarity go, and the others are
     verified on their shingles: first each text with its nearest, then all pairs that still
-    lie in different components.  Two texts of just that similarity meet with probability
+    lie in different components.  Blocks are gone through in ``rounds``, and what one has joined
+    the next ones do not pair again, however large the group.  Two texts of just that similarity meet with probability
     ``recall`` or more, of a higher one almost surely; a pair that is reported is one.
 
     Null, empty and white-space texts have no shingles and are equal to each other; a text
@@ -260,36 +264,52 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: f
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = marks.groupBy("k0", "k1").agg(first, *[F.min(f).alias(f) for f in longs])
     classes = materialize(classes.withColumn("id", F.col("k0")))  # from the words alone, so another place of the files changes nothing
-    pairs = candidates(classes.select("id", *longs), longs, bits, blocks)
     p = differing(similar)
     far = 64 * len(longs) * p + 5 * math.sqrt(64 * len(longs) * p * (1 - p))
-    mine, theirs = (classes.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in longs]) for x in "ab")
     off = reduce(Column.__add__, [F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in longs])
-    pairs = materialize(pairs.join(mine, "a").join(theirs, "b").select("a", "b", off.cast("int").alias("off")).where(F.col("off") <= far))
-
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ends = materialize(classes.select("id", F.col("first.rid").alias("rid")).join(ends, "id", "left_semi"))
-    wanted = docs.sparkSession.sparkContext.broadcast(gathered(ends, lambda b: b.column("rid").to_numpy(), classes.count(), most=1 << 27))
-
-    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = zstandard.ZstdCompressor(3)
-        for batch in slices(batches, "text", 2000, 8 << 20):
-            batch = batch.filter(pa.array(wanted.value.has(batch.column("rid").to_numpy())))
-            texts = [own.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("rid"), pa.array(texts, pa.binary())], ["rid", "text"])
-
-    texts = materialize(rows.select("rid", "text").mapInArrow(press, "rid long, text binary").join(ends, "rid").select("id", "text"))
-    both = pairs.select("a", "b", "off").union(pairs.select("b", "a", "off")).toDF("x", "y", "off")
-    nearest = both.groupBy("x").agg(F.min(F.struct("off", "y")).alias("m")).select(F.greatest("x", "m.y").alias("a"), F.least("x", "m.y").alias("b")).distinct()
-    sure = materialize(verified(nearest, texts, words, similar))
-    roots = materialize(components(sure))
-    open_ = pairs.select("a", "b").join(sure, ["a", "b"], "left_anti")
-    for x in "ab":
-        named = roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        open_ = open_.join(named, x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-    open_ = open_.where("ra <> rb").select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    links = materialize(sure.unionByName(verified(open_, texts, words, similar)))
-    roots = components(links)
+    mine, theirs = (classes.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in longs]) for x in "ab")
+    rows_of = classes.select("id", F.col("first.rid").alias("rid"))
+    many = classes.count()
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """``(id, text)`` of all that stand in pairs."""
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        ends = materialize(rows_of.join(ends, "id", "left_semi"))
+        wanted = docs.sparkSession.sparkContext.broadcast(gathered(ends, lambda b: b.column("rid").to_numpy(), many, most=1 << 27))
+
+        def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = zstandard.ZstdCompressor(3)
+            for batch in slices(batches, "text", 2000, 8 << 20):
+                batch = batch.filter(pa.array(wanted.value.has(batch.column("rid").to_numpy())))
+                texts = [own.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+                yield pa.record_batch([batch.column("rid"), pa.array(texts, pa.binary())], ["rid", "text"])
+
+        return materialize(rows.select("rid", "text").mapInArrow(press, "rid long, text binary").join(ends, "rid").select("id", "text"))
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs whose ends have different roots."""
+        for x in "ab":
+            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+        return pairs.where("ra <> rb").select("a", "b")
+
+    links = roots = None
+    step = -(-blocks // rounds)
+    for at in range(0, blocks, step):
+        known = classes.select("id", *longs)
+        if roots is None:
+            known = known.withColumn("root", F.col("id"))
+        else:
+            known = known.join(roots, known["id"] == roots["node"], "left").select("id", *longs, F.coalesce("root", "id").alias("root"))
+        pairs = candidates(known, longs, bits, blocks, range(at, min(blocks, at + step)))
+        pairs = materialize(pairs.join(mine, "a").join(theirs, "b").select("a", "b", off.cast("int").alias("off")).where(F.col("off") <= far))
+        texts = texts_of(pairs)
+        both = pairs.select("a", "b", "off").union(pairs.select("b", "a", "off")).toDF("x", "y", "off")
+        nearest = both.groupBy("x").agg(F.min(F.struct("off", "y")).alias("m")).select(F.greatest("x", "m.y").alias("a"), F.least("x", "m.y").alias("b")).distinct()
+        sure = verified(nearest, texts, words, similar)
+        links = materialize(sure if links is None else links.unionByName(sure))
+        others = apart(pairs.select("a", "b"), materialize(components(links))).join(nearest, ["a", "b"], "left_anti")
+        links = materialize(links.unionByName(verified(others, texts, words, similar)))
+        roots = materialize(components(links))
     classes = classes.join(roots, classes["id"] == roots["node"], "left").select("k0", "k1", "first", F.coalesce("root", "id").alias("root"))
     classes = materialize(classes)
     heads = classes.groupBy("root").agg(F.min("first").alias("head"))
