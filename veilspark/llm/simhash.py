@@ -226,15 +226,14 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: float = 0.97, rounds: int = 3) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: float = 0.97, lead: int = 4) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, component_id and the rid of its keeper, for texts of a Jaccard similarity of ``similar`` or more.
 
     A wide fingerprint of independent blocks stands for each distinct sequence of words.
     Blocks within two bits of each other meet by their balls; of the pairs that collide,
     those whose whole fingerprints are too far apart for the similarity go, and the others are
-    verified on their shingles: first each text with its nearest, then all pairs that still
-    lie in different components.  Blocks are gone through in ``rounds``, and what one has joined
-    the next ones do not pair again, however large the group.  Two texts of just that similarity meet with probability
+    verified on their shingles.  The first ``lead`` blocks come before the others, and what they have joined is not
+    paired again, so a large group has few pairs for each of its texts.  Two texts of just that similarity meet with probability
     ``recall`` or more, of a higher one almost surely; a pair that is reported is one.
 
     Null, empty and white-space texts have no shingles and are equal to each other; a text
@@ -286,30 +285,18 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: f
 
         return materialize(rows.select("rid", "text").mapInArrow(press, "rid long, text binary").join(ends, "rid").select("id", "text"))
 
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs whose ends have different roots."""
-        for x in "ab":
-            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-        return pairs.where("ra <> rb").select("a", "b")
-
     links = roots = None
-    step = -(-blocks // rounds)
-    for at in range(0, blocks, step):
+    for some in filter(None, (range(min(lead, blocks)), range(min(lead, blocks), blocks))):
         known = classes.select("id", *longs)
         if roots is None:
             known = known.withColumn("root", F.col("id"))
         else:
             known = known.join(roots, known["id"] == roots["node"], "left").select("id", *longs, F.coalesce("root", "id").alias("root"))
-        pairs = candidates(known, longs, bits, blocks, range(at, min(blocks, at + step)))
-        pairs = materialize(pairs.join(mine, "a").join(theirs, "b").select("a", "b", off.cast("int").alias("off")).where(F.col("off") <= far))
-        texts = texts_of(pairs)
-        both = pairs.select("a", "b", "off").union(pairs.select("b", "a", "off")).toDF("x", "y", "off")
-        nearest = both.groupBy("x").agg(F.min(F.struct("off", "y")).alias("m")).select(F.greatest("x", "m.y").alias("a"), F.least("x", "m.y").alias("b")).distinct()
-        sure = verified(nearest, texts, words, similar)
-        links = materialize(sure if links is None else links.unionByName(sure))
-        others = apart(pairs.select("a", "b"), materialize(components(links))).join(nearest, ["a", "b"], "left_anti")
-        links = materialize(links.unionByName(verified(others, texts, words, similar)))
-        roots = materialize(components(links))
+        pairs = candidates(known, longs, bits, blocks, some)
+        pairs = materialize(pairs.join(mine, "a").join(theirs, "b").where(off <= far).select("a", "b"))
+        near = verified(pairs, texts_of(pairs), words, similar)
+        links = materialize(near if links is None else links.unionByName(near))
+        roots = components(links)
     classes = classes.join(roots, classes["id"] == roots["node"], "left").select("k0", "k1", "first", F.coalesce("root", "id").alias("root"))
     classes = materialize(classes)
     heads = classes.groupBy("root").agg(F.min("first").alias("head"))
