@@ -201,12 +201,16 @@ def candidates(marks: DataFrame, longs: list[str], bits: int, blocks: int, some:
     nearer = crowd.groupBy("t", "v", "w").agg(first, mixed).where("mixed").drop("mixed")
     found = [df.where("root <> head.root").select(*pair("id", "head.id")) for df in (crowd, crowd.drop("head").join(nearer, ["t", "v", "w"]))]
     masks = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)]))
-    balls = heads.select("t", "v", "head.id", "head.root", masks.alias("m"))
-    balls = balls.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v").bitwiseXOR(F.col("m"))).alias("ball"), "id", "root")
+    balls = heads.select("t", "v", "head.id", masks.alias("m"))
+    balls = balls.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v").bitwiseXOR(F.col("m"))).alias("ball"), "id")
     near = Window.partitionBy("ball").orderBy("id")
-    both = F.struct("id", "root")
-    met = balls.select("id", "root", F.lag(both).over(near).alias("one"), F.first(both).over(near).alias("head")).where("one is not null")
-    found += [met.where("root <> one.root").select(*pair("id", "one.id")), met.where("root <> head.root and head.id <> one.id").select(*pair("id", "head.id"))]
+    met = balls.select("id", F.lag("id").over(near).alias("one"), F.first("id").over(near).alias("head")).where("one is not null")
+    met = met.select(F.inline(F.array(*[F.struct(*pair("id", x)) for x in ("one", "head")]))).where("a <> b").distinct()
+    if some.start:  # in the first blocks every text is its own root
+        for x in "ab":
+            met = met.join(marks.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")), x)
+        met = met.where("ra <> rb").select("a", "b")
+    found.append(met)
     return reduce(DataFrame.unionByName, found).distinct()
 
 
