@@ -612,3 +612,15 @@ def test_pipeline_rows(spark, texts):
     assert {r.doc_id for r in packed} == set(want)
     whole = rows(spark, "pipeline")
     assert {(r.doc_id, r.doc_tokens) for r in whole} == {(r.doc_id, r.doc_tokens) for r in packed} and sum(r.length for r in whole) == sum(r.length for r in packed)
+
+
+def test_near_copies_pair_what_is_alike_alone(spark, monkeypatch):
+    """Unlike texts, and those that are joined already, are not paired: candidates stay few, however many texts there are."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edit(rng, words, 0.01))) for i in range(400)] + [(1000 + i, " ".join(f"x{rng.randrange(9000)}" for _ in range(30))) for i in range(20_000)]
+    made, own = [], simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda *a, **k: made.append(own(*a, **k)) or made[-1])
+    root = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {root[i] for i in range(400)} == {0} and all(root[1000 + i] == 1000 + i for i in range(20_000))
+    assert sum(df.count() for df in made) < 6 * 400

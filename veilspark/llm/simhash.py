@@ -6,8 +6,8 @@ shuffle.  A ball holds a fixed number of fingerprints, which bounds every group
 the corpus; copies collapse to one fingerprint before any variant is made.
 
 ``near_duplicates`` links fingerprints of 64 bits.  ``near_copies`` finds texts of a given
-similarity, which differ in more bits than one ball can reach: it makes balls around blocks
-of a wide fingerprint, and verifies the pairs that collide on their shingles.
+similarity, which differ in more bits than one ball can reach: texts with a MinHash band in
+common meet, and pairs whose fingerprints are not too far apart are verified on their shingles.
 """
 
 from __future__ import annotations
@@ -164,54 +164,48 @@ def differing(similar: float) -> float:
     return math.acos(2 * similar / (1 + similar)) / math.pi
 
 
-def plan(rows: int, similar: float, recall: float = 0.97) -> tuple[int, int]:
-    """Bits of a block and number of blocks: unlike texts seldom meet among ``rows``, and like ones meet with probability ``recall``."""
-    bits = max(28, rows.bit_length() + 10)
-    p = differing(similar)
-    near = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(3))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - near))
-
-
-def blocks_of(longs: list[Column], bits: int, blocks: int) -> Column:
-    """``array<struct<t, v, w>>``: the blocks of a wide fingerprint, which stand end to end in its longs, each with the next one."""
-    values = []
-    for t in range(blocks):
-        at, off = divmod(t * bits, 64)
-        value = F.shiftrightunsigned(longs[at], off)
-        if off + bits > 64:
-            value = value.bitwiseOR(F.shiftleft(longs[at + 1], 64 - off))
-        values.append(value.bitwiseAND(F.lit((1 << bits) - 1)))
-    return F.array(*[F.struct(F.lit(t).alias("t"), v.alias("v"), values[(t + 1) % blocks].alias("w")) for t, v in enumerate(values)])
-
-
-def candidates(marks: DataFrame, longs: list[str], bits: int, blocks: int, some: range) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a > b, of ``marks (id, root, longs...)`` of different roots that are within two bits in one of ``some`` blocks.
-
-    Those with an equal block meet the least id of it, and the least id of those that are
-    equal in the next block as well.  Each distinct value of a block then emits its ball, all
-    values within one bit, so two that are within two bits share one; a ball meets at most
-    ``bits + 1`` values, whatever the corpus, and neighbours in it are paired.  Where all have one
-    root already, nothing is paired.
+def plan(similar: float, recall: float = 0.97, size: int = 8) -> int:
+    """The number of bands of ``size`` minima, of which texts that are just so similar have one or more in common with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similar**size))
+
+
+def bands_of(hashes: np.ndarray, bands: int, size: int = 8, step: int = 256) -> np.ndarray:
+    """MinHash bands of a set of shingles: for each a hash of the least of its shingles in ``size`` orders, as signed longs.
+
+    Two sets have the same least shingle in an order with the probability of their Jaccard similarity.
+    """
+    salts = np.arange(1, bands * size + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    least = np.full(bands * size, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), step):
+        h = hashes[at : at + step, None] ^ salts
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(least, h.min(axis=0), out=least)
+    least = least.reshape(bands, size)
+    out = np.zeros(bands, np.uint64)
+    for i in range(size):
+        out = (out ^ least[:, i]) * np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
+def candidates(marks: DataFrame, longs: list[str], bands: int, far: float, some: range) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a > b, of ``marks (id, root, longs..., bands)`` of different roots that have one of ``some`` bands in common.
+
+    Those with an equal band meet the least root of it, and the least root of those that are equal
+    in the next band as well, unless they have it already; so a text has two pairs a band at most, however many
+    are like it.  Pairs whose fingerprints differ in more than ``far`` bits are left out: they are unlike.
     """
-    each = marks.select("id", "root", F.inline(F.slice(blocks_of([F.col(c) for c in longs], bits, blocks), some.start + 1, len(some))))
-    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    first, mixed = F.min(F.struct("id", "root")).alias("head"), (F.min("root") < F.max("root")).alias("mixed")
-    heads = materialize(each.groupBy("t", "v").agg(first, mixed))
-    crowd = materialize(each.join(heads.where("mixed").drop("mixed"), ["t", "v"]))
+    rows = [F.struct(F.lit(t).alias("t"), F.element_at("bands", t + 1).alias("v"), F.element_at("bands", (t + 1) % bands + 1).alias("w")) for t in some]
+    each = marks.select("id", "root", *longs, F.inline(F.array(*rows)))
+    first, mixed = F.min(F.struct("root", "id", *longs)).alias("head"), (F.min("root") < F.max("root")).alias("mixed")
+    crowd = materialize(each.join(each.groupBy("t", "v").agg(first, mixed).where("mixed").drop("mixed"), ["t", "v"]))
     nearer = crowd.groupBy("t", "v", "w").agg(first, mixed).where("mixed").drop("mixed")
-    found = [df.where("root <> head.root").select(*pair("id", "head.id")) for df in (crowd, crowd.drop("head").join(nearer, ["t", "v", "w"]))]
-    masks = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)]))
-    balls = heads.select("t", "v", "head.id", masks.alias("m"))
-    balls = balls.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v").bitwiseXOR(F.col("m"))).alias("ball"), "id")
-    near = Window.partitionBy("ball").orderBy("id")
-    met = balls.select("id", F.lag("id").over(near).alias("one"), F.first("id").over(near).alias("head")).where("one is not null")
-    met = met.select(F.inline(F.array(*[F.struct(*pair("id", x)) for x in ("one", "head")]))).where("a <> b").distinct()
-    if some.start:  # in the first blocks every text is its own root
-        for x in "ab":
-            met = met.join(marks.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")), x)
-        met = met.where("ra <> rb").select("a", "b")
-    found.append(met)
-    return reduce(DataFrame.unionByName, found).distinct()
+    off = reduce(Column.__add__, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"head.{f}"))) for f in longs])
+    both = crowd.unionByName(crowd.drop("head").join(nearer, ["t", "v", "w"]))
+    found = both.where((F.col("root") != F.col("head.root")) & (off <= far))
+    return found.select(F.greatest("id", "head.id").alias("a"), F.least("id", "head.id").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
@@ -233,10 +227,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
 def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: float = 0.97, lead: int = 4) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, component_id and the rid of its keeper, for texts of a Jaccard similarity of ``similar`` or more.
 
-    A wide fingerprint of independent blocks stands for each distinct sequence of words.
-    Blocks within two bits of each other meet by their balls; of the pairs that collide,
-    those whose whole fingerprints are too far apart for the similarity go, and the others are
-    verified on their shingles.  The first ``lead`` blocks come before the others, and what they have joined is not
+    MinHash bands and a fingerprint of 128 bits stand for each distinct sequence of words.
+    Texts with a band in common meet; of the pairs, those whose fingerprints are too far apart
+    for the similarity go, and the others are verified on their shingles.  Unlike texts hardly ever have a band in common,
+    so pairs grow with the texts alone.  The first ``lead`` bands come before the others, and what they have joined is not
     paired again, so a large group has few pairs for each of its texts.  Two texts of just that similarity meet with probability
     ``recall`` or more, of a higher one almost surely; a pair that is reported is one.
 
@@ -247,30 +241,31 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: f
     """
     docs = as_files(only(docs, "doc_id", "text"))
     rows = with_row_id(docs)
-    bits, blocks = plan(docs.count(), similar, recall)
-    longs = [f"f{i}" for i in range(-(-bits * blocks // 64))]
+    bands = plan(similar, recall)
+    longs = ["f0", "f1"]
     fields = ["rid", "doc_id", "k0", "k1", *longs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches, "text", 2000, 4 << 20):
-            keys, marks = [], []
+            keys, marks, found = [], [], []
             for text in batch.column("text").to_pylist():
                 whole = xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split()))
                 keys.append(np.frombuffer(whole, "<i8"))
-                marks.append(spread_bits(shingle_hashes(text, words), len(longs)))
+                shingles = shingle_hashes(text, words)
+                marks.append(spread_bits(shingles, len(longs)))
+                found.append(bands_of(shingles, bands))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * bands, pa.int32()), pa.array(np.concatenate(found)))
             columns = np.concatenate((np.array(keys), np.array(marks)), axis=1).T
-            yield pa.record_batch([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), *map(pa.array, map(np.ascontiguousarray, columns))], fields)
+            yield pa.record_batch([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), *map(pa.array, map(np.ascontiguousarray, columns)), values], [*fields, "bands"])
 
-    marks = materialize(rows.mapInArrow(run, ", ".join(f"{f} long" for f in fields)))
+    marks = materialize(rows.mapInArrow(run, ", ".join(f"{f} long" for f in fields) + ", bands array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    classes = marks.groupBy("k0", "k1").agg(first, *[F.min(f).alias(f) for f in longs])
+    classes = marks.groupBy("k0", "k1").agg(first, *[F.min(f).alias(f) for f in (*longs, "bands")])
     classes = materialize(classes.withColumn("id", F.col("k0")))  # from the words alone, so another place of the files changes nothing
     p = differing(similar)
     far = 64 * len(longs) * p + 5 * math.sqrt(64 * len(longs) * p * (1 - p))
-    off = reduce(Column.__add__, [F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in longs])
-    mine, theirs = (classes.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in longs]) for x in "ab")
     rows_of = classes.select("id", F.col("first.rid").alias("rid"))
     many = classes.count()
 
@@ -290,14 +285,13 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, recall: f
         return materialize(rows.select("rid", "text").mapInArrow(press, "rid long, text binary").join(ends, "rid").select("id", "text"))
 
     links = roots = None
-    for some in filter(None, (range(min(lead, blocks)), range(min(lead, blocks), blocks))):
-        known = classes.select("id", *longs)
+    for some in filter(None, (range(min(lead, bands)), range(min(lead, bands), bands))):
+        known = classes.select("id", *longs, "bands")
         if roots is None:
             known = known.withColumn("root", F.col("id"))
         else:
-            known = known.join(roots, known["id"] == roots["node"], "left").select("id", *longs, F.coalesce("root", "id").alias("root"))
-        pairs = candidates(known, longs, bits, blocks, some)
-        pairs = materialize(pairs.join(mine, "a").join(theirs, "b").where(off <= far).select("a", "b"))
+            known = known.join(roots, known["id"] == roots["node"], "left").select("id", *longs, "bands", F.coalesce("root", "id").alias("root"))
+        pairs = materialize(candidates(known, longs, bands, far, some))
         near = verified(pairs, texts_of(pairs), words, similar)
         links = materialize(near if links is None else links.unionByName(near))
         roots = components(links)
