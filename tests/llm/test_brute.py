@@ -294,6 +294,38 @@ def test_op5_other_scripts(spark):
         assert len(kept & set(range(150))) >= 148 and not kept & set(range(150, 155))
 
 
+def test_op5_thousands_of_letters(spark):
+    """In a script with thousands of letters random ones among prose are told apart, whether they are among the commonest or not."""
+    rng = random.Random(9)
+    for first in (0x4E00, 0x20000):
+        script = [chr(first + i) for i in range(3000)]
+        common, rest = script[:60], script[60:]
+        vocabulary = [rng.choice(common) + "".join(rng.choices(rest[:800], k=rng.randint(1, 3))) for _ in range(400)]
+        prose = [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(150)]
+        junk = [" ".join(w[0] + "".join(rng.choices(rest, k=len(w) - 1)) for w in rng.choice(prose).split()) for _ in range(5)]
+        docs = [(i, t, "xx") for i, t in enumerate(prose + junk)]
+        kept = {r.doc_id for r in perplexity.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect() if r.kept}
+        assert len(kept & set(range(150))) >= 148 and not kept & set(range(150, 155))
+
+
+def test_op5_spells_every_code_point():
+    """Texts are read back from the signs, whatever their letters, and n-grams end at each sign."""
+    signs = np.where(perplexity.letters(), perplexity.LETTER, perplexity.OTHER).astype(np.uint8)
+    signs[32], signs[48], signs[ord("a")] = perplexity.SPACE, perplexity.DIGIT, perplexity.FIRST
+    texts = ["a\u4e00 a", "\U0001f600\U00020000a7", "~\uffff", "a"]
+    code, start, end, many = perplexity.codes(texts, signs)
+    for text, at, to, n in zip(texts, start.tolist(), end.tolist(), many.tolist(), strict=True):
+        data, out = (code[at:to] & 63).tolist(), []
+        assert n == len(text) and (code[at] >> 6).tolist() == 0
+        while data:
+            longer = {perplexity.LETTER: 3, perplexity.OTHER: 4}.get(head := data.pop(0), 0)
+            value = 0
+            for _ in range(longer):
+                value = value << 6 | data.pop(0)
+            out.append(chr(value) if longer else {perplexity.SPACE: " ", perplexity.DIGIT: "7"}.get(head, "a"))
+        assert "".join(out) == text
+
+
 def test_op5_bands_and_groups(spark, texts):
     """Bands against plain medians, and the same results however few n-grams are sent at a time."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

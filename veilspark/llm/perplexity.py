@@ -1,7 +1,8 @@
 """Operator 5: quality rules by n-gram perplexity.
 
 Each language has a modified Kneser-Ney model of order 4 over its own letters: the commonest
-code points of its texts, all others as one sign for letters and one for the rest.  Spark
+code points of its texts are a sign each, any other is spelled by several, so no two code
+points are the same, however many a script has.  Spark
 counts letters and n-grams of every document; a model is kept as sorted arrays of hashes, of
 n-grams with their log-probabilities and of contexts with their weights, in which scoring
 looks every n-gram up, falling back to shorter ones.  With 64 signs a model has at most
@@ -25,7 +26,7 @@ from .common import as_files, materialize, only, slices, trim, with_row_id, with
 
 ORDER, BITS = 4, 6
 SIGNS = 1 << BITS
-#: White space, digits, letters and other signs that are not among the commonest, and the first of those.
+#: White space, digits, what a letter and another sign that are not among the commonest begin with, and the first of those.
 SPACE, DIGIT, LETTER, OTHER, FIRST = range(5)
 BLANK = b" \t\n\x0b\x0c\r"
 U32 = np.uint32
@@ -33,9 +34,9 @@ U32 = np.uint32
 
 @lru_cache(maxsize=1)
 def folded() -> np.ndarray:
-    """What each code point counts as: its lower case, one for all white space, one for all digits, one beyond 16 bits."""
-    table = np.arange(1 << 16, dtype=np.uint16)
-    for c in range(1 << 16):
+    """What each code point counts as: its lower case, one for all white space, one for all digits."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for c in range(1 << 17):  # beyond there is neither case nor space, nor a digit
         text = chr(c)
         if text.isspace():
             table[c] = 32
@@ -54,7 +55,7 @@ def letters() -> np.ndarray:
 def points(texts: list[str]) -> np.ndarray:
     """Folded code points of texts, end to end."""
     raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    return folded()[np.minimum(raw, 0xFFFF)]
+    return folded()[raw]
 
 
 def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[int], list[str]]]:
@@ -70,20 +71,20 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[int],
 
 
 def alphabets(docs: DataFrame) -> dict[str | None, np.ndarray]:
-    """The sign of each folded code point, by language: the commonest of all its texts have signs of their own."""
+    """The sign that each folded code point of 16 bits begins with, by language: the commonest of all its texts have signs of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str | None, np.ndarray] = {}
         for batch in slices(batches, "text", 4000, 8 << 20):
             for lang, _, texts in by_language(batch):
-                total[lang] = total.get(lang, 0) + np.bincount(points(texts), minlength=1 << 16)
+                total[lang] = total.get(lang, 0) + np.bincount(np.minimum(points(texts), 0xFFFF), minlength=1 << 16)
         for lang, n in total.items():
             used = np.flatnonzero(n)
             yield pa.record_batch([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used])], ["lang", "point", "n"])
 
     counts = docs.mapInArrow(run, "lang string, point int, n long").groupBy("lang", "point").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "point"))
-    common = counts.where(~F.col("point").isin(32, 48)).withColumn("rank", rank).where(F.col("rank") <= SIGNS - FIRST)
+    common = counts.where(~F.col("point").isin(32, 48, 0xFFFF)).withColumn("rank", rank).where(F.col("rank") <= SIGNS - FIRST)
     base = np.where(letters(), LETTER, OTHER).astype(np.uint8)
     base[32], base[48] = SPACE, DIGIT
     out: dict[str | None, np.ndarray] = {r.lang: base.copy() for r in counts.select("lang").distinct().collect()}
@@ -92,19 +93,32 @@ def alphabets(docs: DataFrame) -> dict[str | None, np.ndarray]:
     return out
 
 
-def codes(texts: list[str], signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the n-grams that end at each code point, texts end to end, with where texts start and end.
+def codes(texts: list[str], signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the n-grams that end at each sign, texts end to end, with where texts start and end, and their code points.
 
-    Each text starts after white space, so no n-gram reaches over from another.
+    Each text starts after white space, so no n-gram reaches over from another.  A code point without a
+    sign of its own is spelled: what it begins with, then its bits from the highest, 18 of a letter, or 24.
     """
     pad = " " * (ORDER - 1)
-    data = signs[points([pad + t for t in texts])].astype(U32)
+    point = points([pad + t for t in texts])
+    data = signs[np.minimum(point, 0xFFFF)].astype(U32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    after = np.cumsum(sizes + ORDER - 1)
+    end, start = after, after - sizes
+    if len(rare := np.flatnonzero((data == LETTER) | (data == OTHER))):
+        more = np.zeros(len(data) + 1, np.int64)
+        more[1:][rare] = np.where(data[rare] == LETTER, 3, 4)
+        place = np.arange(len(more)) + np.cumsum(more)
+        spelled = np.zeros(place[-1], U32)
+        spelled[place[:-1]] = data
+        for i in range(4):
+            long = rare[more[1:][rare] > i]
+            spelled[place[1:][long] - 1 - i] = point[long] >> U32(BITS * i) & U32(SIGNS - 1)
+        data, start, end = spelled, place[start], place[end]
     code = np.zeros(len(data), U32)
     for i in range(ORDER):
         code[i:] |= data[: len(data) - i] << U32(BITS * i)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER - 1
-    end = np.cumsum(sizes)
-    return code, end - sizes + ORDER - 1, end
+    return code, start, end, sizes
 
 
 def count_ngrams(docs: DataFrame, signs: dict[str | None, np.ndarray]) -> DataFrame:
@@ -115,7 +129,7 @@ def count_ngrams(docs: DataFrame, signs: dict[str | None, np.ndarray]) -> DataFr
         total: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
         for batch in slices(batches, "text", 4000, 4 << 20):
             for lang, _, texts in by_language(batch):
-                code, start, end = codes(texts, sent.value[lang])
+                code, start, end, _ = codes(texts, sent.value[lang])
                 inside = np.zeros(len(code) + 1, np.int8)
                 inside[start] += 1
                 inside[end] -= 1
@@ -292,10 +306,10 @@ def score(docs: DataFrame, signs: dict[str | None, np.ndarray], models: dict[str
             raw = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             entropy, size = np.full(len(raw), np.nan), np.zeros(len(raw), np.int64)
             for lang, rows, texts in by_language(batch):
-                code, start, end = codes(texts, alphabet[lang])
+                code, start, end, many = codes(texts, alphabet[lang])
                 gains = np.concatenate(([0.0], np.cumsum(known[lang].score(code), dtype=np.float64)))
-                size[rows] = end - start
-                entropy[rows] = (gains[start] - gains[end]) / (end - start)
+                size[rows] = many
+                entropy[rows] = (gains[start] - gains[end]) / many
             counts = [pa.array(c, pa.int64()) for c in zip(*base_counts(raw), strict=True)]
             n_bytes = pa.array(list(map(len, raw)), pa.int64())
             yield pa.record_batch([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), batch.column("lang"), *counts, n_bytes, pa.array(size), pa.array(entropy, from_pandas=True)], [c.split()[0] for c in SCORED.split(", ")])
@@ -343,7 +357,7 @@ def judge(docs: DataFrame, below: float = 4.0, above: float = 4.0, steady: float
     long texts are scored whole; a language without any passing document rejects none by its
     band; a null language, or a table without a column lang, is a language of its own.  Repeated
     rows and rows without a doc_id give a row each, an empty table an empty one; other columns
-    are ignored.  Of letters as common as each other those of lower code points get signs.
+    are ignored.  Of letters as common as each other those of lower code points get signs of their own.
     """
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
