@@ -105,6 +105,35 @@ def test_op2_learns_like_a_plain_loop():
     assert ((score >= 0.7) == (s >= own.threshold)).all() and (np.argsort(score, kind="stable") == np.argsort(s, kind="stable")).all()
 
 
+def test_op2_learns_from_all_labels(spark):
+    """The model of a table is that of all its labelled rows outside the fold, not of a sample, and its threshold their exact quantile."""
+    rng = random.Random(6)
+    texts = {d: " ".join(rng.choice(("plain", "words", "here", "#!", "X")[: 3 if good else 5]) for _ in range(rng.randint(2, 12))) for d in range(40_000) for good in [d % 3 > 0 or rng.random() < 0.1]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, int(d % 3 > 0)) for d in texts], "doc_id long, quality int")
+    own = ranking.train(docs, labels)
+    learned = [d for d in texts if zlib.crc32(str(d).encode()) % 4 != 2]
+    matrix, good = np.stack([ranking.features(texts[d]).astype(np.float32) for d in learned]).astype(float), np.array([d % 3 > 0 for d in learned])
+    assert len(learned) > 25_000 and np.allclose(own.center, matrix.mean(axis=0), atol=1e-9) and np.allclose(own.spread, matrix.std(axis=0) + 1e-3, atol=1e-9)
+    s = own.raw(matrix)
+    assert abs(own.threshold - np.quantile(s, np.mean(~good))) < 1e-9 and abs(own.scale - (np.median(s[good]) - np.median(s[~good])) / 6) < 1e-9
+    plain = ranking.fit(matrix, good)
+    pairs = rng.choices(np.flatnonzero(good).tolist(), k=50_000), rng.choices(np.flatnonzero(~good).tolist(), k=50_000)
+    lost = [np.mean(np.logaddexp(0, r.raw(matrix)[pairs[1]] - r.raw(matrix)[pairs[0]])) for r in (own, plain)]
+    assert abs(lost[0] - lost[1]) < 1e-3 and np.mean(s[pairs[0]] > s[pairs[1]]) > 0.8
+    assert ranking.train(docs, labels).weights.tolist() == own.weights.tolist()
+
+
+def test_op2_counts_all_pairs():
+    rng = np.random.default_rng(2)
+    up, down = rng.normal(1, 2, 700), rng.normal(0, 2, 500)
+    every = np.logaddexp(0, down[None, :] - up[:, None])
+    assert abs(ranking.loss(ranking.cells(up), ranking.cells(down)) - every.mean()) < 1e-3
+    at, _ = ranking.cells(up)
+    got = ranking.beaten(np.floor(up * ranking.FINE).astype(int), ranking.cells(down))
+    assert np.abs(got - (1 - np.exp(-every)).mean(axis=1)).max() < 5e-3
+
+
 def test_op3_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
