@@ -23,7 +23,7 @@ would show in the merge, which then fails; another ``seed`` mends that.
 from __future__ import annotations
 
 import hashlib
-import pickle
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -49,12 +49,50 @@ RUN, SLICE = 1 << 17, 8 << 20
 MEETING = "two different strings have the same hash; pass another seed"
 
 
-def packed(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(pickle.dumps(arrays, 5))
+@lru_cache(maxsize=1)
+def press() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
+@lru_cache
+def header(n: int) -> struct.Struct:
+    """Of each of ``n`` fields its kind, its columns if it has two dimensions, and its length or value."""
+    return struct.Struct("<q" + "cxHxxxxq" * n)
+
+
+def packed(*fields) -> bytes:
+    """Arrays, bytes and numbers as one blob.  Blobs grow with the square of the parts, so they are cheap to make."""
+    head, body = [len(fields)], []
+    for x in fields:
+        if isinstance(x, np.ndarray):
+            head += (x.dtype.char.encode(), x.shape[1] if x.ndim > 1 else 0, len(x))
+            x = x.tobytes()
+        elif isinstance(x, bytes):
+            head += (b"$", 0, len(x))
+        else:
+            head += (b"#", 0, x)
+            continue
+        body += (x, bytes(-len(x) % 8))
+    return press()[0].compress(b"".join((header(len(fields)).pack(*head), *body)))
 
 
 def unpacked(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    """The fields of a blob; arrays can't be written to."""
+    raw = press()[1].decompress(blob)
+    form = header(int.from_bytes(raw[:8], "little"))
+    head, at, out = form.unpack_from(raw), form.size, []
+    for kind, wide, n in zip(head[1::3], head[2::3], head[3::3], strict=True):
+        if kind == b"#":
+            out.append(n)
+            continue
+        if kind == b"$":
+            out.append(raw[at : at + n])
+            at += n + -n % 8
+            continue
+        x = np.frombuffer(raw, kind.decode(), n * (wide or 1), at)
+        at += x.nbytes + -x.nbytes % 8
+        out.append(x.reshape(n, wide) if wide else x)
+    return tuple(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -135,6 +173,16 @@ def groups_of(keys: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(firsts(keys[order]))[1:]) if len(order) else []
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted values of ``keys``, and which of them each is."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = firsts(ordered)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], at
+
+
 def part_of(rid: np.ndarray, parts: int) -> np.ndarray:
     return (mix(rid.astype(np.int64).view(U) + U(0x632BE59BD9B4E019)) % U(parts)).astype(np.int64)
 
@@ -151,7 +199,7 @@ def replies(parts: int, doc: np.ndarray, rid: np.ndarray, owner: np.ndarray, *co
     """Rows for the parts that hold the documents: ``owner`` points into doc and rid."""
     where = part_of(rid, parts)[owner]
     for rows in groups_of(where):
-        known, at = np.unique(owner[rows], return_inverse=True)
+        known, at = distinct(owner[rows])
         yield int(where[rows[0]]), packed(doc[known], rid[known], at.astype(np.int32), *[c[rows] for c in columns])
 
 
@@ -200,7 +248,7 @@ def _local(doc, rid, owner, first, count, ahead, coarse, fine, buckets: int) ->
     where = np.where(kind == MANY, mix(fine[rows]), coarse[rows] >> U(8)) % U(buckets)
     for part in groups_of(where):
         r, kd = rows[part], kind[part]
-        known, at = np.unique(owner[r], return_inverse=True)
+        known, at = distinct(owner[r])
         keyed = r[kd != AGAIN]
         short = coarse[keyed].view(np.uint8).reshape(-1, 8)[:, 1:7]  # six bytes: a chance meeting only opens a string
         yield int(where[part[0]]), packed(doc[known], rid[known], at.astype(np.int32), first[r].astype(np.int32), count[r].astype(np.uint8), ahead[r].astype(np.uint8), kd, twice[keyed], short.copy(), fine[keyed])
@@ -250,7 +298,7 @@ def _contexts(texts: dict, told: tuple, length: int) -> Iterator[bytes]:
 
     def blob() -> bytes:
         who, *numbers = (np.concatenate(c) for c in zip(*rows, strict=True))
-        used, at = np.unique(who, return_inverse=True)
+        used, at = distinct(who)
         return packed(doc[used], rid[used], at.astype(np.int32), *numbers, b"".join(pieces))
 
     half = SEGMENT // 2
@@ -382,16 +430,21 @@ def _run(items: list[tuple[np.ndarray, ...]], splitters: np.ndarray, subs: int,
         yield -1 - part, packed(part, *_found(doc, rid, owner[again], first[again], count[again]))
     owner, first, count, expected, rows = (c[new] for c in (owner, first, count, expected, rows))
     where = spread(rows, splitters, subs)
+    common = common_prefixes(rows)
     for at in groups_of(where):
-        shared = common_prefixes(rows[at])
+        if subs > 1:
+            shared = common_prefixes(rows[at])
+        else:  # a range is a stretch of the sorted strings
+            shared = common[at]
+            shared[0] = 0
         tails = rows[at][np.arange(rows.shape[1]) >= shared[:, None]]
-        used, who = np.unique(owner[at], return_inverse=True)
+        used, who = distinct(owner[at])
         yield int(where[at[0]]), packed(part, doc[used], rid[used], who.astype(np.int32), first[at], count[at].astype(np.uint8), expected[at], shared.astype(np.int16), tails.tobytes())
 
 
 def _found(doc, rid, owner, first, count) -> tuple[np.ndarray, ...]:
     """Repeats as rows for their part: doc, rid, owner, first window, windows."""
-    used, who = np.unique(owner, return_inverse=True)
+    used, who = distinct(owner)
     return doc[used], rid[used], who.astype(np.int32), first.astype(np.int32), count.astype(np.uint8)
 
 
