@@ -196,6 +196,27 @@ def test_op4_compares_all_of_a_bucket(spark):
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want), (crowd, block, few)
 
 
+def test_op4_hands_on_what_can_agree():
+    """Of hot keys all pairs are compared, and pairs of images without enough corners on either side go no further."""
+    rng = np.random.default_rng(7)
+    ids = np.repeat(np.arange(60), 6)
+    words = rng.integers(0, 1 << 63, (360, 4)).astype(np.uint64)
+    words[:, 0] = 77  # an equal piece, and many bits that differ
+    words[ids % 10 == 0] = words[:6].repeat(6, axis=0).reshape(6, 6, 4).swapaxes(0, 1).reshape(36, 4)  # six images with the same corners
+    words[ids == 11] = words[6]  # six corners that are like one of image 1 and of image 21
+    words[6 * 21] = words[6]
+    spot = (rng.integers(20, 90, 360) << 30) | (rng.integers(20, 90, 360) << 14)
+    near = words.view("<u4")
+    order = np.argsort(near[:, 0], kind="stable")
+    for dense in (1, 1 << 30):
+        pairs = {(x, y) for a, b in images.close(near[:, 0], words, near[order, 0], order, words, 32, dense=dense) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+        assert pairs == {(x, y) for x in range(360) for y in range(360) if near[x, 0] == near[y, 0] and np.bitwise_count(words[x] ^ words[y]).sum() <= 32}
+    side = (ids, spot, words)
+    found = np.concatenate(list(images.meet(side, side, np.zeros((4, 0), np.int64), 32, 5, True)), axis=1)
+    met = set(zip(found[0].tolist(), found[2].tolist(), strict=True))
+    assert met == {(a, b) for a in range(0, 60, 10) for b in range(0, a, 10)}
+
+
 def test_op4_compares_all_bits(spark):
     """Up to 32 of 256 bits may differ, wherever they are."""
     rng = np.random.default_rng(8)

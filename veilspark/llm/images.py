@@ -200,19 +200,45 @@ def piece(i: int, j: int) -> Column:
     return F.xxhash64(F.lit(2 * i + j), F.shiftrightunsigned(WORDS[i], 32 * j).bitwiseAND(0xFFFFFFFF))
 
 
-def close(keys: np.ndarray, words: np.ndarray, known: np.ndarray, order: np.ndarray, theirs: np.ndarray, reach: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close(keys: np.ndarray, words: np.ndarray, known: np.ndarray, order: np.ndarray, theirs: np.ndarray, reach: int, upto: np.ndarray | None = None, step: int = 1 << 18, dense: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row of ``words``, row of ``theirs``) with equal keys of which at most ``reach`` bits differ; about ``step`` are compared at a time.
 
-    ``known`` has the keys of ``theirs`` in order, ``order`` the rows that they belong to.
+    ``known`` has the keys of ``theirs`` in order, ``order`` the rows that they belong to; ``upto``: for each
+    row of ``words`` the place there from which on it is not compared.  Keys with ``dense`` pairs or more are compared
+    as a block of all their rows, others pair by pair.
     """
     low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
-    edge = np.concatenate(([0], np.cumsum(high - low)))
+    if upto is not None:
+        high = np.minimum(high, upto)
+    by = np.argsort(low, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], low[by][1:] != low[by][:-1]))) if len(by) else np.zeros(0, np.int64)
+    size = np.diff(start, append=len(by))
+    big = (np.add.reduceat((high - low)[by], start) >= dense) & (size >= 4) if len(by) else np.zeros(0, bool)
+    for first, many in zip(start[big].tolist(), size[big].tolist(), strict=True):
+        rows = by[first : first + many]
+        mine, begin, end, last = np.ascontiguousarray(words[rows].T), int(low[rows[0]]), int(high[rows].max()), high[rows]
+        wide = max(1, (1 << 16) // many)
+        for at in range(begin, end, wide):
+            y = order[at : min(at + wide, end)]
+            other = np.ascontiguousarray(theirs[y].T)
+            off = np.bitwise_count(mine[0][:, None] ^ other[0])
+            for k in (1, 2, 3):  # a piece is equal, so the sum fits into a byte
+                off += np.bitwise_count(mine[k][:, None] ^ other[k])
+            i, j = np.divmod(np.flatnonzero(off <= reach), len(y))
+            if upto is not None:
+                keep = j + at < last[i]
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield rows[i], y[j]
+    thin = by[np.repeat(~big, size)]
+    low, n = low[thin], (high - low)[thin]
+    edge = np.concatenate(([0], np.cumsum(n)))
     at = 0
-    while at < len(keys):
+    while at < len(thin):
         to = max(at + 1, int(np.searchsorted(edge, edge[at] + step, "right")) - 1)
-        n = (high - low)[at:to]
-        x = np.repeat(np.arange(at, to), n)
-        y = order[np.arange(len(x)) + np.repeat(low[at:to] - edge[at:to] + edge[at], n)]
+        x = np.repeat(np.arange(at, to), n[at:to])
+        y = order[np.arange(len(x)) + np.repeat(low[at:to] - edge[at:to] + edge[at], n[at:to])]
+        x = thin[x]
         off = np.zeros(len(x), np.uint8)
         for half in (slice(0, 2), slice(2, 4)):
             off += np.bitwise_count(words[x, half] ^ theirs[y, half]).sum(axis=1, dtype=np.uint8)
@@ -223,6 +249,17 @@ def close(keys: np.ndarray, words: np.ndarray, known: np.ndarray, order: np.ndar
         at = to
 
 
+def several_corners(pair: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The matches of pairs of images that have ``need`` matches, and as many corners on either side; no others can agree."""
+    at = np.flatnonzero(np.bincount(pair)[pair] >= need) if len(pair) else np.zeros(0, np.int64)
+    for side in (x, y):
+        if len(at):
+            order = at[np.lexsort((side[at], pair[at]))]
+            new = np.concatenate(([True], (pair[order][1:] != pair[order][:-1]) | (side[order][1:] != side[order][:-1])))
+            at = at[np.bincount(pair[order[new]], minlength=int(pair[at].max()) + 1)[pair[at]] >= need[at]]
+    return at
+
+
 def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, same: bool, span: int = 8192) -> Iterator[np.ndarray]:
     """Matches (image and spot of the left side, of the right side) between two sets of corners (ids, spots, words).
 
@@ -234,13 +271,18 @@ def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, s
     parts, near = words.view("<u4"), theirs.view("<u4")
     images, place = np.unique(other, return_inverse=True)
     tables = [(near[order, i], order) for i in range(8) for order in [np.argsort(near[:, i], kind="stable").astype(np.uint32)]]
+    ranks: list[np.ndarray | None] = [None] * 8
+    if same:  # of rows with a key those before it have the smaller ids
+        for i, (_, order) in enumerate(tables):
+            ranks[i] = np.empty(len(order), np.uint32)
+            ranks[i][order] = np.arange(len(order), dtype=np.uint32)
     at = done = 0
     while at < len(ids):
         last = ids[min(at + span, len(ids)) - 1]
         to, upto = (int(np.searchsorted(x, last, "right")) for x in (ids, known[0]))
         rows = []
         for i, (keys, order) in enumerate(tables):
-            for x, y in close(parts[at:to, i], words[at:to], keys, order, theirs, reach):
+            for x, y in close(parts[at:to, i], words[at:to], keys, order, theirs, reach, None if ranks[i] is None else ranks[i][at:to].astype(np.int64)):
                 x = x + at
                 keep = ids[x] > other[y] if same else slice(None)
                 rows.append((x[keep], y[keep]))
@@ -248,7 +290,10 @@ def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, s
         run = np.cumsum(np.r_[0, ids[at + 1 : to] != ids[at : to - 1]])[x - at]
         pair = run * len(images) + place[y]
         before = known[:, done:upto]
-        enough = np.bincount(pair)[pair] >= least if len(pair) else np.zeros(0, bool)
+        enough = np.zeros(len(pair), bool)
+        some = np.flatnonzero(np.bincount(pair)[pair] >= least) if len(pair) else np.zeros(0, np.int64)
+        need = np.maximum(least, np.ceil(SHARE * np.minimum(spot[x[some]] >> 46, there[y[some]] >> 46))).astype(np.int64)
+        enough[some[several_corners(pair[some], x[some], y[some], need)]] = True
         if before.shape[1]:
             enough |= np.isin(ids[x], before[0]) & np.isin(other[y], before[2])
         x, y = x[enough], y[enough]
