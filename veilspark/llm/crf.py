@@ -137,8 +137,8 @@ class Tagger:
                 grown = np.empty((2 * len(known), len(self.labels)), np.float32)
                 grown[:at] = self.table[:at]
                 self.table = grown
-            for i in range(0, len(new), 50_000):
-                part = new[i : i + 50_000]
+            for i in range(0, len(new), 10_000):
+                part = new[i : i + 10_000]
                 self.table[at + i : at + i + len(part)] = self.emissions(part)
         return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
@@ -151,15 +151,33 @@ class Tagger:
         posterior, _ = forward_backward(emission, chain, self.start, self.step)
         return np.split(posterior[chain.place], np.cumsum(sizes)[:-1])
 
-    def means(self, texts: list[list[str]]) -> np.ndarray:
+    def read(self, raw: list[str | None], size: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text, its number of words and whether none has a letter; and the emissions of all words, text after text.
+
+        Words are held for about ``size`` characters at a time: as objects they take many times their text, and
+        those of them that stay known would keep the memory between them from being given back.
+        """
+        sizes, blank, parts, words, held = [], [], [], [], 0
+        for text in raw:
+            found = lower(text) if text else []
+            sizes.append(len(found))
+            blank.append(not any(c.isalpha() for w in found for c in w))
+            words += found
+            held += len(text or "")
+            if held >= size:
+                parts.append(self.lookup(words))
+                words, held = [], 0
+        parts.append(self.lookup(words))
+        return np.array(sizes, np.int64), np.array(blank, bool), np.concatenate(parts)
+
+    def means(self, sizes: np.ndarray, emission: np.ndarray) -> np.ndarray:
         """Per text, the mean of its words' label probabilities; zeros for a text without words."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        total = np.zeros((len(texts), len(self.labels)))
+        total = np.zeros((len(sizes), len(self.labels)))
         if sizes.sum():
             chain = Chain.of(sizes)
-            emission = np.empty((int(sizes.sum()), len(self.labels)), np.float32)
-            emission[chain.place] = self.lookup([w for t in texts for w in t])
-            posterior, _ = forward_backward(emission, chain, self.start, self.step)
+            timed = np.empty_like(emission)
+            timed[chain.place] = emission
+            posterior, _ = forward_backward(timed, chain, self.start, self.step)
             for t, n in enumerate(chain.active.tolist()):
                 total[chain.order[:n]] += posterior[chain.starts[t] : chain.starts[t] + n]
         return total / np.maximum(sizes, 1)[:, None]
@@ -267,16 +285,24 @@ def train(docs: DataFrame, per_label: int = 400, sample_rows: int = 20_000, leas
 TAGGED = "doc_id long, held_out boolean, lang_pred string, score double, n_words long"
 
 
-def predict(own: Tagger, raw: list[str | None]) -> tuple[list[list[str]], list[str], np.ndarray]:
-    """Words, language and score of each text."""
-    texts = [lower(t) if t else [] for t in raw]
-    blank = np.array([not any(c.isalpha() for w in t[:1] for c in w) and not any(c.isalpha() for w in t for c in w) for t in texts], bool)
+def predict(own: Tagger, raw: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Number of words, language and score of each text."""
     if not own.labels:
-        return texts, [UNKNOWN] * len(texts), np.zeros(len(texts))
-    means = own.means(texts)
+        sizes = np.fromiter((len(lower(t)) if t else 0 for t in raw), np.int64, len(raw))
+        return sizes, [UNKNOWN] * len(raw), np.zeros(len(raw))
+    sizes, blank, emission = own.read(raw)
+    means = own.means(sizes, emission)
     best = means.argmax(axis=1)
     names = [UNKNOWN if b else own.labels[k] for b, k in zip(blank, best, strict=True)]
-    return texts, names, np.where(blank, 0.0, np.clip(means[np.arange(len(best)), best], 0, 1))
+    return sizes, names, np.where(blank, 0.0, np.clip(means[np.arange(len(best)), best], 0, 1))
+
+
+def filtered(own: Tagger, batches: Iterator[pa.RecordBatch], wanted: set[str] | None, least: float) -> Iterator[pa.RecordBatch]:
+    """The rows that ``keep_languages`` keeps."""
+    for batch in slices(batches, "text", 2000, 2 << 20):
+        _, names, score = predict(own, batch.column("text").to_pylist())
+        keep = [n != UNKNOWN and s >= least and (wanted is None or n in wanted) for n, s in zip(names, score, strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def keep_languages(docs: DataFrame, wanted: set[str] | None = None, least: float = 0.5) -> DataFrame:
@@ -288,10 +314,7 @@ def keep_languages(docs: DataFrame, wanted: set[str] | None = None, least: float
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2000, 4 << 20):
-            _, names, score = predict(sent.value, batch.column("text").to_pylist())
-            keep = [n != UNKNOWN and s >= least and (wanted is None or n in wanted) for n, s in zip(names, score, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return filtered(sent.value, batches, wanted, least)
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -309,8 +332,8 @@ def identify(docs: DataFrame, tagger: Tagger | None = None, folds: int = 5, fold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 4 << 20):
-            texts, names, score = predict(sent.value, batch.column("text").to_pylist())
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(list(map(len, texts)), pa.int64())], [c.split()[0] for c in TAGGED.split(", ")])
+            sizes, names, score = predict(sent.value, batch.column("text").to_pylist())
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(sizes)], [c.split()[0] for c in TAGGED.split(", ")])
 
     rows = only(docs, "doc_id", "text").select("doc_id", "text", F.coalesce(crc_bucket("doc_id", folds) == fold, F.lit(True)).alias("held_out"))
     return rows.mapInArrow(run, TAGGED)

@@ -75,7 +75,7 @@ def alphabets(docs: DataFrame) -> dict[str | None, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str | None, np.ndarray] = {}
-        for batch in slices(batches, "text", 4000, 8 << 20):
+        for batch in slices(batches, "text", 4000, 2 << 20):
             for lang, _, texts in by_language(batch):
                 total[lang] = total.get(lang, 0) + np.bincount(np.minimum(points(texts), 0xFFFF), minlength=1 << 16)
         for lang, n in total.items():
@@ -127,7 +127,7 @@ def count_ngrams(docs: DataFrame, signs: dict[str | None, np.ndarray]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in slices(batches, "text", 4000, 4 << 20):
+        for batch in slices(batches, "text", 4000, 2 << 20):
             for lang, _, texts in by_language(batch):
                 code, start, end, _ = codes(texts, sent.value[lang])
                 inside = np.zeros(len(code) + 1, np.int8)
@@ -302,7 +302,7 @@ def score(docs: DataFrame, signs: dict[str | None, np.ndarray], models: dict[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, known = sent.value
-        for batch in slices(batches, "text", 2000, 4 << 20):
+        for batch in slices(batches, "text", 2000, 1 << 20):
             raw = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             entropy, size = np.full(len(raw), np.nan), np.zeros(len(raw), np.int64)
             for lang, rows, texts in by_language(batch):
