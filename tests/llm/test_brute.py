@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 
 from veilspark.llm import bpe, crf, images, packing, perplexity, queries, ranking, sharding, simhash, suffixes
 from veilspark.llm.tokens import library
+from veilspark.plans import storage
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -217,6 +218,41 @@ def test_op4_hands_on_what_can_agree():
     assert met == {(a, b) for a in range(0, 60, 10) for b in range(0, a, 10)}
 
 
+def test_op4_compares_equal_pieces_alone():
+    """A key that the other side lacks meets nothing, also not the next key's rows; and it doesn't matter how many are compared at a time."""
+    rng = np.random.default_rng(9)
+    ids = np.repeat(np.arange(80), 8)
+    words = rng.integers(0, 1 << 63, (80, 8, 4)).astype(np.uint64)
+    words[::4] = words[0]  # twenty images of the same corners
+    words = words.reshape(-1, 4)
+    keys = np.repeat(np.array([76, 77], np.uint32), 8)
+    mine, theirs = words[8 * 4 : 8 * 6].copy(), words[8 * 8 : 8 * 10]
+    mine[8:] = mine[:8]
+    for dense in (1, 1 << 30):
+        for upto in (None, np.full(16, 5)):
+            pairs = [p for x, y in images.close(keys, mine, np.full(16, 77, np.uint32), np.arange(16), theirs, 32, upto, dense=dense) for p in zip(x.tolist(), y.tolist(), strict=True)]
+            assert sorted(pairs) == [(8 + i, i) for i in range(8 if upto is None else 5)]
+    side = (ids, (rng.integers(20, 90, 640) << 30) | (rng.integers(20, 90, 640) << 14), words)
+    known = np.stack([np.array([0, 1, 9, 79]), np.zeros(4, int), np.array([0, 0, 3, 1]), np.zeros(4, int)])
+    for before in (known[:, :0], known):
+        out = [np.concatenate(list(images.meet(side, side, before, 32, 5, True, **how)), axis=1) for how in ({}, {"span": 9}, {"most": 1}, {"cells": 1}, {"span": 200, "most": 300, "cells": 500})]
+        for m in out:
+            assert {tuple(x) for x in m.T.tolist()} == {tuple(x) for x in out[0].T.tolist()} and m.shape == out[0].shape
+        assert {(a, b) for a, _, b, _ in out[0].T.tolist()} == {(a, b) for a in range(0, 80, 4) for b in range(0, a, 4)} | set(zip(before[0].tolist(), before[2].tolist(), strict=True))
+
+
+def test_op4_writes_corners_once(spark):
+    """Corners are written once, not again for the images that are compared."""
+    rng = np.random.default_rng(10)
+    blobs = [images.pgm(images.render(rng.normal(size=3).tolist())) for _ in range(6)]
+    media = spark.createDataFrame([(k, bytearray(blobs[k % 6])) for k in (3, 3, *range(12))] + [(None, bytearray(blobs[0]))], "media_id long, image binary")
+    before = len(storage._WRITTEN)
+    out = images.find_copies(media).collect()
+    assert sorted((r.media_id, r.class_id) for r in out if r.media_id is not None) == [(k, k % 6) for k in range(12)]
+    assert [(r.class_id, r.n_links) for r in out if r.media_id is None] == [(0, 0)]
+    assert sum({"d0", "d1", "d2", "d3"} <= set(spark.read.parquet(path).columns) for path in storage._WRITTEN[before:]) == 1
+
+
 def test_op4_compares_all_bits(spark):
     """Up to 32 of 256 bits may differ, wherever they are."""
     rng = np.random.default_rng(8)

@@ -161,7 +161,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(marks)
 
 
-DESCRIBED = "media_id long, content long, spot long, d0 long, d1 long, d2 long, d3 long, decoded boolean"
+DESCRIBED = "row long, media_id long, content long, spot long, d0 long, d1 long, d2 long, d3 long, decoded boolean"
 WORDS = ("d0", "d1", "d2", "d3")
 ANGLES = 1024
 
@@ -175,24 +175,24 @@ def spots(places: np.ndarray) -> np.ndarray:
 
 
 def descriptors(media: DataFrame) -> DataFrame:
-    """One row per corner, and one without a descriptor for each image; content: a hash of the image."""
+    """One row per corner, and one without a descriptor for each image; row: a number of the image's row, content: a hash of the image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DESCRIBED.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part, out = batch.slice(at, 200), []
-                for key, blob in zip(part.column("media_id").to_pylist(), part.column("image").to_pylist(), strict=True):
+                for row, key, blob in zip(*(part.column(c).to_pylist() for c in ("row", "media_id", "image")), strict=True):
                     content = int.from_bytes(hashlib.sha256(blob or b"").digest()[:8], "big", signed=True)
                     image = decode(blob) if blob else None
                     places, marks = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, TESTS // 8), np.uint8))
                     words = np.ascontiguousarray(marks).view("<i8").tolist()
-                    out.append((key, content, None, *[None] * 4, image is not None))
-                    out += [(key, content, s, *w, True) for s, w in zip(spots(places).tolist(), words, strict=True)]
-                kinds = [pa.int64()] * 7 + [pa.bool_()]
+                    out.append((row, key, content, None, *[None] * 4, image is not None))
+                    out += [(row, key, content, s, *w, True) for s, w in zip(spots(places).tolist(), words, strict=True)]
+                kinds = [pa.int64()] * 8 + [pa.bool_()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return only(media, "media_id", "image").mapInArrow(run, DESCRIBED)
+    return only(media, "media_id", "image").withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, DESCRIBED)
 
 
 def piece(i: int, j: int) -> Column:
@@ -200,52 +200,61 @@ def piece(i: int, j: int) -> Column:
     return F.xxhash64(F.lit(2 * i + j), F.shiftrightunsigned(WORDS[i], 32 * j).bitwiseAND(0xFFFFFFFF))
 
 
-def close(keys: np.ndarray, words: np.ndarray, known: np.ndarray, order: np.ndarray, theirs: np.ndarray, reach: int, upto: np.ndarray | None = None, step: int = 1 << 18, dense: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close(keys: np.ndarray, words: np.ndarray, known: np.ndarray, order: np.ndarray, theirs: np.ndarray, reach: int, upto: np.ndarray | None = None, step: int = 1 << 17, dense: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row of ``words``, row of ``theirs``) with equal keys of which at most ``reach`` bits differ; about ``step`` are compared at a time.
 
     ``known`` has the keys of ``theirs`` in order, ``order`` the rows that they belong to; ``upto``: for each
-    row of ``words`` the place there from which on it is not compared.  Keys with ``dense`` pairs or more are compared
-    as a block of all their rows, others pair by pair.
+    row of ``words`` the place there from which on it is not compared; it grows with the rows of a key.  Keys with ``dense`` pairs
+    or more are compared in blocks of their rows, which are read once a block, others pair by pair.
     """
-    low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+    if not len(keys):
+        return
+    by = np.argsort(keys, kind="stable").astype(np.uint32)
+    start = np.flatnonzero(np.concatenate(([True], keys[by][1:] != keys[by][:-1])))
+    size, own = np.diff(start, append=len(by)), keys[by[start]]
+    first = np.searchsorted(known, own, "left")
+    ends = np.repeat(np.searchsorted(known, own, "right"), size)
     if upto is not None:
-        high = np.minimum(high, upto)
-    by = np.argsort(low, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], low[by][1:] != low[by][:-1]))) if len(by) else np.zeros(0, np.int64)
-    size = np.diff(start, append=len(by))
-    big = (np.add.reduceat((high - low)[by], start) >= dense) & (size >= 4) if len(by) else np.zeros(0, bool)
-    for first, many in zip(start[big].tolist(), size[big].tolist(), strict=True):
-        rows = by[first : first + many]
-        mine, begin, end, last = np.ascontiguousarray(words[rows].T), int(low[rows[0]]), int(high[rows].max()), high[rows]
-        wide = max(1, (1 << 16) // many)
-        for at in range(begin, end, wide):
-            y = order[at : min(at + wide, end)]
-            other = np.ascontiguousarray(theirs[y].T)
-            off = np.bitwise_count(mine[0][:, None] ^ other[0])
-            for k in (1, 2, 3):  # a piece is equal, so the sum fits into a byte
-                off += np.bitwise_count(mine[k][:, None] ^ other[k])
-            i, j = np.divmod(np.flatnonzero(off <= reach), len(y))
-            if upto is not None:
-                keep = j + at < last[i]
-                i, j = i[keep], j[keep]
-            if len(i):
-                yield rows[i], y[j]
-    thin = by[np.repeat(~big, size)]
-    low, n = low[thin], (high - low)[thin]
+        ends = np.minimum(ends, upto[by])
+    pairs = np.add.reduceat(ends, start) - first * size
+    big = (pairs >= dense) & (size >= 4)
+    tall, wide = 128, 512  # a block stays in the processor's caches
+    off, part, bits = np.empty(tall * wide, np.uint8), np.empty(tall * wide, np.uint8), np.empty(tall * wide, np.uint64)
+    for at, many, begin in zip(start[big].tolist(), size[big].tolist(), first[big].tolist()):
+        end = int(ends[at + many - 1])
+        y = order[begin:end]
+        other = np.ascontiguousarray(theirs[y].T)
+        for top in range(at, at + many, tall):
+            rows, last = by[top : min(top + tall, at + many)], ends[top : min(top + tall, at + many)] - begin
+            mine = np.ascontiguousarray(words[rows].T)[:, :, None]
+            width = max(wide, tall * wide // len(rows))
+            for left in range(0, int(last[-1]), width):
+                right = min(left + width, int(last[-1]))
+                shape = (len(rows), right - left)
+                n = shape[0] * shape[1]
+                o, c, x = off[:n].reshape(shape), part[:n].reshape(shape), bits[:n].reshape(shape)
+                np.bitwise_count(np.bitwise_xor(mine[0], other[0, left:right], out=x), out=o)
+                for k in (1, 2, 3):  # a piece is equal, so the sum fits into a byte
+                    np.add(o, np.bitwise_count(np.bitwise_xor(mine[k], other[k, left:right], out=x), out=c), out=o)
+                hit = o <= reach
+                if upto is not None and last[0] < right:
+                    hit &= np.arange(left, right) < last[:, None]
+                each = np.count_nonzero(hit, axis=1)
+                if each.any():
+                    yield np.repeat(rows, each), y[np.flatnonzero(hit) - np.repeat(np.arange(len(rows)) * shape[1] - left, each)]
+    few = np.repeat(~big, size)
+    thin, low = by[few], np.repeat(first, size)[few]
+    n = ends[few] - low
     edge = np.concatenate(([0], np.cumsum(n)))
     at = 0
     while at < len(thin):
         to = max(at + 1, int(np.searchsorted(edge, edge[at] + step, "right")) - 1)
-        x = np.repeat(np.arange(at, to), n[at:to])
+        x = np.repeat(thin[at:to], n[at:to])
         y = order[np.arange(len(x)) + np.repeat(low[at:to] - edge[at:to] + edge[at], n[at:to])]
-        x = thin[x]
-        off = np.zeros(len(x), np.uint8)
-        for half in (slice(0, 2), slice(2, 4)):
-            off += np.bitwise_count(words[x, half] ^ theirs[y, half]).sum(axis=1, dtype=np.uint8)
-            keep = np.flatnonzero(off <= reach)
-            x, y, off = x[keep], y[keep], off[keep]
-        if len(x):
-            yield x, y
+        count = np.bitwise_count(np.take(words, x, axis=0) ^ np.take(theirs, y, axis=0)).view(np.uint32).ravel()
+        keep = np.flatnonzero(count * np.uint32(0x01010101) >> np.uint32(24) <= reach)  # the sum of four bytes
+        if len(keep):
+            yield x[keep], y[keep]
         at = to
 
 
@@ -254,51 +263,81 @@ def several_corners(pair: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.nda
     at = np.flatnonzero(np.bincount(pair)[pair] >= need) if len(pair) else np.zeros(0, np.int64)
     for side in (x, y):
         if len(at):
-            order = at[np.lexsort((side[at], pair[at]))]
-            new = np.concatenate(([True], (pair[order][1:] != pair[order][:-1]) | (side[order][1:] != side[order][:-1])))
-            at = at[np.bincount(pair[order[new]], minlength=int(pair[at].max()) + 1)[pair[at]] >= need[at]]
+            key = np.sort(pair[at].astype(np.int64) << 32 | side[at])  # rows of either side have 32 bits at most
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            at = at[np.bincount(key[new] >> 32)[pair[at]] >= need[at]]
     return at
 
 
-def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, same: bool, span: int = 8192) -> Iterator[np.ndarray]:
+def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, same: bool, span: int = 1 << 17, most: int = 1 << 22, cells: int = 1 << 21) -> Iterator[np.ndarray]:
     """Matches (image and spot of the left side, of the right side) between two sets of corners (ids, spots, words).
 
     ``left`` is sorted by id; ``known``, sorted likewise, has matches found before.  All matches of
     a pair of images come together; pairs with fewer than ``least`` may be left out.  Where both sides are
-    the ``same``, the left image is the one with the larger id.
+    the ``same``, the left image is the one with the larger id.  About ``span`` corners of the left side are
+    compared at a time, so that keys have many of them, or fewer while these have over ``most`` matches: one image at least.
     """
     (ids, spot, words), (other, there, theirs) = left, right
     parts, near = words.view("<u4"), theirs.view("<u4")
     images, place = np.unique(other, return_inverse=True)
+    place = place.astype(np.int32)
+    begins = np.append(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))), len(ids)) if len(ids) else np.zeros(1, np.int64)  # of the left images
     tables = [(near[order, i], order) for i in range(8) for order in [np.argsort(near[:, i], kind="stable").astype(np.uint32)]]
     ranks: list[np.ndarray | None] = [None] * 8
     if same:  # of rows with a key those before it have the smaller ids
         for i, (_, order) in enumerate(tables):
             ranks[i] = np.empty(len(order), np.uint32)
             ranks[i][order] = np.arange(len(order), dtype=np.uint32)
-    at = done = 0
-    while at < len(ids):
-        last = ids[min(at + span, len(ids)) - 1]
-        to, upto = (int(np.searchsorted(x, last, "right")) for x in (ids, known[0]))
-        rows = []
+
+    def matches(at: int, to: int, stop: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Rows of both sides that match; none if there are over ``most`` and it may ``stop``."""
+        xs, ys, n = [], [], 0
         for i, (keys, order) in enumerate(tables):
             for x, y in close(parts[at:to, i], words[at:to], keys, order, theirs, reach, None if ranks[i] is None else ranks[i][at:to].astype(np.int64)):
-                x = x + at
-                keep = ids[x] > other[y] if same else slice(None)
-                rows.append((x[keep], y[keep]))
-        x, y = (np.concatenate([r[k] for r in rows] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        run = np.cumsum(np.r_[0, ids[at + 1 : to] != ids[at : to - 1]])[x - at]
-        pair = run * len(images) + place[y]
-        before = known[:, done:upto]
-        enough = np.zeros(len(pair), bool)
-        some = np.flatnonzero(np.bincount(pair)[pair] >= least) if len(pair) else np.zeros(0, np.int64)
-        need = np.maximum(least, np.ceil(SHARE * np.minimum(spot[x[some]] >> 46, there[y[some]] >> 46))).astype(np.int64)
-        enough[some[several_corners(pair[some], x[some], y[some], need)]] = True
-        if before.shape[1]:
-            enough |= np.isin(ids[x], before[0]) & np.isin(other[y], before[2])
-        x, y = x[enough], y[enough]
-        yield np.concatenate((np.stack((ids[x], spot[x], other[y], there[y])), before), axis=1)
-        at, done = to, upto
+                xs.append(x)
+                ys.append(y)
+                n += len(x)
+                if n > most and stop:
+                    return None
+        x, y = (np.concatenate(z or [np.zeros(0, np.uint32)]) for z in (xs, ys))
+        x += np.uint32(at)
+        if same:
+            keep = ids[x] > other[y]
+            x, y = x[keep], y[keep]
+        return x, y
+
+    at = done = 0  # images of the left side, and known matches, that are through
+    width, per = max(1, span // 16), max(1, cells // max(1, len(images)))
+    while at < len(begins) - 1:
+        to = max(at + 1, int(np.searchsorted(begins, begins[at] + width, "right")) - 1)
+        if (found := matches(int(begins[at]), int(begins[to]), to > at + 1)) is None:
+            width = int(begins[to] - begins[at]) // 2
+            continue
+        x, y = found
+        width = int(min(span, 2 * width, 0.75 * most / max(1, len(x)) * (begins[to] - begins[at]) + 1))
+        run = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(begins[at : to + 1]))[x - np.uint32(begins[at])]
+        turn = (run // per).astype(np.uint16)  # images of a few at a time are counted, in an array of ``cells``
+        order = np.argsort(turn, kind="stable")
+        x, y, run = x[order], y[order], run[order]
+        edges = np.concatenate(([0], np.cumsum(np.bincount(turn, minlength=-(-(to - at) // per)))))
+        for n, first in enumerate(range(at, to, per)):
+            end, rows = min(first + per, to), slice(edges[n], edges[n + 1])
+            u, v = x[rows], y[rows]
+            pair = (run[rows] - (first - at)).astype(np.int64) * len(images) + place[v]
+            upto = int(np.searchsorted(known[0], ids[begins[end] - 1], "right"))
+            before = known[:, done:upto]
+            enough = np.zeros(len(pair), bool)
+            some = np.flatnonzero(np.bincount(pair)[pair] >= least) if len(pair) else np.zeros(0, np.int64)
+            need = np.maximum(least, np.ceil(SHARE * np.minimum(spot[u[some]] >> 46, there[v[some]] >> 46))).astype(np.int64)
+            enough[some[several_corners(pair[some], u[some], v[some], need)]] = True
+            if before.shape[1]:
+                mine = ids[begins[first:end]]
+                i, j = (np.minimum(np.searchsorted(z, before[k]), len(z) - 1) for z, k in ((mine, 0), (images, 2)))
+                enough |= np.isin(pair, (i * len(images) + j)[(mine[i] == before[0]) & (images[j] == before[2])])
+            u, v = u[enough], v[enough]
+            yield np.concatenate((np.stack((ids[u], spot[u], other[v], there[v])), before), axis=1)
+            done = upto
+        at = to
     yield known[:, done:]
 
 
@@ -386,8 +425,9 @@ def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: in
     spark = points.sparkSession
     total = points.count()
     none = spark.createDataFrame([], "a long, p long, b long, q long")
-    many, pairs = points, none
+    pairs = none
     if total > few * block:
+        points = materialize(points)
         entries = points.select("id", "spot", *WORDS, F.explode(F.array(*[piece(i, j) for i in range(4) for j in (0, 1)])).alias("key"))
         sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         small = entries.join(sizes.where(F.col("n") <= crowd).select("key"), "key")
@@ -398,6 +438,8 @@ def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: in
         many = entries.select("id", "spot", "key").join(sizes.where(F.col("n") > crowd).select("key"), "key", "left_semi").select("id", "spot").distinct()
         many = materialize(points.join(many, ["id", "spot"], "left_semi"))
         total = many.count()
+    else:
+        many = points
     n = max(1, -(-total // block))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     cell = lambda x, y: F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"))
@@ -450,9 +492,10 @@ def find_copies(media: DataFrame, reach: int = 32, consensus: int = 5, **blocks)
     """
     found = materialize(descriptors(media))
     images = materialize(found.groupBy("content", "media_id").agg((F.count("spot") / F.count_if(F.col("spot").isNull())).cast("long").alias("n_corners"), F.bool_and("decoded").alias("decoded")))
-    classes = images.groupBy("content").agg(F.min("media_id").alias("id"))
-    points = found.where("spot is not null").join(classes.select("content", "id"), "content").where("media_id = id")
-    points = materialize(points.select("id", "spot", *WORDS).dropDuplicates(["id", "spot"]))
+    heads = found.where("spot is null").select("content", "media_id", "row")
+    classes = heads.groupBy("content").agg(F.min(F.expr("if(media_id is null, null, struct(media_id, row))")).alias("first")).select("content", F.col("first.media_id").alias("id"), F.col("first.row").alias("first"))
+    again = materialize(heads.join(classes, "content").where(~F.col("row").eqNullSafe(F.col("first"))).select("row"))  # rows of which an equal one goes on, often few
+    points = found.where("spot is not null").join(again, "row", "left_anti").select(F.col("media_id").alias("id"), "spot", *WORDS)
     links = materialize(linked(points, reach, consensus, **blocks))
     roots = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
