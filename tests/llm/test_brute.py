@@ -241,6 +241,19 @@ def test_op4_compares_equal_pieces_alone():
         assert {(a, b) for a, _, b, _ in out[0].T.tolist()} == {(a, b) for a in range(0, 80, 4) for b in range(0, a, 4)} | set(zip(before[0].tolist(), before[2].tolist(), strict=True))
 
 
+def test_op4_packs_corners():
+    """Corners come out of blobs by id and in their order, also where an image's lie in several blobs or apart."""
+    rng = np.random.default_rng(12)
+    ids = rng.integers(-3, 6, 200).repeat(rng.integers(1, 4, 200))
+    rows = rng.integers(-(2**63), 2**63 - 1, (len(ids), 5))
+    blobs = [images.packed(ids[a : a + 50], rows[a : a + 50]) for a in range(0, len(ids), 50)]
+    by = np.argsort(ids, kind="stable")
+    got = images.unpacked(blobs)
+    assert all((a == b).all() for a, b in zip(got, (ids[by], rows[by, 0], rows[by, 1:].view(np.uint64)), strict=True))
+    assert [len(x) for x in images.unpacked([])] == [0, 0, 0]
+    assert max(map(len, blobs)) <= 50 * 40 + 8 + 50 * 16
+
+
 def test_op4_writes_corners_once(spark):
     """Corners are written once, not again for the images that are compared."""
     rng = np.random.default_rng(10)

@@ -191,6 +191,8 @@ def descriptors(media: DataFrame) -> DataFrame:
                     out += [(row, key, content, s, *w, True) for s, w in zip(spots(places).tolist(), words, strict=True)]
                 kinds = [pa.int64()] * 8 + [pa.bool_()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                del out
+                trim()
 
     return only(media, "media_id", "image").withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, DESCRIBED)
 
@@ -413,6 +415,33 @@ def fits(p: np.ndarray, q: np.ndarray, wide: float, least: int, rounds: int = 4)
     return 0.3 < abs(a) < 3.5
 
 
+def packed(ids: np.ndarray, rows: np.ndarray) -> bytes:
+    """Corners (spot and words) of images, with each image's id and number of corners once where they follow each other."""
+    start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return b"".join(x.astype(np.int64, copy=False).tobytes() for x in (np.array([len(start)]), ids[start], np.diff(start, append=len(ids)), rows))
+
+
+def unpacked(blobs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, spots and words of all corners of ``packed`` blobs by id, each copied once."""
+    runs, ids, sizes = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for blob in blobs:
+        numbers = np.frombuffer(blob, np.int64)
+        n = int(numbers[0])
+        rows, size = numbers[1 + 2 * n :].reshape(-1, 5), numbers[1 + n : 1 + 2 * n]
+        ids.append(numbers[1 : 1 + n])
+        sizes.append(size)
+        ends = np.cumsum(size).tolist()
+        runs += [(rows, a, b) for a, b in zip([0, *ends], ends, strict=False)]
+    ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+    by = np.argsort(ids, kind="stable")
+    spot, words, at = np.empty(int(sizes.sum()), np.int64), np.empty((int(sizes.sum()), 4), np.int64), 0
+    for k in by.tolist():
+        rows, a, b = runs[k]
+        spot[at : at + b - a], words[at : at + b - a] = rows[a:b, 0], rows[a:b, 1:]
+        at += b - a
+    return np.repeat(ids[by], sizes[by]), spot, words.view(np.uint64)
+
+
 def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: int = 1_400_000, few: int = 8) -> DataFrame:
     """Pairs of images (a, b), a > b, of which ``least`` corners match and agree on a transform.
 
@@ -446,10 +475,10 @@ def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: in
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = batch.column("mine").to_numpy()
-            rows = np.stack([batch.column(c).to_numpy() for c in ("id", "spot", *WORDS)], axis=1)
+            mine, ids = (batch.column(c).to_numpy() for c in ("mine", "id"))
+            rows = np.stack([batch.column(c).to_numpy() for c in ("spot", *WORDS)], axis=1)
             for k in np.unique(mine).tolist():
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([rows[mine == k].tobytes()], pa.binary())], ["mine", "blob"])
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([packed(ids[mine == k], rows[mine == k])], pa.binary())], ["mine", "blob"])
 
     corners = many.select("id", "spot", *WORDS, part("id").alias("mine")).mapInArrow(pack, "mine int, blob binary")
     corners = corners.select("*", F.explode(F.array(*[F.lit(x) for x in range(n)])).alias("x"))
@@ -460,11 +489,9 @@ def linked(points: DataFrame, reach: int, least: int, crowd: int = 64, block: in
         i, j = (k.as_py() for k in key)
         sides = []
         for k in (i, j):
-            mine = [np.frombuffer(b, np.int64).reshape(-1, 6) for m, b in zip(left["mine"].to_pylist(), left["blob"].to_pylist(), strict=True) if m == k]
-            rows = np.concatenate(mine or [np.zeros((0, 6), np.int64)])
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            sides.append((rows[:, 0].copy(), rows[:, 1].copy(), np.ascontiguousarray(rows[:, 2:]).view(np.uint64)))
-            del mine, rows
+            owners = left["mine"].to_pylist()
+            sides.append(unpacked([left["blob"][n].as_buffer() for n, m in enumerate(owners) if m == k]))
+        trim()
         known, owner = np.stack([right.column(c).to_numpy() for c in ("a", "p", "b", "q")]), right.column("mine").to_numpy()
         known[:, owner != i] = known[:, owner != i][[2, 3, 0, 1]]
         known = known[:, np.argsort(known[0], kind="stable")]
