@@ -4,6 +4,7 @@ import hashlib
 import inspect
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -241,6 +242,25 @@ def test_op4_compares_equal_pieces_alone():
         assert {(a, b) for a, _, b, _ in out[0].T.tolist()} == {(a, b) for a in range(0, 80, 4) for b in range(0, a, 4)} | set(zip(before[0].tolist(), before[2].tolist(), strict=True))
 
 
+def test_op4_many_images_of_few_corners():
+    """More images than a small number holds, most of them with one corner, cost no array of all their pairs."""
+    rng = np.random.default_rng(13)
+    ids = np.concatenate((np.zeros(6, int), np.arange(1, 70_000), np.full(6, 70_000)))
+    words = rng.integers(0, 1 << 63, (len(ids), 4)).astype(np.uint64)
+    words[-6:] = words[:6]
+    side = (ids, rng.integers(20, 90, len(ids)) << 30, words)
+    none = np.zeros((4, 0), np.int64)
+    tracemalloc.start()
+    out = np.concatenate(list(images.meet(side, side, none, 32, 5, True)), axis=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(zip(out[0].tolist(), out[2].tolist(), strict=True)) == {(70_000, 0)} and out.shape[1] == 48
+    assert peak < 100e6
+    known = np.array([[3], [0], [2], [0]])  # goes on, also where the other side has no corners
+    for left, right in ((side, tuple(x[:0] for x in side)), (tuple(x[:0] for x in side), side)):
+        assert (np.concatenate(list(images.meet(left, right, known, 32, 5, False)), axis=1) == known).all()
+
+
 def test_op4_packs_corners():
     """Corners come out of blobs by id and in their order, also where an image's lie in several blobs or apart."""
     rng = np.random.default_rng(12)

@@ -318,24 +318,28 @@ def meet(left: tuple, right: tuple, known: np.ndarray, reach: int, least: int, s
         x, y = found
         width = int(min(span, 2 * width, 0.75 * most / max(1, len(x)) * (begins[to] - begins[at]) + 1))
         run = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(begins[at : to + 1]))[x - np.uint32(begins[at])]
-        turn = (run // per).astype(np.uint16)  # images of a few at a time are counted, in an array of ``cells``
+        code = run.astype(np.int64) * len(images) + place[y]  # of the pair of images
+        # images of a few at a time are counted in an array of ``cells``; where most pairs have no match, all are sorted
+        sparse = (to - at) * len(images) > 16 * max(len(x), cells)
+        step = to - at if sparse else per
+        turn = (run // step).astype(np.uint16)
         order = np.argsort(turn, kind="stable")
-        x, y, run = x[order], y[order], run[order]
-        edges = np.concatenate(([0], np.cumsum(np.bincount(turn, minlength=-(-(to - at) // per)))))
-        for n, first in enumerate(range(at, to, per)):
-            end, rows = min(first + per, to), slice(edges[n], edges[n + 1])
-            u, v = x[rows], y[rows]
-            pair = (run[rows] - (first - at)).astype(np.int64) * len(images) + place[v]
+        x, y, code = x[order], y[order], code[order]
+        edges = np.concatenate(([0], np.cumsum(np.bincount(turn, minlength=-(-(to - at) // step)))))
+        for n, first in enumerate(range(at, to, step)):
+            end, rows = min(first + step, to), slice(edges[n], edges[n + 1])
+            u, v, c = x[rows], y[rows], code[rows]
+            pair = np.unique(c, return_inverse=True)[1] if sparse else c - (first - at) * len(images)
             upto = int(np.searchsorted(known[0], ids[begins[end] - 1], "right"))
             before = known[:, done:upto]
             enough = np.zeros(len(pair), bool)
             some = np.flatnonzero(np.bincount(pair)[pair] >= least) if len(pair) else np.zeros(0, np.int64)
             need = np.maximum(least, np.ceil(SHARE * np.minimum(spot[u[some]] >> 46, there[v[some]] >> 46))).astype(np.int64)
             enough[some[several_corners(pair[some], u[some], v[some], need)]] = True
-            if before.shape[1]:
+            if before.shape[1] and len(c):
                 mine = ids[begins[first:end]]
                 i, j = (np.minimum(np.searchsorted(z, before[k]), len(z) - 1) for z, k in ((mine, 0), (images, 2)))
-                enough |= np.isin(pair, (i * len(images) + j)[(mine[i] == before[0]) & (images[j] == before[2])])
+                enough |= np.isin(c, ((i + first - at) * len(images) + j)[(mine[i] == before[0]) & (images[j] == before[2])])
             u, v = u[enough], v[enough]
             yield np.concatenate((np.stack((ids[u], spot[u], other[v], there[v])), before), axis=1)
             done = upto
