@@ -7,18 +7,20 @@ import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CLIENT
-from .detect import FOUND_TYPE
+from .detect import FOUND_TYPE, as_found
 
 #: Answers each text with its spans, or with the exception that it ended in.
 Recognizer = Callable[[list[str]], list[list[dict] | Exception]]
 _LOADED: dict[object, Recognizer] = {}
 PEOPLE = {"PER", "PERS", "PERSON"}
 FIELDS = ("start", "end", "entity_type", "text")
+#: Texts, and their characters, up to which a recognizer is asked at once.
+ASKED, CHARS = 256, 1 << 20
 
 
 def loaded(key: object, load: Callable[[], Recognizer]) -> Recognizer:
@@ -50,24 +52,33 @@ def one_by_one(fn: Callable[[str], list[dict]]) -> Recognizer:
 def recognizer(load: Callable[[], Recognizer], key: str) -> Callable[[Column], Column]:
     """A column function over texts, ``struct<spans, error>``.
 
-    Each distinct text of a batch is asked about once.  A text on which the recognizer fails,
-    and every text where it can't be loaded, has no spans and tells the error: the rest of
-    masking goes on, and the caller hears of it.
+    Each distinct text of a batch is asked about once, ``ASKED`` texts at a time.  A text on
+    which the recognizer fails, and every text where it can't be loaded, has no spans and tells
+    the error: the rest of masking goes on, and the caller hears of it.
     """
 
-    @F.pandas_udf(FOUND_TYPE)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        asked = list(dict.fromkeys(t for t in texts if t is not None))
+    def answered(texts: list[str]) -> list[tuple[list[tuple], str | None]]:
         try:
-            answers = dict(zip(asked, loaded(key, load)(asked), strict=True)) if asked else {}
+            answers = loaded(key, load)(texts)
+            pairs = list(zip(texts, answers, strict=True))
         except Exception as e:  # a model or service that is down never stops the rest
-            answers = dict.fromkeys(asked, e)
-        found = [answers.get(t, []) for t in texts]
-        bad = [isinstance(f, Exception) for f in found]
-        spans = [[] if b else [{k: s[k] for k in FIELDS} for s in f] for f, b in zip(found, bad, strict=True)]
-        return pd.DataFrame({"spans": spans, "error": pd.Series([repr(f) if b else None for f, b in zip(found, bad, strict=True)], dtype=object)})
-
-    return run
+            pairs = [(t, e) for t in texts]
+        return [([], repr(a)) if isinstance(a, Exception) else ([tuple(s[k] for k in FIELDS) for s in a], None) for _, a in pairs]
+
+    @F.arrow_udf(FOUND_TYPE)
+    def run(texts: pa.Array) -> pa.Array:
+        coded, answers, some, size = texts.dictionary_encode(), [], [], 0
+        for text in coded.dictionary:
+            some.append(text.as_py())
+            size += len(some[-1])
+            if len(some) >= ASKED or size >= CHARS:
+                answers += answered(some)
+                some, size = [], 0
+        if some:
+            answers += answered(some)
+        return as_found(([], None) if i is None else answers[i] for i in coded.indices.to_pylist())
+
+    return run.asNondeterministic()
 
 
 def service(url: str, timeout: float = 5.0, enabled: bool = True, at_once: int = 8) -> Callable[[], Recognizer]:
