@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,20 +77,25 @@ TRIED = T.StructType([T.StructField("text", T.StringType()), T.StructField("erro
 
 
 def attempted(fn: Callable[[str | None, dict[str, str]], str | None]) -> Callable[[Column, Column], Column]:
-    """A function of a text and its map as a column function: ``struct<text, error>``; where it fails the text is what came in."""
+    """A function of a text and its map as a column function: ``struct<text, error>``; where it fails the text is what came in.
 
-    @F.pandas_udf(TRIED)
-    def run(texts: pd.Series, maps: pd.Series) -> pd.DataFrame:
-        def one(text, real):
+    One row at a time is Python objects, and no filter on the result makes Spark run it again (see ``detect.attempted``).
+    """
+
+    @F.arrow_udf(TRIED)
+    def run(texts: pa.Array, maps: pa.Array) -> pa.Array:
+        out, errors = [], []
+        for text, real in zip(texts, maps, strict=True):
+            text, error = text.as_py(), None
             try:
-                return fn(text, dict(real if real is not None else {})), None
+                text = fn(text, dict(real.as_py() or ()))
             except Exception as e:  # told to the caller; the other rows go on
-                return text, repr(e)
-
-        found = [one(t, m) for t, m in zip(texts, maps, strict=True)]
-        return pd.DataFrame({"text": pd.Series([f[0] for f in found], dtype=object), "error": pd.Series([f[1] for f in found], dtype=object)})
+                error = repr(e)
+            out.append(text)
+            errors.append(error)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(errors, pa.string())], ["text", "error"])
 
-    return run
+    return run.asNondeterministic()
 
 
 _json = attempted(json_restored)
