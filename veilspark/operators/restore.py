@@ -34,7 +34,7 @@ def with_tokens(rows: DataFrame, book: DataFrame, *texts: str | Column) -> DataF
     """
     every = F.concat_ws(" ", *texts)
     rows = rows.withColumn("__key", session(F.col("vault_key"))).withColumn("__list", F.array_distinct(find_tokens(every)))
-    marked = F.size("__list") > 0
+    marked = F.contains(every, F.lit(MARK))
     lists = rows.where(marked).select("__key", "__list").distinct()
     known = book.select(session(F.col("vault_key")).alias("__key"), "token", "real").groupBy("__key", "token").agg(F.min("real").alias("real"))
     found = lists.select("__key", "__list", F.explode("__list").alias("token")).join(known, ["__key", "token"])

@@ -9,15 +9,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CLOSE, HOLD, OPEN
 from ..functions.text import PLACEHOLDER
 from ..operators.restore import restore_by_join
-from ..plans.storage import scratch
+from ..plans.storage import as_files, scratch
+
 _TOKEN = re.compile(PLACEHOLDER)
 OUT = "session_id string, turn long, delta_idx int, text string"
 KEYS = ("session_id", "turn")
@@ -44,28 +47,49 @@ def hold_back(deltas: DataFrame, hold: int = HOLD, flush: bool = False) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, last = "", None, None
+        held, last, kept = "", None, None  # kept: the last row so far, which may still get what is held
         for batch in batches:
-            out: list[tuple] = []
-            for session, turn, i, text in zip(*[batch.column(c).to_pylist() for c in ("session_id", "turn", "delta_idx", "text")], strict=True):
-                if last is not None:
-                    out.append((*last[:3], last[3] + held if flush and (session, turn) != key else last[3]))
-                if (session, turn) != key:
-                    held, key = "", (session, turn)
-                sent, held = advance(held, text, hold)
-                last = (session, turn, i, sent)
-            if out:
-                yield _rows(out)
-        if last is not None:
-            yield _rows([(*last[:3], last[3] + held if flush else last[3])])
+            if not batch.num_rows:
+                continue
+            rows, sent = batch.select([*KEYS, "delta_idx"]), []
+            for text, first in zip(batch.column("text").to_pylist(), _firsts(rows, last), strict=True):
+                if first:
+                    if flush and held:
+                        if sent:
+                            sent[-1] += held
+                        elif kept is not None:
+                            kept = (kept[0], kept[1] + held)
+                    held = ""
+                if held or text and OPEN in text:
+                    text, held = advance(held, text, hold)
+                sent.append(text or "")
+            if kept is not None:
+                yield _rows(kept[0], [kept[1]])
+            last = rows.slice(rows.num_rows - 1)
+            kept = (last, sent.pop())
+            if sent:
+                yield _rows(rows.slice(0, len(sent)), sent)
+        if kept is not None:
+            yield _rows(kept[0], [kept[1] + held if flush else kept[1]])
 
     rows = deltas.select(*KEYS, "delta_idx", "text").repartition(*KEYS).sortWithinPartitions(*KEYS, "delta_idx")
     return rows.mapInArrow(run, OUT)
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*KEYS, "delta_idx", "text"])
+def _firsts(rows: pa.RecordBatch, last: pa.RecordBatch | None) -> list[bool]:
+    """Whether each row begins a turn; ``last`` is the row before them.  Null keys are keys like any other."""
+    out = np.zeros(rows.num_rows, bool)
+    out[0] = last is None or any(last.column(k)[0].as_py() != rows.column(k)[0].as_py() for k in KEYS)
+    for k in KEYS:
+        now, before = rows.column(k).slice(1), rows.column(k).slice(0, rows.num_rows - 1)
+        lone = pc.xor(pc.is_null(now), pc.is_null(before))
+        out[1:] |= pc.fill_null(pc.or_(pc.not_equal(now, before), lone), lone).to_numpy(zero_copy_only=False)
+    return out.tolist()
+
+
+def _rows(rows: pa.RecordBatch, sent: list[str]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int32()]
+    return pa.record_batch([*(c.cast(k) for c, k in zip(rows.columns, kinds, strict=True)), pa.array(sent, pa.string())], [*KEYS, "delta_idx", "text"])
 
 
 def hold_back_stream(deltas: DataFrame, hold: int = HOLD, ttl_ms: int = 24 * 3600 * 1000, flush: bool = False) -> DataFrame:
@@ -97,8 +121,11 @@ def hold_back_stream(deltas: DataFrame, hold: int = HOLD, ttl_ms: int = 24 * 360
 
 
 def restored_deltas(rows: DataFrame, book: DataFrame) -> DataFrame:
-    """``(session_id, turn, delta_idx, text)`` of whole tokens with values put back."""
-    back = restore_by_join(rows.withColumn("vault_key", F.col("session_id")), book)
+    """``(session_id, turn, delta_idx, text)`` of whole tokens with values put back.
+
+    The rows are read several times, so they are written first: holding back, in Python, is done once.
+    """
+    back = restore_by_join(as_files(rows).withColumn("vault_key", F.col("session_id")), book)
     return back.select(*KEYS, "delta_idx", F.col("restored").alias("text"))
 
 
@@ -118,5 +145,5 @@ def restore_stream(deltas: DataFrame, book: Callable[[], DataFrame], sink: Calla
 
 def joined_replies(deltas: DataFrame) -> DataFrame:
     """The whole text of each turn."""
-    parts = F.array_sort(F.collect_list(F.struct("delta_idx", "text")))
+    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("delta_idx", "text"))))
     return deltas.groupBy(*KEYS).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
