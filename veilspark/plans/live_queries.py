@@ -60,7 +60,7 @@ def gazetteer_of_any_size(spark, sf_dir):
 @query(f"SELECT token, real FROM ({duck(KNOWN)})")
 def vault_files(spark, sf_dir):
     """Written as documents, dealt over several for a vault, and read back."""
-    vaults.as_documents(made(spark, sf_dir, KNOWN), most=7).write.partitionBy("name").text(path := shared_dir(spark))
+    vaults.put(vaults.as_documents(made(spark, sf_dir, KNOWN), most=7), path := shared_dir(spark))
     return vaults.read_files(spark, path + "/*").select("token", "real")
 
 

@@ -47,10 +47,28 @@ def as_documents(book: DataFrame, most: int = 100_000) -> DataFrame:
     return rows.select(name.alias("name"), F.to_json(F.struct("ts", "real_to_token", "token_to_real", "counters")).alias("value"))
 
 
+def put(documents: DataFrame, path: str) -> None:
+    """Each of ``documents (name, value)`` as a file under ``path/name=<name>/``.
+
+    A file costs much more than its bytes, so all cores share the files, however small; by
+    their bytes alone few tasks would write all of them.
+    """
+    tasks = 4 * documents.sparkSession.sparkContext.defaultParallelism
+    documents.repartition(tasks, "name").write.mode("append").partitionBy("name").text(path)
+
+
 def write_files(book: DataFrame, path: str) -> None:
-    """One JSON document per vault under ``path/name=<key>.json/``, for the owner alone; ``read_files(path/*)`` reads them."""
-    remove(book.sparkSession, path)
-    as_documents(book).write.mode("append").partitionBy("name").text(private(book.sparkSession, path))
+    """One JSON document per vault under ``path/name=<key>.json/``, for the owner alone; ``read_files(path/*)`` reads them.
+
+    They are written beside and renamed into place, so what was there stays until all are written.
+    """
+    spark = book.sparkSession
+    beside = private(spark, f"{path.rstrip('/')}_{uuid.uuid4().hex}")
+    put(as_documents(book), beside)
+    remove(spark, path)
+    fs, place = filesystem(spark, path)
+    if not fs.rename(filesystem(spark, beside)[1], place):
+        raise OSError(f"{path}: another writer has put files in place")
 
 
 def _versions(spark: SparkSession, path: str) -> list[str]:
